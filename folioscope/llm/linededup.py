@@ -22,50 +22,65 @@ from folioscope.llm.common import cut, fresh, let, named
 
 WILD = "<*>"
 LEADING = 3
+#: Leaves up to which their table is broadcast (16 bytes each and overhead); beyond, Spark joins by shuffle.
+BROADCAST_LEAVES = 1_000_000
 
 
 def _masked(line: Column) -> Column:
-    flat = F.regexp_replace(F.trim(line), r"[ \t\r\f\x0B]+", " ")
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(flat)
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd |= line.contains(blank)
+    flat = F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))).otherwise(F.trim(line))
+    return let(flat, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(x))
+
+
+def _tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """(id, th, line): the distinct masked lines of each document."""
+    """(id, th, line, h1, h2, leaf): masked lines, their two hashes and their leaf of the tree (token count and leading tokens)."""
     lines = F.split(named(text_col), "\n", -1)
     out = df.select(F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(named(text_col)).alias("th"), F.explode(lines).alias("raw"))
-    out = out.where(F.length("raw") >= 2 * min_tokens - 1).select("id", "th", _masked(F.col("raw")).alias("line"))
-    return out.where(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_tokens - 1)
+    out = out.where(_tokens(F.col("raw")) >= min_tokens).select("id", "th", _masked(F.col("raw")).alias("line"))
+    leaf = F.xxhash64(_tokens(F.col("line")), F.substring_index("line", " ", LEADING))
+    return out.select("id", "th", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), leaf.alias("leaf"))
 
 
 def recurring_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_tokens: int = 4, constant_share: float = 0.6, majority: float = 0.5) -> DataFrame:
-    """(h1, h2, first_id, first_th, template): hashes of the masked lines that belong to a recurring template, and its first document."""
+    """(h1, h2, first_id, first_th, template): hashes of the masked lines that belong to a recurring template, and its first document.
+
+    Only hashes are exchanged until the leaves that occur in enough documents are known; the lines of those alone are read as text.
+    """
+    all_lines = _lines(df, id_col, text_col, min_tokens)
+    # A document's repeats of a line are folded first, then a line's documents; both combine before they shuffle.
+    each = all_lines.groupBy("h1", "h2", "leaf", "id", "th").agg(F.first(_tokens(F.col("line"))).alias("size"))
     key = F.struct("id", "th")
-    # A document's repeats of a line are folded by the first aggregation, a line's documents by the second; both combine before they shuffle.
-    each = _lines(df, id_col, text_col, min_tokens).groupBy("line", "id", "th").agg(F.lit(1).alias("one"))
-    lines = each.groupBy("line").agg(F.count("*").alias("docs"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    lines = each.where(F.col("size") >= min_tokens).groupBy("h1", "h2", "leaf").agg(F.count("*").alias("docs"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    lines = cut(lines)
+    leaves = cut(lines.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs))
+    few = leaves.count() <= BROADCAST_LEAVES
+    stats = lines.join(leaves, "leaf")
+    texts = all_lines.select("h1", "h2", "leaf", "line").join(F.broadcast(leaves) if few else leaves, "leaf").groupBy("h1", "h2", "leaf").agg(F.min("line").alias("line"))
+    held = cut(stats.join(texts, ["h1", "h2", "leaf"]))
     tokens = F.split("line", " ")
-    lines = lines.withColumn("leaf", F.concat_ws(" ", F.size(tokens), F.slice(tokens, 1, LEADING)))
-    leaves = lines.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
-    held = cut(lines.join(leaves, "leaf"))
     places = held.select("leaf", "docs", "leaf_docs", F.posexplode(tokens).alias("place", "token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"), F.first("leaf_docs").alias("leaf_docs"))
     constant = constant.where((F.col("docs") > majority * F.col("leaf_docs")) & (F.col("token") != WILD))
     templates = constant.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("constants"))
     of = held.join(templates, "leaf", "left")
     fits = (F.size("constants") >= constant_share * F.size(tokens)) & let(tokens, lambda own: F.forall("constants", lambda c: F.get(own, c["place"]) == c["token"]))
-    of = of.withColumn("template", F.when(fits, F.concat(F.lit("leaf "), "leaf")).otherwise(F.concat(F.lit("line "), "line")))
-    stats = of.groupBy("template").agg(F.sum("docs").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    stats = stats.where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi")))
-    return of.select("line", "template").join(stats, "template").select(
-        F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.col("lo.id").alias("first_id"), F.col("lo.th").alias("first_th"), "template"
-    )
+    of = of.withColumn("template", F.when(fits, F.concat(F.lit("leaf "), F.col("leaf").cast("string"))).otherwise(F.concat(F.lit("line "), "line")))
+    found = of.groupBy("template").agg(F.sum("docs").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = found.where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi")))
+    return of.select("h1", "h2", "template").join(found, "template").select("h1", "h2", F.col("lo.id").alias("first_id"), F.col("lo.th").alias("first_th"), "template")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", min_tokens: int = 4, **options) -> DataFrame:
     """``df`` without the lines of recurring templates (but in their first documents), and the number of lines dropped."""
     id_, th, drop, dropped = fresh(df, "ld_id", "ld_th", "ld_drop", dropped_col)
     recurring = recurring_templates(df, id_col, text_col, min_tokens=min_tokens, **options).select("h1", "h2", "first_id", "first_th")
-    lines = _lines(df, id_col, text_col, min_tokens).select("id", "th", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    lines = _lines(df, id_col, text_col, min_tokens).select("id", "th", "h1", "h2")
     out = lines.join(recurring, ["h1", "h2"]).where((F.col("id") != F.col("first_id")) | (F.col("th") != F.col("first_th")))
     drops = out.groupBy(F.col("id").alias(id_), F.col("th").alias(th)).agg(F.collect_set("h1").alias(drop))
     keyed = df.select(*map(named, df.columns), F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))).alias(id_), F.xxhash64(named(text_col)).alias(th))
