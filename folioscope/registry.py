@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from folioscope.plans.queries import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "retrieval_ranked_passages"
