@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -186,7 +187,7 @@ def _links_in_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int)
 
 
 def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents from different groups that the matrix could not rule out."""
+    """(id, n, other): documents and the groups that the matrix could not rule out for them."""
     order = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -211,28 +212,40 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: i
     matrix = shared.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (F.col("grp") < F.col("other")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
     opened = shared.join(matrix, "token").where(fits).select("id", "n", "other").distinct()
-    members = roles.select(F.col("rep").alias("b"), F.col("grp").alias("other"), F.col("n").alias("nb"))
-    pairs = opened.join(members, "other").where((100 * F.col("nb") >= percent * F.col("n")) & (percent * F.col("nb") <= 100 * F.col("n")))
-    return pairs.select(F.col("id").alias("a"), "b")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    pairs = cut(pairs)
-    some = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return cut(opened)
+
+
+def _links_between_groups(docs: DataFrame, roles: DataFrame, opened: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links of documents with opened groups: one for each part of a group that has any, for a group's members are connected already."""
+    share = lambda what, n: F.pmod(F.xxhash64(what), F.ceil(F.col(n) / PART_DOCS)).cast("int")
+    sizes = roles.groupBy("grp").agg(F.count("*").alias("docs"))
+    member = roles.join(sizes, "grp").select("grp", "n", F.col("rep").alias("id"), F.xxhash64("grp", share("rep", "docs")).alias("part"))
+    parts = member.groupBy("grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
+    asks = opened.join(parts, F.col("other") == F.col("grp")).where(fits).select("part", "id")
+    # The documents that ask one part are shared out too; its members go to each share.
+    asked = asks.groupBy("part").agg(F.count("*").alias("asks"))
+    rows = asks.join(asked, "part").select("part", share("id", "asks").alias("portion"), "id", F.lit(True).alias("asking"))
+    copies = member.join(asked, "part").select("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("asks") / PART_DOCS).cast("int") - 1)).alias("portion"), "id", F.lit(False).alias("asking"))
+    rows = cut(rows.union(copies))
+    some = cut(rows.select("id").distinct())
     texts = _with_small(docs, some, "id", some.count())
+    met = rows.join(texts, "id").repartition("part", "portion").sortWithinPartitions("part", "portion", "asking")
 
     def run(batches):
+        key, sets, found = None, [], []
         for pdf in batches:
-            sets: dict[int, np.ndarray] = {}
-            good = []
             for r in pdf.itertuples(index=False):
-                a, b = (sets.setdefault(i, shingles(word_hashes(t), width)) if i not in sets else sets[i] for i, t in ((r.a, r.ta), (r.b, r.tb)))
-                if linked(a, b, percent):
-                    good.append((r.a, r.b))
-            yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
+                if (r.part, r.portion) != key:
+                    key, sets = (r.part, r.portion), []
+                own = shingles(word_hashes(r.text), width)
+                if not r.asking:
+                    sets.append((r.id, own))
+                else:
+                    found += islice(((r.id, other) for other, b in sets if linked(own, b, percent)), 1)
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return met.select("part", "portion", "asking", "id", "text").mapInPandas(run, "a long, b long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -243,13 +256,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = cut(rows.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     sketch = _sketch(facts.where("piece is not null").select("piece", "counts"))
 
-    near = cut(_links_in_groups(docs, reps, width, percent))
-    first = components(near)
-    roles = reps.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("grp"))
-    roles = cut(roles)
-    far = _verified(docs, _open_groups(docs, roles, sketch, width, percent), width, percent)
+    near = components(_links_in_groups(docs, reps, width, percent))
+    roles = cut(reps.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("grp")))
+    far = _links_between_groups(docs, roles, _open_groups(docs, roles, sketch, width, percent), width, percent)
 
     of_id = rows.where("n > 0 and id is not null").join(reps.select("same", "rep"), "same").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    whole = components(near.union(far).union(of_id))
+    whole = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(far).union(of_id))
     out = rows.join(whole.select(F.col("node").alias("id"), "component"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
