@@ -42,6 +42,8 @@ _CLASS[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
 
 #: Natural-log odds from which a run counts as random; positive, for most long runs are words.
 THRESHOLD = 12.0
+#: Weights of the fall-backs of the two models, in characters seen.
+RANDOM_PRIOR, ORDINARY_PRIOR = 330.0, 5.0
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("rank", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
@@ -90,9 +92,15 @@ def train(df: DataFrame, text_col: str = "text") -> np.ndarray:
     total = np.zeros((2, SIZE * SIZE))
     for pair, random, ordinary in counts.groupBy("pair").agg(F.sum("random"), F.sum("ordinary")).collect():  # SIZE * SIZE rows at most
         total[:, pair] = random, ordinary
-    tables = total.reshape(2, SIZE, SIZE) + 0.5
-    logs = np.log(tables / tables.sum(axis=2, keepdims=True))
-    return logs[0] - logs[1]
+    random, ordinary = total.reshape(2, SIZE, SIZE)
+    # Random strings fall back on even odds, ordinary ones on how often a character occurs at all.
+    even = np.full(SIZE, 1 / SIZE)
+    often = (ordinary.sum(axis=0) + 0.5) / (ordinary.sum() + SIZE / 2)
+    return np.log(_smoothed(random, even, RANDOM_PRIOR)) - np.log(_smoothed(ordinary, often, ORDINARY_PRIOR))
+
+
+def _smoothed(counts: np.ndarray, prior: np.ndarray, weight: float) -> np.ndarray:
+    return (counts + weight * prior) / (counts.sum(axis=1, keepdims=True) + weight)
 
 
 def score(text: str, model: np.ndarray) -> float:
