@@ -2,8 +2,8 @@
 
 The patterns find declared secrets. Two first-order character models then judge every
 other run of 16 or more key characters: one trained on the values that the patterns
-found (labelled random strings), one on the ordinary identifiers of the same texts.
-A run whose log-likelihood ratio reaches the threshold is a span of kind ``markov``.
+found (labelled random strings), one on the ordinary identifiers of the same texts
+(labelled so where a whole run has no digit). A run with a letter whose log-likelihood ratio reaches the threshold is a span of kind ``markov``.
 Both models are transition counts over all texts, added up by Spark; their size is
 fixed by the alphabet.
 
@@ -31,7 +31,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+LETTER = re.compile(r"[A-Za-z]")
+#: What is labelled ordinary: whole runs without digits.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{7,}(?![A-Za-z0-9+/_=-])")
 MAY_ASSIGN = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -119,7 +121,7 @@ def scan(df: DataFrame, model: np.ndarray, text_col: str = "text", spans_col: st
         covered = [(a, b) for a, _, b in spans]
         for m in RUN.finditer(text):
             a, b = m.span()
-            if not any(a < d and c < b for c, d in covered) and score(m[0], model) >= threshold:
+            if not any(a < d and c < b for c, d in covered) and LETTER.search(m[0]) and score(m[0], model) >= threshold:
                 spans.append((a, 3, b))
         return [{"start": a, "rank": r, "end": b, "kind": KINDS[r]} for a, r, b in sorted(spans)]
 
