@@ -193,8 +193,8 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: i
     def run(batches):
         counts = order.value
         for pdf in batches:
-            tokens, ids, groups, sizes = [np.empty(0, np.uint64)], [], [], []
-            for id_, group, text in zip(pdf["id"], pdf["grp"], pdf["text"]):
+            tokens, ids, groups, sizes, members = [np.empty(0, np.uint64)], [], [], [], []
+            for id_, group, many, text in zip(pdf["id"], pdf["grp"], pdf["docs"], pdf["text"]):
                 own = shingles(word_hashes(text), width)
                 n = len(own)
                 own = own[np.lexsort((own, counts[own & np.uint64(len(counts) - 1)]))[: n + (-percent * n // 100) + 1]]
@@ -202,15 +202,17 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: i
                 ids.append(np.full(len(own), id_))
                 groups.append(np.full(len(own), group))
                 sizes.append(np.full(len(own), n, np.int32))
+                members.append(np.full(len(own), many))
             if ids:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids), "grp": np.concatenate(groups), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids), "grp": np.concatenate(groups), "docs": np.concatenate(members), "n": np.concatenate(sizes)})
 
-    held = roles.select(F.col("rep").alias("id"), "grp")
-    rows = _with_small(docs, held, "id", roles.count()).mapInPandas(run, "token long, id long, grp long, n int")
+    held = roles.select(F.col("rep").alias("id"), "grp", "docs")
+    rows = _with_small(docs, held, "id", roles.count()).mapInPandas(run, "token long, id long, grp long, docs long, n int")
     spread = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     shared = cut(rows.join(spread, "token"))
-    matrix = shared.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("grp") < F.col("other")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
+    matrix = shared.groupBy("token", F.col("grp").alias("other"), F.col("docs").alias("others")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # Of two groups the one with fewer documents asks the other.
+    fits = (F.struct("docs", "grp") < F.struct("others", "other")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
     opened = shared.join(matrix, "token").where(fits).select("id", "n", "other").distinct()
     return cut(opened)
 
@@ -218,8 +220,7 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: i
 def _links_between_groups(docs: DataFrame, roles: DataFrame, opened: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links of documents with opened groups: one for each part of a group that has any, for a group's members are connected already."""
     share = lambda what, n: F.pmod(F.xxhash64(what), F.ceil(F.col(n) / PART_DOCS)).cast("int")
-    sizes = roles.groupBy("grp").agg(F.count("*").alias("docs"))
-    member = roles.join(sizes, "grp").select("grp", "n", F.col("rep").alias("id"), F.xxhash64("grp", share("rep", "docs")).alias("part"))
+    member = roles.select("grp", "n", F.col("rep").alias("id"), F.xxhash64("grp", share("rep", "docs")).alias("part"))
     parts = member.groupBy("grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
     asks = opened.join(parts, F.col("other") == F.col("grp")).where(fits).select("part", "id")
@@ -258,6 +259,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     near = components(_links_in_groups(docs, reps, width, percent))
     roles = cut(reps.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("grp")))
+    roles = cut(roles.join(roles.groupBy("grp").agg(F.count("*").alias("docs")), "grp"))
     far = _links_between_groups(docs, roles, _open_groups(docs, roles, sketch, width, percent), width, percent)
 
     of_id = rows.where("n > 0 and id is not null").join(reps.select("same", "rep"), "same").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
