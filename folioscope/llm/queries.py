@@ -86,4 +86,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_decontamination, op4_quality_classifier, op5_topk, op6_secrets, op7_sharding, op8_lm_scoring, op9_jaccard_join, op10_pii)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_topk": """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) q from embeddings
+ where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select a.vec_id query_id, b.vec_id vec_id, cast(list_dot_product(cast(a.q as double[]), cast(b.q as double[])) as bigint) score from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) r from pairs)
+select query_id, cast(r as int) "rank", vec_id, score from ranked where r <= 20""",
+}
