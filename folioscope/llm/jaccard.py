@@ -1,15 +1,18 @@
 """N-gram Jaccard join over a token-group matrix.
 
 1. Texts with equal words form classes; one member of each goes on.
-2. Documents that share a MinHash value are likely similar and form groups, in
+2. Documents that share a MinHash value are likely similar and form buckets, in
    parts of bounded size; inside a part the links are verified exactly and joined up
-   to components. These components are the groups of the matrix.
+   to components. A large component is a group of the matrix; small ones that share
+   their commonest MinHash value are put together into groups of bounded size, so
+   that a passage that many documents share makes few groups.
 3. The matrix has a row (token, group) for the union of the members' tokens that a
    link needs: in a fixed order of all tokens, rare ones first, two sets that reach
    the similarity share one of their first n - ceil(t * n) + 1. A document's overlap
    with a group is thus bounded by the tokens they share in it; where none is shared,
    or no member has a fitting size, the group stays closed.
-4. Members of the opened groups are compared exactly, and all links are joined up.
+4. Members of the opened groups, and of the own group if it holds other components,
+   are compared exactly, and all links are joined up.
 
 The order ranks tokens by a count sketch of the corpus. Any order gives exact
 results; the sketch makes tokens of common passages come last.
@@ -24,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -84,14 +86,23 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(n)))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    least, most = sorted((len(a), len(b)))
-    if not least or 100 * least < percent * most:
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (least + most - common)
+class Sets:
+    """Sets of tokens under an index, to be compared with one set at a time."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        tokens, owners = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], owners[order]
+
+    def linked(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the sets whose Jaccard similarity with ``own`` is ``percent`` or more."""
+        low, high = np.searchsorted(self.tokens, own, "left"), np.searchsorted(self.tokens, own, "right")
+        many = high - low
+        first = np.cumsum(many) - many
+        hits = self.owners[np.arange(many.sum()) - np.repeat(first - low, many)]
+        common = np.bincount(hits, minlength=len(self.sizes))
+        return np.flatnonzero((common > 0) & (100 * common >= percent * (len(own) + self.sizes - common)))
 
 
 def _facts(docs: DataFrame, width: int) -> DataFrame:
@@ -154,11 +165,16 @@ def _with_small(left: DataFrame, right: DataFrame, on: str, rows: int) -> DataFr
     return left.join(F.broadcast(right) if rows <= BROADCAST_IDS else right, on)
 
 
-def _links_in_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links inside the parts of MinHash groups: at most one fewer than a part's documents."""
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(id, slot, key, docs): the MinHash values that documents share with others, and how many have them."""
     keyed = reps.select(F.col("rep").alias("id"), F.posexplode("keys").alias("slot", "key"))
     sizes = keyed.groupBy("slot", "key").agg(F.count("*").alias("docs")).where("docs > 1")
-    parts = keyed.join(sizes, ["slot", "key"]).select("id", F.xxhash64("slot", "key", F.pmod(F.xxhash64("id", "slot"), F.ceil(F.col("docs") / PART_DOCS))).alias("part"))
+    return cut(keyed.join(sizes, ["slot", "key"]))
+
+
+def _links_in_buckets(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links inside the parts of buckets: at most one fewer than a part's documents."""
+    parts = buckets.select("id", F.xxhash64("slot", "key", F.pmod(F.xxhash64("id", "slot"), F.ceil(F.col("docs") / PART_DOCS))).alias("part"))
     parts = cut(parts.groupBy("id").agg(F.collect_set("part").alias("parts")))
     members = _with_small(docs, parts, "id", parts.count()).select("id", "text", F.explode("parts").alias("part"))
 
@@ -166,6 +182,7 @@ def _links_in_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int)
         found = []
         for _, rows in _runs(batches, ["part"]):
             sets = [shingles(word_hashes(r.text), width) for r in rows]
+            whole = Sets(sets)
             root = list(range(len(rows)))
 
             def top(i: int) -> int:
@@ -173,9 +190,9 @@ def _links_in_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int)
                     root[i] = i = root[root[i]]
                 return i
 
-            for i in range(1, len(rows)):
-                for j in range(i):
-                    if (a := top(i)) != (b := top(j)) and linked(sets[i], sets[j], percent):
+            for i, own in enumerate(sets):
+                for j in whole.linked(own, percent).tolist():
+                    if (a := top(i)) != (b := top(j)):
                         root[a] = b
                         found.append((rows[i].id, rows[j].id))
             if len(found) > 10_000:
@@ -186,6 +203,22 @@ def _links_in_groups(docs: DataFrame, reps: DataFrame, width: int, percent: int)
     return members.repartition("part").sortWithinPartitions("part").mapInPandas(run, "a long, b long")
 
 
+def _groups(reps: DataFrame, near: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(rep, n, comp, grp, docs, comps): each document's component and group, and the group's documents and components.
+
+    A group's number is a hash; groups whose hashes agree are one group, which stays exact.
+    """
+    roles = reps.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"))
+    held = cut(roles.groupBy("comp").agg(F.count("*").alias("held")))
+    common = buckets.groupBy(F.col("id").alias("comp")).agg(F.max(F.struct("docs", "slot", "key")).alias("most"))
+    small = held.where(F.col("held") < PART_DOCS).join(common, "comp").select("comp", "held", "most.slot", "most.key")
+    rooms = small.groupBy("slot", "key").agg(F.ceil(F.sum("held") / PART_DOCS).alias("rooms"))
+    put = small.join(rooms, ["slot", "key"]).select("comp", F.xxhash64("slot", "key", F.pmod(F.xxhash64("comp"), "rooms")).alias("room"))
+    comps = cut(held.join(put, "comp", "left").select("comp", "held", F.coalesce("room", F.xxhash64("comp")).alias("grp")))
+    sizes = comps.groupBy("grp").agg(F.sum("held").alias("docs"), F.count("*").alias("comps"))
+    return cut(roles.join(comps.join(sizes, "grp").drop("held"), "comp"))
+
+
 def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
     """(id, n, other): documents and the groups that the matrix could not rule out for them."""
     order = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -214,39 +247,46 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: i
     # Of two groups the one with fewer documents asks the other.
     fits = (F.struct("docs", "grp") < F.struct("others", "other")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
     opened = shared.join(matrix, "token").where(fits).select("id", "n", "other").distinct()
-    return cut(opened)
+    own = roles.where("comps > 1").select(F.col("rep").alias("id"), "n", F.col("grp").alias("other"))
+    return cut(opened.union(own))
 
 
 def _links_between_groups(docs: DataFrame, roles: DataFrame, opened: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links of documents with opened groups: one for each part of a group that has any, for a group's members are connected already."""
+    """Verified links of documents with opened groups: one for each component that a part of a group holds, for its members are connected already."""
     share = lambda what, n: F.pmod(F.xxhash64(what), F.ceil(F.col(n) / PART_DOCS)).cast("int")
-    member = roles.select("grp", "n", F.col("rep").alias("id"), F.xxhash64("grp", share("rep", "docs")).alias("part"))
+    member = roles.select("grp", "comp", "n", F.col("rep").alias("id"), F.xxhash64("grp", share("rep", "docs")).alias("part"))
     parts = member.groupBy("grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    asks = opened.join(parts, F.col("other") == F.col("grp")).where(fits).select("part", "id")
+    asks = opened.join(parts, F.col("other") == F.col("grp")).where(fits).select("part", "id").join(roles.select(F.col("rep").alias("id"), "comp"), "id")
     # The documents that ask one part are shared out too; its members go to each share.
     asked = asks.groupBy("part").agg(F.count("*").alias("asks"))
-    rows = asks.join(asked, "part").select("part", share("id", "asks").alias("portion"), "id", F.lit(True).alias("asking"))
-    copies = member.join(asked, "part").select("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("asks") / PART_DOCS).cast("int") - 1)).alias("portion"), "id", F.lit(False).alias("asking"))
+    rows = asks.join(asked, "part").select("part", share("id", "asks").alias("portion"), "id", "comp", F.lit(True).alias("asking"))
+    copies = member.join(asked, "part").select("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("asks") / PART_DOCS).cast("int") - 1)).alias("portion"), "id", "comp", F.lit(False).alias("asking"))
     rows = cut(rows.union(copies))
     some = cut(rows.select("id").distinct())
     texts = _with_small(docs, some, "id", some.count())
     met = rows.join(texts, "id").repartition("part", "portion").sortWithinPartitions("part", "portion", "asking")
 
     def run(batches):
-        key, sets, found = None, [], []
+        key, members, sets, whole, found = None, [], [], None, []
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if (r.part, r.portion) != key:
-                    key, sets = (r.part, r.portion), []
+                    key, members, sets, whole = (r.part, r.portion), [], [], None
                 own = shingles(word_hashes(r.text), width)
                 if not r.asking:
-                    sets.append((r.id, own))
-                else:
-                    found += islice(((r.id, other) for other, b in sets if linked(own, b, percent)), 1)
+                    members.append((r.id, r.comp))
+                    sets.append(own)
+                    continue
+                whole = whole or Sets(sets)
+                others = {comp: id_ for id_, comp in (members[k] for k in whole.linked(own, percent))}
+                found += [(r.id, id_) for comp, id_ in others.items() if comp != r.comp]
+            if len(found) > 10_000:
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                found = []
         yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return met.select("part", "portion", "asking", "id", "text").mapInPandas(run, "a long, b long")
+    return met.select("part", "portion", "asking", "id", "comp", "text").mapInPandas(run, "a long, b long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -257,9 +297,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = cut(rows.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     sketch = _sketch(facts.where("piece is not null").select("piece", "counts"))
 
-    near = components(_links_in_groups(docs, reps, width, percent))
-    roles = cut(reps.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("grp")))
-    roles = cut(roles.join(roles.groupBy("grp").agg(F.count("*").alias("docs")), "grp"))
+    buckets = _buckets(reps)
+    near = components(_links_in_buckets(docs, buckets, width, percent))
+    roles = _groups(reps, near, buckets)
     far = _links_between_groups(docs, roles, _open_groups(docs, roles, sketch, width, percent), width, percent)
 
     of_id = rows.where("n > 0 and id is not null").join(reps.select("same", "rep"), "same").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))

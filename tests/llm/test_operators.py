@@ -88,6 +88,25 @@ def test_jaccard(spark):
     assert len(rows) == len(texts) and len({x for x in root}) < len(texts)
 
 
+def test_jaccard_of_documents_that_share_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_DOCS", 4)
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage = words(90)
+    texts = [" ".join([*passage, *words(rng.randrange(4, 22))]) for _ in range(80)]
+    texts += [f"{t} again" for t in texts[::7]] + texts[:6] * 2
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    rows = jaccard.jaccard_components(docs(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(root))
+    assert 10 < len(set(root)) < len(texts)
+
+
 def test_line_dedup(spark):
     body = [f"{w} own line of document {w}x alone" for w in ("alpha", "beta", "gamma", "delta")]
     texts = [f"{b}\nPage 12 of 30 in this report\nuser logged in as Ann{b[0]} from the office today\nshort" for b in body] + [None, ""]
