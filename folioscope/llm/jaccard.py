@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, named, valid_text
+from folioscope.llm.common import cut, named, valid_text, written
 from folioscope.llm.components import components
 
 #: Documents that a part of a group holds, about.
@@ -83,7 +83,9 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     total = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         total += words[k : k + len(total)] * _BYTE[17 + k]
-    return np.unique(_mix(total + np.uint64(n)))
+    total = _mix(total + np.uint64(n))
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 class Sets:
@@ -116,7 +118,7 @@ def _facts(docs: DataFrame, width: int) -> DataFrame:
                 tokens = shingles(word_hashes(text), width)
                 sketch += np.bincount(tokens & np.uint64(len(sketch) - 1), minlength=len(sketch)).astype(np.uint32) if len(tokens) > 50_000 else 0
                 if len(tokens) <= 50_000:
-                    np.add.at(sketch, tokens & np.uint64(len(sketch) - 1), 1)
+                    np.add.at(sketch, (tokens & np.uint64(len(sketch) - 1)).view(np.int64), np.uint32(1))
                 same = hashlib.sha256(b" ".join(text.encode().lower().split())).digest()
                 keys = [int(_mix(tokens ^ _BYTE[40 + k]).min().view(np.int64)) for k in range(MINHASHES)] if len(tokens) else []
                 rows.append((id_, len(tokens), same, keys, None, None))
@@ -226,8 +228,8 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: i
     def run(batches):
         counts = order.value
         for pdf in batches:
-            tokens, ids, groups, sizes, members = [np.empty(0, np.uint64)], [], [], [], []
-            for id_, group, many, text in zip(pdf["id"], pdf["grp"], pdf["docs"], pdf["text"]):
+            tokens, ids, groups, sizes = [np.empty(0, np.uint64)], [], [], []
+            for id_, group, text in zip(pdf["id"], pdf["grp"], pdf["text"]):
                 own = shingles(word_hashes(text), width)
                 n = len(own)
                 own = own[np.lexsort((own, counts[own & np.uint64(len(counts) - 1)]))[: n + (-percent * n // 100) + 1]]
@@ -235,14 +237,16 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: i
                 ids.append(np.full(len(own), id_))
                 groups.append(np.full(len(own), group))
                 sizes.append(np.full(len(own), n, np.int32))
-                members.append(np.full(len(own), many))
             if ids:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids), "grp": np.concatenate(groups), "docs": np.concatenate(members), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids), "grp": np.concatenate(groups), "n": np.concatenate(sizes)})
 
-    held = roles.select(F.col("rep").alias("id"), "grp", "docs")
-    rows = _with_small(docs, held, "id", roles.count()).mapInPandas(run, "token long, id long, grp long, docs long, n int")
+    held = roles.select(F.col("rep").alias("id"), "grp")
+    rows = _with_small(docs, held, "id", roles.count()).mapInPandas(run, "token long, id long, grp long, n int")
+    rows = written(rows)  # read twice
     spread = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    shared = cut(rows.join(spread, "token"))
+    shared = rows.join(spread, "token")
+    sizes = roles.select("grp", "docs").distinct()
+    shared = cut(shared.join(sizes, "grp"))
     matrix = shared.groupBy("token", F.col("grp").alias("other"), F.col("docs").alias("others")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     # Of two groups the one with fewer documents asks the other.
     fits = (F.struct("docs", "grp") < F.struct("others", "other")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
