@@ -83,11 +83,11 @@ def meta_features(lang: str | None, source: str | None, chars: int) -> tuple[np.
 
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 100) -> np.ndarray:
-    """Weights of a logistic regression, the last its intercept, by accelerated gradient descent with balanced classes."""
+    """Weights of a logistic regression by accelerated gradient descent with balanced classes; the last column of ``x`` is 1 and its weight the intercept."""
     good = y.mean()
     weight = np.where(y > 0.5, 0.5 / max(good, 1e-9), 0.5 / max(1 - good, 1e-9)) / len(y)
     # One precision throughout: a product of two would copy the whole matrix.
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32, copy=False)
+    x = x.astype(np.float32, copy=False)
     y, weight = y.astype(np.float32), weight.astype(np.float32)
     penalty = np.full(x.shape[1], l2, np.float32)
     penalty[-1] = 0
@@ -108,7 +108,7 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 100) -> np.ndarray
 
 
 def margin(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return (x @ w[:-1].astype(np.float32)).astype(np.float64) + w[-1]
+    return (x[:, :-1] @ w[:-1].astype(np.float32)).astype(np.float64) + w[-1]
 
 
 def calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -187,14 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"id": pdf["id"], "quality": pdf["quality"], "toxic": pdf["toxic"], "ti": [x[0] for x in t], "tv": [x[1] for x in t], "mi": [x[0] for x in m], "mv": [x[1] for x in m]})
 
     rows = labelled.select("id", "text", "lang", "source", "quality", "toxic").union(pool.select("id", "text", "lang", "source", "quality", "toxic"))
-    held = rows.mapInPandas(features, "id long, quality double, toxic double, ti array<int>, tv array<double>, mi array<int>, mv array<double>").toPandas().sort_values("id")  # 2 * fit_rows rows at most
+    held = rows.mapInPandas(features, "id long, quality double, toxic double, ti array<int>, tv array<double>, mi array<int>, mv array<double>").toPandas()  # 2 * fit_rows rows at most
+    held = held.assign(free=held["quality"].isna()).sort_values(["free", "id"])
+    n = int((~held["free"]).sum())
+    # Views of one matrix each: the driver holds the rows once.
     xt, xm = _matrix(held["ti"], held["tv"], WORDS + SHAPES), _matrix(held["mi"], held["mv"], META)
-    known = held["quality"].notna().to_numpy()
-    return {t: cotrain(xt[known], xm[known], (held[t].to_numpy()[known] >= 0.5).astype(float), xt[~known], xm[~known]) for t in TARGETS}
+    return {t: cotrain(xt[:n], xm[:n], (held[t].to_numpy()[:n] >= 0.5).astype(float), xt[n:], xm[n:]) for t in TARGETS}
 
 
 def _matrix(places: pd.Series, values: pd.Series, size: int) -> np.ndarray:
-    out = np.zeros((len(places), size), np.float32)
+    out = np.zeros((len(places), size + 1), np.float32)
+    out[:, -1] = 1
     for k, (at, value) in enumerate(zip(places, values)):
         out[k, np.asarray(at, np.int64)] = value
     return out
