@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans.queries import ORACLES, QUERIES  # noqa: F401
+from folioscope.plans import library, queries
 
+QUERIES = queries.QUERIES | library.QUERIES
+ORACLES = queries.ORACLES | library.ORACLES
 FLAGSHIP = "retrieval_ranked_passages"
