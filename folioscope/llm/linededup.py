@@ -4,8 +4,8 @@ Lines are masked (a token with a digit becomes a wildcard) and descend a tree: b
 their token count, then by their leading tokens. In a leaf, tokens that most of its
 lines have in a place are constant and the rest are variable fields; a leaf whose
 constants are most of the line gives one template, other lines are templates of their
-own. A template that occurs in several documents stays in the first of them (by id)
-and is dropped from the others.
+own. A template that occurs in two documents or more stays in the first of them (by
+id) and is dropped from the others; short lines that differ need three documents.
 
 Only lines of ``min_tokens`` or more take part: shorter ones recur by chance. Empty
 lines stay. Null texts stay null; empty tables give no rows. Documents are told apart
@@ -22,6 +22,8 @@ from folioscope.llm.common import cut, fresh, let, named
 
 WILD = "<*>"
 LEADING = 3
+#: Below so many tokens the leading ones alone nearly make a template: two lines that differ are none, three documents are needed.
+SHORT = 8
 #: Leaves up to which their table is broadcast (16 bytes each and overhead); beyond, Spark joins by shuffle.
 BROADCAST_LEAVES = 1_000_000
 
@@ -47,7 +49,7 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFr
     return out.select("id", "th", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), leaf.alias("leaf"))
 
 
-def recurring_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_tokens: int = 4, constant_share: float = 0.6, majority: float = 0.5) -> DataFrame:
+def recurring_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_tokens: int = 4, constant_share: float = 0.6, majority: float = 0.5) -> DataFrame:
     """(h1, h2, first_id, first_th, template): hashes of the masked lines that belong to a recurring template, and its first document.
 
     Only hashes are exchanged until the leaves that occur in enough documents are known; the lines of those alone are read as text.
@@ -70,10 +72,19 @@ def recurring_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     templates = constant.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("constants"))
     of = held.join(templates, "leaf", "left")
     fits = (F.size("constants") >= constant_share * F.size(tokens)) & let(tokens, lambda own: F.forall("constants", lambda c: F.get(own, c["place"]) == c["token"]))
-    of = of.withColumn("template", F.when(fits, F.concat(F.lit("leaf "), F.col("leaf").cast("string"))).otherwise(F.concat(F.lit("line "), "line")))
-    found = of.groupBy("template").agg(F.sum("docs").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = found.where((F.col("n") >= min_docs) & (F.col("lo") != F.col("hi")))
-    return of.select("h1", "h2", "template").join(found, "template").select("h1", "h2", F.col("lo.id").alias("first_id"), F.col("lo.th").alias("first_th"), "template")
+    of = of.withColumn("general", F.coalesce(fits, F.lit(False)))
+    general = of.where("general").select("h1", "h2", "leaf", "docs", "lo", "hi", F.size(tokens).alias("size"))
+    # Up to 3 documents, first and last of each line and the largest line tell the number exactly.
+    ends = each.select("h1", "h2", key.alias("key")).join(general, ["h1", "h2"]) if min_docs > 3 else general.withColumn("key", F.explode(F.array("lo", "hi")))
+    holders = ends.groupBy("leaf", "key").agg(F.max("docs").alias("docs"), F.min("size").alias("size"), F.min("h1").alias("one"), F.max("h1").alias("other"))
+    found = holders.groupBy("leaf").agg(F.greatest(F.count("*"), F.max("docs")).alias("n"), F.min("key").alias("first"), F.min("size").alias("size"), (F.min("one") != F.max("other")).alias("several"))
+    least = F.when(F.col("several") & (F.col("size") < SHORT), max(min_docs, 3)).otherwise(min_docs)
+    of = of.join(found.where(F.col("n") >= least).select("leaf", "first"), "leaf", "left")
+    shared = F.col("general") & F.col("first").isNotNull()
+    first = F.when(shared, F.col("first")).otherwise(F.col("lo"))
+    template = F.when(shared, F.concat(F.lit("leaf "), F.col("leaf").cast("string"))).otherwise(F.concat(F.lit("line "), "line"))
+    found = of.where(shared | (F.col("docs") >= min_docs)).select("h1", "h2", first.alias("first"), template.alias("template"))
+    return found.select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), "template")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", min_tokens: int = 4, **options) -> DataFrame:

@@ -118,6 +118,18 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_line_dedup_of_two_documents(spark):
+    words = lambda k: " ".join(f"{'abcdefgh'[k % 8]}{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(60))
+    passage, near = words(0), f"{words(1)} in Rome"
+    texts = [f"{passage}\nown words of one\n{near}", f"{words(2)}\n{passage}", f"{near[:-4]}Oslo\n{words(3)}", "he went to the store", "he went to the park", f"{words(4)}\n{words(4)} "]
+    out = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert [out[k].text for k in range(6)] == [texts[0], words(2), words(3), texts[3], texts[4], texts[5]]
+    # Documents are told by id and text, not by how many lines of a template they hold.
+    rows = "\n".join(f"we have seen {w} there" for w in ("red", "green", "blue"))
+    out = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, [rows, rows.replace("red", "pink").replace("green", "grey")])).collect()}
+    assert out[0].dropped_lines == 0 and out[1].text == "we have seen pink there\nwe have seen grey there"
+
+
 def test_contained_items(spark):
     rng = random.Random(2)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
