@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from folioscope.llm import bpe, decontaminate, jaccard, linededup, quality
 from folioscope.llm.common import shared_folder, table
 
-#: Share of a document's characters whose loss to line dedup makes it a copy that goes altogether.
-COPY_SHARE = 0.8
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
@@ -22,11 +19,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: recurring templates stay in their first document; a document that consisted of them goes."""
-    before = docs.withColumn("before_dedup", F.length("text"))
-    out = linededup.dedup_lines(before)
-    whole = F.coalesce(F.length("text") > (1 - COPY_SHARE) * F.col("before_dedup"), F.lit(True)) | (F.col("dropped_lines") == 0)
-    return out.where(whole).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Line dedup: recurring templates stay in their first document; a document with no other line that is not blank goes."""
+    out = linededup.dedup_lines(docs)
+    left = (F.col("dropped_lines") == 0) | F.coalesce(F.col("text").rlike(r"\S"), F.lit(True))
+    return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

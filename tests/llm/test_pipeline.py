@@ -11,3 +11,11 @@ def test_pipeline(spark):
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and 0 < len(ids) < docs.count()
     assert out.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_documents_keep_their_own_lines(spark):
+    passage = "\n".join(f"shared passage of the licence in {w} words" * 9 for w in ("few", "many", "plain"))
+    texts = [passage, f"{passage}\nown words", f" \n{passage}\n", "", None]
+    docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
+    assert out == {0: (passage, len(passage)), 1: ("own words", 9), 3: ("", 0), 4: (None, None)}
