@@ -2,9 +2,10 @@
 
 Lines are masked (a token with a digit becomes a wildcard) and descend a tree: by
 their token count, then by their leading tokens. In a leaf, tokens that most of its
-lines have in a place are constant and the rest are variable fields; a leaf whose
-constants are most of the line gives one template, other lines are templates of their
-own. A template that occurs in two documents or more stays in the first of them (by
+lines have in a place are constant and the rest are variable fields; where the
+constants are most of the line, the lines that fit them are one template. A leaf is
+parted by a token at a further place until its other lines have a template or nothing
+in common; those are templates of their own. A template that occurs in two documents or more stays in the first of them (by
 id) and is dropped from the others; short lines that differ need three documents.
 
 Only lines of ``min_tokens`` or more take part: shorter ones recur by chance. Empty
@@ -15,7 +16,7 @@ a null id sorts first. All columns of ``df`` pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, fresh, let, named
@@ -49,42 +50,82 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFr
     return out.select("id", "th", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), leaf.alias("leaf"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_LEAVES else df
+
+
+def _several(df: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """Groups of ``df`` that hold more than one line, and enough documents for a template, from their (group, docs) ``lines``."""
+    groups = cut(lines.groupBy("group").agg(F.sum("docs").alias("all"), F.count("*").alias("n")).where((F.col("all") >= min_docs) & (F.col("n") > 1)).select("group"))
+    return df.join(_few(groups), "group")
+
+
+def _grouped(held: DataFrame, min_docs: int, constant_share: float, majority: float) -> DataFrame:
+    """(h1, h2, group, docs, lo, hi, size): the lines of ``held`` that fit the constants of their group.
+
+    Lines that do not fit are parted by their token at one place, and their groups tried
+    anew, but for those that differ from the constants in few places. Constants of one template occur equally often, so the place is one of those of
+    the count that most places have, and there the one whose frequent tokens cover most
+    lines; tokens too rare there stay together. No place parts
+    a line twice.
+    """
+    tokens, out = F.split("line", " "), None
+    while True:
+        # The leading tokens are those of the leaf: the largest count is that of the group.
+        seen = held.select("group", "docs", F.posexplode(tokens).alias("place", "token")).groupBy("group", "place", "token").agg(F.sum("docs").alias("docs"))
+        counts = seen.groupBy("group", "docs", "place").agg(F.sum((F.col("token") != WILD).cast("int")).alias("kinds"), F.max("token").alias("token"))
+        sizes = counts.groupBy("group").agg(F.max("docs").alias("all"))
+        # More than half: one token of a place at most, and the only one with its count.
+        counts = counts.join(sizes, "group")
+        constants = counts.where((F.col("docs") > majority * F.col("all")) & (F.col("kinds") > 0)).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("constants"))
+        apart = counts.where((F.col("docs") < F.col("all")) & (F.col("docs") >= min_docs) & (F.col("kinds") > 0))
+        place = Window.partitionBy("group", "place")
+        apart = apart.withColumn("cover", F.sum(F.col("docs") * F.col("kinds")).over(place)).withColumn("few", -F.sum("kinds").over(place))
+        apart = apart.groupBy("group", "docs").agg(F.count("*").alias("places"), F.max(F.struct("cover", "few", "place")).alias("at"))
+        apart = apart.groupBy("group").agg(F.max(F.struct("places", "docs", "at")).alias("best")).select("group", F.col("best.at.place").alias("at"))
+        info = cut(constants.join(apart, "group", "full"))
+        fits = (F.size("constants") >= constant_share * F.size(tokens)) & let(tokens, lambda own: F.forall("constants", lambda c: F.get(own, c["place"]) == c["token"]))
+        tried = held.join(info, "group").withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("token", F.get(tokens, F.col("at")))
+        fit = cut(tried.where("fits").select("h1", "h2", "group", "docs", "lo", "hi", F.size(tokens).alias("size")))
+        out = fit if out is None else out.union(fit)
+        often = tried.where("at is not null").groupBy("group", "token").agg(F.sum("docs").alias("often")).where(F.col("often") >= min_docs)
+        # A line that has most of the constants is of this template but for a few words, which makes it none of another.
+        agree = F.coalesce(let(tokens, lambda own: F.size(F.filter("constants", lambda c: F.get(own, c["place"]) == c["token"]))), F.lit(0))
+        left = tried.where(~F.col("fits") & F.col("at").isNotNull() & (agree < constant_share * F.size(tokens))).join(often, ["group", "token"], "left")
+        part = F.xxhash64("group", "at", F.when(F.col("often").isNotNull(), F.col("token")))
+        left = cut(left.select("h1", "h2", part.alias("group"), "docs", "lo", "hi", "line"))
+        # A line is in a template of enough documents only if so many of its tokens may be constants there.
+        places = left.select("h1", "h2", "group", "docs", F.size(tokens).alias("size"), F.posexplode(tokens).alias("place", "token")).where(F.col("token") != WILD)
+        seen = places.groupBy("group", "place", "token").agg(F.sum("docs").alias("seen")).where(F.col("seen") > majority * min_docs)
+        able = places.join(seen, ["group", "place", "token"]).groupBy("h1", "h2", "group").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        held = cut(left.join(able.where(F.col("n") >= constant_share * F.col("size")).select("h1", "h2", "group"), ["h1", "h2", "group"]))
+        if held.isEmpty():
+            return out
+
+
 def recurring_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_tokens: int = 4, constant_share: float = 0.6, majority: float = 0.5) -> DataFrame:
     """(h1, h2, first_id, first_th, template): hashes of the masked lines that belong to a recurring template, and its first document.
 
-    Only hashes are exchanged until the leaves that occur in enough documents are known; the lines of those alone are read as text.
+    Only hashes are exchanged until the leaves that hold several lines are known; the lines of those alone are read as text.
     """
     all_lines = _lines(df, id_col, text_col, min_tokens)
     # A document's repeats of a line are folded first, then a line's documents; both combine before they shuffle.
     each = all_lines.groupBy("h1", "h2", "leaf", "id", "th").agg(F.first(_tokens(F.col("line"))).alias("size"))
     key = F.struct("id", "th")
-    lines = each.where(F.col("size") >= min_tokens).groupBy("h1", "h2", "leaf").agg(F.count("*").alias("docs"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    lines = each.where(F.col("size") >= min_tokens).groupBy("h1", "h2", F.col("leaf").alias("group")).agg(F.count("*").alias("docs"), F.min(key).alias("lo"), F.max(key).alias("hi"))
     lines = cut(lines)
-    leaves = cut(lines.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs))
-    few = leaves.count() <= BROADCAST_LEAVES
-    stats = lines.join(leaves, "leaf")
-    texts = all_lines.select("h1", "h2", "leaf", "line").join(F.broadcast(leaves) if few else leaves, "leaf").groupBy("h1", "h2", "leaf").agg(F.min("line").alias("line"))
-    held = cut(stats.join(texts, ["h1", "h2", "leaf"]))
-    tokens = F.split("line", " ")
-    places = held.select("leaf", "docs", "leaf_docs", F.posexplode(tokens).alias("place", "token"))
-    constant = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"), F.first("leaf_docs").alias("leaf_docs"))
-    constant = constant.where((F.col("docs") > majority * F.col("leaf_docs")) & (F.col("token") != WILD))
-    templates = constant.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("constants"))
-    of = held.join(templates, "leaf", "left")
-    fits = (F.size("constants") >= constant_share * F.size(tokens)) & let(tokens, lambda own: F.forall("constants", lambda c: F.get(own, c["place"]) == c["token"]))
-    of = of.withColumn("general", F.coalesce(fits, F.lit(False)))
-    general = of.where("general").select("h1", "h2", "leaf", "docs", "lo", "hi", F.size(tokens).alias("size"))
+    texts = _several(all_lines.select("h1", "h2", F.col("leaf").alias("group"), "line"), lines, min_docs)
+    texts = texts.groupBy("h1", "h2", "group").agg(F.min("line").alias("line"))
+    general = cut(_grouped(cut(lines.join(texts, ["h1", "h2", "group"])), min_docs, constant_share, majority))
     # Up to 3 documents, first and last of each line and the largest line tell the number exactly.
     ends = each.select("h1", "h2", key.alias("key")).join(general, ["h1", "h2"]) if min_docs > 3 else general.withColumn("key", F.explode(F.array("lo", "hi")))
-    holders = ends.groupBy("leaf", "key").agg(F.max("docs").alias("docs"), F.min("size").alias("size"), F.min("h1").alias("one"), F.max("h1").alias("other"))
-    found = holders.groupBy("leaf").agg(F.greatest(F.count("*"), F.max("docs")).alias("n"), F.min("key").alias("first"), F.min("size").alias("size"), (F.min("one") != F.max("other")).alias("several"))
+    holders = ends.groupBy("group", "key").agg(F.max("docs").alias("docs"), F.min("size").alias("size"), F.min("h1").alias("one"), F.max("h1").alias("other"))
+    found = holders.groupBy("group").agg(F.greatest(F.count("*"), F.max("docs")).alias("n"), F.min("key").alias("first"), F.min("size").alias("size"), (F.min("one") != F.max("other")).alias("several"))
     least = F.when(F.col("several") & (F.col("size") < SHORT), max(min_docs, 3)).otherwise(min_docs)
-    of = of.join(found.where(F.col("n") >= least).select("leaf", "first"), "leaf", "left")
-    shared = F.col("general") & F.col("first").isNotNull()
-    first = F.when(shared, F.col("first")).otherwise(F.col("lo"))
-    template = F.when(shared, F.concat(F.lit("leaf "), F.col("leaf").cast("string"))).otherwise(F.concat(F.lit("line "), "line"))
-    found = of.where(shared | (F.col("docs") >= min_docs)).select("h1", "h2", first.alias("first"), template.alias("template"))
-    return found.select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), "template")
+    found = cut(found.where(F.col("n") >= least).select("group", "first"))
+    shared = general.join(_few(found), "group").select("h1", "h2", "first", F.concat(F.lit("group "), F.col("group").cast("string")).alias("template"))
+    own = lines.where(F.col("docs") >= min_docs).join(shared, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("lo").alias("first"), F.concat(F.lit("line "), F.col("h1").cast("string")).alias("template"))
+    return shared.union(own).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), "template")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", min_tokens: int = 4, **options) -> DataFrame:

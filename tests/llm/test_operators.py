@@ -130,6 +130,17 @@ def test_line_dedup_of_two_documents(spark):
     assert out[0].dropped_lines == 0 and out[1].text == "we have seen pink there\nwe have seen grey there"
 
 
+def test_line_dedup_of_leaves_with_several_templates(spark):
+    names, states = ["Ann", "Bob", "Cid", "Dan", "Eve", "Fay"], ["open", "shut", "held"]
+    closed = [f"link to host {n} was closed by remote as {s}" for n, s in zip(names, states * 2)]
+    sent = [f"link to host {n} has sent four bytes since {s}" for n, s in zip(names, states * 2)]
+    lone = ["link to host Ann never gave any reply here today"]
+    for lines in (closed + sent, closed * 9 + sent[:3], sent * 9 + closed[:3] + lone, sent):
+        first = {x.split()[4]: x for x in reversed(lines)}
+        out = linededup.dedup_lines(docs(spark, lines)).collect()
+        assert {r.text for r in out if r.text} == set(first.values()) and sum(r.dropped_lines for r in out) == len(lines) - len(first)
+
+
 def test_contained_items(spark):
     rng = random.Random(2)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
