@@ -45,7 +45,11 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFr
     """(id, th, line, h1, h2, leaf): masked lines, their two hashes and their leaf of the tree (token count and leading tokens)."""
     lines = F.split(named(text_col), "\n", -1)
     out = df.select(F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(named(text_col)).alias("th"), F.explode(lines).alias("raw"))
-    out = out.where(_tokens(F.col("raw")) >= min_tokens).select("id", "th", _masked(F.col("raw")).alias("line"))
+    # Other blanks part tokens too, after masking; shorter lines among these have leaves of their own.
+    other = F.lit(False)
+    for blank in ("\t", "\r", "\f", "\x0b"):
+        other |= F.col("raw").contains(blank)
+    out = out.where((_tokens(F.col("raw")) >= min_tokens) | other).select("id", "th", _masked(F.col("raw")).alias("line"))
     leaf = F.xxhash64(_tokens(F.col("line")), F.substring_index("line", " ", LEADING))
     return out.select("id", "th", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), leaf.alias("leaf"))
 

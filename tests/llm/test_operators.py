@@ -141,6 +141,12 @@ def test_line_dedup_of_leaves_with_several_templates(spark):
         assert {r.text for r in out if r.text} == set(first.values()) and sum(r.dropped_lines for r in out) == len(lines) - len(first)
 
 
+def test_line_dedup_of_tabs(spark):
+    line = "node\tdisk\tfull\tagain\ttoday"
+    out = linededup.dedup_lines(docs(spark, [f"{line}\na\tb", f"own\n{line}\na\tb"])).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [f"{line}\na\tb", "own\na\tb"]
+
+
 def test_contained_items(spark):
     rng = random.Random(2)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
