@@ -1,320 +1,180 @@
-"""Language-model scoring by context-tree weighting over bytes.
+"""Context-tree weighting over bytes, on sorted arrays of grams.
 
 A byte is eight binary decisions, each with a context tree of its own: the decision's
-context is the bytes before it, nearest first. Every node estimates its decision by
-Krichevsky-Trofimov from the training counts, and mixes this with what its children
+context is the bytes before it, nearest first. A node estimates its decision by
+Krichevsky-Trofimov from the training counts and mixes this with what its children
 say, weighted by how well either coded the training data, so that all depths take part.
+A node that the training has not seen tells nothing: there its nearest seen ancestor
+ends the path.
 
-Contexts that have less than ``rare`` of all training bytes share one node under their
-parent (and so do contexts never seen): the tree has at most 1 / rare contexts of a
-depth however large the corpus, and the model a proven size. The counts come from every
-training text. The end of a text is a symbol (byte 255, which no UTF-8 text has), as is
-the missing context at its start.
-
-A-Z are lowered. Null texts count as empty: their probability is that of the end alone.
-Without training texts every decision is even. Repeated rows are scored each.
+A gram is a 64-bit number: the context, nearest byte first, and the byte itself last.
+The end of a text is a symbol (byte 255, which no UTF-8 text has), as is the missing
+context at its start.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from folioscope.llm.common import cut, named, valid_text
 
-DEPTH = 4
-RARE = 5e-6
+#: Context bytes: with the byte itself they fill the 64 bits of a gram.
+DEPTH = 7
 END = 255
-#: Words whose counts go to every task (the most frequent), and distinct words after which a task hands on its counts.
-FREQUENT, HELD = 100_000, 400_000
-
-
-def symbols(text: str) -> bytes:
-    return text.encode().lower()
-
-
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Context and byte at every place of padded data as one number: nearest byte first, the byte itself last."""
-    key = np.zeros(len(data) - DEPTH, np.uint64)
-    for d in range(1, DEPTH + 1):
-        key = (key << np.uint64(8)) | data[DEPTH - d : len(data) - d]
-    return (key << np.uint64(8)) | data[DEPTH:]
-
-
-def padded(texts: list[bytes]) -> np.ndarray:
-    """All texts in one array: the end of a text is also the missing context of the next."""
-    pad = bytes([END]) * DEPTH
-    return np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8).astype(np.uint32)
-
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, n) over all texts."""
+_HALF = math.lgamma(0.5)
+_TWO = math.log(2)
 
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+def _log_gamma_table(plus: float, size: int = 1 << 16) -> np.ndarray:
+    return np.concatenate([[math.lgamma(plus)], math.lgamma(plus) + np.cumsum(np.log(np.arange(size - 1) + plus))])
 
-        for pdf in batches:
-            data = padded([symbols(t) for t in pdf["text"]])
-            if len(pdf):
-                grams = _grams(data)
-                # Between two texts only the first end is a symbol; the rest is padding.
-                keep = np.ones(len(grams), bool)
-                ends = np.flatnonzero(data[DEPTH:] == END)
-                keep[ends[np.arange(len(ends)) % DEPTH > 0]] = False
-                held.append(np.unique(grams[keep], return_counts=True))
-            if sum(len(k) for k, _ in held) > 4_000_000:
-                held = [merged()]
-        if held:
-            keys, n = merged()
-            yield pd.DataFrame({"gram": keys.astype(np.int64), "n": n})
 
-    return texts.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+_TABLES = {plus: _log_gamma_table(plus) for plus in (0.5, 1.0)}
 
 
 def _log_gamma(x: np.ndarray, plus: float) -> np.ndarray:
-    values, at = np.unique(x, return_inverse=True)
-    return np.array([math.lgamma(v + plus) for v in values.tolist()])[at].reshape(x.shape)
-
-
-def _sums(leaves: np.ndarray) -> np.ndarray:
-    """Counts of all 512 nodes of the byte trees: node i has 2i and 2i + 1 below it, leaf 256 + b is byte b."""
-    out = np.zeros((len(leaves), 512), np.int64)
-    out[:, 256:] = leaves
-    for k in range(7, -1, -1):
-        out[:, 1 << k : 2 << k] = out[:, 2 << k : 4 << k].reshape(len(out), -1, 2).sum(axis=2)
+    """Of integers plus a half or one: a table, and Stirling's series beyond it."""
+    table = _TABLES[plus]
+    small = x < len(table)
+    out = table[np.where(small, x, 0)]
+    if not small.all():
+        z = x[~small] + plus
+        out[~small] = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z)
     return out
 
 
-def _kt_log(sums: np.ndarray) -> np.ndarray:
-    """Natural log of the Krichevsky-Trofimov block probability of each decision."""
-    zero, one = sums[:, 2::2], sums[:, 3::2]
-    return _log_gamma(zero, 0.5) + _log_gamma(one, 0.5) - 2 * math.lgamma(0.5) - _log_gamma(zero + one, 1.0)
+def joined(texts: list[bytes]) -> np.ndarray:
+    """All texts in one array: the end of a text is also the missing context of the next."""
+    pad = bytes([END]) * DEPTH
+    return np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8)
 
 
-def _kt(sums: np.ndarray) -> np.ndarray:
-    """Probability of a one at each decision."""
-    return (sums[:, 3::2] + 0.5) / (sums[:, 2::2] + sums[:, 3::2] + 1)
+def grams(texts: list[bytes]) -> np.ndarray:
+    """The grams of all places of the texts and of their ends, in order (a text of n bytes has n + 1)."""
+    data = joined(texts)
+    out = np.zeros(len(data) - DEPTH, np.uint64)
+    for d in range(1, DEPTH + 1):
+        out = (out << np.uint64(8)) | data[DEPTH - d : len(data) - d]
+    out = (out << np.uint64(8)) | data[DEPTH:]
+    # Between two texts only the first end is a symbol; the rest is padding.
+    ends = np.flatnonzero(data[DEPTH:] == END)
+    keep = np.ones(len(out), bool)
+    keep[ends[np.arange(len(ends)) % DEPTH > 0]] = False
+    return out[keep]
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of several counts and their sums."""
+    if len(parts) == 1:
+        return parts[0]
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    counts = np.concatenate([n for _, n in parts])[order]
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
 @dataclass
-class Tree:
-    """What a subtree gives its parent: counts, weighted log probability, and rows (context bytes with -1 for the shared node, ones)."""
-
-    sums: np.ndarray
-    weighted: np.ndarray
-    rows: list[tuple[tuple[int, ...], np.ndarray]]
-
+class _Level:
+    """Keys of one depth (context bytes and the byte), their counts, and the place of each key's parent one level up."""
 
-def _leaf(leaves: np.ndarray) -> Tree:
-    sums = _sums(leaves[None])
-    return Tree(sums, _kt_log(sums), [((), _kt(sums)[0])])
+    keys: np.ndarray
+    counts: np.ndarray
+    up: np.ndarray | None = None
 
 
-def _mixed(own: np.ndarray, children: dict[int, Tree]) -> Tree:
-    """A node over its children (key -1: the shared one)."""
-    sums = np.sum([own, *(t.sums for t in children.values())], axis=0)
-    kt, below = _kt_log(sums), np.sum([t.weighted for t in children.values()], axis=0)
-    weighted = np.logaddexp(kt, below) - math.log(2)
-    share = np.exp(kt - math.log(2) - weighted)
-    one = _kt(sums)
-    return Tree(sums, weighted, [((key, *path), (share * one + (1 - share) * p)[0]) for key, t in children.items() for path, p in t.rows])
+@dataclass
+class _Nodes:
+    """The nodes of one decision at one depth: runs of keys that share context and leading bits."""
 
+    starts: np.ndarray
+    run: np.ndarray
+    total: np.ndarray
+    chance: np.ndarray
+    weighted: np.ndarray
+    share: np.ndarray = field(default=None)
 
-def _grow(contexts: np.ndarray, counts: np.ndarray, depth: int, least: float) -> Tree:
-    """The subtree over the rows of ``contexts`` (bytes nearest first, sorted), whose symbols' counts are ``counts`` (rows by 256)."""
-    if depth == 0:
-        return _leaf(counts.sum(axis=0))
-    first = contexts[:, 0]
-    edges = np.flatnonzero(np.diff(first, prepend=-1, append=-1))
-    children, shared = {}, np.zeros(256, np.int64)
-    for a, b in zip(edges, edges[1:]):
-        part = counts[a:b]
-        if part.sum() < least:
-            shared += part.sum(axis=0)
-        else:
-            children[int(first[a])] = _grow(contexts[a:b, 1:], part, depth - 1, least)
-    children[-1] = _leaf(shared)
-    return _mixed(np.zeros((1, 512), np.int64), children)
 
+class Segment:
+    """The trees over sorted ``keys`` from their depth ``rise`` levels up.
 
-@dataclass
-class Model:
-    """step[level][node, byte] leads from the root along the context to a row of ``logs`` (log10 of each byte's probability)."""
-
-    steps: list[np.ndarray]
-    logs: np.ndarray
-
-    def score(self, text: bytes) -> float:
-        data = padded([text])[: DEPTH + len(text) + 1]
-        node = np.zeros(len(text) + 1, np.int32)
-        for d, step in enumerate(self.steps, 1):
-            node = step[node, data[DEPTH - d : len(data) - d]]
-        return float(self.logs[node, data[DEPTH:]].sum(dtype=np.float64))
-
-
-def _logs(ones: np.ndarray) -> np.ndarray:
-    """Log10 probability of each byte from those of its eight decisions."""
-    out = np.zeros((len(ones), 512))
-    for k in range(8):
-        p = ones[:, (1 << k) - 1 : (2 << k) - 1]
-        out[:, 2 << k : 4 << k] = np.repeat(out[:, 1 << k : 2 << k], 2, axis=1) + np.log10(np.stack([1 - p, p], axis=2)).reshape(len(ones), -1)
-    return out[:, 256:].astype(np.float32)
-
-
-def _assembled(rows: list[tuple[tuple[int, ...], np.ndarray]]) -> Model:
-    """Steps of a trie over the contexts; a shared node takes every byte that has no node of its own."""
-    steps, paths = [], {(): 0}
-    for level in range(DEPTH):
-        # A shared context above the last level is passed down unchanged.
-        nexts = {p[: level + 1] if -1 not in p[:level] else p[: p.index(-1) + 1] for p, _ in rows}
-        number = {p: k for k, p in enumerate(sorted(nexts))}
-        step = np.zeros((len(paths), 256), np.int32)
-        for p, k in paths.items():
-            step[k] = number[p] if p and p[-1] == -1 else number[(*p, -1)]
-        for p, k in number.items():
-            if len(p) == level + 1 and p[-1] >= 0:
-                step[paths[p[:-1]], p[-1]] = k
-        steps.append(step)
-        paths = number
-    ones = np.empty((len(paths), 255), np.float64)
-    for p, one in rows:
-        ones[paths[p]] = one
-    return Model(steps, _logs(ones))
-
-
-def train(texts: DataFrame, rare: float = RARE) -> Model:
-    """The model of a table with one column ``text`` of valid strings."""
-    grams = count_grams(texts)
-    nearest = F.shiftright("gram", 8 * DEPTH)
-    grams = grams.select(nearest.cast("int").alias("b1"), F.col("gram").alias("g"), "n")
-    sizes = {r.b1: r.n for r in grams.groupBy("b1").agg(F.sum("n").alias("n")).collect()}  # 256 rows at most
-    least = rare * sum(sizes.values())
-    large = [b for b, n in sizes.items() if n >= least]
-
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["g"].to_numpy(np.int64)
-        context, at = np.unique(keys >> 8, return_inverse=True)
-        counts = np.zeros((len(context), 256), np.int64) if key[0] >= 0 else np.zeros((1, 256), np.int64)
-        if key[0] < 0:
-            np.add.at(counts[0], keys & 255, pdf["n"].to_numpy())
-            tree = _leaf(counts[0])
-        else:
-            np.add.at(counts, (at, keys & 255), pdf["n"].to_numpy())
-            below = np.stack([(context >> 8 * (DEPTH - d)) & 255 for d in range(2, DEPTH + 1)], axis=1) if DEPTH > 1 else np.empty((len(context), 0))
-            tree = _grow(below, counts, DEPTH - 1, least)
-        ones = np.stack([p for _, p in tree.rows])
-        return pd.DataFrame({
-            "b1": int(key[0]), "path": [list(p) for p, _ in tree.rows], "ones": [p.tobytes() for p in ones],
-            "sums": [tree.sums.tobytes(), *[None] * (len(ones) - 1)], "weighted": [tree.weighted.tobytes(), *[None] * (len(ones) - 1)],
-        })
-
-    grown = grams.withColumn("b1", F.when(F.col("b1").isin(large), F.col("b1")).otherwise(F.lit(-1)) if large else F.lit(-1))
-    parts: dict[int, Tree] = {}
-    # 1 / rare rows of 2 kB at most.
-    for r in grown.groupBy("b1").applyInPandas(grow, "b1 int, path array<int>, ones binary, sums binary, weighted binary").toLocalIterator():
-        tree = parts.setdefault(r.b1, Tree(None, None, []))
-        if r.sums is not None:
-            tree.sums, tree.weighted = (np.frombuffer(x, t).reshape(1, -1) for x, t in ((r.sums, np.int64), (r.weighted, np.float64)))
-        tree.rows.append((tuple(r.path), np.frombuffer(r.ones, np.float64)))
-    parts.setdefault(-1, _leaf(np.zeros(256, np.int64)))
-    return _assembled(_mixed(np.zeros((1, 512), np.int64), parts).rows)
-
-
-def is_held_out(id_) -> bool:
-    return id_ is not None and zlib.crc32(str(id_).encode()) % 7 == 2
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) of all texts: lowered words and how often they occur."""
-
-    def run(batches):
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-
-        for pdf in batches:
-            for text in pdf["text"]:
-                counts.update(symbols(text).split())
-                if len(counts) > HELD:
-                    yield out()
-                    counts.clear()
-        yield out().astype({"n": "int64"})
-
-    return texts.mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Callable = is_held_out, rare: float = RARE) -> DataFrame:
-    """One row for each row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score (word unigrams), score (the model's log10 probability) and bits_per_byte.
-
-    ``held_out`` tells from an id whether its text is kept from the training. Rows that
-    repeat id and text are folded into as many equal rows.
+    ``weights`` (8 rows, one a decision) are the weighted log probabilities of the
+    deepest nodes where these have children of their own, outside the segment.
     """
-    docs = df.select(named(id_col).alias("id"), valid_text(named(text_col)).alias("text"), F.xxhash64(named(text_col)).alias("h"))
-
-    def training(batches):
-        for pdf in batches:
-            yield pdf.loc[[not held_out(None if pd.isna(i) else int(i)) for i in pdf["id"]], ["text"]]
-
-    texts = docs.select("id", "text").mapInPandas(training, "text string")
-    model = train(texts, rare)
-    words = cut(count_words(texts))
-    ends = texts.count()
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, distinct = n + ends, v + (ends > 0)
-    least = math.log10(1 / (total + distinct + 1))
-    frequent = {bytes(r.word): math.log10(r.n + 1) + least for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-    end = math.log10(ends + 1) + least
-    context = df.sparkSession.sparkContext
-    shared, common = context.broadcast(model), context.broadcast(frequent)
-
-    def run(batches):
-        model, get = shared.value, common.value.get
-        for pdf in batches:
-            ids, facts, rare_words = [], [], []
-            for id_, text, h in zip(pdf["id"], pdf["text"], pdf["h"]):
-                id_ = None if pd.isna(id_) else int(id_)
-                data = symbols(text)
-                tokens = Counter(data.split())
-                base, known = end, int(ends > 0)
-                for word, times in tokens.items():
-                    log = get(word)
-                    if log is None:
-                        rare_words.append((id_, h, word, times))
-                    else:
-                        base += times * log
-                        known += times
-                # A blank cannot be in a word: this row meets no count.
-                facts.append((id_, h, b" %d" % h, None, held_out(id_), sum(tokens.values()) + 1, known, base, model.score(data), len(data)))
-            rows = [*facts, *((*w, None, None, None, None, None, None) for w in rare_words)]
-            columns = list(zip(*rows)) or [()] * 10
-            kinds = ["Int64", "int64", object, "Int64", "boolean", "Int64", "Int64", "float64", "float64", "Int64"]
-            names = ["id", "h", "word", "times", "held", "tokens", "known", "base", "score", "bytes"]
-            yield pd.DataFrame({c: pd.Series(list(x), dtype=k) for c, x, k in zip(names, columns, kinds)})
-
-    rows = docs.mapInPandas(run, "id long, h long, word binary, times long, held boolean, tokens long, known long, base double, score double, bytes long")
-    met = rows.join(words.withColumnRenamed("n", "seen"), "word", "left")
-    seen = F.coalesce("seen", F.lit(0))
-    log = F.col("times") * (F.log10(seen + 1) + F.lit(least))
-    by = met.groupBy("id", "h").agg(
-        F.count("held").alias("rows"), F.max("held").alias("held_out"), F.max("tokens").alias("n_tokens"), F.max("score").alias("score"), F.max("bytes").alias("bytes"),
-        F.max("known").alias("known"), F.max("base").alias("base"),
-        F.coalesce(F.sum(F.when(seen > 0, F.col("times"))), F.lit(0)).alias("more"), F.coalesce(F.sum(log), F.lit(0.0)).alias("rest"),
-    )
-    one = by.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return one.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + (F.col("more") / F.col("rows")).cast("long")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rest") / F.col("rows")).alias("base_score"), "score", (-F.col("score") * math.log2(10) / (F.col("bytes") + 1)).alias("bits_per_byte"),
-    )
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, rise: int, weights: np.ndarray | None = None):
+        self.levels = [_Level(keys, counts)]
+        self.weights = weights
+        for _ in range(rise):
+            last = self.levels[-1]
+            above = (last.keys >> np.uint64(16) << np.uint64(8)) | (last.keys & np.uint64(255))
+            up, last.up = np.unique(above, return_inverse=True)
+            self.levels.append(_Level(up, np.bincount(last.up, last.counts, len(up)).astype(np.int64)))
+
+    def _nodes(self, decision: int) -> list[_Nodes]:
+        out: list[_Nodes] = []
+        for depth, level in enumerate(self.levels):
+            leading = level.keys >> np.uint64(8 - decision)
+            first = np.concatenate([[True], leading[1:] != leading[:-1]])
+            starts = np.flatnonzero(first)
+            total = np.add.reduceat(level.counts, starts)
+            one = np.add.reduceat(level.counts * self._bits(level, decision), starts)
+            own = _log_gamma(one, 0.5) + _log_gamma(total - one, 0.5) - 2 * _HALF - _log_gamma(total, 1.0)
+            nodes = _Nodes(starts, np.cumsum(first) - 1, total, (one + 0.5) / (total + 1), own, np.ones(len(starts)))
+            if depth:
+                child = out[-1]
+                below = np.bincount(nodes.run[self.levels[depth - 1].up[child.starts]], child.weighted, len(starts))
+                nodes.weighted = np.logaddexp(own, below) - _TWO
+                nodes.share = np.exp(own - _TWO - nodes.weighted)
+            elif self.weights is not None:
+                nodes.weighted = self.weights[decision][starts]
+            out.append(nodes)
+        return out
+
+    @staticmethod
+    def _bits(level: _Level, decision: int) -> np.ndarray:
+        return ((level.keys >> np.uint64(7 - decision)) & np.uint64(1)).astype(np.int64)
+
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, counts and weights of the segment's highest level."""
+        weights = []
+        for decision in range(8):
+            nodes = self._nodes(decision)[-1]
+            weights.append(nodes.weighted[nodes.run])
+        return self.levels[-1].keys, self.levels[-1].counts, np.stack(weights)
+
+    def _fall(self, decision: int, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """What reaches the deepest nodes from above, and the chance of a one there, both by key.
+
+        ``above`` (three rows) says the same of the highest nodes: the chance that the
+        shallower ones give so far, the weight left for deeper ones, and the chance if
+        the path ended above. Without it the highest nodes are the roots.
+        """
+        nodes = self._nodes(decision)
+        reach = None
+        for depth in range(len(nodes) - 1, -1, -1):
+            now = nodes[depth]
+            if reach is None:
+                root = np.repeat([[0.0], [1.0], [0.5]], len(now.starts), axis=1)
+                arrived = root if above is None else above[:, now.starts]
+            else:
+                arrived = reach[:, nodes[depth + 1].run[self.levels[depth].up[now.starts]]]
+            given, left, ended = arrived
+            chance = np.where(now.total > 0, given + left * now.chance, ended)
+            reach = np.stack([given + left * now.share * now.chance, left * (1 - now.share), chance])
+        return arrived[:, now.run], chance[now.run]
+
+    def arrive(self, above: np.ndarray | None = None) -> np.ndarray:
+        """What reaches the nodes of the deepest level: decisions by three by keys, to be the ``above`` of a segment below."""
+        return np.stack([self._fall(w, None if above is None else above[w])[0] for w in range(8)])
+
+    def logs(self, above: np.ndarray | None = None) -> np.ndarray:
+        """Log10 probability of each key's byte in its context."""
+        out = np.zeros(len(self.levels[0].keys))
+        for decision in range(8):
+            chance = np.clip(self._fall(decision, None if above is None else above[decision])[1], 1e-15, 1 - 1e-15)
+            out += np.log10(np.where(self._bits(self.levels[0], decision) > 0, chance, 1 - chance))
+        return out

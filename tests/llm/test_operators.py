@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, ctw, decontaminate, jaccard, linededup, pii, quality, secrets, sharding, topk
+from folioscope.llm import bpe, ctw, decontaminate, jaccard, linededup, lm, pii, quality, secrets, sharding, topk
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -193,54 +193,64 @@ def test_shards(spark):
     assert sharding.assign_shards(docs(spark, ["x"]).limit(0)).count() == 0
 
 
-def brute_ctw(train, text, depth, least):
-    """Context-tree weighting node by node, from the definition."""
-    grams = Counter()
-    for t in train:
+def brute_ctw(train, text):
+    """Log10 probability by context-tree weighting node by node, from the definition."""
+    depth = ctw.DEPTH
+
+    def places(t):
         data = bytes([255]) * depth + t + b"\xff"
-        grams.update((data[k - depth : k][::-1], data[k]) for k in range(depth, len(data)))
-    floor = least * sum(grams.values())
+        return [(data[k - depth : k][::-1], data[k]) for k in range(depth, len(data))]
+
+    seen = Counter(g for t in train for g in places(t))
 
     def kt(z, o):
         return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1)
 
-    def node(items, level, context, prefix, width):
+    def node(items, level, context, width):
         """(weighted log probability, chance of a one) of one decision at one node."""
-        zero = sum(n for (_, b), n in items if b >> (8 - width) == prefix and not b >> (7 - width) & 1)
-        one = sum(n for (_, b), n in items if b >> (8 - width) == prefix and b >> (7 - width) & 1)
+        one = sum(n for (_, b), n in items if b >> (7 - width) & 1)
+        zero = sum(n for _, n in items) - one
         own, p = kt(zero, one), (one + 0.5) / (zero + one + 1)
-        if context is None or level == depth:
+        if level == depth:
             return own, p
         groups = {}
         for (c, b), n in items:
             groups.setdefault(c[level], []).append(((c, b), n))
-        large = {k: g for k, g in groups.items() if sum(n for _, n in g) >= floor}
-        rest = [x for k, g in groups.items() if k not in large for x in g]
-        parts = {k: node(g, level + 1, context, prefix, width) for k, g in large.items()}
-        parts[-1] = node(rest, level + 1, None, prefix, width)
-        below = sum(w for w, _ in parts.values())
-        weighted = np.logaddexp(own, below) - math.log(2)
+        parts = {k: node(g, level + 1, context, width) for k, g in groups.items()}
+        weighted = np.logaddexp(own, sum(w for w, _ in parts.values())) - math.log(2)
         share = math.exp(own - math.log(2) - weighted)
-        return weighted, share * p + (1 - share) * parts.get(context[level], parts[-1])[1]
+        return weighted, share * p + (1 - share) * parts[context[level]][1] if context[level] in parts else p
 
-    data, total = bytes([255]) * depth + text + b"\xff", 0.0
-    for k in range(depth, len(data)):
+    total = 0.0
+    for context, byte in places(text):
         for width in range(8):
-            p = node(list(grams.items()), 0, data[k - depth : k][::-1], data[k] >> (8 - width), width)[1]
-            total += math.log10(p if data[k] >> (7 - width) & 1 else 1 - p)
+            items = [((c, b), n) for (c, b), n in seen.items() if b >> (8 - width) == byte >> (8 - width)]
+            p = node(items, 0, context, width)[1]
+            total += math.log10(p if byte >> (7 - width) & 1 else 1 - p)
     return total
 
 
-def test_ctw(spark):
-    train = ["abcabcab", "abd", "", "caba cab"]
-    model = ctw.train(docs(spark, train).select("text"), rare=0.1)
-    for t in (b"abc", b"", b"zab"):
-        assert model.score(t) == pytest.approx(brute_ctw([x.encode() for x in train], t, ctw.DEPTH, 0.1), rel=1e-5)
+def test_ctw(spark, monkeypatch):
+    texts = ["abcabcab", "abd", "", "caba cab", "zab", None, "ABC\u00e9", "abcabcab ab", "b" * 300]
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 9)
+    monkeypatch.setattr(lm, "PIECE_KEYS", 4)
+    monkeypatch.setattr(lm, "HELD_KEYS", 5)
+    table = docs(spark, texts).union(spark.createDataFrame([(None, "abd"), (1, "abd")], "doc_id long, text string"))
+    for held in (lambda i: i % 3 == 2, lambda i: i < 0, lambda i: i >= 0):
+        rows = lm.score(table.withColumn("word", F.lit(1)), held_out=held).collect()
+        assert len(rows) == len(texts) + 2
+        train = [r.doc_id for r in rows if not r.held_out]
+        train = [("abd" if k is None else texts[k] or "").lower().encode() for k in train]
+        for r in rows:
+            text = ("abd" if r.doc_id is None else texts[r.doc_id] or "").lower().encode()
+            assert r.score == pytest.approx(brute_ctw(train, text), rel=3e-4)
+            assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (len(text) + 1))
+    assert lm.score(table.limit(0)).count() == 0
 
 
 def test_lm_rows(spark):
     texts = ["The cat sat", "the dog", None, "a cat", "", "dog dog", "unknown words", "cat"]
-    rows = {r.doc_id: r for r in ctw.score(docs(spark, texts)).collect()}
+    rows = {r.doc_id: r for r in lm.score(docs(spark, texts)).collect()}
     kept = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
     words = lambda k: [*(texts[k] or "").lower().split(), " end"]
     counts = Counter(w for k in kept for w in words(k))
