@@ -66,15 +66,60 @@ def grams(texts: list[bytes]) -> np.ndarray:
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of several counts and their sums."""
+    """Sorted distinct keys of several counts (each of sorted distinct keys) and their sums."""
     if len(parts) == 1:
         return parts[0]
     keys = np.concatenate([k for k, _ in parts])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    counts = np.concatenate([n for _, n in parts])[order]
-    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    counts = np.zeros(len(keys), np.int64)
+    for own, n in parts:
+        counts[np.searchsorted(keys, own)] += n
+    return keys, counts
+
+
+class Table:
+    """Values of keys under a hash, for lookups of keys that it is known to hold.
+
+    A slot holds 32 further bits of the hash and the value; keys that find their slot
+    taken go to the next, smaller table.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.values, self.slots = [], []
+        factor = np.uint64(0x9E3779B97F4A7C15)
+        self.factors = []
+        while len(keys):
+            bits = max(4, int(1.5 * len(keys)).bit_length())
+            mixed = keys * factor
+            slot, entry = self._parts(mixed, bits)
+            table = np.full(1 << bits, ~np.uint64(0))
+            table[slot] = entry | values.view(np.uint32)
+            left = (table[slot] ^ entry) >> np.uint64(32) > 0
+            held = table[slot[~left]] & np.uint64(0xFFFFFFFF) == values[~left].view(np.uint32)
+            if not held.all():  # another key has the same slot and bits: an even multiplier would lose keys, an odd one parts them
+                factor = factor * np.uint64(3) + np.uint64(2)
+                continue
+            self.slots.append((bits, table))
+            self.factors.append(factor)
+            keys, values = keys[left], values[left]
+
+    @staticmethod
+    def _parts(mixed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return (mixed >> np.uint64(64 - bits)).astype(np.int64), (mixed << np.uint64(bits)) & np.uint64(0xFFFFFFFF00000000)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = np.empty(len(keys), np.uint32)
+        at = None
+        for (bits, table), factor in zip(self.slots, self.factors):
+            slot, entry = self._parts(keys * factor, bits)
+            found = table[slot]
+            right = (found ^ entry) >> np.uint64(32) == 0
+            places = np.flatnonzero(right) if at is None else at[right]
+            out[places] = found[right].astype(np.uint32)
+            at = np.flatnonzero(~right) if at is None else at[~right]
+            keys = keys[~right]
+        return out.view(np.float32)
 
 
 @dataclass

@@ -25,10 +25,12 @@ import math
 import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ from folioscope.llm import ctw
 from folioscope.llm.common import cut, named, valid_text, written
 
 #: Text bytes of a chunk (of a task's texts) and of a slice whose grams are taken at once.
-CHUNK_BYTES, SLICE_BYTES = 48 << 20, 1 << 20
+CHUNK_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
 #: Counted keys that a task holds before it adds them up.
-HELD_KEYS = 4_000_000
+HELD_KEYS = 6_000_000
 #: Nearest bytes that decide a gram's bucket; text bytes for each bucket and the most buckets.
 LEAD, BUCKET_BYTES, MOST_BUCKETS = 3, 16 << 20, 4096
 #: Keys of a piece of a bucket, about.
@@ -50,7 +52,7 @@ END_WORD = b" end"
 
 _ZSTD = pa.Codec("zstd", 1)
 
-COUNTED = (
+COUNTED_DDL = (
     "chunk long, bucket int, keys binary, counts binary, "
     "ids array<long>, missing array<boolean>, hashes array<long>, held array<boolean>, sizes array<int>, texts binary, word binary, n long"
 )
@@ -58,6 +60,11 @@ SCORED = {
     "id": "Int64", "h": "int64", "word": object, "times": "Int64", "held": "boolean",
     "tokens": "Int64", "known": "Int64", "base": "float64", "score": "float64", "bytes": "Int64",
 }
+COUNTED = pa.schema([
+    ("chunk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
+    ("ids", pa.list_(pa.int64())), ("missing", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
+    ("sizes", pa.list_(pa.int32())), ("texts", pa.binary()), ("word", pa.binary()), ("n", pa.int64()),
+])
 BUILT = "kind int, bucket int, piece int, nearest int, keys binary, counts binary, weights binary"
 
 
@@ -124,12 +131,19 @@ def _rows(schema: str, **columns: list) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series(columns.get(c, [None] * n), dtype=object) for c in names})
 
 
-def _slices(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Runs of rows of about ``most`` characters; a longer text is one alone."""
-    for pdf in batches:
-        places = (pdf["text"].str.len().cumsum() // most).to_numpy()
-        for _, part in pdf.groupby(places, sort=False):
-            yield part
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most`` bytes of text; a longer text is one alone."""
+    for batch in batches:
+        place = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)) // most
+        ends = [*np.flatnonzero(np.diff(place, prepend=-1)), len(place)]
+        for a, b in zip(ends, ends[1:]):
+            yield batch.slice(a, b - a)
+
+
+def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch of the named columns; the others are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _count(docs: DataFrame, buckets: int) -> DataFrame:
@@ -139,63 +153,52 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
         words: Counter[bytes] = Counter()
         counts, size, chunk = _Counts(), 0, 0
 
-        def told_words() -> pd.DataFrame:
-            out = _rows(COUNTED, word=list(words), n=list(words.values()))
+        def told_words() -> pa.RecordBatch:
+            out = _batch(COUNTED, word=list(words), n=list(words.values()))
             words.clear()
             return out
 
-        def told_grams() -> Iterator[pd.DataFrame]:
+        def told_grams() -> Iterator[pa.RecordBatch]:
             keys, n = counts.all()
             bucket = _bucket(keys, buckets)
             order = np.argsort(bucket, kind="stable")
-            keys, n, ends = keys[order], n[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            keys, n, ends = keys[order], n[order].astype(np.uint32), np.searchsorted(bucket[order], np.arange(buckets + 1))
             for first in range(0, buckets, 64):
                 at = [b for b in range(first, min(first + 64, buckets)) if ends[b] < ends[b + 1]]
+                spans = [slice(ends[b], ends[b + 1]) for b in at]
                 if at:
-                    yield _rows(
-                        COUNTED,
-                        chunk=[chunk] * len(at),
-                        bucket=at,
-                        keys=[_pack(keys[ends[b] : ends[b + 1]]) for b in at],
-                        counts=[_pack(n[ends[b] : ends[b + 1]].astype(np.uint32)) for b in at],
-                    )
+                    yield _batch(COUNTED, chunk=[chunk] * len(at), bucket=at, keys=[_pack(keys[x]) for x in spans], counts=[_pack(n[x]) for x in spans])
 
         for part in _slices(batches, SLICE_BYTES):
             if not size:
                 # The table is written once, so that a chunk's number need not be the same in another attempt.
                 chunk = int.from_bytes(os.urandom(8), "little", signed=True)
-            texts = [t.encode().lower() for t in part["text"]]
-            held = part["held"].tolist()
-            for out in (False, True):
-                own = [t for t, h in zip(texts, held) if h == out]
+            texts = [t.encode().lower() for t in part["text"].to_pylist()]
+            held = part["held"].to_pylist()
+            sides = [[t for t, h in zip(texts, held) if h == out] for out in (False, True)]
+            for out, own in enumerate(sides):
                 if own:
                     keys, n = np.unique(ctw.grams(own), return_counts=True)
-                    counts.add(keys, np.zeros_like(n) if out else n)
-            for text, out in zip(texts, held):
-                if not out:
-                    words.update(text.split())
-                    words[END_WORD] += 1
-            yield _rows(
-                COUNTED,
-                chunk=[chunk],
-                ids=[part["id"].to_numpy()],
-                missing=[part["missing"].to_numpy()],
-                hashes=[part["h"].to_numpy()],
-                held=[held],
-                sizes=[np.array([len(t) for t in texts], np.int32)],
-                texts=[_squeezed(b"".join(texts))],
-            )
-            size += sum(map(len, texts))
+                    counts.add(keys, np.zeros(len(n), np.uint32) if out else n.astype(np.uint32))
+            for text in sides[0]:
+                words.update(text.split())
+            if sides[0]:
+                words[END_WORD] += len(sides[0])
+            names = {"ids": "id", "missing": "missing", "hashes": "h", "held": "held"}
+            packed = {c: pa.ListArray.from_arrays([0, len(texts)], part[own]) for c, own in names.items()}
+            yield _batch(COUNTED, chunk=[chunk], **packed, sizes=[[len(t) for t in texts]], texts=[_squeezed(b"".join(texts))])
+            size += sum(map(len, texts)) + len(texts)
             if size >= CHUNK_BYTES:
                 yield from told_grams()
                 counts, size = _Counts(), 0
             if len(words) > HELD_WORDS:
                 yield told_words()
-        if size or counts.parts:
+        if size:
             yield from told_grams()
-        yield told_words()
+        if words:
+            yield told_words()
 
-    return docs.mapInPandas(run, COUNTED)
+    return docs.mapInArrow(run, COUNTED_DDL)
 
 
 def _build(counted: DataFrame) -> DataFrame:
@@ -321,24 +324,43 @@ class _Looked:
     """The log probabilities of a chunk's grams, gathered bucket by bucket."""
 
     def __init__(self):
-        self.keys: list[np.ndarray] = []
-        self.logs: list[np.ndarray] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.table: ctw.Table | None = None
 
     def add(self, keys: bytes, logs: bytes) -> None:
-        self.keys.append(_unpack(keys, np.uint64))
-        self.logs.append(_unpack(logs, np.float32))
+        self.parts.append((_unpack(keys, np.uint64), _unpack(logs, np.float32)))
 
     def of(self, texts: list[bytes]) -> np.ndarray:
         """Log10 probability of each text."""
-        if len(self.keys) > 1:
-            keys, logs = np.concatenate(self.keys), np.concatenate(self.logs)
-            order = np.argsort(keys)
-            self.keys, self.logs = [keys[order]], [logs[order]]
-        own, place = np.unique(ctw.grams(texts), return_inverse=True)
-        logs = self.logs[0][np.searchsorted(self.keys[0], own)][place].astype(np.float64)
+        if self.table is None:
+            self.table = ctw.Table(*map(np.concatenate, zip(*self.parts)))
+            self.parts = []
+        logs = self.table.get(ctw.grams(texts)).astype(np.float64)
         return np.add.reduceat(logs, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))
 
 
+def _facts(r, texts: list[bytes], scores: np.ndarray, often: dict[bytes, float], end: float, ends: bool) -> pd.DataFrame:
+    """Of a pack of texts, a row for each, and one for each word that is not among the frequent (whose logs ``often`` holds)."""
+    parts = [t.split() for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    logs = np.fromiter(map(often.get, chain.from_iterable(parts), repeat(math.nan)), float, sizes.sum())
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    rare = np.isnan(logs)
+    base = np.bincount(owner, np.where(rare, 0.0, logs), len(texts)) + end
+    known = np.bincount(owner[~rare], minlength=len(texts)) + ends
+    first = np.cumsum(sizes) - sizes
+    others = Counter((k, parts[k][at]) for k, at in zip(owner[rare].tolist(), (np.flatnonzero(rare) - first[owner[rare]]).tolist()))
+    who = np.fromiter((k for k, _ in others), np.int64, len(others))
+    ids, missing, hashes = np.asarray(r.ids, np.int64), np.asarray(r.missing, bool), np.asarray(r.hashes, np.int64)
+    # A blank cannot be in a word: the texts' own rows meet no count.
+    facts = {
+        "id": pd.arrays.IntegerArray(ids, missing), "h": hashes, "word": [b" %d" % h for h in hashes.tolist()], "held": pd.array(r.held, "boolean"),
+        "tokens": sizes + 1, "known": known, "base": base, "score": scores, "bytes": [len(t) for t in texts],
+    }
+    others = {"id": pd.arrays.IntegerArray(ids[who], missing[who]), "h": hashes[who], "word": [w for _, w in others], "times": list(others.values())}
+    return pd.concat([pd.DataFrame(x).reindex(columns=list(SCORED)).astype(SCORED) for x in (facts, others)])
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=is_held_out) -> DataFrame:
     """One row for each row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score (word unigrams), score (the model's log10 probability) and bits_per_byte.
 
@@ -355,15 +377,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
     words = cut(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct, often = _known(words)
     least = -math.log10(total + distinct + 1)
-    common = df.sparkSession.sparkContext.broadcast(often)
+    # A fixed number of words.
+    common = df.sparkSession.sparkContext.broadcast({w: math.log10(n + 1) + least for w, n in often.items()})
+    ends = often.get(END_WORD, 0)
+    end = math.log10(ends + 1) + least
 
     packs = counted.where("texts is not null").select("chunk", F.lit(1).alias("step"), "ids", "missing", "hashes", "held", "sizes", "texts")
     keyed = answers.select("chunk", F.lit(0).alias("step"), "keys", "logs")
     met = keyed.unionByName(packs, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "step")
 
     def run(batches):
-        counts, chunk, looked = common.value, None, _Looked()
-        ends = counts.get(END_WORD, 0)
+        chunk, looked = None, _Looked()
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if r.chunk != chunk:
@@ -374,22 +398,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
                 edges = np.cumsum([0, *r.sizes])
                 whole = _whole(r.texts, int(edges[-1]))
                 texts = [whole[a:b] for a, b in zip(edges, edges[1:])]
-                facts, rare = [], []
-                for id_, missing, h, held, text, own in zip(r.ids, r.missing, r.hashes, r.held, texts, looked.of(texts)):
-                    id_ = None if missing else int(id_)
-                    tokens = Counter(text.split())
-                    base, known = math.log10(ends + 1) + least, int(ends > 0)
-                    for word, times in tokens.items():
-                        n = counts.get(word)
-                        if n is None:
-                            rare.append((id_, h, word, times, *[None] * 6))
-                        else:
-                            base += times * (math.log10(n + 1) + least)
-                            known += times
-                    # A blank cannot be in a word: this row meets no count.
-                    facts.append((id_, h, b" %d" % h, None, held, sum(tokens.values()) + 1, known, base, own, len(text)))
-                columns = list(zip(*facts, *rare))
-                yield pd.DataFrame({c: pd.Series(list(x), dtype=k) for (c, k), x in zip(SCORED.items(), columns)})
+                yield _facts(r, texts, looked.of(texts), common.value, end, ends > 0)
 
     rows = met.mapInPandas(run, "id long, h long, word binary, times long, held boolean, tokens long, known long, base double, score double, bytes long")
     met = rows.join(words.withColumnRenamed("n", "seen"), "word", "left")
