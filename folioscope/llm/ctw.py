@@ -15,6 +15,7 @@ context at its start.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +24,7 @@ import numpy as np
 DEPTH = 7
 END = 255
 
+_EMPTY, _HALF_BITS = ~np.uint64(0), np.uint64(32)
 _HALF = math.lgamma(0.5)
 _TWO = math.log(2)
 
@@ -79,47 +81,54 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 class Table:
-    """Values of keys under a hash, for lookups of keys that it is known to hold.
+    """32-bit values of distinct keys under a hash, for lookups of keys that it is known to hold.
 
     A slot holds 32 further bits of the hash and the value; keys that find their slot
-    taken go to the next, smaller table.
+    taken go to the next, smaller table. ``parts`` gives the keys and values piece by
+    piece, as often as it is called, ``size`` is their number.
     """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.values, self.slots = [], []
+    def __init__(self, size: int, parts: Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]]):
+        self.tables: list[tuple[int, np.uint64, np.ndarray]] = []
         factor = np.uint64(0x9E3779B97F4A7C15)
-        self.factors = []
-        while len(keys):
-            bits = max(4, int(1.5 * len(keys)).bit_length())
-            mixed = keys * factor
-            slot, entry = self._parts(mixed, bits)
-            table = np.full(1 << bits, ~np.uint64(0))
-            table[slot] = entry | values.view(np.uint32)
-            left = (table[slot] ^ entry) >> np.uint64(32) > 0
-            held = table[slot[~left]] & np.uint64(0xFFFFFFFF) == values[~left].view(np.uint32)
-            if not held.all():  # another key has the same slot and bits: an even multiplier would lose keys, an odd one parts them
-                factor = factor * np.uint64(3) + np.uint64(2)
-                continue
-            self.slots.append((bits, table))
-            self.factors.append(factor)
-            keys, values = keys[left], values[left]
+        while size:
+            bits = max(4, int(1.5 * size).bit_length())
+            table, left = self._filled(bits, factor, parts())
+            factor = factor * np.uint64(5)
+            if left is not None:  # else two keys have the same slot and bits
+                self.tables.append((bits, self.factor, table))
+                size, parts = sum(len(k) for k, _ in left), lambda left=left: left
+
+    def _filled(self, bits: int, factor: np.uint64, parts: Iterable[tuple[np.ndarray, np.ndarray]]):
+        self.factor = factor
+        table, left = np.full(1 << bits, _EMPTY), []
+        for keys, values in parts:
+            slot, entry = self._parts(keys * factor, bits)
+            entry |= values
+            free = table[slot] == _EMPTY
+            table[slot[free]] = entry[free]
+            other = table[slot] ^ entry
+            taken = other >> _HALF_BITS > 0
+            if (other[~taken] > 0).any():
+                return table, None
+            left.append((keys[taken], values[taken]))
+        return table, left
 
     @staticmethod
     def _parts(mixed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        return (mixed >> np.uint64(64 - bits)).astype(np.int64), (mixed << np.uint64(bits)) & np.uint64(0xFFFFFFFF00000000)
+        return (mixed >> np.uint64(64 - bits)).astype(np.int64), (mixed << np.uint64(bits)) >> _HALF_BITS << _HALF_BITS
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        out = np.empty(len(keys), np.uint32)
+        out = np.zeros(len(keys), np.uint32)
         at = None
-        for (bits, table), factor in zip(self.slots, self.factors):
+        for bits, factor, table in self.tables:
             slot, entry = self._parts(keys * factor, bits)
             found = table[slot]
-            right = (found ^ entry) >> np.uint64(32) == 0
-            places = np.flatnonzero(right) if at is None else at[right]
-            out[places] = found[right].astype(np.uint32)
+            right = (found ^ entry) >> _HALF_BITS == 0
+            out[np.flatnonzero(right) if at is None else at[right]] = found[right].astype(np.uint32)
             at = np.flatnonzero(~right) if at is None else at[~right]
             keys = keys[~right]
-        return out.view(np.float32)
+        return out
 
 
 @dataclass

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, named, valid_text, written
 from folioscope.llm.components import components
+from folioscope.llm.words import BYTE, mix, word_hashes
 
 #: Documents that a part of a group holds, about.
 PART_DOCS = 96
@@ -44,37 +45,6 @@ BROADCAST_IDS = 1_000_000
 SKETCH_BITS, SKETCH_PIECES = 20, 64
 MINHASHES = 3
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-_BYTE = _mix(np.arange(1, 257))
-_powers = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lowered, words parted by ASCII white space."""
-    global _powers
-    data = np.frombuffer(text.encode().lower(), np.uint8)
-    inside = ~_BLANK[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-    sizes = edge[1::2] - edge[::2]
-    if not len(sizes):
-        return np.empty(0, np.uint64)
-    first = np.cumsum(sizes) - sizes
-    chars = data[inside]
-    if (longest := int(sizes.max())) > len(_powers):
-        _powers = np.cumprod(np.full(2 * longest, 0x100000001B3, np.uint64))
-    return _mix(np.add.reduceat(_BYTE[chars] * _powers[np.arange(len(chars)) - np.repeat(first, sizes)], first))
-
-
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``width`` words; of the whole sequence if it is shorter."""
     n = min(width, len(words))
@@ -82,8 +52,8 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
         return words
     total = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
-        total += words[k : k + len(total)] * _BYTE[17 + k]
-    total = _mix(total + np.uint64(n))
+        total += words[k : k + len(total)] * BYTE[17 + k]
+    total = mix(total + np.uint64(n))
     total.sort()
     return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
@@ -120,7 +90,7 @@ def _facts(docs: DataFrame, width: int) -> DataFrame:
                 if len(tokens) <= 50_000:
                     np.add.at(sketch, (tokens & np.uint64(len(sketch) - 1)).view(np.int64), np.uint32(1))
                 same = hashlib.sha256(b" ".join(text.encode().lower().split())).digest()
-                keys = [int(_mix(tokens ^ _BYTE[40 + k]).min().view(np.int64)) for k in range(MINHASHES)] if len(tokens) else []
+                keys = [int(mix(tokens ^ BYTE[40 + k]).min().view(np.int64)) for k in range(MINHASHES)] if len(tokens) else []
                 rows.append((id_, len(tokens), same, keys, None, None))
             yield pd.DataFrame(rows, columns=["id", "n", "same", "keys", "piece", "counts"]).astype({"id": "Int64", "piece": "Int32"})
         for piece, counts in enumerate(sketch.reshape(SKETCH_PIECES, -1)):

@@ -1,20 +1,21 @@
 """Language-model scoring by context-tree weighting, with the trees held as Spark tables.
 
 1. Every task cuts its texts into chunks, packs them and counts each chunk's distinct
-   grams (`ctw`), those of held-out texts with a count of 0. Grams travel as sorted,
-   compressed blobs, dealt into buckets by the hash of their nearest ``LEAD`` bytes.
+   grams (`ctw`) and words, those of held-out texts with a count of 0. They travel as
+   sorted, compressed blobs, dealt into buckets: words by their hash, grams by that of
+   their nearest ``LEAD`` bytes.
 2. A bucket adds up the counts of all chunks: these are its subtrees. They are cut into
    pieces, weighted from the deepest contexts up, and tell the contexts above, which are
    gathered by nearest byte (256 groups, bounded by the alphabet), and those the roots.
 3. Down again, roots to nearest bytes to pieces, each gram gets its log probability, and
-   every chunk gets those of its grams back.
+   every chunk gets those of its grams back, and the counts of its words.
 4. A chunk's texts are unpacked, looked up and added up.
 
 No model is broadcast or gathered: the trees grow with the training texts and stay in
 tables. Contexts have ``ctw.DEPTH`` bytes at most, as many as a 64-bit gram holds;
 none is dropped for being rare. Log probabilities travel with 12 bits of the fraction.
 
-A-Z are lowered. Null texts count as empty: their probability is that of the end alone.
+64-bit hashes stand for words. A-Z are lowered. Null texts count as empty: their probability is that of the end alone.
 Without training texts every decision is even. Repeated rows are scored each, a null id
 is never held out, extra columns are not read, an empty table gives no rows.
 """
@@ -23,9 +24,7 @@ from __future__ import annotations
 
 import math
 import os
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import ctw
-from folioscope.llm.common import cut, named, valid_text, written
+from folioscope.llm.common import named, valid_text, written
+from folioscope.llm.words import hashed_words
 
 #: Text bytes of a chunk (of a task's texts) and of a slice whose grams are taken at once.
 CHUNK_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
@@ -45,27 +45,22 @@ HELD_KEYS = 6_000_000
 LEAD, BUCKET_BYTES, MOST_BUCKETS = 3, 16 << 20, 4096
 #: Keys of a piece of a bucket, about.
 PIECE_KEYS = 1 << 18
-#: Words whose counts go to every task (the most frequent; the rest is joined), and distinct words after which a task hands on its counts.
-FREQUENT, HELD_WORDS = 100_000, 400_000
-#: The end of a text as a token: a blank cannot be in a word.
-END_WORD = b" end"
+#: What a blob holds.
+GRAMS, WORDS = 0, 1
 
 _ZSTD = pa.Codec("zstd", 1)
 
 COUNTED_DDL = (
-    "chunk long, bucket int, keys binary, counts binary, "
-    "ids array<long>, missing array<boolean>, hashes array<long>, held array<boolean>, sizes array<int>, texts binary, word binary, n long"
+    "chunk long, what int, bucket int, keys binary, counts binary, "
+    "ids array<long>, missing array<boolean>, held array<boolean>, sizes array<int>, texts binary, trained long"
 )
-SCORED = {
-    "id": "Int64", "h": "int64", "word": object, "times": "Int64", "held": "boolean",
-    "tokens": "Int64", "known": "Int64", "base": "float64", "score": "float64", "bytes": "Int64",
-}
 COUNTED = pa.schema([
-    ("chunk", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
-    ("ids", pa.list_(pa.int64())), ("missing", pa.list_(pa.bool_())), ("hashes", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-    ("sizes", pa.list_(pa.int32())), ("texts", pa.binary()), ("word", pa.binary()), ("n", pa.int64()),
+    ("chunk", pa.int64()), ("what", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
+    ("ids", pa.list_(pa.int64())), ("missing", pa.list_(pa.bool_())), ("held", pa.list_(pa.bool_())),
+    ("sizes", pa.list_(pa.int32())), ("texts", pa.binary()), ("trained", pa.int64()),
 ])
-BUILT = "kind int, bucket int, piece int, nearest int, keys binary, counts binary, weights binary"
+BUILT = "kind int, bucket int, piece int, nearest int, keys binary, counts binary, weights binary, total long, known long"
+SCORED = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, bytes long"
 
 
 def is_held_out(id_: Column) -> Column:
@@ -99,12 +94,19 @@ def _rounded(logs: np.ndarray) -> np.ndarray:
     return ((bits + np.uint32(1 << 10)) & np.uint32(0xFFFFF800)).view(np.float32)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    lead = keys >> np.uint64(8 * (ctw.DEPTH + 1 - LEAD))
-    mixed = (lead + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+def _bucket(keys: np.ndarray, what: int, buckets: int) -> np.ndarray:
+    of = keys >> np.uint64(8 * (ctw.DEPTH + 1 - LEAD)) if what == GRAMS else keys
+    mixed = (of + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word and the text that it is in."""
+    hashes, starts = hashed_words(np.frombuffer(b" ".join(texts), np.uint8))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.searchsorted(ends, starts, "right")
+
+
 class _Counts:
     """Counts of keys, added up whenever many are held."""
 
@@ -147,62 +149,48 @@ def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def _count(docs: DataFrame, buckets: int) -> DataFrame:
-    """The packed texts of every chunk, its grams by bucket, and counted words of the training texts."""
-
-    def run(batches):
-        words: Counter[bytes] = Counter()
-        counts, size, chunk = _Counts(), 0, 0
-
-        def told_words() -> pa.RecordBatch:
-            out = _batch(COUNTED, word=list(words), n=list(words.values()))
-            words.clear()
-            return out
+    """The packed texts of every chunk, and its grams and words by bucket."""
 
-        def told_grams() -> Iterator[pa.RecordBatch]:
-            keys, n = counts.all()
-            bucket = _bucket(keys, buckets)
-            order = np.argsort(bucket, kind="stable")
-            keys, n, ends = keys[order], n[order].astype(np.uint32), np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for first in range(0, buckets, 64):
-                at = [b for b in range(first, min(first + 64, buckets)) if ends[b] < ends[b + 1]]
-                spans = [slice(ends[b], ends[b + 1]) for b in at]
-                if at:
-                    yield _batch(COUNTED, chunk=[chunk] * len(at), bucket=at, keys=[_pack(keys[x]) for x in spans], counts=[_pack(n[x]) for x in spans])
+    def told(chunk: int, what: int, counts: _Counts) -> Iterator[pa.RecordBatch]:
+        keys, n = counts.all()
+        bucket = _bucket(keys, what, buckets)
+        order = np.argsort(bucket, kind="stable")
+        keys, n, ends = keys[order], n[order].astype(np.uint32), np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for first in range(0, buckets, 64):
+            at = [b for b in range(first, min(first + 64, buckets)) if ends[b] < ends[b + 1]]
+            spans = [slice(ends[b], ends[b + 1]) for b in at]
+            if at:
+                yield _batch(COUNTED, chunk=[chunk] * len(at), what=[what] * len(at), bucket=at, keys=[_pack(keys[x]) for x in spans], counts=[_pack(n[x]) for x in spans])
 
+    def run(batches):
+        counts, size, chunk = {GRAMS: _Counts(), WORDS: _Counts()}, 0, 0
         for part in _slices(batches, SLICE_BYTES):
             if not size:
                 # The table is written once, so that a chunk's number need not be the same in another attempt.
                 chunk = int.from_bytes(os.urandom(8), "little", signed=True)
             texts = [t.encode().lower() for t in part["text"].to_pylist()]
             held = part["held"].to_pylist()
-            sides = [[t for t, h in zip(texts, held) if h == out] for out in (False, True)]
-            for out, own in enumerate(sides):
-                if own:
-                    keys, n = np.unique(ctw.grams(own), return_counts=True)
-                    counts.add(keys, np.zeros(len(n), np.uint32) if out else n.astype(np.uint32))
-            for text in sides[0]:
-                words.update(text.split())
-            if sides[0]:
-                words[END_WORD] += len(sides[0])
-            names = {"ids": "id", "missing": "missing", "hashes": "h", "held": "held"}
+            for out in (False, True):
+                own = [t for t, h in zip(texts, held) if h == out]
+                for what, keys in ((GRAMS, ctw.grams(own)), (WORDS, _words(own)[0])) if own else ():
+                    keys, n = np.unique(keys, return_counts=True)
+                    counts[what].add(keys, np.zeros(len(n), np.uint32) if out else n.astype(np.uint32))
+            names = {"ids": "id", "missing": "missing", "held": "held"}
             packed = {c: pa.ListArray.from_arrays([0, len(texts)], part[own]) for c, own in names.items()}
-            yield _batch(COUNTED, chunk=[chunk], **packed, sizes=[[len(t) for t in texts]], texts=[_squeezed(b"".join(texts))])
+            yield _batch(COUNTED, chunk=[chunk], **packed, sizes=[[len(t) for t in texts]], texts=[_squeezed(b"".join(texts))], trained=[held.count(False)])
             size += sum(map(len, texts)) + len(texts)
             if size >= CHUNK_BYTES:
-                yield from told_grams()
-                counts, size = _Counts(), 0
-            if len(words) > HELD_WORDS:
-                yield told_words()
-        if size:
-            yield from told_grams()
-        if words:
-            yield told_words()
+                for what, own in counts.items():
+                    yield from told(chunk, what, own)
+                counts, size = {GRAMS: _Counts(), WORDS: _Counts()}, 0
+        for what, own in counts.items() if size else ():
+            yield from told(chunk, what, own)
 
     return docs.mapInArrow(run, COUNTED_DDL)
 
 
 def _build(counted: DataFrame) -> DataFrame:
-    """Of every bucket, its pieces (kind 0) and what they tell each nearest byte (kind 1)."""
+    """Of every bucket, its pieces of grams (kind 0), what they tell each nearest byte (kind 1), and its words (kind 2)."""
 
     def pieces(bucket: int, counts: _Counts) -> Iterator[pd.DataFrame]:
         keys, n = counts.all()
@@ -227,20 +215,27 @@ def _build(counted: DataFrame) -> DataFrame:
                 weights=[_pack(weights[:, c:d].reshape(-1)) for c, d in spans],
             )
 
+    def told(bucket: int, what: int, counts: _Counts) -> Iterator[pd.DataFrame]:
+        if what == GRAMS:
+            yield from pieces(bucket, counts)
+        else:
+            keys, n = counts.all()
+            yield _rows(BUILT, kind=[2], bucket=[bucket], keys=[_pack(keys)], counts=[_pack(n)], total=[int(n.sum())], known=[int((n > 0).sum())])
+
     def run(batches):
         own, counts = None, _Counts()
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                if r.bucket != own:
+                if (r.bucket, r.what) != own:
                     if own is not None:
-                        yield from pieces(own, counts)
-                    own, counts = r.bucket, _Counts()
+                        yield from told(*own, counts)
+                    own, counts = (r.bucket, r.what), _Counts()
                 counts.add(_unpack(r.keys, np.uint64), _unpack(r.counts, np.uint32).astype(np.int64))
         if own is not None:
-            yield from pieces(own, counts)
+            yield from told(*own, counts)
 
-    blobs = counted.where("bucket is not null").select("bucket", "keys", "counts")
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, BUILT)
+    blobs = counted.where("bucket is not null").select("bucket", "what", "keys", "counts")
+    return blobs.repartition("bucket", "what").sortWithinPartitions("bucket", "what").mapInPandas(run, BUILT)
 
 
 def _tops(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -282,148 +277,117 @@ def _arrivals(built: DataFrame) -> DataFrame:
 
 
 def _answers(counted: DataFrame, built: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """(chunk, keys, logs): the log probabilities of each chunk's grams, by bucket."""
+    """(chunk, what, keys, values): the log probabilities of each chunk's grams and the counts of its words, by bucket."""
     # No nulls in numbers: pandas would make them floats.
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("binary")
-    rows = arrivals.select("bucket", F.lit(0).alias("step"), "piece", "nearest", zero.alias("chunk"), F.col("above").alias("blob"), none.alias("counts"))
-    own = built.where("kind = 0").select("bucket", F.lit(1).alias("step"), "piece", F.lit(0), zero, "keys", "counts")
-    asks = counted.where("bucket is not null").select("bucket", F.lit(2).alias("step"), F.lit(0), F.lit(0), "chunk", "keys", none)
-    met = rows.union(own).union(asks).repartition("bucket").sortWithinPartitions("bucket", "step", "piece", "nearest")
+    rows = arrivals.select("bucket", F.lit(GRAMS).alias("what"), F.lit(0).alias("step"), "piece", "nearest", zero.alias("chunk"), F.col("above").alias("blob"), none.alias("counts"))
+    own = built.where("kind = 0").select("bucket", F.lit(GRAMS), F.lit(1), "piece", F.lit(0), zero, "keys", "counts")
+    words = built.where("kind = 2").select("bucket", F.lit(WORDS), F.lit(1), F.lit(0), F.lit(0), zero, "keys", "counts")
+    asks = counted.where("bucket is not null").select("bucket", "what", F.lit(2), F.lit(0), F.lit(0), "chunk", "keys", none)
+    met = rows.union(own).union(words).union(asks).repartition("bucket", "what").sortWithinPartitions("bucket", "what", "step", "piece", "nearest")
 
     def run(batches):
-        bucket, above, keys, logs = None, {}, [], []
+        bucket, above, keys, values = None, {}, [], []
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                if r.bucket != bucket:
-                    bucket, above, keys, logs = r.bucket, {}, [], []
+                if (r.bucket, r.what) != bucket:
+                    bucket, above, keys, values = (r.bucket, r.what), {}, [], []
                 if r.step == 0:
                     above.setdefault(r.piece, []).append(_unpack(r.blob, np.float64).reshape(8, 3, -1))
                 elif r.step == 1:
-                    own = _unpack(r.blob, np.uint64)
-                    segment = ctw.Segment(own, _unpack(r.counts, np.int64), ctw.DEPTH - LEAD)
-                    keys.append(own)
-                    # By nearest byte, in the order of the segment's highest level.
-                    logs.append(_rounded(segment.logs(np.concatenate(above.pop(r.piece), axis=2))))
+                    keys.append(_unpack(r.blob, np.uint64))
+                    counts = _unpack(r.counts, np.int64)
+                    # Arrivals stand by nearest byte, in the order of the segment's highest level.
+                    grams = r.what == GRAMS
+                    values.append(_rounded(ctw.Segment(keys[-1], counts, ctw.DEPTH - LEAD).logs(np.concatenate(above.pop(r.piece), axis=2))) if grams else counts)
                 else:
                     if len(keys) > 1:
-                        keys, logs = [np.concatenate(keys)], [np.concatenate(logs)]
-                    own = logs[0][np.searchsorted(keys[0], _unpack(r.blob, np.uint64))]
-                    yield pd.DataFrame({"chunk": [r.chunk], "keys": [r.blob], "logs": [_pack(own)]})
+                        keys, values = [np.concatenate(keys)], [np.concatenate(values)]
+                    own = values[0][np.searchsorted(keys[0], _unpack(r.blob, np.uint64))]
+                    yield pd.DataFrame({"chunk": [r.chunk], "what": [r.what], "keys": [r.blob], "values": [_pack(own)]})
 
-    return met.mapInPandas(run, "chunk long, keys binary, logs binary")
-
-
-def _known(words: DataFrame) -> tuple[int, int, dict[bytes, int]]:
-    """All counted tokens, distinct ones, and the counts of the most frequent."""
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return total, distinct, {bytes(r.word): r.n for r in often}
+    return met.mapInPandas(run, "chunk long, what int, keys binary, values binary")
 
 
 class _Looked:
-    """The log probabilities of a chunk's grams, gathered bucket by bucket."""
+    """The values of a chunk's keys of one kind, sent bucket by bucket."""
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.table: ctw.Table | None = None
+    def __init__(self, kind: type):
+        self.kind, self.blobs, self.table = kind, [], None
 
-    def add(self, keys: bytes, logs: bytes) -> None:
-        self.parts.append((_unpack(keys, np.uint64), _unpack(logs, np.float32)))
+    def add(self, keys: bytes, values: bytes) -> None:
+        self.blobs.append((keys, values))
 
-    def of(self, texts: list[bytes]) -> np.ndarray:
-        """Log10 probability of each text."""
+    def of(self, keys: np.ndarray) -> np.ndarray:
         if self.table is None:
-            self.table = ctw.Table(*map(np.concatenate, zip(*self.parts)))
-            self.parts = []
-        logs = self.table.get(ctw.grams(texts)).astype(np.float64)
-        return np.add.reduceat(logs, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))
-
-
-def _facts(r, texts: list[bytes], scores: np.ndarray, often: dict[bytes, float], end: float, ends: bool) -> pd.DataFrame:
-    """Of a pack of texts, a row for each, and one for each word that is not among the frequent (whose logs ``often`` holds)."""
-    parts = [t.split() for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    logs = np.fromiter(map(often.get, chain.from_iterable(parts), repeat(math.nan)), float, sizes.sum())
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    rare = np.isnan(logs)
-    base = np.bincount(owner, np.where(rare, 0.0, logs), len(texts)) + end
-    known = np.bincount(owner[~rare], minlength=len(texts)) + ends
-    first = np.cumsum(sizes) - sizes
-    others = Counter((k, parts[k][at]) for k, at in zip(owner[rare].tolist(), (np.flatnonzero(rare) - first[owner[rare]]).tolist()))
-    who = np.fromiter((k for k, _ in others), np.int64, len(others))
-    ids, missing, hashes = np.asarray(r.ids, np.int64), np.asarray(r.missing, bool), np.asarray(r.hashes, np.int64)
-    # A blank cannot be in a word: the texts' own rows meet no count.
-    facts = {
-        "id": pd.arrays.IntegerArray(ids, missing), "h": hashes, "word": [b" %d" % h for h in hashes.tolist()], "held": pd.array(r.held, "boolean"),
-        "tokens": sizes + 1, "known": known, "base": base, "score": scores, "bytes": [len(t) for t in texts],
-    }
-    others = {"id": pd.arrays.IntegerArray(ids[who], missing[who]), "h": hashes[who], "word": [w for _, w in others], "times": list(others.values())}
-    return pd.concat([pd.DataFrame(x).reindex(columns=list(SCORED)).astype(SCORED) for x in (facts, others)])
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=is_held_out) -> DataFrame:
+            sizes = [int.from_bytes(k[:8], "little") for k, _ in self.blobs]
+            ends = np.cumsum([0, *sizes])
+            self.values = np.concatenate([np.empty(0, self.kind), *(_unpack(v, self.kind) for _, v in self.blobs)])
+            blobs = [k for k, _ in self.blobs]
+            places = lambda: ((_unpack(k, np.uint64), np.arange(a, b, dtype=np.uint64)) for k, a, b in zip(blobs, ends, ends[1:]))
+            self.table, self.blobs = ctw.Table(int(ends[-1]), places), []
+        return self.values[self.table.get(keys)]
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Callable[[Column], Column] = is_held_out) -> DataFrame:
     """One row for each row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score (word unigrams), score (the model's log10 probability) and bits_per_byte.
 
     ``held_out`` tells from the column of ids which texts are kept from the training.
     """
-    docs = df.select(named(id_col).cast("long").alias("id"), valid_text(named(text_col)).alias("text"), F.xxhash64(named(text_col)).alias("h"))
     # No nulls in numbers: pandas would make them floats.
-    docs = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("missing"), "text", "h", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held"))
+    id_ = named(id_col).cast("long")
+    docs = df.select(
+        F.coalesce(id_, F.lit(0)).alias("id"), id_.isNull().alias("missing"), valid_text(named(text_col)).alias("text"), F.coalesce(held_out(id_), F.lit(False)).alias("held")
+    )
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     counted = written(_count(docs, min(MOST_BUCKETS, max(16, -(-size // BUCKET_BYTES)))))
     built = written(_build(counted))
     answers = _answers(counted, built, _arrivals(built))
 
-    words = cut(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct, often = _known(words)
-    least = -math.log10(total + distinct + 1)
-    # A fixed number of words.
-    common = df.sparkSession.sparkContext.broadcast({w: math.log10(n + 1) + least for w, n in often.items()})
-    ends = often.get(END_WORD, 0)
+    of = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    ends = counted.agg(of("trained")).first()[0]
+    total, distinct = built.where("kind = 2").agg(of("total"), of("known")).first()
+    total += ends
+    least = -math.log10(total + distinct + (ends > 0) + 1)
     end = math.log10(ends + 1) + least
 
-    packs = counted.where("texts is not null").select("chunk", F.lit(1).alias("step"), "ids", "missing", "hashes", "held", "sizes", "texts")
-    keyed = answers.select("chunk", F.lit(0).alias("step"), "keys", "logs")
-    met = keyed.unionByName(packs, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "step")
+    packs = counted.where("texts is not null").select("chunk", F.lit(2).alias("what"), "ids", "missing", "held", "sizes", "texts")
+    met = answers.unionByName(packs, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "what")
 
     def run(batches):
-        chunk, looked = None, _Looked()
+        chunk, looked = None, {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 if r.chunk != chunk:
-                    chunk, looked = r.chunk, _Looked()
-                if r.step == 0:
-                    looked.add(r.keys, r.logs)
+                    chunk, looked = r.chunk, {GRAMS: _Looked(np.float32), WORDS: _Looked(np.int64)}
+                if r.what < 2:
+                    looked[r.what].add(r.keys, r.values)
                     continue
                 edges = np.cumsum([0, *r.sizes])
                 whole = _whole(r.texts, int(edges[-1]))
                 texts = [whole[a:b] for a, b in zip(edges, edges[1:])]
-                yield _facts(r, texts, looked.of(texts), common.value, end, ends > 0)
-
-    rows = met.mapInPandas(run, "id long, h long, word binary, times long, held boolean, tokens long, known long, base double, score double, bytes long")
-    met = rows.join(words.withColumnRenamed("n", "seen"), "word", "left")
-    seen = F.coalesce("seen", F.lit(0))
-    log = F.col("times") * (F.log10(seen + 1) + F.lit(least))
-    by = met.groupBy("id", "h").agg(
-        F.count("held").alias("rows"),
-        F.max("held").alias("held_out"),
-        F.max("tokens").alias("n_tokens"),
-        F.max("score").alias("score"),
-        F.max("bytes").alias("bytes"),
-        F.max("known").alias("known"),
-        F.max("base").alias("base"),
-        F.coalesce(F.sum(F.when(seen > 0, F.col("times"))), F.lit(0)).alias("more"),
-        F.coalesce(F.sum(log), F.lit(0.0)).alias("rest"),
-    )
-    # Rows that repeat id and text were folded; they come out as often as they went in.
-    one = by.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return one.select(
+                logs = looked[GRAMS].of(ctw.grams(texts)).astype(np.float64)
+                hashes, owner = _words(texts)
+                seen = looked[WORDS].of(hashes)
+                n = len(texts)
+                yield pd.DataFrame({
+                    "id": pd.arrays.IntegerArray(np.array(r.ids, np.int64), np.array(r.missing, bool)),
+                    "held_out": np.array(r.held, bool),
+                    "n_tokens": np.bincount(owner, minlength=n) + 1,
+                    "n_known": np.bincount(owner[seen > 0], minlength=n) + (ends > 0),
+                    "base": np.bincount(owner, np.log10(seen + 1.0) + least, n) + end,
+                    "score": np.add.reduceat(logs, edges[:-1] + np.arange(n)),
+                    "bytes": np.diff(edges),
+                })
+
+    rows = met.mapInPandas(run, SCORED)
+    return rows.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("known") + (F.col("more") / F.col("rows")).cast("long")).alias("n_known"),
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rest") / F.col("rows")).alias("base_score"),
+        F.col("base").alias("base_score"),
         "score",
         (-F.col("score") * math.log2(10) / (F.col("bytes") + 1)).alias("bits_per_byte"),
     )
