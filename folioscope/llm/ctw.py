@@ -92,7 +92,7 @@ class Table:
         self.tables: list[tuple[int, np.uint64, np.ndarray]] = []
         factor = np.uint64(0x9E3779B97F4A7C15)
         while size:
-            bits = max(4, int(1.5 * size).bit_length())
+            bits = max(4, int(1.2 * size).bit_length())
             table, left = self._filled(bits, factor, parts())
             factor = factor * np.uint64(5)
             if left is not None:  # else two keys have the same slot and bits

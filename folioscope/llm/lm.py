@@ -13,7 +13,7 @@
 
 No model is broadcast or gathered: the trees grow with the training texts and stay in
 tables. Contexts have ``ctw.DEPTH`` bytes at most, as many as a 64-bit gram holds;
-none is dropped for being rare. Log probabilities travel with 12 bits of the fraction.
+none is dropped for being rare. Log probabilities travel with 9 bits of the fraction.
 
 64-bit hashes stand for words. A-Z are lowered. Null texts count as empty: their probability is that of the end alone.
 Without training texts every decision is even. Repeated rows are scored each, a null id
@@ -38,9 +38,9 @@ from folioscope.llm.common import named, valid_text, written
 from folioscope.llm.words import hashed_words
 
 #: Text bytes of a chunk (of a task's texts) and of a slice whose grams are taken at once.
-CHUNK_BYTES, SLICE_BYTES = 48 << 20, 2 << 20
+CHUNK_BYTES, SLICE_BYTES = 48 << 20, 1 << 20
 #: Counted keys that a task holds before it adds them up.
-HELD_KEYS = 6_000_000
+HELD_KEYS = 4_000_000
 #: Nearest bytes that decide a gram's bucket; text bytes for each bucket and the most buckets.
 LEAD, BUCKET_BYTES, MOST_BUCKETS = 3, 16 << 20, 4096
 #: Keys of a piece of a bucket, about.
@@ -48,7 +48,7 @@ PIECE_KEYS = 1 << 18
 #: What a blob holds.
 GRAMS, WORDS = 0, 1
 
-_ZSTD = pa.Codec("zstd", 1)
+_ZSTD = pa.Codec("zstd", 3)
 
 COUNTED_DDL = (
     "chunk long, what int, bucket int, keys binary, counts binary, "
@@ -89,9 +89,9 @@ def _unpack(blob: bytes, kind: type) -> np.ndarray:
 
 
 def _rounded(logs: np.ndarray) -> np.ndarray:
-    """As 32-bit floats whose fraction has 12 bits, which pack well."""
+    """As 32-bit floats whose fraction has 9 bits, which pack well."""
     bits = logs.astype(np.float32).view(np.uint32)
-    return ((bits + np.uint32(1 << 10)) & np.uint32(0xFFFFF800)).view(np.float32)
+    return ((bits + np.uint32(1 << 13)) & np.uint32(0xFFFFC000)).view(np.float32)
 
 
 def _bucket(keys: np.ndarray, what: int, buckets: int) -> np.ndarray:
@@ -345,34 +345,36 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
     answers = _answers(counted, built, _arrivals(built))
 
     of = lambda column: F.coalesce(F.sum(column), F.lit(0))
-    ends = counted.agg(of("trained")).first()[0]
+    ends, chunks = counted.agg(of("trained"), F.count_distinct("chunk")).first()
     total, distinct = built.where("kind = 2").agg(of("total"), of("known")).first()
     total += ends
     least = -math.log10(total + distinct + (ends > 0) + 1)
     end = math.log10(ends + 1) + least
 
     packs = counted.where("texts is not null").select("chunk", F.lit(2).alias("what"), "ids", "missing", "held", "sizes", "texts")
-    met = answers.unionByName(packs, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "what")
+    met = answers.unionByName(packs, allowMissingColumns=True).repartition(max(1, chunks), "chunk").sortWithinPartitions("chunk", "what")
 
     def run(batches):
         chunk, looked = None, {}
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.chunk != chunk:
-                    chunk, looked = r.chunk, {GRAMS: _Looked(np.float32), WORDS: _Looked(np.int64)}
-                if r.what < 2:
-                    looked[r.what].add(r.keys, r.values)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {c: batch[c][k] for c in batch.schema.names}
+                if r["chunk"].as_py() != chunk:
+                    chunk, looked = r["chunk"].as_py(), {GRAMS: _Looked(np.float32), WORDS: _Looked(np.int64)}
+                what = r["what"].as_py()
+                if what < 2:
+                    looked[what].add(r["keys"].as_py(), r["values"].as_py())
                     continue
-                edges = np.cumsum([0, *r.sizes])
-                whole = _whole(r.texts, int(edges[-1]))
+                edges = np.cumsum([0, *r["sizes"].values.to_numpy()])
+                whole = _whole(r["texts"].as_buffer(), int(edges[-1]))
                 texts = [whole[a:b] for a, b in zip(edges, edges[1:])]
                 logs = looked[GRAMS].of(ctw.grams(texts)).astype(np.float64)
                 hashes, owner = _words(texts)
                 seen = looked[WORDS].of(hashes)
-                n = len(texts)
-                yield pd.DataFrame({
-                    "id": pd.arrays.IntegerArray(np.array(r.ids, np.int64), np.array(r.missing, bool)),
-                    "held_out": np.array(r.held, bool),
+                n, ids, missing = len(texts), r["ids"].values, r["missing"].values.to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array(ids.to_numpy(), mask=missing),
+                    "held_out": r["held"].values,
                     "n_tokens": np.bincount(owner, minlength=n) + 1,
                     "n_known": np.bincount(owner[seen > 0], minlength=n) + (ends > 0),
                     "base": np.bincount(owner, np.log10(seen + 1.0) + least, n) + end,
@@ -380,7 +382,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
                     "bytes": np.diff(edges),
                 })
 
-    rows = met.mapInPandas(run, SCORED)
+    rows = met.mapInArrow(run, SCORED)
     return rows.select(
         F.col("id").alias(id_col),
         "held_out",
