@@ -8,10 +8,13 @@ parted by a token at a further place until its other lines have a template or no
 in common; those are templates of their own. A template that occurs in two documents or more stays in the first of them (by
 id) and is dropped from the others; short lines that differ need three documents.
 
-Only lines of ``min_tokens`` or more take part: shorter ones recur by chance. Empty
-lines stay. Null texts stay null; empty tables give no rows. Documents are told apart
-by id and text: rows that repeat both are one document here and all get its result;
-a null id sorts first. All columns of ``df`` pass through.
+Lines without a letter outside their wildcards take no part: they stay, as empty lines
+do. Null texts stay null; empty tables give no rows. Documents are told apart by id and
+text: rows that repeat both are one document here and all get its result; a null id
+sorts first. All columns of ``df`` pass through.
+
+Texts are masked once: what is counted, joined and dropped are hashes and places of
+lines, in a table. Only where a leaf holds several lines are these read again.
 """
 
 from __future__ import annotations
@@ -19,49 +22,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, fresh, let, named
+from folioscope.llm.common import cut, fresh, let, named, written
 
 WILD = "<*>"
 LEADING = 3
 #: Below so many tokens the leading ones alone nearly make a template: two lines that differ are none, three documents are needed.
 SHORT = 8
-#: Leaves up to which their table is broadcast (16 bytes each and overhead); beyond, Spark joins by shuffle.
-BROADCAST_LEAVES = 1_000_000
+#: Rows up to which a table of leaves or lines is broadcast (some 50 bytes each); beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 500_000
+LEAST_ID = -(1 << 63)
+
 
+def _mask(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(line)
 
-def _masked(line: Column) -> Column:
+
+def _flat(line: Column) -> Column:
     odd = F.lit(False)
     for blank in ("  ", "\t", "\r", "\f", "\x0b"):
         odd |= line.contains(blank)
-    flat = F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))).otherwise(F.trim(line))
-    return let(flat, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(x))
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))).otherwise(F.trim(line))
 
 
 def _tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """(id, th, line, h1, h2, leaf): masked lines, their two hashes and their leaf of the tree (token count and leading tokens)."""
-    lines = F.split(named(text_col), "\n", -1)
-    out = df.select(F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(named(text_col)).alias("th"), F.explode(lines).alias("raw"))
-    # Other blanks part tokens too, after masking; shorter lines among these have leaves of their own.
-    other = F.lit(False)
-    for blank in ("\t", "\r", "\f", "\x0b"):
-        other |= F.col("raw").contains(blank)
-    out = out.where((_tokens(F.col("raw")) >= min_tokens) | other).select("id", "th", _masked(F.col("raw")).alias("line"))
-    leaf = F.xxhash64(_tokens(F.col("line")), F.substring_index("line", " ", LEADING))
-    return out.select("id", "th", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), leaf.alias("leaf"))
+def _document(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(named(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"), F.xxhash64(named(text_col)).alias("th")]
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_LEAVES else df
+def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, pos, h1, h2, size, leaf): places of lines, hashes of the masked line, its tokens and its leaf of the tree (their count and the leading ones)."""
+    out = df.select(*_document(df, id_col, text_col), F.posexplode(F.split(named(text_col), "\n", -1)).alias("pos", "raw"))
+    out = out.where(F.col("raw") != "").select("id", "th", "pos", _flat(F.col("raw")).alias("flat"))
+    out = out.select("id", "th", "pos", _mask(F.col("flat")).alias("line")).where(F.col("line").rlike(r"\p{L}"))
+    out = out.withColumn("size", _tokens(F.col("line")))
+    leaf = F.xxhash64("size", F.substring_index("line", " ", LEADING))
+    return out.select("id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "size", leaf.alias("leaf"))
 
 
-def _several(df: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
-    """Groups of ``df`` that hold more than one line, and enough documents for a template, from their (group, docs) ``lines``."""
-    groups = cut(lines.groupBy("group").agg(F.sum("docs").alias("all"), F.count("*").alias("n")).where((F.col("all") >= min_docs) & (F.col("n") > 1)).select("group"))
-    return df.join(_few(groups), "group")
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _grouped(held: DataFrame, min_docs: int, constant_share: float, majority: float) -> DataFrame:
@@ -107,45 +109,58 @@ def _grouped(held: DataFrame, min_docs: int, constant_share: float, majority: fl
             return out
 
 
-def recurring_templates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_tokens: int = 4, constant_share: float = 0.6, majority: float = 0.5) -> DataFrame:
+def _texts(df: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2, group, docs, lo, hi, line) of lines that are known by place alone."""
+    wanted = cut(places.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "h1", "h2", "group", "docs", "lo", "hi")).alias("own")))
+    i, t = fresh(df, "ld_id", "ld_th")
+    found = df.select(*(c.alias(n) for c, n in zip(_document(df, id_col, text_col), (i, t))), F.split(named(text_col), "\n", -1).alias("raw"))
+    found = found.join(_few(wanted), (named(i) == F.col("id")) & (named(t) == F.col("th")))
+    found = found.select("raw", F.explode("own").alias("own")).select("own.*", _flat(F.get("raw", F.col("own.pos"))).alias("flat"))
+    found = found.select("h1", "h2", "group", "docs", "lo", "hi", _mask(F.col("flat")).alias("line"))
+    return found.dropDuplicates(["h1", "h2", "group"])  # equal rows of the table give equal lines
+
+
+def recurring_templates(df: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, constant_share: float = 0.6, majority: float = 0.5) -> DataFrame:
     """(h1, h2, first_id, first_th, template): hashes of the masked lines that belong to a recurring template, and its first document.
 
-    Only hashes are exchanged until the leaves that hold several lines are known; the lines of those alone are read as text.
+    ``lines`` are the places of all lines of ``df``.
     """
-    all_lines = _lines(df, id_col, text_col, min_tokens)
     # A document's repeats of a line are folded first, then a line's documents; both combine before they shuffle.
-    each = all_lines.groupBy("h1", "h2", "leaf", "id", "th").agg(F.first(_tokens(F.col("line"))).alias("size"))
     key = F.struct("id", "th")
-    lines = each.where(F.col("size") >= min_tokens).groupBy("h1", "h2", F.col("leaf").alias("group")).agg(F.count("*").alias("docs"), F.min(key).alias("lo"), F.max(key).alias("hi"))
-    lines = cut(lines)
-    texts = _several(all_lines.select("h1", "h2", F.col("leaf").alias("group"), "line"), lines, min_docs)
-    texts = texts.groupBy("h1", "h2", "group").agg(F.min("line").alias("line"))
-    general = cut(_grouped(cut(lines.join(texts, ["h1", "h2", "group"])), min_docs, constant_share, majority))
+    each = lines.groupBy("h1", "h2", "size", "leaf", "id", "th").agg(F.min("pos").alias("pos"))
+    whole = each.groupBy("h1", "h2", "size", F.col("leaf").alias("group"))
+    whole = whole.agg(F.count("*").alias("docs"), F.min(F.struct("id", "th", "pos")).alias("at"), F.max(key).alias("hi"))
+    whole = written(whole.select("h1", "h2", "size", "group", "docs", "at.id", "at.th", "at.pos", "hi"))
+    leaves = whole.groupBy("group").agg(F.sum("docs").alias("all"), F.count("*").alias("n")).where((F.col("all") >= min_docs) & (F.col("n") > 1)).select("group")
+    leaves = cut(leaves)
+    places = whole.join(_few(leaves), "group").withColumn("lo", key)
+    general = cut(_grouped(cut(_texts(df, places, id_col, text_col)), min_docs, constant_share, majority))
     # Up to 3 documents, first and last of each line and the largest line tell the number exactly.
-    ends = each.select("h1", "h2", key.alias("key")).join(general, ["h1", "h2"]) if min_docs > 3 else general.withColumn("key", F.explode(F.array("lo", "hi")))
+    ends = general.withColumn("key", F.explode(F.array("lo", "hi")))
+    if min_docs > 3:
+        ends = each.select("h1", "h2", key.alias("key")).join(general, ["h1", "h2"])
     holders = ends.groupBy("group", "key").agg(F.max("docs").alias("docs"), F.min("size").alias("size"), F.min("h1").alias("one"), F.max("h1").alias("other"))
     found = holders.groupBy("group").agg(F.greatest(F.count("*"), F.max("docs")).alias("n"), F.min("key").alias("first"), F.min("size").alias("size"), (F.min("one") != F.max("other")).alias("several"))
     least = F.when(F.col("several") & (F.col("size") < SHORT), max(min_docs, 3)).otherwise(min_docs)
     found = cut(found.where(F.col("n") >= least).select("group", "first"))
     shared = general.join(_few(found), "group").select("h1", "h2", "first", F.concat(F.lit("group "), F.col("group").cast("string")).alias("template"))
-    own = lines.where(F.col("docs") >= min_docs).join(shared, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("lo").alias("first"), F.concat(F.lit("line "), F.col("h1").cast("string")).alias("template"))
+    own = whole.where(F.col("docs") >= min_docs).join(shared, ["h1", "h2"], "left_anti").select("h1", "h2", key.alias("first"), F.concat(F.lit("line "), F.col("h1").cast("string")).alias("template"))
     return shared.union(own).select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), "template")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", min_tokens: int = 4, **options) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", **options) -> DataFrame:
     """``df`` without the lines of recurring templates (but in their first documents), and the number of lines dropped."""
-    id_, th, drop, dropped = fresh(df, "ld_id", "ld_th", "ld_drop", dropped_col)
-    recurring = recurring_templates(df, id_col, text_col, min_tokens=min_tokens, **options).select("h1", "h2", "first_id", "first_th")
-    lines = _lines(df, id_col, text_col, min_tokens).select("id", "th", "h1", "h2")
-    out = lines.join(recurring, ["h1", "h2"]).where((F.col("id") != F.col("first_id")) | (F.col("th") != F.col("first_th")))
-    drops = out.groupBy(F.col("id").alias(id_), F.col("th").alias(th)).agg(F.collect_set("h1").alias(drop))
-    keyed = df.select(*map(named, df.columns), F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63))).alias(id_), F.xxhash64(named(text_col)).alias(th))
-    joined = keyed.join(drops, [id_, th], "left")
-    lines = F.split(named(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(named(drop), F.xxhash64(_masked(x))))
+    i, t, drop, dropped = fresh(df, "ld_id", "ld_th", "ld_drop", dropped_col)
+    lines = written(_lines(df, id_col, text_col))
+    recurring = recurring_templates(df, lines, id_col, text_col, **options).select("h1", "h2", "first_id", "first_th")
+    out = lines.select("id", "th", "pos", "h1", "h2").join(recurring, ["h1", "h2"]).where((F.col("id") != F.col("first_id")) | (F.col("th") != F.col("first_th")))
+    drops = out.groupBy(F.col("id").alias(i), F.col("th").alias(t)).agg(F.collect_set("pos").alias(drop))
+    keyed = df.select(*map(named, df.columns), *(c.alias(n) for c, n in zip(_document(df, id_col, text_col), (i, t))))
+    joined = keyed.join(drops, [i, t], "left")
+    raw = F.split(named(text_col), "\n", -1)
+    places = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), named(drop))
+    kept = let(raw, lambda own: F.array_join(F.transform(places, lambda k: F.get(own, k)), "\n"))
     has = named(drop).isNotNull()
-    (work,) = fresh(joined, "ld_kept")
-    joined = joined.withColumn(work, F.when(has, kept))
-    text = F.when(has, F.array_join(named(work), "\n")).otherwise(named(text_col)).alias(text_col)
-    count = F.when(has, F.size(lines) - F.size(named(work))).otherwise(F.lit(0)).alias(dropped)
+    text = F.when(has, kept).otherwise(named(text_col)).alias(text_col)
+    count = F.when(has, F.size(named(drop))).otherwise(F.lit(0)).alias(dropped)
     return joined.select(*(text if c == text_col else named(c) for c in df.columns), count)
