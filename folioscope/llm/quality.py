@@ -2,92 +2,135 @@
 
 The text view sees hashed words and the shape of the text, the metadata view sees
 language, source and length. Each is a logistic regression. In every round each view
-labels the unlabelled documents of a pool of which it is most confident, and these join
-the training rows of the other view. The views are then calibrated on labelled rows
-held out from the training (Platt scaling), and every document gets the two calibrated
-log odds added up, less one prior.
+scores all documents that it was not fitted on; those of which it is confident join the
+training rows of the other view. They join as means: all documents of a pseudo-label
+that share a cell (a hash of language and source) are one row, which Spark adds up, so
+that every confident document counts and what fitting reads has a fixed size. The views
+are then calibrated on labelled rows held out from the fitting (Platt scaling), and
+every document gets the two calibrated log odds added up, less one prior.
 
 Labels have two columns: ``quality`` and ``toxic``. A document is accepted if it is
 likely of good quality and likely not toxic; each of the two has its own pair of views.
 
-Fitting takes at most ``fit_rows`` labelled rows and as many unlabelled ones, chosen by
-hash of id; scoring covers all rows. With no label, or labels of one class only, the
-score is the share of good labels (0.5 without any) for all. Null texts count as empty,
-null metadata is a value of its own, label rows with a null are not used, several labels
-of one document are averaged. Repeated rows are scored each; other columns pass through.
+Fitting takes at most ``fit_rows`` labelled rows, chosen by hash of id; the exchange of
+pseudo-labels and the scoring cover all rows. With few labels, or labels of one class
+only, the score is the share of good labels (0.5 without any) for all. Null texts count
+as empty, null metadata is a value of its own, label rows with a null are not used,
+several labels of one document are averaged; of several rows of one labelled document
+the least text is fitted. Repeated rows are scored each; other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import fresh, named, valid_text
+from folioscope.llm.words import hashed_words
 
-#: Rows that fitting reads, of labelled and of unlabelled documents each.
+#: Labelled rows that fitting reads.
 FIT_ROWS = 3000
-ROUNDS, PER_ROUND = 3, 0.05
+ROUNDS = 3
+#: A view is confident of what it holds nine times likelier than not.
+CONFIDENT = 0.9
+#: Rows into which the pseudo-labelled documents of a class are added up.
+CELLS = 8
 #: Hashed features of the two views.
 WORDS, META = 4096, 64
 SHAPES = 11
-WORD = re.compile(r"[^\W\d_]+")
+VIEWS = {"text": WORDS + SHAPES, "meta": META}
 TARGETS = ("quality", "toxic")
+#: Bytes of text whose features are taken at once.
+SLICE_BYTES = 1 << 20
 
-_buckets: dict[str, int] = {}
-
-
-def _bucket(word: str) -> int:
-    at = _buckets.get(word)
-    if at is None:
-        if len(_buckets) > 300_000:
-            _buckets.clear()
-        at = _buckets[word] = zlib.crc32(word.encode()) % WORDS
-    return at
-
-
-def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the text view's features: root shares of words, then shape."""
-    raw = text.split()
-    counts = Counter(w.lower() for w in WORD.findall(text))
-    words, distinct, chars = sum(counts.values()), len(counts), max(len(text), 1)
-    vector = np.zeros(WORDS + SHAPES)
-    places = np.fromiter(map(_bucket, counts), np.int64, distinct)
-    present = np.fromiter(counts.values(), float, distinct)
-    np.add.at(vector, places, np.sqrt(present / max(words, 1)))
-    letters = sum(map(len, counts)) if words == distinct else sum(len(w) * n for w, n in counts.items())
-    upper = sum(w.isupper() for w in raw) / max(len(raw), 1)
-    repeats = sum(a == b for a, b in zip(raw, raw[1:])) / max(len(raw), 1)
-    marks = len(re.findall(r"[!#$%&*|<>{}=~^]", text)) / chars
-    vector[WORDS:] = (
-        letters / chars, distinct / max(words, 1), min(letters / max(words, 1), 30) / 10, upper, repeats, min(1.0, 8 * marks),
-        min(1.0, 10 * text.count("|") / chars), text.count("\n") / chars * 20, min(np.log1p(words), 12) / 6, float(words < 5), max(counts.values(), default=0) / max(words, 1),
-    )
-    places = np.flatnonzero(vector)
-    return places, vector[places]
-
-
-def meta_features(lang: str | None, source: str | None, chars: int) -> tuple[np.ndarray, np.ndarray]:
-    half = META // 2 - 1
-    places = {zlib.crc32(f"lang {lang}".encode()) % half, half + zlib.crc32(f"source {source}".encode()) % half, META - 2}
-    at = np.array(sorted(places))
-    return at, np.where(at == META - 2, min(np.log1p(max(chars, 0)), 14) / 7, 1.0)
+# Classes of bytes: word characters (all bytes beyond ASCII are), capitals, and marks that prose rarely has.
+_WORD = np.zeros(256, bool)
+_WORD[[*range(97, 123), *range(65, 91), *range(48, 58), *range(128, 256)]] = True
+_LETTER = _WORD.copy()
+_LETTER[48:58] = False
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b"!#$%&*|<>{}=~^")] = True
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 100) -> np.ndarray:
-    """Weights of a logistic regression by accelerated gradient descent with balanced classes; the last column of ``x`` is 1 and its weight the intercept."""
-    good = y.mean()
-    weight = np.where(y > 0.5, 0.5 / max(good, 1e-9), 0.5 / max(1 - good, 1e-9)) / len(y)
+@dataclass
+class Rows:
+    """Sparse rows of one view: the row of each entry, its feature and its value."""
+
+    size: int
+    row: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.feature] * self.value, self.size) + w[-1]
+
+    def dense(self, features: int) -> np.ndarray:
+        """As a matrix with a last column of ones."""
+        out = np.zeros((self.size, features + 1), np.float32)
+        out[self.row, self.feature] = self.value
+        out[:, -1] = 1
+        return out
+
+
+def text_rows(texts: list[str]) -> Rows:
+    """Root shares of hashed words, then the shape of each text."""
+    raw = [t.encode() for t in texts]
+    n = len(raw)
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    first = np.cumsum([0, *(len(t) + 1 for t in raw[:-1])])
+    chars = np.maximum([len(t) for t in raw], 1)
+    lower = np.where(_UPPER[data], data + np.uint8(32), data)
+    hashes, starts = hashed_words(np.where(_WORD[data], lower, np.uint8(32)))
+    owner = np.searchsorted(first, starts, "right") - 1
+    words = np.bincount(owner, minlength=n)
+    some = np.maximum(words, 1)
+    pairs, times = np.unique(owner * WORDS + (hashes % np.uint64(WORDS)).astype(np.int64), return_counts=True)
+    row = pairs // WORDS
+    most = np.zeros(n)
+    np.maximum.at(most, row, times)
+    again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1]))
+    share = lambda table: np.add.reduceat(table[data].astype(np.int64), first) / chars
+    letters = share(_LETTER)
+    shape = np.stack([
+        letters, np.bincount(row, minlength=n) / some, np.minimum(letters * chars / some, 30) / 10, share(_UPPER) / np.maximum(letters, 1e-9),
+        np.bincount(owner[again], minlength=n) / some, np.minimum(1.0, 8 * share(_MARK)), np.minimum(1.0, 10 * share(np.arange(256) == 124)),
+        20 * share(np.arange(256) == 10), np.minimum(np.log1p(words), 12) / 6, words < 5, most / some,
+    ], axis=1)
+    return Rows(
+        n,
+        np.concatenate([row, np.repeat(np.arange(n), SHAPES)]),
+        np.concatenate([pairs % WORDS, np.tile(WORDS + np.arange(SHAPES), n)]),
+        np.concatenate([np.sqrt(times / some[row]), shape.reshape(-1)]),
+    )
+
+
+def meta_rows(langs: list[str | None], sources: list[str | None], texts: list[str]) -> Rows:
+    half = META // 2 - 1
+    lang = [zlib.crc32(f"lang {x}".encode()) % half for x in langs]
+    source = [half + zlib.crc32(f"source {x}".encode()) % half for x in sources]
+    size = np.minimum(np.log1p([len(t) for t in texts]), 14) / 7
+    n = len(texts)
+    feature = np.stack([lang, source, np.full(n, META - 2)], axis=1) if n else np.empty((0, 3), np.int64)
+    value = np.stack([np.ones(n), np.ones(n), size], axis=1)
+    return Rows(n, np.repeat(np.arange(n), 3), feature.reshape(-1).astype(np.int64), value.reshape(-1))
+
+
+def fit(x: np.ndarray, y: np.ndarray, count: np.ndarray, l2: float, steps: int = 100) -> np.ndarray:
+    """Weights of a logistic regression by accelerated gradient descent; rows count ``count`` times, classes are balanced, the last column of ``x`` is 1."""
+    good = float((count * y).sum() / count.sum())
+    weight = count * np.where(y > 0.5, 0.5 / max(good, 1e-9), 0.5 / max(1 - good, 1e-9)) / count.sum()
     # One precision throughout: a product of two would copy the whole matrix.
-    x = x.astype(np.float32, copy=False)
     y, weight = y.astype(np.float32), weight.astype(np.float32)
     penalty = np.full(x.shape[1], l2, np.float32)
     penalty[-1] = 0
@@ -107,10 +150,6 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 100) -> np.ndarray
     return w.astype(np.float64)
 
 
-def margin(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return (x[:, :-1] @ w[:-1].astype(np.float32)).astype(np.float64) + w[-1]
-
-
 def calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt scaling: slope and offset of the log odds, by Newton steps with a weak pull to slope 1."""
     a, b = 1.0, 0.0
@@ -129,70 +168,146 @@ def calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class Views:
-    """Calibrated linear models of one target; None for a target with one class."""
+    """Calibrated linear models of one target; no weights where it has too few labels or one class."""
 
     prior: float
-    text: np.ndarray | None = None
-    meta: np.ndarray | None = None
-    scale_text: tuple[float, float] = (1.0, 0.0)
-    scale_meta: tuple[float, float] = (1.0, 0.0)
-
-    def log_odds(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        """Of margins of both views."""
-        return self.scale_text[0] * text + self.scale_text[1] + self.scale_meta[0] * meta + self.scale_meta[1] - np.log(self.prior / (1 - self.prior))
-
-
-def cotrain(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS, per_round: float = PER_ROUND) -> Views:
-    share = float(y.mean()) if len(y) else 0.5
-    if len(y) < 10 or share in (0.0, 1.0):
-        return Views(min(max(share, 1e-3), 1 - 1e-3))
-    held = np.arange(len(y)) % 4 == 3
-    train = ~held
-    if len(set(y[held])) < 2 or len(set(y[train])) < 2:
-        held = train = np.ones(len(y), bool)
-    given = {"text": {}, "meta": {}}  # pseudo-labels that a view has from the other
-
-    def model(view: str) -> np.ndarray:
-        own, pool = (xt, pool_t) if view == "text" else (xm, pool_m)
-        at = np.fromiter(given[view], np.int64, len(given[view]))
-        labels = np.fromiter(given[view].values(), float, len(at))
-        return fit(np.vstack([own[train], pool[at]]), np.concatenate([y[train], labels]), 1e-4 if view == "text" else 1e-3)
-
-    for _ in range(rounds if len(pool_t) else 0):
-        for view, other, own, pool in (("text", "meta", xt, pool_t), ("meta", "text", xm, pool_m)):
-            w = model(view)
-            a, b = calibrate(margin(w, own[held]), y[held])
-            p = 1 / (1 + np.exp(-np.clip(a * margin(w, pool) + b, -40, 40)))
-            order = np.argsort(p, kind="stable")
-            n = max(1, int(per_round * len(pool)))
-            # Confident: among the most extreme, and nine times likelier than not.
-            given[other] |= {int(k): 1.0 for k in order[::-1][:n] if p[k] >= 0.9} | {int(k): 0.0 for k in order[:n] if p[k] <= 0.1}
-    wt, wm = model("text"), model("meta")
-    return Views(min(max(share, 1e-3), 1 - 1e-3), wt, wm, calibrate(margin(wt, xt[held]), y[held]), calibrate(margin(wm, xm[held]), y[held]))
+    weights: dict[str, np.ndarray] | None = None
+    scales: dict[str, tuple[float, float]] | None = None
+
+    def odds(self, rows: dict[str, Rows]) -> dict[str, np.ndarray]:
+        """Calibrated log odds of each view."""
+        return {v: self.scales[v][0] * r.margins(self.weights[v]) + self.scales[v][1] for v, r in rows.items()}
+
+    def log_odds(self, rows: dict[str, Rows]) -> np.ndarray:
+        prior = np.log(self.prior / (1 - self.prior))
+        if self.weights is None:
+            return np.full(rows["text"].size, prior)
+        return sum(self.odds(rows).values()) - prior
+
+
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+
+
+class _Target:
+    """The labelled rows of one target, in three parts: fitted, asked for the confidence of pseudo-labels, and kept for the last calibration."""
+
+    def __init__(self, x: dict[str, np.ndarray], y: np.ndarray):
+        self.x, self.y = x, y
+        share = float(y.mean()) if len(y) else 0.5
+        self.prior = min(max(share, 1e-3), 1 - 1e-3)
+        part = np.arange(len(y)) % 6
+        parts = [part < 4, part == 4, part == 5]
+        if any(len(set(y[p])) < 2 for p in parts):
+            parts = [np.ones(len(y), bool)] * 3
+        self.train, self.asked, self.kept = parts
+        self.able = len(y) >= 10 and 0 < share < 1
+        self.weights: dict[str, np.ndarray] = {}
+
+    def fit(self, given: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Both views, with the means that each is given of the other's confident documents: rows, labels and counts."""
+        for view, l2 in (("text", 1e-4), ("meta", 1e-3)):
+            x, y, count = self.x[view][self.train], self.y[self.train], np.ones(int(self.train.sum()))
+            means, labels, many = given.get(view, (x[:0], y[:0], count[:0]))
+            # Pseudo-labels weigh as much as the labelled rows at most.
+            many = many * min(1.0, len(y) / max(many.sum(), 1))
+            self.weights[view] = fit(np.vstack([x, means]), np.concatenate([y, labels]), np.concatenate([count, many]), l2)
+
+    def views(self, rows: np.ndarray) -> Views:
+        """The views, calibrated on ``rows``."""
+        if not self.able:
+            return Views(self.prior)
+        scales = {v: calibrate(self.x[v][rows] @ w.astype(np.float32), self.y[rows]) for v, w in self.weights.items()}
+        return Views(self.prior, dict(self.weights), scales)
+
+
+def _featured(batch: pa.RecordBatch, text: str, lang: str, source: str) -> Iterator[tuple[pa.RecordBatch, dict[str, Rows], list[tuple]]]:
+    """Slices of a batch with the rows of both views and their metadata."""
+    place = np.cumsum(pc.binary_length(batch[text]).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+    ends = [*np.flatnonzero(np.diff(place, prepend=-1)), len(place)]
+    for a, b in zip(ends, ends[1:]):
+        part = batch.slice(a, b - a)
+        texts, langs, sources = (part[c].to_pylist() for c in (text, lang, source))
+        yield part, {"text": text_rows(texts), "meta": meta_rows(langs, sources, texts)}, list(zip(langs, sources))
+
+
+def _pseudo_labelled(docs: DataFrame, models: dict[str, Views], fitted: list[int]) -> dict[str, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each target and view, the means of the documents that the other view is confident of, by class and cell."""
+    slots = {(t, v): k for k, (t, v) in enumerate((t, v) for t in models for v in VIEWS)}
+    own_ids = set(fitted)
+
+    def run(batches):
+        sums = {key: np.zeros((2 * CELLS, VIEWS[key[1]] + 1)) for key in slots}
+        for batch in batches:
+            for part, rows, metas in _featured(batch, "text", "lang", "source"):
+                cell = np.array([zlib.crc32(repr(m).encode()) % CELLS for m in metas])
+                free = np.array([i not in own_ids for i in part["id"].to_pylist()])
+                for target, model in models.items():
+                    for view, odds in model.odds(rows).items():
+                        other = "meta" if view == "text" else "text"
+                        p = _probability(odds)
+                        chosen = free & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
+                        slot = np.where(chosen, (p > 0.5) * CELLS + cell, -1)
+                        total, width = sums[target, other], VIEWS[other] + 1
+                        at, r = slot[rows[other].row], rows[other]
+                        use = at >= 0
+                        total += np.bincount(at[use] * width + r.feature[use], r.value[use], total.size).reshape(total.shape)
+                        total[:, -1] += np.bincount(slot[chosen], minlength=2 * CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(slots.values()), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()])], ["slot", "sums"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for slot, blob in zip(pdf["slot"], pdf["sums"]):
+                totals[slot] = totals.get(slot, 0) + np.frombuffer(blob, np.float32).astype(np.float64)
+        yield pd.DataFrame({"slot": pd.Series(list(totals), dtype="int32"), "sums": [x.tobytes() for x in totals.values()]})
+
+    told = docs.mapInArrow(run, "slot int, sums binary").repartition("slot").mapInPandas(add, "slot int, sums binary")
+    by_slot = {r.slot: r.sums for r in told.collect()}  # one row a target and view
+    out: dict[str, dict] = {t: {} for t in models}
+    for (target, view), slot in slots.items():
+        sums = np.frombuffer(by_slot[slot]).reshape(2 * CELLS, -1) if slot in by_slot else np.zeros((2 * CELLS, VIEWS[view] + 1))
+        some = sums[:, -1] > 0
+        many = sums[some, -1]
+        # The last column becomes 1: the mean of ones.
+        out[target][view] = (sums[some] / many[:, None]).astype(np.float32), (np.flatnonzero(some) >= CELLS).astype(float), many
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fit_rows: int = FIT_ROWS) -> dict[str, Views]:
-    """The models of both targets, fitted on bounded samples."""
-    marked = labels.where(named(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(named(id_col).alias("id")).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
+    """The models of both targets, fitted on a bounded sample of labels and on pseudo-labels of all documents."""
+    good = named(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()
+    marked = labels.where(good).groupBy(named(id_col).cast("long").alias("id")).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
     ids = marked.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    plain = docs.select(named(id_col).alias("id"), valid_text(named(text_col)).alias("text"), named(lang_col).cast("string").alias("lang"), named(source_col).cast("string").alias("source"))
-    labelled = plain.join(F.broadcast(ids), "id").dropDuplicates(["id"])
-    others = plain.where("id is not null").select("id").join(marked.select("id"), "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    pool = plain.join(F.broadcast(others), "id").dropDuplicates(["id"]).withColumn("quality", F.lit(None).cast("double")).withColumn("toxic", F.lit(None).cast("double"))
+    plain = docs.select(
+        named(id_col).cast("long").alias("id"), valid_text(named(text_col)).alias("text"), named(lang_col).cast("string").alias("lang"), named(source_col).cast("string").alias("source")
+    )
+    # fit_rows ids at most.
+    own = plain.join(F.broadcast(ids), "id").groupBy("id", "quality", "toxic").agg(F.min(F.struct("text", "lang", "source")).alias("x"))
 
     def features(batches):
         for pdf in batches:
-            t = [text_features(x) for x in pdf["text"]]
-            m = [meta_features(a, b, len(x)) for a, b, x in zip(pdf["lang"], pdf["source"], pdf["text"])]
-            yield pd.DataFrame({"id": pdf["id"], "quality": pdf["quality"], "toxic": pdf["toxic"], "ti": [x[0] for x in t], "tv": [x[1] for x in t], "mi": [x[0] for x in m], "mv": [x[1] for x in m]})
-
-    rows = labelled.select("id", "text", "lang", "source", "quality", "toxic").union(pool.select("id", "text", "lang", "source", "quality", "toxic"))
-    held = rows.mapInPandas(features, "id long, quality double, toxic double, ti array<int>, tv array<double>, mi array<int>, mv array<double>").toPandas()  # 2 * fit_rows rows at most
-    held = held.assign(free=held["quality"].isna()).sort_values(["free", "id"])
-    n = int((~held["free"]).sum())
-    # Views of one matrix each: the driver holds the rows once.
-    xt, xm = _matrix(held["ti"], held["tv"], WORDS + SHAPES), _matrix(held["mi"], held["mv"], META)
-    return {t: cotrain(xt[:n], xm[:n], (held[t].to_numpy()[:n] >= 0.5).astype(float), xt[n:], xm[n:]) for t in TARGETS}
+            rows = {"text": text_rows(list(pdf["text"])), "meta": meta_rows(list(pdf["lang"]), list(pdf["source"]), list(pdf["text"]))}
+            columns = {}
+            for view, r in rows.items():
+                order = np.argsort(r.row, kind="stable")
+                ends = np.searchsorted(r.row[order], np.arange(1, r.size))
+                columns |= {f"{view}_at": np.split(r.feature[order], ends), f"{view}_value": np.split(r.value[order], ends)}
+            yield pd.DataFrame({"id": pdf["id"], "quality": pdf["quality"], "toxic": pdf["toxic"], **columns})
+
+    schema = "id long, quality double, toxic double, text_at array<long>, text_value array<double>, meta_at array<long>, meta_value array<double>"
+    held = own.select("id", "quality", "toxic", "x.*").mapInPandas(features, schema).toPandas()
+    held = held.assign(order=[zlib.crc32(str(i).encode()) for i in held["id"]]).sort_values(["order", "id"])
+    x = {view: _matrix(held.pop(f"{view}_at"), held.pop(f"{view}_value"), size) for view, size in VIEWS.items()}
+    targets = {t: _Target(x, (held[t].to_numpy() >= 0.5).astype(float)) for t in TARGETS}
+    able = {t: target for t, target in targets.items() if target.able}
+    given: dict[str, dict] = {t: {} for t in able}
+    for turn in range(ROUNDS + 1 if able else 0):
+        for t, target in able.items():
+            target.fit(given[t])
+        if turn < ROUNDS:
+            given = _pseudo_labelled(plain, {t: target.views(target.asked) for t, target in able.items()}, held["id"].tolist())
+    return {t: target.views(target.kept) for t, target in targets.items()}
 
 
 def _matrix(places: pd.Series, values: pd.Series, size: int) -> np.ndarray:
@@ -209,17 +324,10 @@ def score(docs: DataFrame, models: dict[str, Views], text_col: str = "text", lan
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            text, lang, source = (batch.column(names.index(c)).to_pylist() for c in (w_text, w_lang, w_source))
-            odds = {t: np.full(len(text), np.log(v.prior / (1 - v.prior))) for t, v in models.items()}
-            for k, (x, a, b) in enumerate(zip(text, lang, source)):
-                (ti, tv), (mi, mv) = text_features(x), meta_features(a, b, len(x))
-                for t, v in models.items():
-                    if v.text is not None:
-                        odds[t][k] = v.log_odds(tv @ v.text[ti] + v.text[-1], mv @ v.meta[mi] + v.meta[-1])
-            q, toxic = (1 / (1 + np.exp(-np.clip(odds[t], -40, 40))) for t in TARGETS)
-            kept = [(c, n) for c, n in zip(batch.columns, names) if n not in (w_text, w_lang, w_source)]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), pa.array(q), pa.array(toxic), pa.array((q >= 0.5) & (toxic < 0.5))], [*(n for _, n in kept), q_col, t_col, ok_col])
+            for part, rows, _ in _featured(batch, w_text, w_lang, w_source):
+                q, toxic = (_probability(models[t].log_odds(rows)) for t in TARGETS)
+                kept = [(c, n) for c, n in zip(part.columns, part.schema.names) if n not in (w_text, w_lang, w_source)]
+                yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), pa.array(q), pa.array(toxic), pa.array((q >= 0.5) & (toxic < 0.5))], [*(n for _, n in kept), q_col, t_col, ok_col])
 
     work = docs.select(*map(named, docs.columns), valid_text(named(text_col)).alias(w_text), named(lang_col).cast("string").alias(w_lang), named(source_col).cast("string").alias(w_source))
     schema = T.StructType([*docs.schema.fields, T.StructField(q_col, T.DoubleType()), T.StructField(t_col, T.DoubleType()), T.StructField(ok_col, T.BooleanType())])
