@@ -8,9 +8,10 @@ adders. The best rows are then selected from the most significant slice of the
 sum downward; rows that tie at the boundary are resolved exactly, by smaller id.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
-rows without an id. Vectors are compared with those of equal length. Of several
-rows with one id the smallest vector counts. An empty table gives no rows; extra
-columns are not read.
+rows without an id. Vectors are compared with those of equal length (empty ones
+score 0 with each other). Of several rows with one id the smallest vector counts.
+Quantised attributes are held within 2**62 and scores within a long. An empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from folioscope.llm.common import cut, named
 
 #: Rows in a block, and queries handled together.
 BLOCK_ROWS, QUERY_ROWS = 1 << 16, 128
+MOST = 1 << 62
 
 INDEX = "dim int, block int, rows int, ids binary, low binary, width binary, slices binary, queries binary, query_ids binary"
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    within = lambda x: F.greatest(F.least(x, F.lit(float(MOST))), F.lit(-float(MOST)))
+    return F.transform(vector, lambda x: F.floor(within(F.lit(float(scale)) * x.cast("double"))))
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -62,8 +65,9 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         x = np.array(pdf["t"].tolist(), np.int64).reshape(len(ids), dim)
         ask = pdf["ask"].to_numpy(bool)
         low = x.min(axis=0) if dim else np.empty(0, np.int64)
-        width = np.array([int(v).bit_length() for v in (x - low).max(axis=0)] if dim else [], np.int64)
-        slices = [_pack(((x[:, j] - low[j])[None, :] >> np.arange(width[j])[:, None]) & 1) for j in range(dim)]
+        over = (x - low).view(np.uint64)  # at most 2**63
+        width = np.array([int(v).bit_length() for v in over.max(axis=0)] if dim else [], np.int64)
+        slices = [_pack(((over[:, j][None, :] >> np.arange(width[j], dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.uint8)) for j in range(dim)]
         packed = np.concatenate([np.empty((0, -(-len(ids) // 64)), np.uint64), *slices])
         return pd.DataFrame([[dim, int(key[1]), len(ids), ids.tobytes(), low.tobytes(), width.tobytes(), packed.tobytes(), x[ask].tobytes(), ids[ask].tobytes()]], columns=[c.split()[0] for c in INDEX.split(", ")])
 
@@ -133,40 +137,60 @@ def _best(query: np.ndarray, own: int, ids: np.ndarray, low: np.ndarray, width:
             equal &= ~digit
     boundary = _unpack(equal, rows)[: max(0, k - count)]  # rows stand by id: the smaller ids win the tie
     chosen = np.concatenate([_unpack(sure, rows), boundary])
-    score = np.full(len(chosen), constant, np.int64)
+    # Beyond 62 digits in whole numbers of any size.
+    large = len(total) > 62 or abs(constant) >= MOST
+    score = np.full(len(chosen), constant, object if large else np.int64)
     for p, digit in enumerate(total):
         if digit is not None:
-            score += ((digit[chosen >> 6] >> (chosen & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << p
-    return chosen, score
+            ones = ((digit[chosen >> 6] >> (chosen & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+            score += (ones.astype(object) if large else ones) * (1 << p)
+    return chosen, np.clip(score, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def search(index: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every query of the index.
 
-    The query set, in blocks, meets every block of rows; what leaves a pair of blocks
-    is k rows a query, and Spark ranks those partially before they are exchanged.
+    The query set, in parts, goes to every block of rows; a block's slices stay together
+    and are sent once (as often as there are shares, where blocks are fewer than cores).
+    What leaves a block is k rows a query, and Spark ranks those partially before they
+    are exchanged.
     """
     index = cut(index)
-    asked = index.where(F.length("query_ids") > 0).select("dim", "queries", "query_ids", F.explode(F.sequence(F.lit(0), ((F.length("query_ids") / 8 - 1) / QUERY_ROWS).cast("int"))).alias("part"))
-    asked = asked.select("dim", F.substring("queries", F.col("part") * QUERY_ROWS * F.col("dim") * 8 + 1, F.lit(QUERY_ROWS) * F.col("dim") * 8).alias("queries"), F.substring("query_ids", F.col("part") * QUERY_ROWS * 8 + 1, F.lit(QUERY_ROWS * 8)).alias("query_ids"))
-    blocks = index.select("dim", "block", "rows", "ids", "low", "width", "slices")
-    # Every part of the queries goes to every block: the numbers of the blocks are the join key.
-    keys = F.broadcast(index.groupBy("dim").agg(F.collect_list("block").alias("blocks")))
-    pairs = asked.join(keys, "dim").select("dim", F.explode("blocks").alias("block"), "queries", "query_ids").join(blocks, ["dim", "block"]).repartition(F.xxhash64("block", "query_ids"))
+    asked = index.where(F.length("query_ids") > 0)
+    last = F.floor((F.length("query_ids") / 8 - 1) / QUERY_ROWS).cast("int")
+    asked = asked.select("dim", F.col("block").alias("source"), "queries", "query_ids", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    asked = asked.select(
+        "dim",
+        "source",
+        "part",
+        F.substring("queries", F.col("part") * QUERY_ROWS * F.col("dim") * 8 + 1, F.lit(QUERY_ROWS) * F.col("dim") * 8).alias("queries"),
+        F.substring("query_ids", F.col("part") * QUERY_ROWS * 8 + 1, F.lit(QUERY_ROWS * 8)).alias("query_ids"),
+    )
+    shares = max(1, -(-index.sparkSession.sparkContext.defaultParallelism // max(1, index.count())))
+    asks = asked.join(index.select("dim", "block"), "dim").select(
+        "dim", "block", F.pmod(F.xxhash64("source", "part"), F.lit(shares)).cast("int").alias("share"), F.lit(1).alias("step"), "queries", "query_ids"
+    )
+    blocks = index.select(
+        "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("step"), "rows", "ids", "low", "width", "slices"
+    )
+    met = blocks.unionByName(asks, allowMissingColumns=True).repartition("dim", "block", "share").sortWithinPartitions("dim", "block", "share", "step")
 
     def best(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                ids, low, width = (np.frombuffer(x, np.int64) for x in (r.ids, r.low, r.width))
-                packed = np.frombuffer(r.slices, np.uint64).reshape(-1, -(-r.rows // 64))
-                ends = np.cumsum([0, *width])
-                slices = [packed[a:b] for a, b in zip(ends, ends[1:])]
-                everyone = _pack(np.ones(r.rows, np.uint8))
-                queries = np.frombuffer(r.queries, np.int64).reshape(-1, r.dim)
-                for own, query in zip(np.frombuffer(r.query_ids, np.int64).tolist(), queries):
-                    chosen, score = _best(query, own, ids, low, width, slices, everyone, k)
-                    yield pd.DataFrame({"query_id": own, "vec_id": ids[chosen], "score": score})
-
-    found = pairs.mapInPandas(best, "query_id long, vec_id long, score long")
+                if r.step == 0:
+                    rows = int(r.rows)
+                    ids, low, width = (np.frombuffer(x, np.int64) for x in (r.ids, r.low, r.width))
+                    packed = np.frombuffer(r.slices, np.uint64).reshape(int(width.sum()), -(-rows // 64))
+                    ends = np.cumsum([0, *width])
+                    slices = [packed[a:b] for a, b in zip(ends, ends[1:])]
+                    everyone = _pack(np.ones(rows, np.uint8))
+                    continue
+                own = np.frombuffer(r.query_ids, np.int64)
+                for query_id, query in zip(own.tolist(), np.frombuffer(r.queries, np.int64).reshape(len(own), r.dim)):
+                    chosen, score = _best(query, query_id, ids, low, width, slices, everyone, k)
+                    yield pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen], "score": score})
+
+    found = met.mapInPandas(best, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
