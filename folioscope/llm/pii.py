@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import fresh, named, valid_text
+from folioscope.llm.common import fresh, let, named, valid_text
 
 
 @dataclass(frozen=True)
@@ -43,25 +43,54 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.base)
 #: Score from which a span of a kind outside the base is reported.
 LEAST_SCORE = 0.5
-#: What context words within so many code points before or after add.
+#: What context words add: within so many code points before or after, up to the next match of the kind.
 CONTEXT_BONUS, BEFORE, AFTER = 0.3, 40, 20
+#: Matches whose lengths are added up at once.
+BLOCK = 64
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 
 
+MATCHES = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """Matches as array<struct<start,end,value>>, leftmost and non-overlapping."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(0))), found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """Matches as array<struct<start,end,value,before,after>>, leftmost and non-overlapping, with the ends of the gaps around them.
+
+    Lengths are added up within blocks and then over blocks, so that no array grows match by match.
+    """
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
+
+    def step(acc: Column, match: Column) -> Column:
+        begin = acc["at"] + match["gap"]
+        end = begin + F.length(match["value"])
+        one = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), match["value"].alias("value"), match["before"].alias("before"), match["after"].alias("after"))
+        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def matches(both: Column) -> Column:
+        gaps = both["gaps"]
+        return F.transform(
+            both["found"],
+            lambda value, i: F.struct(
+                F.length(F.get(gaps, i)).alias("gap"),
+                value.alias("value"),
+                F.right(F.get(gaps, i), F.lit(BEFORE)).alias("before"),
+                F.left(F.get(gaps, i + 1), F.lit(AFTER)).alias("after"),
+            ),
+        )
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + pair["gap"]
-        end = begin + F.length(pair["value"])
-        one = F.array(F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), pair["value"].alias("value")))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], one).alias("out"))
+    def blocks(all_: Column) -> Column:
+        starts = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.aggregate(F.slice(all_, k * BLOCK + 1, BLOCK), empty, step))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def moved(own: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        ends = F.aggregate(own, first, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        shift = lambda v, s: F.struct((v["start"] + s).alias("start"), (v["end"] + s).alias("end"), v["value"].alias("value"), v["before"].alias("before"), v["after"].alias("after"))
+        return F.flatten(F.zip_with(own, ends, lambda x, s: F.transform(x["out"], lambda v: shift(v, s))))
+
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return let(let(let(both, matches), blocks), moved)
 
 
 def luhn(digits: Column) -> Column:
@@ -99,12 +128,8 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
     may = text.contains(kind.guard) if kind.guard else text.rlike("[0-9]{2}" if kind.name == "iban" else "[0-9]")
 
     def told(s: Column) -> Column:
-        around = F.concat(
-            F.substring(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE))),
-            F.lit(" "),
-            F.substring(text, s["end"] + 1, F.lit(AFTER)),
-        )
-        score = F.least(F.lit(kind.score) + F.when(F.lower(around).rlike(rf"\b(?:{kind.context})"), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0)), F.lit(1.0))
+        around = F.lower(F.concat_ws(" ", s["before"], s["after"]))
+        score = F.least(F.lit(kind.score) + F.when(around.rlike(rf"\b(?:{kind.context})"), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0)), F.lit(1.0))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
     good = F.transform(F.filter(_placed(text, kind.pattern), lambda s: _confirmed(kind.name, s["value"])), told)

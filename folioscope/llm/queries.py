@@ -81,6 +81,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(kind.name).alias(f"n_{kind.name}") for kind in pii.KINDS),
         F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
         pii.spans_text(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 1)), ",").alias("scores"),
     )
 
 
