@@ -113,7 +113,7 @@ def test_line_dedup(spark):
     out = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, texts).withColumn("line", F.lit(1))).collect()}
     assert out[0].text == texts[0] and out[0].dropped_lines == 0
     for k in (1, 2, 3):
-        assert out[k].text == f"{body[k]}\nshort" and out[k].dropped_lines == 2
+        assert out[k].text == body[k] and out[k].dropped_lines == 3
     assert out[4].text is None and out[5].text == ""
     assert linededup.dedup_lines(docs(spark, ["x"]).limit(0)).count() == 0
 
@@ -144,7 +144,7 @@ def test_line_dedup_of_leaves_with_several_templates(spark):
 def test_line_dedup_of_tabs(spark):
     line = "node\tdisk\tfull\tagain\ttoday"
     out = linededup.dedup_lines(docs(spark, [f"{line}\na\tb", f"own\n{line}\na\tb"])).orderBy("doc_id").collect()
-    assert [r.text for r in out] == [f"{line}\na\tb", "own\na\tb"]
+    assert [r.text for r in out] == [f"{line}\na\tb", "own"]
 
 
 def test_contained_items(spark):
@@ -153,8 +153,10 @@ def test_contained_items(spark):
     items = [words(n) for n in (5, 6, 9, 14, 30, 60)] + [words(3)]
     texts = [" ".join([*words(n), *i, *words(n)]) for n in (0, 3, 50, 2000) for i in items] + [" ".join(words(300)), None, ""]
     texts += [" ".join([*i[: len(i) * 9 // 10], *words(20)]) for i in items]
-    sets = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-    want = {(d, k) for d, t in enumerate(texts) for k, i in enumerate(items) if sets(i) and len(sets(i) & sets((t or "").split())) >= 0.8 * len(sets(i))}
+    sets = lambda w, n=5: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    shared = lambda i, t: len(sets(i, min(5, len(i))) & sets((t or "").split(), min(5, len(i)))) / len(sets(i, min(5, len(i))))
+    want = {(d, k) for d, t in enumerate(texts) for k, i in enumerate(items) if shared(i, t) >= 0.8}
+    assert {(d, 6) for d in (6, 13, 20, 27)} <= want
     asked = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs(spark, texts).withColumn("p", F.lit(0)), asked).collect()}
     assert got == want and want
