@@ -9,38 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, decontaminate, jaccard, linededup, quality
-from folioscope.llm.common import shared_folder, table
+from folioscope.llm.common import fresh, named, shared_folder, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     models = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, models).where("accepted").select(*docs.columns)
+    out = quality.score(docs, models)
+    return out.where(named(out.columns[-1])).select(*map(named, docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: recurring templates stay in their first document; a document with no other line that is not blank goes."""
     out = linededup.dedup_lines(docs)
-    left = (F.col("dropped_lines") == 0) | F.coalesce(F.col("text").rlike(r"\S"), F.lit(True))
-    return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = (named(out.columns[-1]) == 0) | F.coalesce(F.col("text").rlike(r"\S"), F.lit(True))
+    return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*map(named, docs.columns))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the smallest id of each component stays."""
     classes = jaccard.jaccard_components(docs, width=5, percent=80)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    (own,) = fresh(docs, "gone")
+    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id") == named(own), "left_anti").select(*map(named, docs.columns))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that contain a test item go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*map(named, docs.columns))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids and their number."""
+    (count,) = fresh(docs, "n_tokens")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+    return coded.withColumn(count, F.size(named(coded.columns[-1])).cast("long"))
 
 
 STAGES = [("quality", keep_good), ("line_dedup", drop_lines), ("jaccard", one_of_each), ("decontaminate", keep_clean), ("bpe", tokenise)]
