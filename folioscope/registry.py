@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans import library, queries
+from folioscope.plans import library, queries, store
 
-QUERIES = queries.QUERIES | library.QUERIES
-ORACLES = queries.ORACLES | library.ORACLES
+QUERIES = queries.QUERIES | library.QUERIES | store.QUERIES
+ORACLES = queries.ORACLES | library.ORACLES | store.ORACLES
 FLAGSHIP = "retrieval_ranked_passages"
