@@ -58,3 +58,73 @@ def html_text(html: Column) -> Column:
     for pattern, by in steps:
         html = F.regexp_replace(html, pattern, by)
     return F.trim(html)
+
+
+def snippet(text: Column, terms: Column, before: int = 120, after: int = 360) -> Column:
+    """The text around the first place of any term, from ``before`` characters before it to ``after`` behind, cut at blanks and marked where cut."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    places = F.filter(F.transform(terms, lambda t: F.instr(F.lower(flat), t)), lambda p: p > 0)
+    first = F.coalesce(F.array_min(places), F.lit(1))
+    begin, end = F.greatest(first - before, F.lit(1)), F.least(first + after, F.length(flat) + 1)
+    cut = F.substring(flat, begin, end - begin)
+    # A word cut at either end goes.
+    cut = F.when(begin > 1, F.regexp_replace(cut, r"^[^ ]* ", "")).otherwise(cut)
+    cut = F.when(end <= F.length(flat), F.regexp_replace(cut, r" [^ ]*$", "")).otherwise(cut)
+    return F.concat(F.when(begin > 1, "…").otherwise(""), F.trim(cut), F.when(end <= F.length(flat), "…").otherwise(""))
+
+
+def anchor_segments(text: Column, least: int = 12) -> Column:
+    """Runs up to a sentence mark or line break that have ``least`` characters or more."""
+    found = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+(?:[.!?]+|$|(?=\n))"), F.lit(0))
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: F.length(s) >= least)
+
+
+def markdown_plain(text: Column) -> Column:
+    """Markdown and formulas as plain text."""
+    # Patterns and what they become, in order.
+    steps = [
+        (r"(?s)```.*?```", " "),
+        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"\$+([^$]*)\$+", "$1"),
+        (r"(?m)^\s{0,3}(?:#{1,6}|>|[-*+])\s+", ""),
+        (r"[*_`~]+", ""),
+        (r"\s+", " "),
+    ]
+    for pattern, by in steps:
+        text = F.regexp_replace(text, pattern, by)
+    return F.trim(text)
+
+
+def layer_clean(text: Column) -> Column:
+    """Text of a page's layer: hyphens at line ends joined, ligatures spelled, controls gone."""
+    # Ligatures and their letters.
+    for ligature, letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")):
+        text = F.replace(text, F.lit(ligature), F.lit(letters))
+    text = F.regexp_replace(text, r"[\x02\xAD]\s*|(?<=\p{L})-\n(?=\p{Ll})", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F]", ""), r"\s+", " "))
+
+
+def readable(text: Column, most: float = 0.02) -> Column:
+    """Whether at most a share of the characters are controls, of private use, or replaced ones."""
+    bad = F.length(text) - F.length(F.regexp_replace(text, r"[\p{Cc}\p{Co}\x{FFFD}&&[^\n\t]]", ""))
+    return F.coalesce(bad / F.greatest(F.length(text), F.lit(1)) <= most, F.lit(True))
+
+
+def expanded_numbers(marker: Column, most: int = 100) -> Column:
+    """The numbers of a citation marker such as ``3, 5-7``: ranges up to ``most`` long are spelled out, others keep their ends."""
+
+    def one(part: Column) -> Column:
+        ends = F.transform(F.split(part, r"\s*[-\x{2013}]\s*"), lambda x: F.try_to_number(F.trim(x), F.lit("999999999")).cast("int"))
+        low, high = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0)))
+        whole = low.isNotNull() & (high >= low) & (high - low <= most)
+        return F.when(whole, F.sequence(low, F.greatest(low, high))).otherwise(F.array_compact(F.array(low, high)))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(marker, r"\s*[,;]\s*"), one)))
+
+
+def number_cell(cell: Column) -> tuple[Column, Column]:
+    """Value and unit of a table cell: thousands commas, exponents, and a percent sign or K, M or B as a label that does not scale."""
+    pattern = r"^\s*([+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*([%KMB]?)\s*$"
+    digits, unit = F.regexp_extract(cell, pattern, 1), F.regexp_extract(cell, pattern, 2)
+    return F.when(digits != "", F.regexp_replace(digits, ",", "").try_cast("double")), F.when(digits != "", unit)
