@@ -20,8 +20,8 @@ def tokens(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams without white space."""
     bare = F.regexp_replace(F.lower(text), r"\s+", "")
-    bound = F.transform(F.array(bare), lambda s: F.when(F.length(s) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.get(bound, F.lit(0)))
+    # Each place looks ahead at three characters.
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def overlap(a: Column, b: Column) -> Column:

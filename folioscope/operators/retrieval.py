@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 
+# What the parts of a passage's score count, and from where a passage is kept.
+PHRASE, LEXICAL, COVERAGE, SIMILAR = 12.0, 2, 4, 3
+LEAST_COVERAGE, LEAST_SIMILAR = 0.34, 0.1
+# What a confident match has, and its lead.
+CONFIDENT, LEAD = 0.4, 0.04
+
 
 def index_chunks(docs: DataFrame) -> DataFrame:
     """(page, chunk, text) of every chunk of every document."""
@@ -16,8 +22,8 @@ def index_chunks(docs: DataFrame) -> DataFrame:
 def ranked_passages(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFrame:
     """The best passages of each query (item_id, text): phrase, TF-IDF, coverage and trigram scores added up.
 
-    Token matches come from a join on tokens, so that only what a query asks for is
-    exchanged; trigrams and phrases are compared for the stated query set against all chunks.
+    Tokens and trigrams of the chunks meet those of the queries by equality, and what
+    they share is counted; a phrase is looked for only where all its trigrams are.
     """
     chunk = index_chunks(docs)
     key = ["page", "chunk"]
@@ -25,25 +31,42 @@ def ranked_passages(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFram
     query = asked.select("item_id", X.normalised(F.col("text")).alias("phrase"), X.tokens(F.col("text")).alias("words"), X.trigrams(F.col("text")).alias("grams"))
     query = query.where(F.size("words") > 0)
     # Repeated query words count as often as they are asked.
-    words = query.select("item_id", F.explode("words").alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
+    words = query.select("item_id", F.size("words").alias("asked"), F.explode("words").alias("token")).groupBy("item_id", "asked", "token").agg(F.count("*").alias("times"))
     total = chunk.agg(F.count("*").alias("chunks"))
     asked_tokens = counts.join(words.select("token").distinct(), "token")
     df = asked_tokens.groupBy("token").agg(F.count("*").alias("df"))
-    weights = words.join(df, "token").crossJoin(total).select("item_id", "token", "times", (F.log((F.col("chunks") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    lexical = asked_tokens.join(weights, "token").groupBy("item_id", *key).agg(F.sum(F.col("times") * (1 + F.log("tf")) * F.col("idf")).alias("lexical"), F.sum("times").alias("matched"))
-    grams = chunk.select(*key, X.normalised(F.col("text")).alias("own"), X.trigrams(F.col("text")).alias("own_grams"))
-    pairs = grams.crossJoin(query.select("item_id", "phrase", "grams", F.size("words").alias("asked")))
-    pairs = pairs.select("item_id", *key, "asked", F.when(F.col("own").contains(F.col("phrase")), 12).otherwise(0).alias("phrase"), X.overlap(F.col("grams"), F.col("own_grams")).alias("similar"))
-    scored = pairs.join(lexical, ["item_id", *key], "left").select("item_id", *key, "phrase", "similar", F.coalesce(F.col("matched") / F.col("asked"), F.lit(0.0)).alias("coverage"), F.coalesce("lexical", F.lit(0.0)).alias("lexical"))
-    kept = scored.where((F.col("phrase") > 0) | (F.col("coverage") >= 0.34) | (F.col("similar") >= 0.1))
-    kept = kept.withColumn("score", F.round(F.col("phrase") + 2 * F.col("lexical") + 4 * F.col("coverage") + 3 * F.col("similar"), 9))
+    weights = words.join(df, "token").crossJoin(total).select("item_id", "asked", "token", "times", (F.log((F.col("chunks") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    lexical = asked_tokens.join(weights, "token").groupBy("item_id", *key).agg(
+        F.sum(F.col("times") * (1 + F.log("tf")) * F.col("idf")).alias("lexical"), (F.sum("times") / F.first("asked")).alias("coverage")
+    )
+
+    own = chunk.select(*key, X.trigrams(F.col("text")).alias("own")).select(*key, F.size("own").alias("n"), F.explode("own").alias("gram"))
+    wanted = query.select("item_id", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
+    # Several queries ask for one trigram: they come along as a list, so that a chunk's trigram is joined once.
+    lists = wanted.groupBy("gram").agg(F.collect_list(F.struct("item_id", "m")).alias("items"))
+    met = own.join(lists, "gram").select(*key, "n", F.explode("items").alias("x")).groupBy("x.item_id", "x.m", *key, "n").agg(F.count("*").alias("shared"))
+    similar = met.select("item_id", *key, (F.col("shared") / F.greatest("n", "m")).alias("similar"), (F.col("shared") == F.col("m")).alias("whole"))
+
+    pairs = query.where(F.size("grams") == 0).select("item_id", F.col("phrase").alias("pair"))  # a phrase of one pair of letters
+    letters = chunk.select(*key, X.normalised(F.col("text")).alias("t"))
+    letters = letters.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(..))"), F.lit(1)))).alias("pair"))
+    held = letters.join(F.broadcast(pairs) if pairs.isEmpty() else pairs, "pair").select("item_id", *key)
+    likely = similar.where("whole").select("item_id", *key).join(query.select("item_id", "phrase"), "item_id")
+    phrases = likely.join(chunk, key).where(X.normalised(F.col("text")).contains(F.col("phrase"))).select("item_id", *key).union(held)
+
+    zero = F.lit(0.0)
+    parts = lexical.select("item_id", *key, "lexical", "coverage", zero.alias("similar"), zero.alias("phrase"))
+    parts = parts.union(similar.select("item_id", *key, zero, zero, "similar", zero)).union(phrases.select("item_id", *key, zero, zero, zero, F.lit(PHRASE)))
+    scored = parts.groupBy("item_id", *key).agg(*(F.sum(c).alias(c) for c in ("lexical", "coverage", "similar", "phrase")))
+    kept = scored.where((F.col("phrase") > 0) | (F.col("coverage") >= LEAST_COVERAGE) | (F.col("similar") >= LEAST_SIMILAR))
+    kept = kept.withColumn("score", F.round(F.col("phrase") + LEXICAL * F.col("lexical") + COVERAGE * F.col("coverage") + SIMILAR * F.col("similar"), 9))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "page", "chunk")
     best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     first = F.first("score").over(order)
     return best.select("item_id", "rank", "page", "chunk", F.round("score", 4).alias("score"), F.floor(F.col("score") / first * 100 + 0.5).alias("relevance"))
 
 
-def confident_matches(vectors: DataFrame, floor: float = 0.4, lead: float = 0.04) -> DataFrame:
+def confident_matches(vectors: DataFrame, floor: float = CONFIDENT, lead: float = LEAD) -> DataFrame:
     """The nearest other vector of each asking one (ids divisible by 100), if it is near enough and ahead of the next."""
     unit = F.transform("embedding", lambda x: x.cast("double"))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
