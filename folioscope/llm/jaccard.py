@@ -25,7 +25,6 @@ one document with the links of all. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +32,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.blobs import pack, unpack
 from folioscope.llm.common import cut, named, valid_text, written
 from folioscope.llm.components import components
 from folioscope.llm.words import BYTE, mix, word_hashes
 
 #: Documents that a part of a group holds, about.
 PART_DOCS = 96
-#: Ids up to which a table of them is broadcast (16 bytes each and overhead); beyond, Spark joins by shuffle.
+#: Ids or tokens up to which a table of them is broadcast (some 24 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Buckets of the count sketch, as a power of two, and the pieces it is summed in.
-SKETCH_BITS, SKETCH_PIECES = 20, 64
+#: Counters of the count sketch, as a power of two (a byte each when it is sent to the tasks), and the pieces it is summed in.
+SKETCH_BITS, SKETCH_PIECES = 24, 64
 MINHASHES = 3
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -78,7 +78,8 @@ class Sets:
 
 
 def _facts(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, same, keys) of each document, and pieces of the count sketch (piece, counts)."""
+    """(id, n, same, keys) of each document, and pieces of the count sketch (piece, places, counts)."""
+    names = ["id", "n", "same", "keys", "piece", "places", "counts"]
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -86,35 +87,35 @@ def _facts(docs: DataFrame, width: int) -> DataFrame:
             rows = []
             for id_, text in zip(pdf["id"], pdf["text"]):
                 tokens = shingles(word_hashes(text), width)
-                sketch += np.bincount(tokens & np.uint64(len(sketch) - 1), minlength=len(sketch)).astype(np.uint32) if len(tokens) > 50_000 else 0
-                if len(tokens) <= 50_000:
-                    np.add.at(sketch, (tokens & np.uint64(len(sketch) - 1)).view(np.int64), np.uint32(1))
+                np.add.at(sketch, (tokens & np.uint64(len(sketch) - 1)).view(np.int64), np.uint32(1))
                 same = hashlib.sha256(b" ".join(text.encode().lower().split())).digest()
                 keys = [int(mix(tokens ^ BYTE[40 + k]).min().view(np.int64)) for k in range(MINHASHES)] if len(tokens) else []
-                rows.append((id_, len(tokens), same, keys, None, None))
-            yield pd.DataFrame(rows, columns=["id", "n", "same", "keys", "piece", "counts"]).astype({"id": "Int64", "piece": "Int32"})
+                rows.append((id_, len(tokens), same, keys, None, None, None))
+            yield pd.DataFrame(rows, columns=names).astype({"id": "Int64", "piece": "Int32"})
         for piece, counts in enumerate(sketch.reshape(SKETCH_PIECES, -1)):
-            if counts.any():
-                yield pd.DataFrame({"id": None, "n": 0, "same": None, "keys": None, "piece": piece, "counts": [zlib.compress(counts.tobytes(), 1)]}).astype({"id": "Int64"})
+            places = np.flatnonzero(counts).astype(np.uint32)
+            if len(places):
+                yield pd.DataFrame([(None, 0, None, None, piece, pack(places), pack(counts[places]))], columns=names).astype({"id": "Int64"})
 
-    return docs.mapInPandas(run, "id long, n long, same binary, keys array<long>, piece int, counts binary")
+    return docs.mapInPandas(run, "id long, n long, same binary, keys array<long>, piece int, places binary, counts binary")
 
 
 def _sketch(pieces: DataFrame) -> np.ndarray:
-    """The whole sketch: 2**SKETCH_BITS counters, whatever the corpus."""
+    """Classes of the counters' sums, eight for each doubling: a byte for each of 2**SKETCH_BITS, whatever the corpus."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for piece, counts in zip(pdf["piece"], pdf["counts"]):
-                own = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
-                total[piece] = total[piece] + own if piece in total else own
+            for piece, places, counts in zip(pdf["piece"], pdf["places"], pdf["counts"]):
+                own = total.setdefault(piece, np.zeros((1 << SKETCH_BITS) // SKETCH_PIECES, np.int64))
+                own[unpack(places, np.uint32)] += unpack(counts, np.uint32)
         for piece, counts in total.items():
-            yield pd.DataFrame({"piece": [piece], "counts": [counts.tobytes()]})
+            classes = np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
+            yield pd.DataFrame({"piece": [piece], "counts": [classes.tobytes()]})
 
-    out = np.zeros((SKETCH_PIECES, (1 << SKETCH_BITS) // SKETCH_PIECES), np.uint64)
+    out = np.zeros((SKETCH_PIECES, (1 << SKETCH_BITS) // SKETCH_PIECES), np.uint8)
     for row in pieces.repartition(SKETCH_PIECES, "piece").mapInPandas(run, "piece int, counts binary").collect():
-        out[row.piece] = np.frombuffer(row.counts, np.uint64)
+        out[row.piece] = np.frombuffer(row.counts, np.uint8)
     return out.reshape(-1)
 
 
@@ -147,8 +148,8 @@ def _buckets(reps: DataFrame) -> DataFrame:
 def _links_in_buckets(docs: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links inside the parts of buckets: at most one fewer than a part's documents."""
     parts = buckets.select("id", F.xxhash64("slot", "key", F.pmod(F.xxhash64("id", "slot"), F.ceil(F.col("docs") / PART_DOCS))).alias("part"))
-    parts = cut(parts.groupBy("id").agg(F.collect_set("part").alias("parts")))
-    members = _with_small(docs, parts, "id", parts.count()).select("id", "text", F.explode("parts").alias("part"))
+    parts = cut(parts.distinct())
+    members = _with_small(docs, parts, "id", parts.count()).select("id", "text", "part")
 
     def run(batches):
         found = []
@@ -198,25 +199,24 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: i
     def run(batches):
         counts = order.value
         for pdf in batches:
-            tokens, ids, groups, sizes = [np.empty(0, np.uint64)], [], [], []
-            for id_, group, text in zip(pdf["id"], pdf["grp"], pdf["text"]):
+            tokens, ids = [np.empty(0, np.uint64)], []
+            for id_, text in zip(pdf["id"], pdf["text"]):
                 own = shingles(word_hashes(text), width)
                 n = len(own)
                 own = own[np.lexsort((own, counts[own & np.uint64(len(counts) - 1)]))[: n + (-percent * n // 100) + 1]]
                 tokens.append(own)
                 ids.append(np.full(len(own), id_))
-                groups.append(np.full(len(own), group))
-                sizes.append(np.full(len(own), n, np.int32))
             if ids:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids), "grp": np.concatenate(groups), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids)})
 
-    held = roles.select(F.col("rep").alias("id"), "grp")
-    rows = _with_small(docs, held, "id", roles.count()).mapInPandas(run, "token long, id long, grp long, n int")
+    held = roles.select(F.col("rep").alias("id"))
+    rows = _with_small(docs, held, "id", roles.count()).mapInPandas(run, "token long, id long")
     rows = written(rows)  # read twice
-    spread = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    shared = rows.join(spread, "token")
-    sizes = roles.select("grp", "docs").distinct()
-    shared = cut(shared.join(sizes, "grp"))
+    # Most tokens are in one document alone and go at once; what is left learns its groups.
+    several = cut(rows.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token"))
+    shared = cut(_with_small(rows, several, "token", several.count()).join(roles.select(F.col("rep").alias("id"), "grp", "n", "docs"), "id"))
+    spread = shared.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    shared = cut(shared.join(spread, "token"))
     matrix = shared.groupBy("token", F.col("grp").alias("other"), F.col("docs").alias("others")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     # Of two groups the one with fewer documents asks the other.
     fits = (F.struct("docs", "grp") < F.struct("others", "other")) & (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
@@ -269,7 +269,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     facts = cut(_facts(docs, width))
     rows = facts.where("piece is null").select("id", "n", "same", "keys")
     reps = cut(rows.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    sketch = _sketch(facts.where("piece is not null").select("piece", "counts"))
+    sketch = _sketch(facts.where("piece is not null").select("piece", "places", "counts"))
 
     buckets = _buckets(reps)
     near = components(_links_in_buckets(docs, buckets, width, percent))

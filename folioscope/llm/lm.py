@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import ctw
+from folioscope.llm.blobs import pack, squeezed, unpack, whole
 from folioscope.llm.common import named, valid_text, written
 from folioscope.llm.words import hashed_words
 
@@ -48,8 +49,6 @@ PIECE_KEYS = 1 << 18
 #: What a blob holds.
 GRAMS, WORDS = 0, 1
 
-_ZSTD = pa.Codec("zstd", 3)
-
 COUNTED_DDL = (
     "chunk long, what int, bucket int, keys binary, counts binary, "
     "ids array<long>, missing array<boolean>, held array<boolean>, sizes array<int>, texts binary, trained long"
@@ -67,27 +66,6 @@ def is_held_out(id_: Column) -> Column:
     return F.crc32(id_.cast("string")) % 7 == 2
 
 
-def _squeezed(data: bytes) -> bytes:
-    return _ZSTD.compress(data, asbytes=True)
-
-
-def _whole(data: bytes, size: int) -> bytes:
-    return _ZSTD.decompress(data, decompressed_size=size, asbytes=True) if size else b""
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Values of one type, byte by byte of their places in memory, compressed."""
-    size = values.dtype.itemsize
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T.tobytes()
-    return len(values).to_bytes(8, "little") + _squeezed(planes)
-
-
-def _unpack(blob: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(_whole(blob[8:], n * size), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
-
-
 def _rounded(logs: np.ndarray) -> np.ndarray:
     """As 32-bit floats whose fraction has 9 bits, which pack well."""
     bits = logs.astype(np.float32).view(np.uint32)
@@ -160,7 +138,7 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
             at = [b for b in range(first, min(first + 64, buckets)) if ends[b] < ends[b + 1]]
             spans = [slice(ends[b], ends[b + 1]) for b in at]
             if at:
-                yield _batch(COUNTED, chunk=[chunk] * len(at), what=[what] * len(at), bucket=at, keys=[_pack(keys[x]) for x in spans], counts=[_pack(n[x]) for x in spans])
+                yield _batch(COUNTED, chunk=[chunk] * len(at), what=[what] * len(at), bucket=at, keys=[pack(keys[x]) for x in spans], counts=[pack(n[x]) for x in spans])
 
     def run(batches):
         counts, size, chunk = {GRAMS: _Counts(), WORDS: _Counts()}, 0, 0
@@ -177,7 +155,7 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
                     counts[what].add(keys, np.zeros(len(n), np.uint32) if out else n.astype(np.uint32))
             names = {"ids": "id", "missing": "missing", "held": "held"}
             packed = {c: pa.ListArray.from_arrays([0, len(texts)], part[own]) for c, own in names.items()}
-            yield _batch(COUNTED, chunk=[chunk], **packed, sizes=[[len(t) for t in texts]], texts=[_squeezed(b"".join(texts))], trained=[held.count(False)])
+            yield _batch(COUNTED, chunk=[chunk], **packed, sizes=[[len(t) for t in texts]], texts=[squeezed(b"".join(texts))], trained=[held.count(False)])
             size += sum(map(len, texts)) + len(texts)
             if size >= CHUNK_BYTES:
                 for what, own in counts.items():
@@ -199,7 +177,7 @@ def _build(counted: DataFrame) -> DataFrame:
         place = starts // PIECE_KEYS
         cuts = [*starts[np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))], len(keys)]
         for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            yield _rows(BUILT, kind=[0], bucket=[bucket], piece=[piece], keys=[_pack(keys[a:b])], counts=[_pack(n[a:b])])
+            yield _rows(BUILT, kind=[0], bucket=[bucket], piece=[piece], keys=[pack(keys[a:b])], counts=[pack(n[a:b])])
             top, total, weights = ctw.Segment(keys[a:b], n[a:b], ctw.DEPTH - LEAD).top()
             nearest = (top >> np.uint64(8 * LEAD)).astype(np.int64)
             ends = np.flatnonzero(np.diff(nearest, prepend=-1, append=-1))
@@ -210,9 +188,9 @@ def _build(counted: DataFrame) -> DataFrame:
                 bucket=[bucket] * len(spans),
                 piece=[piece] * len(spans),
                 nearest=[int(nearest[c]) for c, _ in spans],
-                keys=[_pack(top[c:d]) for c, d in spans],
-                counts=[_pack(total[c:d]) for c, d in spans],
-                weights=[_pack(weights[:, c:d].reshape(-1)) for c, d in spans],
+                keys=[pack(top[c:d]) for c, d in spans],
+                counts=[pack(total[c:d]) for c, d in spans],
+                weights=[pack(weights[:, c:d].reshape(-1)) for c, d in spans],
             )
 
     def told(bucket: int, what: int, counts: _Counts) -> Iterator[pd.DataFrame]:
@@ -220,7 +198,7 @@ def _build(counted: DataFrame) -> DataFrame:
             yield from pieces(bucket, counts)
         else:
             keys, n = counts.all()
-            yield _rows(BUILT, kind=[2], bucket=[bucket], keys=[_pack(keys)], counts=[_pack(n)], total=[int(n.sum())], known=[int((n > 0).sum())])
+            yield _rows(BUILT, kind=[2], bucket=[bucket], keys=[pack(keys)], counts=[pack(n)], total=[int(n.sum())], known=[int((n > 0).sum())])
 
     def run(batches):
         own, counts = None, _Counts()
@@ -230,7 +208,7 @@ def _build(counted: DataFrame) -> DataFrame:
                     if own is not None:
                         yield from told(*own, counts)
                     own, counts = (r.bucket, r.what), _Counts()
-                counts.add(_unpack(r.keys, np.uint64), _unpack(r.counts, np.uint32).astype(np.int64))
+                counts.add(unpack(r.keys, np.uint64), unpack(r.counts, np.uint32).astype(np.int64))
         if own is not None:
             yield from told(*own, counts)
 
@@ -240,12 +218,12 @@ def _build(counted: DataFrame) -> DataFrame:
 
 def _tops(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, counts and weights told by several pieces, sorted, and the row that each key is from."""
-    keys = [_unpack(k, np.uint64) for k in pdf["keys"]]
+    keys = [unpack(k, np.uint64) for k in pdf["keys"]]
     source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     keys = np.concatenate(keys)
     order = np.argsort(keys)
-    counts = np.concatenate([_unpack(n, np.int64) for n in pdf["counts"]])
-    weights = np.concatenate([_unpack(w, np.float64).reshape(8, -1) for w in pdf["weights"]], axis=1)
+    counts = np.concatenate([unpack(n, np.int64) for n in pdf["counts"]])
+    weights = np.concatenate([unpack(w, np.float64).reshape(8, -1) for w in pdf["weights"]], axis=1)
     return keys[order], counts[order], weights[:, order], source[order]
 
 
@@ -256,7 +234,7 @@ def _arrivals(built: DataFrame) -> DataFrame:
     def up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts, weights, _ = _tops(pdf)
         keys, counts, weights = ctw.Segment(keys, counts, LEAD - 1, weights).top()
-        return pd.DataFrame({"nearest": [key[0]], "keys": [_pack(keys)], "counts": [_pack(counts)], "weights": [_pack(weights.reshape(-1))]})
+        return pd.DataFrame({"nearest": [key[0]], "keys": [pack(keys)], "counts": [pack(counts)], "weights": [pack(weights.reshape(-1))]})
 
     # One row of at most 256 keys for each of at most 256 bytes.
     rows = told.groupBy("nearest").applyInPandas(up, "nearest int, keys binary, counts binary, weights binary").toPandas()
@@ -270,7 +248,7 @@ def _arrivals(built: DataFrame) -> DataFrame:
     def down(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts, weights, source = _tops(pdf)
         arrived = ctw.Segment(keys, counts, LEAD - 1, weights).arrive(shared.value[int(key[0])])
-        above = [_pack(arrived[:, :, source == k].reshape(-1)) for k in range(len(pdf))]
+        above = [pack(arrived[:, :, source == k].reshape(-1)) for k in range(len(pdf))]
         return pd.DataFrame({"bucket": pdf["bucket"], "piece": pdf["piece"], "nearest": int(key[0]), "above": above})
 
     return told.groupBy("nearest").applyInPandas(down, "bucket int, piece int, nearest int, above binary")
@@ -293,18 +271,18 @@ def _answers(counted: DataFrame, built: DataFrame, arrivals: DataFrame) -> DataF
                 if (r.bucket, r.what) != bucket:
                     bucket, above, keys, values = (r.bucket, r.what), {}, [], []
                 if r.step == 0:
-                    above.setdefault(r.piece, []).append(_unpack(r.blob, np.float64).reshape(8, 3, -1))
+                    above.setdefault(r.piece, []).append(unpack(r.blob, np.float64).reshape(8, 3, -1))
                 elif r.step == 1:
-                    keys.append(_unpack(r.blob, np.uint64))
-                    counts = _unpack(r.counts, np.int64)
+                    keys.append(unpack(r.blob, np.uint64))
+                    counts = unpack(r.counts, np.int64)
                     # Arrivals stand by nearest byte, in the order of the segment's highest level.
                     grams = r.what == GRAMS
                     values.append(_rounded(ctw.Segment(keys[-1], counts, ctw.DEPTH - LEAD).logs(np.concatenate(above.pop(r.piece), axis=2))) if grams else counts)
                 else:
                     if len(keys) > 1:
                         keys, values = [np.concatenate(keys)], [np.concatenate(values)]
-                    own = values[0][np.searchsorted(keys[0], _unpack(r.blob, np.uint64))]
-                    yield pd.DataFrame({"chunk": [r.chunk], "what": [r.what], "keys": [r.blob], "values": [_pack(own)]})
+                    own = values[0][np.searchsorted(keys[0], unpack(r.blob, np.uint64))]
+                    yield pd.DataFrame({"chunk": [r.chunk], "what": [r.what], "keys": [r.blob], "values": [pack(own)]})
 
     return met.mapInPandas(run, "chunk long, what int, keys binary, values binary")
 
@@ -322,9 +300,9 @@ class _Looked:
         if self.table is None:
             sizes = [int.from_bytes(k[:8], "little") for k, _ in self.blobs]
             ends = np.cumsum([0, *sizes])
-            self.values = np.concatenate([np.empty(0, self.kind), *(_unpack(v, self.kind) for _, v in self.blobs)])
+            self.values = np.concatenate([np.empty(0, self.kind), *(unpack(v, self.kind) for _, v in self.blobs)])
             blobs = [k for k, _ in self.blobs]
-            places = lambda: ((_unpack(k, np.uint64), np.arange(a, b, dtype=np.uint64)) for k, a, b in zip(blobs, ends, ends[1:]))
+            places = lambda: ((unpack(k, np.uint64), np.arange(a, b, dtype=np.uint64)) for k, a, b in zip(blobs, ends, ends[1:]))
             self.table, self.blobs = ctw.Table(int(ends[-1]), places), []
         return self.values[self.table.get(keys)]
 
@@ -366,8 +344,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
                     looked[what].add(r["keys"].as_py(), r["values"].as_py())
                     continue
                 edges = np.cumsum([0, *r["sizes"].values.to_numpy()])
-                whole = _whole(r["texts"].as_buffer(), int(edges[-1]))
-                texts = [whole[a:b] for a, b in zip(edges, edges[1:])]
+                data = whole(r["texts"].as_buffer(), int(edges[-1]))
+                texts = [data[a:b] for a, b in zip(edges, edges[1:])]
                 logs = looked[GRAMS].of(ctw.grams(texts)).astype(np.float64)
                 hashes, owner = _words(texts)
                 seen = looked[WORDS].of(hashes)
