@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans import library, queries, scalars, store
+from folioscope.plans import graphs, library, queries, scalars, store
 
-QUERIES = queries.QUERIES | library.QUERIES | store.QUERIES | scalars.QUERIES
-ORACLES = queries.ORACLES | library.ORACLES | store.ORACLES | scalars.ORACLES
+QUERIES = queries.QUERIES | library.QUERIES | store.QUERIES | scalars.QUERIES | graphs.QUERIES
+ORACLES = queries.ORACLES | library.ORACLES | store.ORACLES | scalars.ORACLES | graphs.ORACLES
 FLAGSHIP = "retrieval_ranked_passages"
