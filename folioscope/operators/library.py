@@ -16,9 +16,11 @@ def prefix_search(docs: DataFrame, asked: DataFrame, most: int = 100) -> DataFra
     terms = asked.select("query", F.explode(F.array_distinct("terms")).alias("term"))
     needed = terms.groupBy("query").agg(F.count("*").alias("needed"))
     postings = docs.select("page", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
-    head = lambda c: F.substring(c, 1, 2).alias("head")  # noqa: E731  terms have two letters or more
-    vocabulary = postings.select("token").distinct().select("token", head("token"))
-    known = vocabulary.join(terms.select("term", head("term")).distinct(), "head").where(F.startswith("token", "term")).select("token", "term")
+    # A token meets a term by its beginnings of the lengths that terms have.
+    lengths = terms.agg(F.collect_set(F.length("term")).alias("lengths"))
+    vocabulary = postings.select("token").distinct().crossJoin(F.broadcast(lengths))  # one row
+    starts = F.transform(F.filter("lengths", lambda n: n <= F.length("token")), lambda n: F.substring("token", F.lit(1), n))
+    known = vocabulary.select("token", F.explode(starts).alias("term")).join(terms.select("term").distinct(), "term")
     found = postings.join(known, "token").select("page", "term").distinct()
     hits = found.join(terms, "term").groupBy("query", "page").agg(F.count("*").alias("held")).join(needed, "query").where("held = needed")
     # Spark keeps the first rows of each partition before the exchange.

@@ -71,7 +71,7 @@ def extrema(rows: DataFrame, by: str, value: str, label: str) -> DataFrame:
     """Largest and smallest value of groups with two or more, with the label of each; the first label wins ties."""
     known = rows.where(F.col(value).isNotNull())
     out = known.groupBy(by).agg(
-        F.count("*").alias("values"), F.max(value).alias("largest"), F.max_by(label, F.struct(F.col(value), -F.col(label))).alias("largest_at"),
+        F.count("*").alias("values"), F.max(value).alias("largest"), F.min_by(label, F.struct(-F.col(value), F.col(label))).alias("largest_at"),
         F.min(value).alias("smallest"), F.min_by(label, F.struct(value, label)).alias("smallest_at"),
     )
     return out.where("values >= 2")

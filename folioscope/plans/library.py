@@ -13,7 +13,7 @@ STATES = {"P": 0, "O": 1, "F": 2}
 
 
 def document_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.slice(X.tokens(F.col("text")), 1, 3).alias("terms"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), X.tokens(F.col("text")).alias("terms"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "text")
     return library.prefix_search(docs, asked)
 
@@ -73,7 +73,7 @@ _TOKENS = r"regexp_extract_all(trim(regexp_replace(lower(text), '\s+', ' ', 'g')
 _CELL = "case when regexp_matches({0}, '[\",\\n\\r]') then '\"' || replace({0}, '\"', '\"\"') || '\"' else {0} end"
 
 ORACLES = {
-    "document_prefix_search": f"""with t as (select item_id, unnest(list_distinct(list_slice({_TOKENS}, 1, 3))) term from benchmark),
+    "document_prefix_search": f"""with t as (select item_id, unnest(list_distinct({_TOKENS})) term from benchmark),
 d as (select doc_id, unnest(list_distinct({_TOKENS})) token from documents),
 k as (select distinct item_id, term, doc_id from (select distinct term from t) join (select distinct token from d) on starts_with(token, term) join d using (token) join t using (term)),
 n as (select item_id, count(*) needed from t group by item_id),

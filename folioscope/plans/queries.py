@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.operators import records, retrieval
+from folioscope.operators import ordered, records, retrieval, store
 from folioscope.sources.tables import table
 
 
@@ -79,22 +79,26 @@ def part_price_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantity_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    disc = lambda p, c: F.expr(f"percentile_disc({p}) within group (order by {c})")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(disc(0.5, "l_extendedprice").alias("p50"), disc(0.95, "l_extendedprice").alias("p95"))
+    rank = lambda p: lambda n: F.ceil(n * p)
+    return ordered.ranked_values(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", {"p50": rank(0.5), "p95": rank(0.95)})
 
 
 def customer_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top"), F.count("*").alias("n"))
     customers = table(spark, sf_dir, "customer")
-    # A ranked list is a bounded report: its first hundred.
-    ranked = lambda df, c: df.orderBy(F.desc(c), "c_custkey").limit(100).withColumn("position", F.row_number().over(Window.orderBy(F.desc(c), "c_custkey")) - 1)
-    return records.fused_ranks([(ranked(orders, "top"), 1.2), (ranked(orders, "n"), 1.0), (ranked(customers, "c_acctbal"), 0.6)], "c_custkey")
+    place = lambda df, c: store.ranked(df.select("c_custkey", c), c, "c_custkey").withColumn("position", F.col("place") - 1)
+    return records.fused_ranks([(place(orders, "top"), 1.2), (place(orders, "n"), 1.0), (place(customers, "c_acctbal"), 0.6)], "c_custkey")
 
 
 def part_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    return joined.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.array_join(F.slice(F.array_sort(F.collect_set("l_orderkey")), 1, 5).cast("array<string>"), ",").alias("first_orders"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey").distinct()
+    joined = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    counts = joined.groupBy("p_partkey").agg(F.count("*").alias("orders"), F.count_distinct("o_custkey").alias("customers"))
+    # Spark keeps the first rows of each partition before the exchange: what is gathered is five keys a part.
+    place = F.row_number().over(Window.partitionBy("p_partkey").orderBy("l_orderkey"))
+    first = joined.select("p_partkey", "l_orderkey").withColumn("place", place).where("place <= 5").groupBy("p_partkey")
+    first = first.agg(F.array_join(F.array_sort(F.collect_list("l_orderkey")).cast("array<string>"), ",").alias("first_orders"))
+    return counts.join(first, "p_partkey")
 
 
 def document_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +173,7 @@ select *, score >= 0.4 and coalesce(score - next_score >= 0.04, true) confident
     "orders_three_way_merge": f"with {_VERSIONS} select b.o_orderkey, {_merged('o_orderstatus')}, {_merged('o_orderpriority')}, concat_ws(',', {_clash('o_orderstatus')}, {_clash('o_orderpriority')}) conflicts from base b left join cur c on c.o_orderkey = b.o_orderkey left join inc i on i.o_orderkey = b.o_orderkey where not ((c.o_orderkey is null and (i.o_orderkey is null or (i.o_orderstatus = b.o_orderstatus and i.o_orderpriority = b.o_orderpriority))) or (i.o_orderkey is null and c.o_orderstatus = b.o_orderstatus and c.o_orderpriority = b.o_orderpriority))",
     "part_price_extrema": "select p_brand, count(*) \"values\", max(p_retailprice) largest, (list(p_partkey order by p_retailprice desc, p_partkey))[1] largest_at, min(p_retailprice) smallest, (list(p_partkey order by p_retailprice, p_partkey))[1] smallest_at from part where p_retailprice is not null group by p_brand having count(*) >= 2",
     "quantity_nearest_rank": "select l_returnflag, percentile_disc(0.5) within group (order by l_extendedprice) p50, percentile_disc(0.95) within group (order by l_extendedprice) p95 from lineitem group by l_returnflag",
-    "customer_rank_fusion": "with o as (select o_custkey c_custkey, max(o_totalprice) top, count(*) n from orders group by 1), l as (select c_custkey, 1.2 w, row_number() over (order by top desc, c_custkey) - 1 p from o union all select c_custkey, 1.0, row_number() over (order by n desc, c_custkey) - 1 from o union all select c_custkey, 0.6, row_number() over (order by c_acctbal desc, c_custkey) - 1 from customer) select c_custkey, round(sum(cast(w as double) / (8 + p)), 9) fused, count(*) lists from l where p < 100 group by c_custkey",
+    "customer_rank_fusion": "with o as (select o_custkey c_custkey, max(o_totalprice) top, count(*) n from orders group by 1), l as (select c_custkey, 1.2 w, row_number() over (order by top desc, c_custkey) - 1 p from o union all select c_custkey, 1.0, row_number() over (order by n desc, c_custkey) - 1 from o union all select c_custkey, 0.6, row_number() over (order by c_acctbal desc, c_custkey) - 1 from customer) select c_custkey, round(sum(cast(w as double) / (8 + p)), 9) fused, count(*) lists from l group by c_custkey",
     "part_backlinks": "select l_partkey p_partkey, count(distinct o_orderkey) orders, count(distinct o_custkey) customers, list_aggregate(list_slice(list_sort(list(distinct l_orderkey)), 1, 5), 'string_agg', ',') first_orders from lineitem join orders on l_orderkey = o_orderkey group by l_partkey",
     "document_kind_counts": "select source, lang, count(*) documents, cast(sum(length(text)) as bigint) chars from documents group by source, lang",
     "conversation_text": "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn, role, text) whole, count(*) turns from conversations group by conv_id",
