@@ -29,7 +29,7 @@ def parsed_front_matter(note: Column) -> tuple[Column, Column, Column]:
     pattern = r"(?s)\A---\n(.*?)\n---\n(.*)\z"
     head, body = F.regexp_extract(note, pattern, 1), F.regexp_extract(note, pattern, 2)
     has = note.rlike(pattern)
-    fault = F.when(~has, "missing").when(F.try_parse_json(head).isNull() | ~head.startswith("{"), "malformed")
+    fault = F.when(note.isNull(), F.lit(None).cast("string")).when(~has, "missing").when(F.try_parse_json(head).isNull() | ~head.startswith("{"), "malformed")
     return F.when(fault.isNull(), F.from_json(head, FRONT)), F.when(has, body).otherwise(note), fault
 
 

@@ -20,8 +20,8 @@ def tokens(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams without white space."""
     bare = F.regexp_replace(F.lower(text), r"\s+", "")
-    # Each place looks ahead at three characters.
-    return F.array_distinct(F.regexp_extract_all(bare, F.lit("(?s)(?=(...))"), F.lit(1)))
+    # Each character looks ahead at three, itself the first.
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit("(?s)(?=(...))."), F.lit(1)))
 
 
 def overlap(a: Column, b: Column) -> Column:

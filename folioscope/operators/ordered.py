@@ -49,7 +49,7 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], dict
         own, state = object(), {}
         for pdf in batches:
             out = []
-            for row in pdf.to_dict("records"):
+            for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
                 if row[key] != own:
                     own, state = row[key], start()
                 out.append(step(state, row))

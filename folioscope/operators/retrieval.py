@@ -49,7 +49,7 @@ def ranked_passages(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFram
 
     pairs = query.where(F.size("grams") == 0).select("item_id", F.col("phrase").alias("pair"))  # a phrase of one pair of letters
     letters = chunk.select(*key, X.normalised(F.col("text")).alias("t"))
-    letters = letters.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(..))"), F.lit(1)))).alias("pair"))
+    letters = letters.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(..))."), F.lit(1)))).alias("pair"))
     held = letters.join(F.broadcast(pairs) if pairs.isEmpty() else pairs, "pair").select("item_id", *key)
     likely = similar.where("whole").select("item_id", *key).join(query.select("item_id", "phrase"), "item_id")
     phrases = likely.join(chunk, key).where(X.normalised(F.col("text")).contains(F.col("phrase"))).select("item_id", *key).union(held)
