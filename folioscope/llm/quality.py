@@ -1,7 +1,9 @@
 """Quality classifier by co-training of two views.
 
-The text view sees hashed words and the shape of the text, the metadata view sees
-language, source and length. Each is a logistic regression. In every round each view
+The text view sees which of some telling words (by hash) occur and the shape of the
+text, the metadata view sees language, source and length. Each is a logistic regression;
+the words are those whose presence and the label depend on each other most (chi-square)
+in the rows that are fitted, for each target its own. In every round each view
 scores all documents that it was not fitted on; those of which it is confident join the
 training rows of the other view. They join as means: all documents of a pseudo-label
 that share a cell (a hash of language and source) are one row, which Spark adds up, so
@@ -44,10 +46,11 @@ ROUNDS = 3
 CONFIDENT = 0.9
 #: Rows into which the pseudo-labelled documents of a class are added up.
 CELLS = 8
-#: Hashed features of the two views.
-WORDS, META = 4096, 64
+#: Hashed features of the two views, and of the words those that a model takes, found in so many fitted rows.
+WORDS, META = 1 << 18, 64
 SHAPES = 11
-VIEWS = {"text": WORDS + SHAPES, "meta": META}
+VIEWS = ("text", "meta")
+TAKEN, LEAST_ROWS = 256, 5
 TARGETS = ("quality", "toxic")
 #: Bytes of text whose features are taken at once.
 SLICE_BYTES = 1 << 20
@@ -72,19 +75,27 @@ class Rows:
     feature: np.ndarray
     value: np.ndarray
 
-    def margins(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.feature] * self.value, self.size) + w[-1]
+    def among(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place in the sorted ``ids``, and value of the entries whose feature is among them."""
+        at = np.minimum(np.searchsorted(ids, self.feature), len(ids) - 1)
+        held = ids[at] == self.feature
+        return self.row[held], at[held], self.value[held]
 
-    def dense(self, features: int) -> np.ndarray:
+    def margins(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        row, at, value = self.among(ids)
+        return np.bincount(row, w[at] * value, self.size) + w[-1]
+
+    def dense(self, ids: np.ndarray) -> np.ndarray:
         """As a matrix with a last column of ones."""
-        out = np.zeros((self.size, features + 1), np.float32)
-        out[self.row, self.feature] = self.value
+        out = np.zeros((self.size, len(ids) + 1), np.float32)
+        row, at, value = self.among(ids)
+        out[row, at] = value
         out[:, -1] = 1
         return out
 
 
 def text_rows(texts: list[str]) -> Rows:
-    """Root shares of hashed words, then the shape of each text."""
+    """Which hashed words occur, then the shape of each text."""
     raw = [t.encode() for t in texts]
     n = len(raw)
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
@@ -111,7 +122,7 @@ def text_rows(texts: list[str]) -> Rows:
         n,
         np.concatenate([row, np.repeat(np.arange(n), SHAPES)]),
         np.concatenate([pairs % WORDS, np.tile(WORDS + np.arange(SHAPES), n)]),
-        np.concatenate([np.sqrt(times / some[row]), shape.reshape(-1)]),
+        np.concatenate([np.ones(len(row)), shape.reshape(-1)]),
     )
 
 
@@ -171,12 +182,13 @@ class Views:
     """Calibrated linear models of one target; no weights where it has too few labels or one class."""
 
     prior: float
+    ids: dict[str, np.ndarray] | None = None
     weights: dict[str, np.ndarray] | None = None
     scales: dict[str, tuple[float, float]] | None = None
 
     def odds(self, rows: dict[str, Rows]) -> dict[str, np.ndarray]:
         """Calibrated log odds of each view."""
-        return {v: self.scales[v][0] * r.margins(self.weights[v]) + self.scales[v][1] for v, r in rows.items()}
+        return {v: self.scales[v][0] * r.margins(self.ids[v], self.weights[v]) + self.scales[v][1] for v, r in rows.items()}
 
     def log_odds(self, rows: dict[str, Rows]) -> np.ndarray:
         prior = np.log(self.prior / (1 - self.prior))
@@ -189,11 +201,21 @@ def _probability(odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
+def _telling(rows: Rows, y: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """The words of the fitted rows that the label depends on most."""
+    own = train[rows.row] & (rows.feature < WORDS)
+    share = y[train].mean()
+    held = np.bincount(rows.feature[own], minlength=WORDS)
+    good = np.bincount(rows.feature[own], y[rows.row[own]], WORDS)
+    chi = np.where(held >= LEAST_ROWS, (good - held * share) ** 2 / np.maximum(held, 1), -1.0)
+    return np.sort(np.argsort(-chi, kind="stable")[: min(TAKEN, int((chi >= 0).sum()))])
+
+
 class _Target:
     """The labelled rows of one target, in three parts: fitted, asked for the confidence of pseudo-labels, and kept for the last calibration."""
 
-    def __init__(self, x: dict[str, np.ndarray], y: np.ndarray):
-        self.x, self.y = x, y
+    def __init__(self, rows: dict[str, Rows], y: np.ndarray):
+        self.y = y
         share = float(y.mean()) if len(y) else 0.5
         self.prior = min(max(share, 1e-3), 1 - 1e-3)
         part = np.arange(len(y)) % 6
@@ -203,10 +225,13 @@ class _Target:
         self.train, self.asked, self.kept = parts
         self.able = len(y) >= 10 and 0 < share < 1
         self.weights: dict[str, np.ndarray] = {}
+        if self.able:
+            self.ids = {"text": np.concatenate([_telling(rows["text"], y, self.train), WORDS + np.arange(SHAPES)]), "meta": np.arange(META)}
+            self.x = {v: rows[v].dense(self.ids[v]) for v in VIEWS}
 
     def fit(self, given: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         """Both views, with the means that each is given of the other's confident documents: rows, labels and counts."""
-        for view, l2 in (("text", 1e-4), ("meta", 1e-3)):
+        for view, l2 in (("text", 1e-2), ("meta", 1e-3)):
             x, y, count = self.x[view][self.train], self.y[self.train], np.ones(int(self.train.sum()))
             means, labels, many = given.get(view, (x[:0], y[:0], count[:0]))
             # Pseudo-labels weigh as much as the labelled rows at most.
@@ -218,7 +243,7 @@ class _Target:
         if not self.able:
             return Views(self.prior)
         scales = {v: calibrate(self.x[v][rows] @ w.astype(np.float32), self.y[rows]) for v, w in self.weights.items()}
-        return Views(self.prior, dict(self.weights), scales)
+        return Views(self.prior, self.ids, dict(self.weights), scales)
 
 
 def _featured(batch: pa.RecordBatch, text: str, lang: str, source: str) -> Iterator[tuple[pa.RecordBatch, dict[str, Rows], list[tuple]]]:
@@ -237,7 +262,7 @@ def _pseudo_labelled(docs: DataFrame, models: dict[str, Views], fitted: list[int
     own_ids = set(fitted)
 
     def run(batches):
-        sums = {key: np.zeros((2 * CELLS, VIEWS[key[1]] + 1)) for key in slots}
+        sums = {(t, v): np.zeros((2 * CELLS, len(models[t].ids[v]) + 1)) for t, v in slots}
         for batch in batches:
             for part, rows, metas in _featured(batch, "text", "lang", "source"):
                 cell = np.array([zlib.crc32(repr(m).encode()) % CELLS for m in metas])
@@ -248,10 +273,10 @@ def _pseudo_labelled(docs: DataFrame, models: dict[str, Views], fitted: list[int
                         p = _probability(odds)
                         chosen = free & ((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
                         slot = np.where(chosen, (p > 0.5) * CELLS + cell, -1)
-                        total, width = sums[target, other], VIEWS[other] + 1
-                        at, r = slot[rows[other].row], rows[other]
-                        use = at >= 0
-                        total += np.bincount(at[use] * width + r.feature[use], r.value[use], total.size).reshape(total.shape)
+                        total = sums[target, other]
+                        row, at, value = rows[other].among(model.ids[other])
+                        use = slot[row] >= 0
+                        total += np.bincount(slot[row[use]] * total.shape[1] + at[use], value[use], total.size).reshape(total.shape)
                         total[:, -1] += np.bincount(slot[chosen], minlength=2 * CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(list(slots.values()), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()])], ["slot", "sums"])
 
@@ -266,7 +291,8 @@ def _pseudo_labelled(docs: DataFrame, models: dict[str, Views], fitted: list[int
     by_slot = {r.slot: r.sums for r in told.collect()}  # one row a target and view
     out: dict[str, dict] = {t: {} for t in models}
     for (target, view), slot in slots.items():
-        sums = np.frombuffer(by_slot[slot]).reshape(2 * CELLS, -1) if slot in by_slot else np.zeros((2 * CELLS, VIEWS[view] + 1))
+        width = len(models[target].ids[view]) + 1
+        sums = np.frombuffer(by_slot[slot]).reshape(2 * CELLS, width) if slot in by_slot else np.zeros((2 * CELLS, width))
         some = sums[:, -1] > 0
         many = sums[some, -1]
         # The last column becomes 1: the mean of ones.
@@ -298,8 +324,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = "id long, quality double, toxic double, text_at array<long>, text_value array<double>, meta_at array<long>, meta_value array<double>"
     held = own.select("id", "quality", "toxic", "x.*").mapInPandas(features, schema).toPandas()
     held = held.assign(order=[zlib.crc32(str(i).encode()) for i in held["id"]]).sort_values(["order", "id"])
-    x = {view: _matrix(held.pop(f"{view}_at"), held.pop(f"{view}_value"), size) for view, size in VIEWS.items()}
-    targets = {t: _Target(x, (held[t].to_numpy() >= 0.5).astype(float)) for t in TARGETS}
+    rows = {view: _joined(held.pop(f"{view}_at"), held.pop(f"{view}_value")) for view in VIEWS}
+    targets = {t: _Target(rows, (held[t].to_numpy() >= 0.5).astype(float)) for t in TARGETS}
     able = {t: target for t, target in targets.items() if target.able}
     given: dict[str, dict] = {t: {} for t in able}
     for turn in range(ROUNDS + 1 if able else 0):
@@ -310,12 +336,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {t: target.views(target.kept) for t, target in targets.items()}
 
 
-def _matrix(places: pd.Series, values: pd.Series, size: int) -> np.ndarray:
-    out = np.zeros((len(places), size + 1), np.float32)
-    out[:, -1] = 1
-    for k, (at, value) in enumerate(zip(places, values)):
-        out[k, np.asarray(at, np.int64)] = value
-    return out
+def _joined(places: pd.Series, values: pd.Series) -> Rows:
+    sizes = [len(x) for x in places]
+    whole = lambda parts, kind: np.concatenate([np.empty(0, kind), *(np.asarray(x, kind) for x in parts)])
+    return Rows(len(places), np.repeat(np.arange(len(places)), sizes), whole(places, np.int64), whole(values, float))
 
 
 def score(docs: DataFrame, models: dict[str, Views], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
