@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,10 +33,13 @@ def named(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
+    """The folder that the cluster shares: spark.checkpoint.dir. Where that is unset a temporary one serves a single machine; a cluster is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-"))
+        named_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if named_dir is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named_dir or tempfile.mkdtemp(prefix="folioscope-"))
     return context.getCheckpointDir()
 
 
