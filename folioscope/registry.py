@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans import exchange, graphs, library, queries, scalars, store
+from folioscope.plans import exchange, graphs, layout, library, queries, scalars, store
 
-QUERIES = queries.QUERIES | library.QUERIES | store.QUERIES | scalars.QUERIES | graphs.QUERIES | exchange.QUERIES
-ORACLES = queries.ORACLES | library.ORACLES | store.ORACLES | scalars.ORACLES | graphs.ORACLES | exchange.ORACLES
+QUERIES = queries.QUERIES | library.QUERIES | store.QUERIES | scalars.QUERIES | graphs.QUERIES | exchange.QUERIES | layout.QUERIES
+ORACLES = queries.ORACLES | library.ORACLES | store.ORACLES | scalars.ORACLES | graphs.ORACLES | exchange.ORACLES | layout.ORACLES
 FLAGSHIP = "retrieval_ranked_passages"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import entity as E
 from folioscope.functions import interchange as I
 from folioscope.functions import text as X
-from folioscope.operators import graph, ordered, records, store
+from folioscope.operators import graph, layout, ordered, records, store
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -160,3 +160,24 @@ def test_front_matter_of_odd_notes(spark):
     head, body, fault = I.parsed_front_matter(F.col("n"))
     got = [(r.b, r.f) for r in df.select(body.alias("b"), fault.alias("f")).collect()]
     assert got == [("x", None), ("", "malformed"), ("plain", "missing"), (None, None), ("", "missing")]
+
+
+def test_lines_of_items(spark):
+    rng = random.Random(9)
+    rows = [(p, k, float(rng.randrange(300)), float(rng.randrange(5) * 10), 20.0, 12.0) for p in range(3) for k in range(40)]
+    df = spark.createDataFrame(rows, "page long, ord int, x double, y double, width double, height double")
+    want = {}
+    for p in range(3):
+        lines = []
+        for _, k, x, y, w, h in (r for r in rows if r[0] == p):
+            for n, own in enumerate(lines):
+                _, _, lx, ly, lw, lh = own[-1]
+                if abs((y + h / 2) - (ly + lh / 2)) <= 0.5 * min(h, lh) and x >= lx + lw - 1:
+                    break
+            else:
+                n = len(lines)
+                lines.append([])
+            lines[n].append((p, k, x, y, w, h))
+            want[p, k] = n
+    assert {(r.page, r.ord): r.line for r in layout.lines_of_items(df, ["page"]).collect()} == want
+    assert layout.lines_of_items(df.limit(0), ["page"]).count() == 0
