@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folioscope.operators.ordered import folded
 
 # A column is at most this share of the page's width, a spanning line at least that one.
 COLUMN_WIDTH, SPANNING = 0.5, 0.72
@@ -12,26 +14,20 @@ COLUMN_WIDTH, SPANNING = 0.5, 0.72
 NESTED, SAME_LINE = 0.5, 0.5
 
 
-def lines_of_items(items: DataFrame, page: list[str]) -> DataFrame:
+def lines_of_items(items: DataFrame, page: str) -> DataFrame:
     """``items`` (x, y, width, height, ord) with their ``line``: an item joins the first line whose last item it follows at nearly the same height."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: list[tuple[float, float, float]] = []
-        line = []
-        pdf = pdf.sort_values("ord")
-        for r in pdf.itertuples():
-            middle = r.y + r.height / 2
-            for k, (right, own, height) in enumerate(ends):
-                if abs(middle - own) <= SAME_LINE * min(r.height, height) and r.x >= right - 1:
-                    break
-            else:
-                k = len(ends)
-                ends.append((0.0, 0.0, 0.0))
-            ends[k] = (r.x + r.width, middle, r.height)
-            line.append(k)
-        return pdf.assign(line=line)
-
-    return items.groupBy(*page).applyInPandas(group, items.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", line int")
+    def step(ends: dict, r: dict) -> int:
+        middle = r["y"] + r["height"] / 2
+        for k, (right, own, height) in ends.items():
+            if abs(middle - own) <= SAME_LINE * min(r["height"], height) and r["x"] >= right - 1:
+                break
+        else:
+            k = len(ends)
+        ends[k] = (r["x"] + r["width"], middle, r["height"])
+        return k
+
+    return folded(items, page, ["ord"], dict, step, "line", T.IntegerType())
 
 
 def reading_order(lines: DataFrame, page: list[str], width: float) -> DataFrame:
@@ -45,22 +41,18 @@ def reading_order(lines: DataFrame, page: list[str], width: float) -> DataFrame:
     return banded.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("band", "column", "y", "x")))
 
 
-def heading_parents(headings: DataFrame, page: list[str], order: str, level: str) -> DataFrame:
+def heading_parents(headings: DataFrame, page: str, order: str, level: str) -> DataFrame:
     """``headings`` with the place of their parent: the nearest one before that is still open and less deep."""
 
-    def stack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        open_: list[tuple[int, int]] = []
-        parents = []
-        for at, depth in zip(pdf[order], pdf[level]):
-            while open_ and open_[-1][1] >= depth:
-                open_.pop()
-            parents.append(open_[-1][0] if open_ else None)
-            open_.append((at, depth))
-        return pdf.assign(parent=pd.Series(parents, index=pdf.index, dtype="Int64"))
-
-    kinds = ", ".join(f"{c} {k}" for c, k in headings.dtypes)
-    return headings.groupBy(*page).applyInPandas(stack, f"{kinds}, parent long")
+    def step(state: dict, r: dict) -> int | None:
+        open_ = state.setdefault("open", [])
+        while open_ and open_[-1][1] >= r[level]:
+            open_.pop()
+        parent = open_[-1][0] if open_ else None
+        open_.append((r[order], r[level]))
+        return parent
+
+    return folded(headings, page, [order], dict, step, "parent", T.LongType())
 
 
 def nested_blocks(blocks: DataFrame, visuals: DataFrame, page: str, key: str) -> DataFrame:

@@ -139,7 +139,7 @@ def document_keyword_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_carried_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of an order with the heading before it: the last one of a flag R."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
     heading = F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.last(heading, ignorenulls=True).over(order).alias("under"))
     return rows.groupBy("l_orderkey").agg(F.count("under").alias("headed"), F.max("under").alias("last_heading"))
@@ -182,6 +182,6 @@ select doc_id, count(*) cited, count(*) filter (num between 1 and entries) resol
 select conv_id, turn, trim(split_part(link, '|', 1)) target, case when contains(link, '|') then split_part(link, '|', -1) end as "label" from l""",
     "document_keyword_entries": rf"""with l as (select doc_id, unnest(string_split('- **alpha**: first letter' || chr(10) || '* beta - second' || chr(10) || text, chr(10))) line from documents where text is not null)
 select doc_id, count(*) entries, 'alpha' "first" from l where regexp_matches(line, '{_BULLET}') group by 1""",
-    "lineitem_carried_headings": """with u as (select l_orderkey, last_value(case when l_returnflag = 'R' then l_linenumber end ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey rows between unbounded preceding and current row) u from lineitem)
+    "lineitem_carried_headings": """with u as (select l_orderkey, last_value(case when l_returnflag = 'R' then l_linenumber end ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag rows between unbounded preceding and current row) u from lineitem)
 select l_orderkey, count(u) headed, max(u) last_heading from u group by 1""",
 }

@@ -27,12 +27,12 @@ def page_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_item_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _boxes(spark, sf_dir).select("l_orderkey", F.col("l_linenumber").alias("ord"), "x", (F.col("y") % 40).alias("y"), (F.col("width") / 4).alias("width"), F.lit(12.0).alias("height"))
-    return layout.lines_of_items(items, ["l_orderkey"]).select("l_orderkey", "ord", "line")
+    return layout.lines_of_items(items, "l_orderkey").select("l_orderkey", "ord", "line")
 
 
 def page_heading_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     headings = _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 4).cast("int").alias("level"))
-    return layout.heading_parents(headings, ["l_orderkey"], "l_linenumber", "level")
+    return layout.heading_parents(headings, "l_orderkey", "l_linenumber", "level")
 
 
 def page_nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,5 +179,5 @@ def test_lines_of_items(spark):
                 lines.append([])
             lines[n].append((p, k, x, y, w, h))
             want[p, k] = n
-    assert {(r.page, r.ord): r.line for r in layout.lines_of_items(df, ["page"]).collect()} == want
-    assert layout.lines_of_items(df.limit(0), ["page"]).count() == 0
+    assert {(r.page, r.ord): r.line for r in layout.lines_of_items(df, "page").collect()} == want
+    assert layout.lines_of_items(df.limit(0), "page").count() == 0
