@@ -10,6 +10,8 @@ from folioscope.functions import text as X
 # What the parts of a passage's score count, and from where a passage is kept.
 PHRASE, LEXICAL, COVERAGE, SIMILAR = 12.0, 2, 4, 3
 LEAST_COVERAGE, LEAST_SIMILAR = 0.34, 0.1
+#: Asking vectors in a block.
+ASK_BLOCK = 1024
 # What a confident match has, and its lead.
 CONFIDENT, LEAD = 0.4, 0.04
 
@@ -73,7 +75,11 @@ def confident_matches(vectors: DataFrame, floor: float = CONFIDENT, lead: float
     rows = vectors.select("vec_id", unit.alias("v")).withColumn("norm", norm(F.col("v")))
     asks = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("qn"))
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = rows.crossJoin(asks).where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot / F.greatest(F.col("norm") * F.col("qn"), F.lit(1e-12)), 6).alias("score"))
+    # Every row meets the asking ones block by block: an equi-join, whichever side is small.
+    blocks = max(1, -(-asks.count() // ASK_BLOCK))
+    asks = asks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asks, "block")
+    pairs = met.where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot / F.greatest(F.col("norm") * F.col("qn"), F.lit(1e-12)), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.select("*", F.row_number().over(order).alias("r")).where("r <= 2")
     best = ranked.groupBy("query_id").agg(F.min_by("vec_id", "r").alias("vec_id"), F.max("score").alias("score"), F.when(F.count("*") > 1, F.min("score")).alias("next_score"))
