@@ -56,6 +56,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like ``written``, with the table's place, for ``discard`` once nothing reads it any more."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, even where body uses it inside the lambda of a higher-order function."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
