@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Words that say nothing in a title, and in a query.
 TITLE_STOP_WORDS = ["a", "an", "and", "for", "from", "in", "of", "on", "the", "to", "via", "with"]
 QUERY_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "can", "do", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or", "the", "this", "to", "using", "via", "was", "what", "which", "with"]
+# How DOIs that arXiv gives begin, and letters of a title that tells papers apart.
+ARXIV_DOI, LEAST_TITLE = "10.48550/arxiv.", 12
 # Weights and bounds of citation identity.
 DICE_LEAST, TITLE_WEIGHT, TITLE_WEIGHT_ALONE, AUTHOR_BONUS, YEAR_BONUS, ACCEPT = 0.72, 0.75, 0.9, 0.15, 0.10, 0.78
 
@@ -53,6 +55,23 @@ def arxiv_id(value: Column) -> Column:
     return F.when(found != "", found)
 
 
+def candidate_doi(value: Column) -> Column:
+    """The DOI of a candidate, without resolver or prefix and in lower case: whatever begins with ``10.``; else null."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), r"(?i)^https?://(?:dx\.)?doi\.org/", ""), "(?i)^doi:", "")
+    return F.when(F.startswith(bare, F.lit("10.")), F.lower(bare))
+
+
+def candidate_arxiv(value: Column) -> Column:
+    """The first arXiv number in a text, new (2401.00001) or old (hep-th/9901001), in lower case; else null."""
+    found = F.regexp_extract(value, r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv:)?([0-9]{4}\.[0-9]{4,5}|[a-z-]+(?:\.[a-z-]+)?/[0-9]{7})", 1)
+    return F.when(found != "", F.lower(found))
+
+
+def arxiv_of_doi(doi: Column) -> Column:
+    """The arXiv number of a DOI that arXiv gave; else null."""
+    return F.when(F.startswith(doi, F.lit(ARXIV_DOI)), candidate_arxiv(F.substring(doi, len(ARXIV_DOI) + 1, 1 << 30)))
+
+
 def flipped_name(name: Column) -> Column:
     """``Family, Given`` as ``Given Family``; other names trimmed."""
     parts = F.transform(F.split(name, ","), lambda part: F.trim(part))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Slices in which the values of a group are ranked.
 SLICES = 64
@@ -39,24 +40,28 @@ def within_budget(rows: DataFrame, scope: str, order: list[str], cost: str, budg
     return rows.withColumn("spent", spent).where(F.col("spent") <= budget)
 
 
-def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], object], result: str, kind: T.DataType) -> DataFrame:
-    """``rows`` with what ``step`` says of each, in order along a key: it is given the state of the key and the row, and may change the state.
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], object], result: str, kind: T.DataType, uses: list[str] | None = None) -> DataFrame:
+    """``rows`` with what ``step`` says of each, in order along a key: it is given the state of the key and the row (the columns it ``uses``), and may change the state.
 
-    Rows are streamed key by key, so that a long key takes time but no memory.
+    Rows are streamed key by key, so that a long key takes time but no memory; a key that holds
+    many rows is followed by one task all the same, as each row depends on those before. Rows
+    without a key are a group of their own.
     """
+    names = uses or rows.columns
+    told = to_arrow_type(kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, state = object(), {}
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-                if row[key] != own:
-                    own, state = row[key], start()
-                out.append(step(state, row))
-            yield pdf.assign(**{result: pd.Series(out, dtype=object, index=pdf.index)})
+            for now, *values in zip(*(batch.column(c).to_pylist() for c in (key, *names))):
+                if now != own:
+                    own, state = now, start()
+                out.append(step(state, dict(zip(names, values))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, told)], names=[*batch.schema.names, result])
 
     schema = T.StructType([*rows.schema.fields, T.StructField(result, kind)])
-    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def throttled(rows: DataFrame, key: str, time: str, tie: str, seconds: float = 30.0) -> DataFrame:
@@ -69,7 +74,7 @@ def throttled(rows: DataFrame, key: str, time: str, tie: str, seconds: float = 3
             state["last"] = now
         return kept
 
-    return folded(rows, key, [time, tie], dict, step, "kept", T.BooleanType())
+    return folded(rows, key, [time, tie], dict, step, "kept", T.BooleanType(), uses=[time])
 
 
 def cooled_down(rows: DataFrame, key: str, time: str, tie: str, limited: str, retry: str, least: float = 20.0) -> DataFrame:
@@ -82,7 +87,7 @@ def cooled_down(rows: DataFrame, key: str, time: str, tie: str, limited: str, re
             state["until"] = now + max(least, row[retry] or 0.0)
         return asked
 
-    return folded(rows, key, [time, tie], dict, step, "asked", T.BooleanType())
+    return folded(rows, key, [time, tie], dict, step, "asked", T.BooleanType(), uses=[time, limited, retry])
 
 
 def budget_ledger(rows: DataFrame, key: str, order: list[str], kind: str, amount: str, cap: float) -> DataFrame:
@@ -102,7 +107,7 @@ def budget_ledger(rows: DataFrame, key: str, order: list[str], kind: str, amount
             return "committed"
         return "released"
 
-    return folded(rows, key, order, lambda: {"spent": 0.0, "reserved": 0.0}, step, "verdict", T.StringType())
+    return folded(rows, key, order, lambda: {"spent": 0.0, "reserved": 0.0}, step, "verdict", T.StringType(), uses=[kind, amount])
 
 
 def lifecycle(rows: DataFrame, key: str, order: list[str], kind: str) -> DataFrame:
@@ -121,7 +126,7 @@ def lifecycle(rows: DataFrame, key: str, order: list[str], kind: str) -> DataFra
         state["is"] = now
         return now
 
-    return folded(rows, key, order, dict, step, "state", T.StringType())
+    return folded(rows, key, order, dict, step, "state", T.StringType(), uses=[kind])
 
 
 def greedy_selection(rows: DataFrame, scope: str, score: str, tie: str, cost: str, entries: int = 8, budget: int = 1000, most: int = 64) -> DataFrame:

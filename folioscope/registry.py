@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans import discovery, exchange, graphs, layout, library, queries, scalars, store
+from folioscope.plans import discovery, exchange, graphs, layout, library, queries, scalars, scholarly, store
 
-QUERIES = queries.QUERIES | library.QUERIES | store.QUERIES | scalars.QUERIES | graphs.QUERIES | exchange.QUERIES | layout.QUERIES | discovery.QUERIES
-ORACLES = queries.ORACLES | library.ORACLES | store.ORACLES | scalars.ORACLES | graphs.ORACLES | exchange.ORACLES | layout.ORACLES | discovery.ORACLES
+QUERIES = queries.QUERIES | library.QUERIES | store.QUERIES | scalars.QUERIES | graphs.QUERIES | exchange.QUERIES | layout.QUERIES | discovery.QUERIES | scholarly.QUERIES
+ORACLES = queries.ORACLES | library.ORACLES | store.ORACLES | scalars.ORACLES | graphs.ORACLES | exchange.ORACLES | layout.ORACLES | discovery.ORACLES | scholarly.ORACLES
 FLAGSHIP = "retrieval_ranked_passages"

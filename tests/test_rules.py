@@ -24,7 +24,7 @@ def events(spark):
 
 def by_key(rows):
     out = {}
-    for r in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2], r[0])):
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0])):  # rows without a key are a group
         out.setdefault(r[1], []).append(r)
     return out
 
