@@ -1,11 +1,11 @@
-"""Registered queries of quotes found again, and the SQL that says the same."""
+"""Registered queries of quotes found again and of reference lists, and the SQL that says the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import quotes
+from folioscope.operators import bibliography, quotes
 from folioscope.sources.tables import table
 
 
@@ -54,9 +54,28 @@ def document_reprinted_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "line", F.size("boxes").alias("boxes"), F.col("boxes")[0]["x"].alias("x"), F.col("boxes")[0]["y"].alias("y"))
 
 
-QUERIES = {f.__name__: f for f in (document_located_quotes, document_relocated_fragments, document_reprinted_anchors)}
+def customer_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of reference lists, one list a customer over its orders, in three styles."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").cast("string").alias("y"), F.regexp_replace("o_orderpriority", "^.-| ", "").alias("p"))
+    k, own = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 3
+    entry = (
+        F.when(own == 0, F.concat(F.lit(" "), (F.col("o_orderkey") % 900 + 1).cast("string"), F.lit(". Doe, J. & Roe, A. B. A study of orders like K"), k, F.lit(". J. Ord. 7 , 1–2 ("), "y", F.lit(").")))
+        .when(own == 1, F.concat(F.lit(" ["), (F.col("o_orderkey") % 900 + 1).cast("string"), F.lit("] Ann M. Lee. "), "y", F.lit(". Notes on the order K"), k, F.lit(". Venue of "), "p", F.lit(".")))
+        .otherwise(F.concat(F.lit(" Kim O"), k, F.lit(", Bo Li, and Al Poe. Lists that end with years. Proc "), "p", F.lit(", 20"), F.lpad((F.col("o_orderkey") % 25).cast("string"), 2, "0"), F.lit(".")))
+    )
+    texts = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"]), "").alias("list"))
+    papers = texts.select("o_custkey", F.concat(F.lit("Some text before 2020. R EFERENCES"), "list", F.lit(" Acknowledgements To all.")).alias("text"))
+    return bibliography.references(papers, "o_custkey", "text").select("o_custkey", "key", "title", "authors", "year", "venue")
+
+
+QUERIES = {f.__name__: f for f in (document_located_quotes, document_relocated_fragments, document_reprinted_anchors, customer_references)}
 
 ORACLES = {
+    "customer_references": """with o as (select o_custkey, o_custkey % 3 style, o_orderkey k, cast(year(o_orderdate) as int) y, replace(substr(o_orderpriority, 3), ' ', '') p from orders),
+n as (select o_custkey, cast(k % 900 + 1 as varchar) "key", k, case when style = 0 then 'A study of orders like K' || k else 'Notes on the order K' || k end title, case when style = 0 then 'Doe, J. & Roe, A. B' else 'Ann M. Lee' end authors,
+ y "year", case when style = 0 then 'J. Ord. 7 , 1–2' else 'Venue of ' || p end venue from o where style < 2 qualify row_number() over (partition by o_custkey, k % 900 order by k desc) = 1)
+select o_custkey, "key", title, authors, "year", venue from n union all
+select * from (select o_custkey, 'o' || k || '-20' || lpad(cast(k % 25 as varchar), 2, '0'), 'Lists that end with years', 'Kim O' || k || ', Bo Li, and Al Poe', cast(2000 + k % 25 as int), 'Proc ' || p from o where style = 2)""",
     "document_located_quotes": r"""with d as (select doc_id, coalesce(text, '') t from documents),
 m as (select doc_id, t, substr(t, cast(floor(length(t) / 3) as int) + 1, 60) q, string_split(t, '') c from d),
 n as (select doc_id, t, q, list_filter(range(1, len(c) + 1), lambda i: not regexp_matches(c[i], '\s')) at_, regexp_replace(t, '\s+', '', 'g') bare from m),

@@ -82,7 +82,7 @@ def test_reprinted(spark):
     out = quotes.reprinted(rows, spark.createDataFrame(lines, "page long, line int, text string, x double, y double, width double, height double"), "page")
     got = {(r.page, r.quote): r.boxes and [(b.x, b.y, b.width) for b in r.boxes] for r in out.collect()}
     assert got == {
-        (1, "quoted passage"): [(160.0, 20.0, 60.0), (0.0, 40.0, 70.0)], (1, "passage of two"): [(90.0, 0.0, 70.0), (0.0, 20.0, 60.0)], (1, "quoted  PASSAGE"): None, (1, "two lines"): None, (1, "of"): None,
+        (1, "quoted passage"): [(160.0, 20.0, 70.0), (0.0, 40.0, 70.0)], (1, "passage of two"): [(90.0, 0.0, 70.0), (0.0, 20.0, 60.0)], (1, "quoted  PASSAGE"): None, (1, "two lines"): None, (1, "of"): None,
         (1, "nowhere at all"): None, (1, "A quoted"): None, (2, "two lines"): None,
     }
 
