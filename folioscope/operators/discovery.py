@@ -29,18 +29,6 @@ def related(scores: DataFrame, least: float = RELATED, most: int = MOST_RELATED)
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def typed_ranking(docs: DataFrame, asked: DataFrame, most: int = 20) -> DataFrame:
-    """(item_id, doc_id, score, place): three for each term in the title, one for each in the rest; of equal titles the first counts."""
-    titles = docs.where("text is not null").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
-    first = titles.withColumn("turn", F.row_number().over(Window.partitionBy(E.title_key(F.col("title"))).orderBy("doc_id"))).where("turn = 1")
-    terms = asked.select("item_id", F.explode(E.query_terms(F.col("text"))).alias("term"))
-    own = lambda c, w: first.select("doc_id", F.explode(F.array_distinct(F.split(E.letters_only(F.col(c)), " "))).alias("term"), F.lit(w).alias("weight"))
-    held = own("title", 3).union(own("text", 1)).join(terms, "term")
-    scored = held.groupBy("item_id", "doc_id").agg(F.sum("weight").alias("score"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-
-
 def candidate_keys(rows: DataFrame) -> DataFrame:
     """(id, key): the keys by which a candidate (doi, arxiv, title) may be known; titles of twelve letters or more."""
     title = E.title_key(F.col("title"))

@@ -24,10 +24,6 @@ def document_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("item_id", "part").agg(F.min("doc_id").alias("page"), F.count("*").alias("pages"))
 
 
-def benchmark_typed_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.typed_ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as found papers: the same customer's name with its priority is one paper, told of by several orders."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -82,7 +78,7 @@ def event_memory_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        benchmark_question_parts, document_first_pages, benchmark_typed_ranking, order_candidate_keys, order_merged_candidates, order_judged_list, order_provider_fallback, event_memory_relevance,
+        benchmark_question_parts, document_first_pages, order_candidate_keys, order_merged_candidates, order_judged_list, order_provider_fallback, event_memory_relevance,
     )
 }
 
@@ -100,10 +96,6 @@ ORACLES = {
     "document_first_pages": f"""with {_PARTS}, w as (select item_id, part, list_distinct({_TOKENS.format('"text"')}) w from parts where part < 24), x as (select item_id, part, len(w) needed, unnest(w) word from w where len(w) > 0),
 d as (select doc_id, unnest(list_distinct({_TOKENS.format('text')})) word from documents), h as (select item_id, part, doc_id from x join d using (word) group by item_id, part, needed, doc_id having count(*) = needed)
 select item_id, part, min(doc_id) page, count(*) pages from h group by 1, 2""",
-    "benchmark_typed_ranking": f"""with t as (select doc_id, split_part(text, chr(10), 1) title, text from documents where text is not null), f as (select * from (select *, row_number() over (partition by {_KEY.format('title')} order by doc_id) n from t) where n = 1),
-a as (select item_id, unnest(list_distinct(list_filter(string_split({_PLAIN.format('text')}, ' '), lambda x: length(x) >= 3 and not list_contains({E.QUERY_STOP_WORDS!r}, x)))) term from benchmark),
-h as (select doc_id, unnest(list_distinct(string_split({_PLAIN.format('title')}, ' '))) term, 3 w from f union all select doc_id, unnest(list_distinct(string_split({_PLAIN.format('text')}, ' '))), 1 from f),
-s as (select item_id, doc_id, cast(sum(w) as bigint) score from h join a using (term) group by 1, 2), p as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) place from s) select * from p where place <= 20""",
     "order_candidate_keys": f"""with {_FOUND}, k as (select id, 'doi:' || doi k from c where doi is not null union all select id, 'title:' || {_KEY.format('title')} from c where length({_KEY.format('title')}) >= 12) select k as "key", count(*) candidates, min(id) "first" from k group by 1""",
     "order_merged_candidates": f"""with {_FOUND} select {_KEY.format('title')} as "key", count(*) members, (list(venue order by id) filter (venue is not null))[1] venue, (list("year" order by id) filter ("year" is not null))[1] "year", cast(max(abstract) as int) abstract, max(citations) citations from c group by 1""",
     "order_judged_list": """with w as (select o_custkey, count(*) filter (o_orderkey % 3 <> 0) waiting from orders group by 1),

@@ -157,29 +157,12 @@ def document_edge_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.where("pages >= 3").withColumn("place", place).where("place = 1").select("source", "opening", "pages")
 
 
-def benchmark_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a question that it repeats, or all of them where none is repeated."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.tokens(F.col("text"))).alias("word")).groupBy("item_id", "word").agg(F.count("*").alias("times"))
-    most = F.max("times").over(Window.partitionBy("item_id"))
-    return words.withColumn("most", most).where("times >= 2 or most < 2").select("item_id", "word", "times")
-
-
-def benchmark_overlap_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far a question's terms stand in the first passage of a document: 2 from a half, 1 from a quarter."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", E.query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    terms = asked.select("item_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.substring("text", 1, 900)))).alias("term"))
-    shared = terms.join(docs, "term").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("shared"))
-    judged = shared.select("item_id", "doc_id", F.when(2 * F.col("shared") >= F.col("n"), 2).when(4 * F.col("shared") >= F.col("n"), 1).otherwise(0).alias("score"))
-    return judged.where("score > 0").groupBy("item_id", "score").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         supplier_neighbourhood, supplier_induced_edges, part_relation_list, order_links, lineitem_first_match, customer_interleaved_orders, price_ranked_values, event_budget_cut,
         event_throttle, event_cool_down, event_budget_ledger, event_lifecycle, event_greedy_selection, event_following_purchase, order_status_rollup, order_stale_evidence, event_owner_names,
-        document_overview_scores, document_prepared_stats, conversation_vocabulary, document_edge_furniture, benchmark_keywords, benchmark_overlap_judge,
+        document_overview_scores, document_prepared_stats, conversation_vocabulary, document_edge_furniture,
     )
 }
 
@@ -226,10 +209,4 @@ select word, min(f).f form, string_agg(role, ',' order by f, role) roles, cast(s
 e as (select source, doc_id, n, array_to_string(list_slice(w, 1, n), ' ') opening from w, (select unnest(range(2, 17)) n) where len(w) >= n),
 k as (select source, n, opening, count(*) pages from e group by all having count(*) >= 3),
 p as (select *, row_number() over (partition by source order by pages desc, n desc, opening) t from k) select source, opening, pages from p where t = 1""",
-    "benchmark_keywords": f"""with w as (select item_id, word, count(*) times from (select item_id, unnest({_TOKENS.format('text')}) word from benchmark) group by 1, 2), m as (select *, max(times) over (partition by item_id) most from w)
-select item_id, word, times from m where times >= 2 or most < 2""",
-    "benchmark_overlap_judge": rf"""with q as (select item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: length(x) >= 3 and not list_contains({E.QUERY_STOP_WORDS!r}, x))) terms from benchmark),
-t as (select item_id, len(terms) n, unnest(terms) term from q where len(terms) > 0), d as (select doc_id, unnest(list_distinct({_TOKENS.format('substr(text, 1, 900)')})) term from documents),
-s as (select item_id, doc_id, n, count(*) shared from t join d using (term) group by all), j as (select item_id, doc_id, case when 2 * shared >= n then 2 when 4 * shared >= n then 1 else 0 end score from s)
-select item_id, cast(score as int) score, count(*) documents, min(doc_id) "first" from j where score > 0 group by 1, 2""",
 }

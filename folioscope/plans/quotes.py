@@ -64,7 +64,7 @@ def customer_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" Kim O"), k, F.lit(", Bo Li, and Al Poe. Lists that end with years. Proc "), "p", F.lit(", 20"), F.lpad((F.col("o_orderkey") % 25).cast("string"), 2, "0"), F.lit(".")))
     )
     texts = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"]), "").alias("list"))
-    papers = texts.select("o_custkey", F.concat(F.lit("Some text before 2020. R EFERENCES"), "list", F.lit(" Acknowledgements To all.")).alias("text"))
+    papers = texts.select("o_custkey", F.concat(F.lit("Some text before 2020. R EFERENCES"), "list", F.lit(" A L IMITATIONS To all.")).alias("text"))
     return bibliography.references(papers, "o_custkey", "text").select("o_custkey", "key", "title", "authors", "year", "venue")
 
 
