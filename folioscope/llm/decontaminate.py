@@ -91,6 +91,11 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     asked = cut(asked.where(F.size("s") > 0).select("item", "words", "s", F.size("s").alias("n_item")))
     sized = docs.where(named(id_col).isNotNull()).select(named(id_col).alias("id"), _words(named(text_col)).alias("w"))
     sized = sized.select("id", "w", _shingles(F.col("w"), width).alias("s")).withColumn("p", _class(F.size("s")))
+    # Rows that repeat an id are as large as the words of all of them may be.
+    again = docs.where(named(id_col).isNotNull()).select(named(id_col).alias("id"), F.length(named(text_col)).alias("chars"))
+    again = cut(again.groupBy("id").agg(F.count("*").alias("rows"), F.sum("chars").alias("chars")).where("rows > 1").select("id", _class(F.col("chars")).alias("all")))
+    if not again.isEmpty():
+        sized = sized.join(again, "id", "left").withColumn("p", F.greatest("p", "all")).drop("all")
 
     shingles = asked.agg(F.coalesce(F.sum("n_item"), F.lit(0))).first()[0]
     short = sorted(r.words for r in asked.where(F.col("words") < width).select("words").distinct().collect())  # lengths below width

@@ -57,10 +57,10 @@ def _packed(anchor: int, row: int, score: int, kind: int, id_: int) -> bytes:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition is a block: a row for each length of its vectors, sorted by id."""
-    table = pa.Table.from_batches(list(batches))
-    block = TaskContext.get().partitionId()
-    if not table.num_rows:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
         return
+    table, block = pa.Table.from_batches(parts), TaskContext.get().partitionId()
     sizes, start = np.asarray(table["q"].combine_chunks().value_lengths()), 0
     for dim in np.unique(sizes).tolist():
         own = table.filter(pa.array(sizes == dim)).sort_by("id").combine_chunks()

@@ -9,7 +9,8 @@ sum downward; rows that tie at the boundary are resolved exactly, by smaller id.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without an id. Vectors are compared with those of equal length (empty ones
-score 0 with each other). Of several rows with one id the smallest vector counts.
+score 0 with each other). Rows that repeat an id are rows each: no query meets rows of its
+own id, and queries of one id share one ranking.
 Quantised attributes are held within 2**62 and scores within a long. An empty table
 gives no rows; extra columns are not read.
 """
@@ -60,9 +61,9 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         dim = int(key[0])
-        pdf = pdf.assign(t=[tuple(v) for v in pdf["q"]]).sort_values(["id", "t"], kind="stable").drop_duplicates("id")
+        pdf = pdf.sort_values("id", kind="stable")
         ids = pdf["id"].to_numpy(np.int64)
-        x = np.array(pdf["t"].tolist(), np.int64).reshape(len(ids), dim)
+        x = np.array(pdf["q"].tolist(), np.int64).reshape(len(ids), dim)
         ask = pdf["ask"].to_numpy(bool)
         low = x.min(axis=0) if dim else np.empty(0, np.int64)
         over = (x - low).view(np.uint64)  # at most 2**63
@@ -71,7 +72,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         packed = np.concatenate([np.empty((0, -(-len(ids) // 64)), np.uint64), *slices])
         return pd.DataFrame([[dim, int(key[1]), len(ids), ids.tobytes(), low.tobytes(), width.tobytes(), packed.tobytes(), x[ask].tobytes(), ids[ask].tobytes()]], columns=[c.split()[0] for c in INDEX.split(", ")])
 
-    dealt = rows.withColumn("dim", F.size("q")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("dim", F.size("q")).withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     return dealt.groupBy("dim", "block").applyInPandas(build, INDEX)
 
 
@@ -120,9 +121,11 @@ def _best(query: np.ndarray, own: int, ids: np.ndarray, low: np.ndarray, width:
                     columns[s + t].append(digits[s])
     total = _added(columns)
     equal, sure = words.copy(), np.zeros_like(words)
-    at = np.searchsorted(ids, own)
-    if at < rows and ids[at] == own:
-        equal[at >> 6] &= ~np.uint64(1 << (int(at) & 63))
+    at, end = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+    if end > at:
+        mine = np.zeros(rows, np.uint8)
+        mine[at:end] = 1
+        equal &= ~_pack(mine)
     count = 0
     for digit in reversed(total):
         if digit is None:
@@ -167,7 +170,8 @@ def search(index: DataFrame, k: int = 20) -> DataFrame:
         F.substring("query_ids", F.col("part") * QUERY_ROWS * 8 + 1, F.lit(QUERY_ROWS * 8)).alias("query_ids"),
     )
     shares = max(1, -(-index.sparkSession.sparkContext.defaultParallelism // max(1, index.count())))
-    asks = asked.join(index.select("dim", "block"), "dim").select(
+    asks = asked.join(F.broadcast(index.select("dim", "block")), "dim").select(  # a number for each block
+       
         "dim", "block", F.pmod(F.xxhash64("source", "part"), F.lit(shares)).cast("int").alias("share"), F.lit(1).alias("step"), "queries", "query_ids"
     )
     blocks = index.select(
