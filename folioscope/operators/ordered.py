@@ -64,8 +64,8 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], dict
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def throttled(rows: DataFrame, key: str, time: str, tie: str, seconds: float = 30.0) -> DataFrame:
-    """Rows with ``kept``: a row less than so many seconds after the last kept one of its key is not."""
+def throttle(time: str, seconds: float = 30.0) -> Callable[[dict, dict], bool]:
+    """A row less than so many seconds after the last kept one of its key is not kept."""
 
     def step(state: dict, row: dict) -> bool:
         now = row[time].timestamp()
@@ -74,11 +74,16 @@ def throttled(rows: DataFrame, key: str, time: str, tie: str, seconds: float = 3
             state["last"] = now
         return kept
 
-    return folded(rows, key, [time, tie], dict, step, "kept", T.BooleanType(), uses=[time])
+    return step
 
 
-def cooled_down(rows: DataFrame, key: str, time: str, tie: str, limited: str, retry: str, least: float = 20.0) -> DataFrame:
-    """Rows with ``asked``: after a limited row its key rests for what that row asks, at least so many seconds."""
+def throttled(rows: DataFrame, key: str, time: str, tie: str, seconds: float = 30.0) -> DataFrame:
+    """Rows with ``kept``: see ``throttle``."""
+    return folded(rows, key, [time, tie], dict, throttle(time, seconds), "kept", T.BooleanType(), uses=[time])
+
+
+def cool_down(time: str, limited: str, retry: str, least: float = 20.0) -> Callable[[dict, dict], bool]:
+    """After a limited row that was asked its key rests for what that row asks, at least so many seconds; meanwhile nothing is asked."""
 
     def step(state: dict, row: dict) -> bool:
         now = row[time].timestamp()
@@ -87,7 +92,99 @@ def cooled_down(rows: DataFrame, key: str, time: str, tie: str, limited: str, re
             state["until"] = now + max(least, row[retry] or 0.0)
         return asked
 
-    return folded(rows, key, [time, tie], dict, step, "asked", T.BooleanType(), uses=[time, limited, retry])
+    return step
+
+
+def cooled_down(rows: DataFrame, key: str, time: str, tie: str, limited: str, retry: str, least: float = 20.0) -> DataFrame:
+    """Rows with ``asked``: see ``cool_down``."""
+    return folded(rows, key, [time, tie], dict, cool_down(time, limited, retry, least), "asked", T.BooleanType(), uses=[time, limited, retry])
+
+
+# How often a session's token is renewed at most.
+MOST_RENEWALS = 4096
+
+
+def renewal(time: str, kind: str, token: str, replacement: str, expires: str) -> Callable[[dict, dict], str]:
+    """What becomes of a session's events: ``open`` and ``renew`` bring a token, ``revoke`` ends the session.
+
+    Renewing with the current token replaces it. A token that was replaced already tells of
+    a thief: ``reuse`` ends the session, and all its tokens. Any other token, an expired or
+    ended session, and a session renewed too often are ``invalid``. The state holds the
+    tokens that a session replaced, a bounded number.
+    """
+
+    def step(state: dict, row: dict) -> str:
+        now = row[time].timestamp()
+        if row[kind] == "open":
+            if state:
+                return "invalid"
+            ends = row[expires]
+            state.update(token=row[token], used=[], until=ends.timestamp() if ends is not None else None)
+            return "opened"
+        if row[kind] == "revoke":
+            over = not state or state["token"] is None
+            if state:
+                state["token"] = None
+            return "invalid" if over else "revoked"
+        live = bool(state) and state["token"] is not None and (state["until"] is None or state["until"] > now)
+        if live and row[token] in state["used"]:
+            state["token"] = None
+            return "reuse"
+        if not live or row[token] != state["token"] or row[replacement] is None or len(state["used"]) >= MOST_RENEWALS:
+            return "invalid"
+        state["used"].append(row[token])
+        state["token"] = row[replacement]
+        return "renewed"
+
+    return step
+
+
+def renewed(rows: DataFrame, session: str, time: str, tie: str, kind: str, token: str, replacement: str, expires: str) -> DataFrame:
+    """Rows with ``outcome``: see ``renewal``."""
+    step = renewal(time, kind, token, replacement, expires)
+    return folded(rows, session, [time, tie], dict, step, "outcome", T.StringType(), uses=[time, kind, token, replacement, expires])
+
+
+def remembering(kind: str, record: str) -> Callable[[dict, dict], str]:
+    """The state of memories that were derived alike: what an event makes of its record, or why nothing.
+
+    ``propose`` makes a pending record unless one like it was forgotten (``suppressed``),
+    ``create`` an accepted one; ``accept`` and ``reject`` decide a pending one, ``forget``
+    rejects an open one and keeps new ones from being proposed, ``invalidate`` ends any
+    that is not. Others are ``refused``.
+    """
+
+    def step(state: dict, row: dict) -> str:
+        records, what, own = state.setdefault("records", {}), row[kind], str(row[record])
+        now = records.get(own)
+        if what in ("propose", "create"):
+            if now is not None:
+                return "refused"
+            if what == "propose" and state.get("forgotten"):
+                return "suppressed"
+            records[own] = "pending" if what == "propose" else "accepted"
+        elif now is None or (what in ("accept", "reject") and now != "pending") or (what == "invalidate" and now == "invalidated"):
+            return "refused"
+        elif what == "forget":
+            state["forgotten"] = True
+            records[own] = "rejected" if now in ("pending", "accepted") else now
+        else:
+            records[own] = {"accept": "accepted", "reject": "rejected", "invalidate": "invalidated"}.get(what, now)
+        return records[own]
+
+    return step
+
+
+def remembered(rows: DataFrame, derivation: str, order: list[str], kind: str, record: str) -> DataFrame:
+    """Rows with ``outcome``: see ``remembering``; ``derivation`` tells what a memory was derived from, and its scope."""
+    return folded(rows, derivation, order, dict, remembering(kind, record), "outcome", T.StringType(), uses=[kind, record])
+
+
+def pruned(snapshots: DataFrame, conflicts: DataFrame, time: str, revision: str, now: Column, days: int = 30) -> DataFrame:
+    """Snapshots that are kept: younger than so many days, or of a revision that an unresolved conflict (revision, status) needs."""
+    needed = conflicts.where("status = 'unresolved'").select(F.col("revision").alias("needed")).where("needed is not null").distinct()
+    out = snapshots.join(needed, F.col(revision) == F.col("needed"), "left")
+    return out.where((F.col(time) >= now - F.make_interval(days=F.lit(days))) | F.col("needed").isNotNull()).select(*snapshots.columns)
 
 
 def budget_ledger(rows: DataFrame, key: str, order: list[str], kind: str, amount: str, cap: float) -> DataFrame:
