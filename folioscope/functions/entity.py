@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that say nothing in a title, and in a query.
-TITLE_STOP_WORDS = ["a", "an", "and", "for", "from", "in", "of", "on", "the", "to", "via", "with"]
-QUERY_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "can", "do", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or", "the", "this", "to", "using", "via", "was", "what", "which", "with"]
+# Words that say nothing in a title, and in a typed query.
+TITLE_STOP_WORDS = ["a", "an", "and", "for", "in", "of", "on", "the", "to", "via", "with"]
+QUERY_STOP_WORDS = ["and", "for", "the", "with", "논문", "연구", "관련", "찾아줘"]
 # How DOIs that arXiv gives begin, and letters of a title that tells papers apart.
 ARXIV_DOI, LEAST_TITLE = "10.48550/arxiv.", 12
 # Weights and bounds of citation identity.
@@ -37,9 +37,9 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def query_terms(text: Column) -> Column:
-    """Distinct terms of a query in their order: three letters or more (two where written in Hangul), no stop words."""
+    """Distinct terms of a typed query in their order: three letters or more, two in Hangul alone, no stop words."""
     words = F.array_distinct(F.split(letters_only(text), " "))
-    return F.filter(words, lambda w: ~w.isin(QUERY_STOP_WORDS) & (F.length(w) >= F.when(w.rlike(r"\p{IsHangul}"), 2).otherwise(3)))
+    return F.filter(words, lambda w: ((F.length(w) >= 3) | w.rlike("^[가-힣]{2,}$")) & ~w.isin(QUERY_STOP_WORDS))
 
 
 def doi(value: Column) -> Column:

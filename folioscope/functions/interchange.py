@@ -47,14 +47,29 @@ def redacted(text: Column) -> tuple[Column, Column]:
 
 
 def bibtex_escaped(value: Column) -> Column:
-    return F.regexp_replace(value, r"([&%$#_{}])", r"\\$1")
+    return F.regexp_replace(value, r"([\\{}])", r"\\$1")
 
 
-def bibtex_entry(key: Column, title: Column, author: Column, year: Column) -> Column:
-    """One entry; unknown fields are left out."""
-    field = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"  {name} = {{"), bibtex_escaped(value.cast("string")), F.lit("}")))
-    fields = F.array_compact(F.array(field("title", title), field("author", author), field("year", year)))
-    return F.concat(F.lit("@article{"), key, F.lit(",\n"), F.array_join(fields, ",\n"), F.lit("\n}"))
+def bibtex(key: Column, title: Column, authors: Column, year: Column, venue: Column, doi: Column, arxiv: Column, tags: Column) -> Column:
+    """An entry of up to eight fields; unknown and empty ones are left out."""
+    held = lambda value: value.isNotNull() & (value != "")
+    field = lambda name, value: F.when(held(value), F.concat(F.lit(f"  {name} = {{"), value, F.lit("}")))
+    joined = lambda values, by: F.array_join(F.transform(values, bibtex_escaped), by)
+    fields = [
+        F.concat(F.lit("  title = {"), bibtex_escaped(F.coalesce(title, F.lit(""))), F.lit("}")), field("author", joined(authors, " and ")), field("year", year.cast("string")), field("journal", bibtex_escaped(venue)),
+        field("doi", bibtex_escaped(doi)), field("eprint", bibtex_escaped(arxiv)), F.when(held(arxiv), "  archivePrefix = {arXiv}"), field("keywords", joined(tags, ", ")),
+    ]
+    return F.concat(F.lit("@article{"), key, F.lit(",\n"), F.array_join(F.array_compact(F.array(*fields)), ",\n"), F.lit("\n}"))
+
+
+# A bullet of a keyword answer.
+KEYWORD_LINE = r"^\s*(?:[-*+]|\d+[.)])\s+\*\*([^*]+?)\s*(?:[:：]\s*\*\*|\*\*\s*[:：—–-])\s*(.+?)\s*$"
+
+
+def keyword_entry(line: Column) -> Column:
+    """struct(term, definition) of a line ``- **term**: definition`` (the colon inside or outside, or a dash); null for any other."""
+    part = lambda k: F.trim(F.regexp_extract(line, KEYWORD_LINE, k))
+    return F.when((part(1) != "") & (part(2) != ""), F.struct(part(1).alias("term"), part(2).alias("definition")))
 
 
 def atom_entry(id_: Column, title: Column, author: Column, published: Column) -> Column:

@@ -60,17 +60,34 @@ def html_text(html: Column) -> Column:
     return F.trim(html)
 
 
-def snippet(text: Column, terms: Column, before: int = 120, after: int = 360) -> Column:
-    """The text around the first place of any term, from ``before`` characters before it to ``after`` behind, cut at blanks and marked where cut."""
+def snippet(text: Column, terms: Column, before: int = 120, most: int = 360) -> Column:
+    """What is shown of a text around the first place of any term: from ``before`` characters before it, ``most`` in all, cut at blanks and marked where cut."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    places = F.filter(F.transform(terms, lambda t: F.instr(F.lower(flat), t)), lambda p: p > 0)
-    first = F.coalesce(F.array_min(places), F.lit(1))
-    begin, end = F.greatest(first - before, F.lit(1)), F.least(first + after, F.length(flat) + 1)
-    cut = F.substring(flat, begin, end - begin)
-    # A word cut at either end goes.
-    cut = F.when(begin > 1, F.regexp_replace(cut, r"^[^ ]* ", "")).otherwise(cut)
-    cut = F.when(end <= F.length(flat), F.regexp_replace(cut, r" [^ ]*$", "")).otherwise(cut)
-    return F.concat(F.when(begin > 1, "…").otherwise(""), F.trim(cut), F.when(end <= F.length(flat), "…").otherwise(""))
+
+    def begun(s: Column) -> Column:
+        places = F.filter(F.transform(terms, lambda t: F.instr(F.lower(s), t) - 1), lambda p: p >= 0)
+        return F.struct(s.alias("s"), F.coalesce(F.array_min(places), F.lit(0)).alias("center"))
+
+    def started(x: Column) -> Column:
+        raw = F.greatest(x["center"] - before, F.lit(0))
+        blank = F.instr(F.substring(x["s"], raw + 1, F.length(x["s"])), " ")
+        inside = (raw > 0) & (blank > 0) & (raw + blank - 1 < x["center"])
+        return F.struct(x["s"].alias("s"), F.when(inside, raw + blank).otherwise(raw).alias("start"))
+
+    def ended(x: Column) -> Column:
+        end = F.least(F.length(x["s"]), x["start"] + most)
+        back = F.instr(F.reverse(F.substring(x["s"], F.lit(1), end + 1)), " ")
+        last = F.when((end < F.length(x["s"])) & (back > 0), end + 1 - back).otherwise(end)
+        return F.struct(x["s"].alias("s"), x["start"].alias("start"), F.when(last > x["start"], last).otherwise(end).alias("end"))
+
+    def shown(x: Column) -> Column:
+        cut = F.substring(x["s"], x["start"] + 1, x["end"] - x["start"])
+        return F.concat(F.when(x["start"] > 0, "…").otherwise(""), cut, F.when(x["end"] < F.length(x["s"]), " …").otherwise(""))
+
+    steps = F.array(flat)
+    for step in (begun, started, ended, shown):
+        steps = F.transform(steps, step)
+    return F.get(steps, F.lit(0))
 
 
 def anchor_segments(text: Column, least: int = 12) -> Column:
@@ -79,52 +96,48 @@ def anchor_segments(text: Column, least: int = 12) -> Column:
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
-def markdown_plain(text: Column) -> Column:
-    """Markdown and formulas as plain text."""
+def source_plain(text: Column) -> Column:
+    """Markdown and LaTeX of a page's blocks as the words that a reader sees."""
     # Patterns and what they become, in order.
-    steps = [
-        (r"(?s)```.*?```", " "),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\$+([^$]*)\$+", "$1"),
-        (r"(?m)^\s{0,3}(?:#{1,6}|>|[-*+])\s+", ""),
-        (r"[*_`~]+", ""),
-        (r"\s+", " "),
-    ]
+    steps = [(r"(?m)^\s*(?:#{1,6}|[-*+•])\s+", ""), (r"\$+", " "), (r"\\[a-zA-Z]+", " "), (r"[{}^_]", " "), (r"\s+", " ")]
     for pattern, by in steps:
         text = F.regexp_replace(text, pattern, by)
     return F.trim(text)
 
 
 def layer_clean(text: Column) -> Column:
-    """Text of a page's layer: hyphens at line ends joined, ligatures spelled, controls gone."""
+    """Text of a page's layer in one line: marks of joined hyphens go, ligatures are spelled, a hyphen at a line's end stays and joins."""
     # Ligatures and their letters.
-    for ligature, letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")):
+    for ligature, letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st")):
         text = F.replace(text, F.lit(ligature), F.lit(letters))
-    text = F.regexp_replace(text, r"[\x02\xAD]\s*|(?<=\p{L})-\n(?=\p{Ll})", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F]", ""), r"\s+", " "))
+    text = F.regexp_replace(F.replace(text, F.lit("\x02"), F.lit("")), r"-[ \t]*\r?\n[ \t]*", "-")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def readable(text: Column, most: float = 0.02) -> Column:
-    """Whether at most a share of the characters are controls, of private use, or replaced ones."""
-    bad = F.length(text) - F.length(F.regexp_replace(text, r"[\p{Cc}\p{Co}\x{FFFD}&&[^\n\t]]", ""))
-    return F.coalesce(bad / F.greatest(F.length(text), F.lit(1)) <= most, F.lit(True))
+    """Whether there is text, of which at most a share is controls, of private use, or replaced characters."""
+    bad = F.length(text) - F.length(F.regexp_replace(text, r"[\p{Cc}\p{Co}\x{FFFD}]", ""))
+    return F.coalesce((F.length(text) > 0) & (bad <= F.length(text) * most), F.lit(False))
 
 
 def expanded_numbers(marker: Column, most: int = 100) -> Column:
-    """The numbers of a citation marker such as ``3, 5-7``: ranges up to ``most`` long are spelled out, others keep their ends."""
+    """The numbers of a citation marker such as ``3, 5-7``, each once: ranges are spelled out, but reversed ones and those that reach further than ``most`` go, as does what is no number."""
 
     def one(part: Column) -> Column:
-        ends = F.transform(F.split(part, r"\s*[-\x{2013}]\s*"), lambda x: F.try_to_number(F.trim(x), F.lit("999999999")).cast("int"))
-        low, high = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0)))
-        whole = low.isNotNull() & (high >= low) & (high - low <= most)
-        return F.when(whole, F.sequence(low, F.greatest(low, high))).otherwise(F.array_compact(F.array(low, high)))
+        ends = F.transform(F.split(part, r"\s*-\s*"), lambda x: x.try_cast("int"))
+        low, high = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+        whole = part.rlike(r"^[0-9]+\s*-\s*[0-9]+$") & (high >= low) & (high - low <= most)
+        spelled = F.transform(F.sequence(low, F.greatest(low, high)), lambda n: n.cast("string"))
+        return F.when(whole, spelled).when(part.rlike("^[0-9]+$"), F.array(part)).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.flatten(F.transform(F.split(marker, r"\s*[,;]\s*"), one)))
+    return F.array_distinct(F.flatten(F.transform(F.split(marker, "[,;]"), lambda p: one(F.trim(p)))))
 
 
 def number_cell(cell: Column) -> tuple[Column, Column]:
-    """Value and unit of a table cell: thousands commas, exponents, and a percent sign or K, M or B as a label that does not scale."""
-    pattern = r"^\s*([+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*([%KMB]?)\s*$"
-    digits, unit = F.regexp_extract(cell, pattern, 1), F.regexp_extract(cell, pattern, 2)
-    return F.when(digits != "", F.regexp_replace(digits, ",", "").try_cast("double")), F.when(digits != "", unit)
+    """Value and unit of a table cell, markup aside: thousands commas, exponents, and a percent sign or K, M or B in either case as a label that does not scale."""
+    pattern = r"^([+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*([%KMBkmb]?)$"
+    bare = F.regexp_replace(F.trim(cell), "[*_`]", "")
+    digits, unit = F.regexp_extract(bare, pattern, 1), F.regexp_extract(bare, pattern, 2)
+    value = F.when(digits != "", F.regexp_replace(digits, ",", "").try_cast("double"))
+    finite = F.abs(value) < F.lit(float("inf"))
+    return F.when(finite, value), F.when(finite, F.upper(unit))

@@ -2,24 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import entity as E
 from folioscope.functions import text as X
+from folioscope.functions.unicode import normal_form
+from folioscope.operators.components import looked_up
+from folioscope.operators.graph import interleaved
+from folioscope.operators.retrieval import ranked_passages
 
-# Parts of a question that are asked, and passages that come back for it.
-MOST_PARTS, MOST_PASSAGES = 24, 8
+# Parts of a question that are asked, passages that come back for each part and for the question.
+MOST_PARTS, MOST_RANKED, MOST_PASSAGES = 24, 5, 8
+PART_ENDS = r"(?i)\?|,|;|\band\b|\band\s+also\b|및|그리고"
+# What speaks for a page of an overview, how much the first page and the others count, and pages that are taken.
+FIRST_PAGE, OVERVIEW_PAGES = 8, 6
+OVERVIEW_HINTS = ((r"(?i)\b(?:method|approach|framework)\b", 4), (r"(?i)\b(?:experiment|result|evaluation)\b", 3), (r"(?i)\b(?:conclusion|limitation|discussion)\b", 3))
+# Characters of a citation key, with and without its suffix.
+MOST_KEY, MOST_BASE = 80, 72
 # Related matches and how near they are.
 RELATED, MOST_RELATED = 0.30, 3
 
 
 def question_parts(asked: DataFrame) -> DataFrame:
-    """(item_id, part, text): a question as a whole, then its parts between sentence marks, commas and "and", none twice, ``MOST_PARTS`` at most."""
-    whole = F.array(X.normalised(F.col("text")))
-    parts = F.transform(F.split(F.lower("text"), r"[.?!;,\n]+|\band\b"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
-    kept = F.filter(parts, lambda p: F.length(p) >= 3)
-    return asked.where("text is not null").select("item_id", F.posexplode(F.slice(F.array_distinct(F.concat(whole, kept)), 1, MOST_PARTS)).alias("part", "text"))
+    """(item_id, part, text): a question as a whole, its parts between marks and "and", then its words of four letters and its pairs of words, none twice, ``MOST_PARTS`` at most."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split("text", PART_ENDS), bare), lambda p: F.length(p) >= 3)
+    words = F.col("words")
+
+    def focused(word: Column, k: Column) -> Column:
+        after = F.get(words, k + 1)
+        pair = F.when((F.length(word) >= 3) & (F.length(after) >= 3), F.concat_ws(" ", word, after))
+        return F.array_compact(F.array(F.when(word.rlike("[A-Za-z]") & (F.length(word) >= 4), word), pair))
+
+    rows = asked.where("text is not null").select("item_id", "text", X.tokens(F.col("text")).alias("words"), parts.alias("parts"))
+    every = F.array_distinct(F.concat(F.array(bare(F.col("text"))), "parts", F.flatten(F.transform(words, focused))))
+    return rows.select("item_id", F.posexplode(F.slice(F.filter(every, lambda p: F.length(p) >= 3), 1, MOST_PARTS)).alias("part", "text"))
+
+
+def question_passages(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, page, chunk, turn): passages of a question's parts in turn, best ones first, each once, ``MOST_PASSAGES`` at most."""
+    parts = question_parts(asked).withColumn("asked", F.struct("item_id", "part"))
+    ranked = ranked_passages(docs, parts.select(F.col("asked").alias("item_id"), "text"), top=MOST_RANKED)
+    lists = ranked.select("item_id.item_id", "item_id.part", "rank", F.struct("page", "chunk").alias("passage"))
+    return interleaved(lists, "item_id", "passage", "part", "rank", MOST_PASSAGES).select("item_id", "passage.page", "passage.chunk", "turn")
+
+
+def first_pages(docs: DataFrame, asked: DataFrame, least: int = 4) -> DataFrame:
+    """(item_id, page, pages): the first document (doc_id, text) that holds a text of ``least`` words or more as it stands, in normal form, and how many do.
+
+    A document that holds it has its inner words: those with the rarest of them are looked at.
+    """
+    normal = lambda c: X.normalised(F.col(c))
+    wanted = asked.where("text is not null").select("item_id", normal("text").alias("wanted")).withColumn("words", F.split("wanted", " ")).where(F.size("words") >= max(least, 3))
+    inner = wanted.select("item_id", F.explode(F.array_distinct(F.slice("words", F.lit(2), F.size("words") - 2))).alias("word"))
+    own = docs.where("text is not null").select(F.col("doc_id").alias("page"), normal("text").alias("own"))
+    postings = own.select("page", F.explode(F.array_distinct(F.split("own", " "))).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    spread = postings.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = inner.join(spread, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    likely = rarest.join(postings, "word").select("item_id", "page").join(wanted.select("item_id", "wanted"), "item_id").join(own, "page")
+    return likely.where(F.contains("own", "wanted")).groupBy("item_id").agg(F.min("page").alias("page"), F.count("*").alias("pages"))
+
+
+def memory_relevance(terms: Column, text: Column) -> Column:
+    """Two for each term that a memory's text holds, parts of words included; one where no term is asked."""
+    held = F.size(F.filter(terms, lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), t)))
+    return F.when(F.size(terms) == 0, 1).otherwise(2 * held)
+
+
+def citation_keys(rows: DataFrame, id_: str) -> DataFrame:
+    """``rows`` (authors, year, title) with ``citation_key``: surname, year and first long word of the title in ASCII; a key that an earlier id has gets the id behind it."""
+    # A normal form cannot be taken inside an array: the words are parted after it.
+    ascii_ = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9 ]+", ""))
+    folded = lambda c: ascii_(F.regexp_replace(normal_form(c, "NFKD"), r"\s+", " "))
+    surname = F.element_at(F.split(F.trim(F.get("authors", F.lit(0))), r"\s+"), -1)
+    plain = rows.withColumns({"_surname": F.regexp_replace(folded(F.coalesce(surname, F.lit(""))), " ", ""), "_words": F.split(folded(F.col("title")), " ")})
+    word = F.get(F.filter("_words", lambda w: F.length(w) > 2), F.lit(0))
+    base = F.concat(F.when(F.col("_surname") != "", F.col("_surname")).otherwise("paper"), F.coalesce(F.col("year").cast("string"), F.lit("nd")), F.coalesce(word, F.lit("work")))
+    based = plain.withColumn("_base", F.substring(base, 1, MOST_BASE)).drop("_surname", "_words")
+    firsts = based.groupBy("_base").agg(F.min(id_).alias("_first"))
+    suffix = F.concat(F.lit("-"), F.col(id_).cast("string"))
+    key = F.when(F.col(id_) == F.col("_first"), F.col("_base")).otherwise(F.concat(F.substring("_base", F.lit(1), MOST_KEY - F.length(suffix)), suffix))
+    return looked_up(based, firsts, "_base").withColumn("citation_key", key).select(*rows.columns, "citation_key")
 
 
 def related(scores: DataFrame, least: float = RELATED, most: int = MOST_RELATED) -> DataFrame:

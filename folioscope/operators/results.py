@@ -10,8 +10,6 @@ from folioscope.functions import entity as E
 from folioscope.functions.unicode import normal_form
 from folioscope.operators.ordered import folded
 
-# Words that say nothing in a typed query.
-ASKING_WORDS = ["and", "for", "the", "with", "논문", "연구", "관련", "찾아줘"]
 # Words that say nothing about the subject of a paper, and those that say too little to be required.
 COMMON_WORDS = """about after all and arxiv based between bridging for from gap human into logic machine method methods model models new need overview our
 paper study system systems that the their this technical toward towards using uses via with you google preprint com cs cl""".split()
@@ -31,9 +29,8 @@ def normal(text: Column) -> Column:
 
 
 def typed_terms(text: Column) -> Column:
-    """Distinct terms of a typed query in their order: three letters or more, two in Hangul alone."""
-    words = F.array_distinct(F.split(normal(text), " "))
-    return F.filter(words, lambda w: ((F.length(w) >= 3) | w.rlike("^[가-힣]{2,}$")) & ~w.isin(ASKING_WORDS))
+    """Terms of a typed query, compatible characters spelled out."""
+    return E.query_terms(normal_form(text))
 
 
 def _subject(words: Column) -> Column:

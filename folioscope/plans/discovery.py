@@ -11,19 +11,6 @@ from folioscope.operators import discovery
 from folioscope.sources.tables import table
 
 
-def benchmark_question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.question_parts(table(spark, sf_dir, "benchmark"))
-
-
-def document_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document that has all words of a part of a question, in whatever order."""
-    parts = discovery.question_parts(table(spark, sf_dir, "benchmark")).select("item_id", "part", F.array_distinct(X.tokens(F.col("text"))).alias("words")).where(F.size("words") > 0)
-    words = parts.select("item_id", "part", F.size("words").alias("needed"), F.explode("words").alias("word"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("word"))
-    held = words.join(docs, "word").groupBy("item_id", "part", "needed", "doc_id").agg(F.count("*").alias("held")).where("held = needed")
-    return held.groupBy("item_id", "part").agg(F.min("doc_id").alias("page"), F.count("*").alias("pages"))
-
-
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as found papers: the same customer's name with its priority is one paper, told of by several orders."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -67,40 +54,22 @@ def order_provider_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("l_orderkey", F.col("at.l_suppkey").alias("provider"), "failures", status.alias("status"))
 
 
-def event_memory_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two for each term that an entry holds, one where nothing is asked."""
-    terms = F.filter(F.split(F.when(F.col("event_id") % 4 != 0, F.concat_ws(" ", "event_type", F.lit("view"))).otherwise(""), " "), lambda t: t != "")
-    entry = F.concat_ws(" ", F.lit("last view of a"), "event_type")
-    score = F.aggregate(terms, F.lit(0), lambda a, t: a + F.when(F.contains(entry, t), 2).otherwise(0))
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.size(terms) == 0, 1).otherwise(score).alias("score"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        benchmark_question_parts, document_first_pages, order_candidate_keys, order_merged_candidates, order_judged_list, order_provider_fallback, event_memory_relevance,
+        order_candidate_keys, order_merged_candidates, order_judged_list, order_provider_fallback, 
     )
 }
 
-_PARTS = r"""l as (select item_id, list_prepend(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), list_filter(list_transform(string_split_regex(lower(text), '[.?!;,\n]+|\band\b'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))), lambda p: length(p) >= 3)) p from benchmark where text is not null),
-u as (select item_id, unnest(p) t, unnest(range(len(p))) n from l), f as (select item_id, t, min(n) n from u group by 1, 2),
-parts as (select item_id, cast(row_number() over (partition by item_id order by n) - 1 as int) part, t as "text" from f)"""
-_TOKENS = r"regexp_extract_all(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '[\p{{L}}\p{{N}}]{{2,}}')"
-_PLAIN = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _KEY = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _FOUND = """c as (select o_orderkey id, concat_ws(' ', c_mktsegment, o_orderpriority, c_name) title, case when o_orderkey % 3 = 0 then '10.1234/' || c_custkey end doi, case when o_orderkey % 2 = 0 then o_orderpriority end venue,
  case when o_orderkey % 5 <> 0 then cast(year(o_orderdate) as int) end "year", o_orderkey % 40 abstract, o_orderkey % 100 citations from orders join customer on o_custkey = c_custkey)"""
 
 ORACLES = {
-    "benchmark_question_parts": f"with {_PARTS} select item_id, part, \"text\" from parts where part < 24",
-    "document_first_pages": f"""with {_PARTS}, w as (select item_id, part, list_distinct({_TOKENS.format('"text"')}) w from parts where part < 24), x as (select item_id, part, len(w) needed, unnest(w) word from w where len(w) > 0),
-d as (select doc_id, unnest(list_distinct({_TOKENS.format('text')})) word from documents), h as (select item_id, part, doc_id from x join d using (word) group by item_id, part, needed, doc_id having count(*) = needed)
-select item_id, part, min(doc_id) page, count(*) pages from h group by 1, 2""",
     "order_candidate_keys": f"""with {_FOUND}, k as (select id, 'doi:' || doi k from c where doi is not null union all select id, 'title:' || {_KEY.format('title')} from c where length({_KEY.format('title')}) >= 12) select k as "key", count(*) candidates, min(id) "first" from k group by 1""",
     "order_merged_candidates": f"""with {_FOUND} select {_KEY.format('title')} as "key", count(*) members, (list(venue order by id) filter (venue is not null))[1] venue, (list("year" order by id) filter ("year" is not null))[1] "year", cast(max(abstract) as int) abstract, max(citations) citations from c group by 1""",
     "order_judged_list": """with w as (select o_custkey, count(*) filter (o_orderkey % 3 <> 0) waiting from orders group by 1),
 p as (select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderkey % 4 desc, o_totalprice desc, o_orderkey) as int) place from orders where o_orderkey % 3 = 0 and o_orderkey % 4 >= 2) select * from p join w using (o_custkey) where place <= 5""",
     "order_provider_fallback": """with a as (select l_orderkey, min({'n': l_linenumber, 's': l_suppkey}) filter (l_returnflag <> 'R') p, count(*) filter (l_returnflag = 'R') f, count(*) n from lineitem group by 1)
 select l_orderkey, p.s provider, f failures, case when f = 0 then 'complete' when f = n then 'failed' else 'partial' end status from a""",
-    "event_memory_relevance": """select event_id, case when event_id % 4 = 0 then 1 else 4 end score from events""",
 }

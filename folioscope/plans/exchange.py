@@ -39,17 +39,6 @@ def conversation_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(text, 1, 40).alias("begins"), F.coalesce(hidden, F.lit(False)).alias("hidden"))
 
 
-def order_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries whose keys are made of name, year and a word; repeated ones get a letter."""
-    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    key = F.lower(F.regexp_replace(F.concat("c_mktsegment", F.year("o_orderdate").cast("string"), F.substring_index("o_orderpriority", "-", -1)), "[^A-Za-z0-9]", ""))
-    rows = joined.select("o_orderkey", key.alias("key"), "c_name", "o_orderpriority", F.year("o_orderdate").alias("year"))
-    # Places in a hot key are numbered within the customer's day, which is rarely shared.
-    place = F.row_number().over(Window.partitionBy("key", "c_name").orderBy("o_orderkey"))
-    suffix = F.when(place > 1, F.char(96 + place)).otherwise("")
-    return rows.select("o_orderkey", F.sha2(I.bibtex_entry(F.concat("key", suffix), F.col("o_orderpriority"), F.col("c_name"), F.col("year")), 256).alias("entry"))
-
-
 def part_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as entries of a feed, read again."""
     entry = I.atom_entry(F.col("p_partkey").cast("string"), F.concat(F.col("p_name"), F.lit(" & <co>")), F.col("p_brand"), F.concat((2000 + F.col("p_size") % 20).cast("string"), F.lit("-01-02")))
@@ -117,7 +106,7 @@ def document_citation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that bracketed marks of a text cite, and whether its list of lines has them: resolved, or not."""
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat("text", F.lit(" [3, 5-7] [2] [9999]")).alias("t"), F.size(F.split("text", "\n")).alias("entries"))
     marks = rows.select("doc_id", "entries", F.explode(F.regexp_extract_all("t", F.lit(r"\[([0-9]{1,4}(?:\s*[,-]\s*[0-9]{1,4})*)\]"), F.lit(1))).alias("mark"))
-    cited = marks.select("doc_id", "entries", F.explode(X.expanded_numbers(F.col("mark"))).alias("number")).distinct()
+    cited = marks.select("doc_id", "entries", F.explode(X.expanded_numbers(F.col("mark")).cast("array<int>")).alias("number")).distinct()
     state = F.when(F.col("number").between(1, F.col("entries")), "resolved").otherwise("unresolved")
     return cited.groupBy("doc_id").agg(F.count("*").alias("cited"), F.count_if(state == "resolved").alias("resolved"))
 
@@ -129,14 +118,6 @@ def conversation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.trim(F.substring_index("link", "|", 1)).alias("target"), F.when(F.col("link").contains("|"), F.substring_index("link", "|", -1)).alias("label"))
 
 
-def document_keyword_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bullets of the form ``term: definition``."""
-    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.concat(F.lit("- **alpha**: first letter\n* beta - second\n"), F.col("text")), "\n")).alias("at", "line"))
-    pattern = r"^\s*[-*]\s+\**([^:*\n]{1,60}?)\**\s*(?::|\s-\s)\s*(\S.*)$"
-    rows = lines.where(F.col("line").rlike(pattern))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("entries"), F.min_by(F.trim(F.regexp_extract("line", pattern, 1)), "at").alias("first"))
-
-
 def lineitem_carried_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of an order with the heading before it: the last one of a flag R."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
@@ -148,22 +129,18 @@ def lineitem_carried_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        conversation_notes, event_experiment_lines, conversation_redacted, order_bibtex, part_feed, part_provider_papers, order_canvas, document_manifest, page_meta,
-        document_line_classes, document_citation_marks, conversation_links, document_keyword_entries, lineitem_carried_headings,
+        conversation_notes, event_experiment_lines, conversation_redacted, part_feed, part_provider_papers, order_canvas, document_manifest, page_meta,
+        document_line_classes, document_citation_marks, conversation_links, lineitem_carried_headings,
     )
 }
 
 _MARKS = r"regexp_extract_all(text || ' [3, 5-7] [2] [9999]', '\[([0-9]{1,4}(?:\s*[,-]\s*[0-9]{1,4})*)\]', 1)"
-_BULLET = r"^\s*[-*]\s+\**([^:*\n]{1,60}?)\**\s*(?::|\s-\s)\s*(\S.*)$"
 
 ORACLES = {
     "conversation_notes": """select conv_id, turn, case when turn % 5 < 3 then conv_id || '-' || turn end title, case when turn % 5 < 3 then role end tags, cast(length(coalesce(text, '')) as int) chars, case turn % 5 when 3 then 'malformed' when 4 then 'missing' end fault from conversations""",
     "event_experiment_lines": """with l as (select event_id k, case when event_id % 11 = 0 then 'malformed' when event_id % 17 = 0 then 'no run' when event_id % 13 = 0 then 'sensitive' end bad, event_id // 2 run from events),
 t as (select *, row_number() over (partition by run, bad is null order by k) n from l) select k event_id, coalesce(bad, case when n > 1 then 'repeated run' end) error from t""",
     "conversation_redacted": """select conv_id, turn, substr(case when turn % 2 = 0 then 'see [path] and [path] password: [secret] ' || coalesce(text, '') else role end, 1, 40) begins, turn % 2 = 0 hidden from conversations""",
-    "order_bibtex": r"""with r as (select o_orderkey, lower(regexp_replace(c_mktsegment || cast(year(o_orderdate) as varchar) || split_part(o_orderpriority, '-', -1), '[^A-Za-z0-9]', '', 'g')) k, c_name, o_orderpriority p, year(o_orderdate) y from orders join customer on o_custkey = c_custkey),
-n as (select *, row_number() over (partition by k, c_name order by o_orderkey) n from r)
-select o_orderkey, sha256('@article{' || k || case when n > 1 then chr(cast(96 + n as int)) else '' end || ',' || chr(10) || '  title = {' || p || '},' || chr(10) || '  author = {' || replace(c_name, '#', '\#') || '},' || chr(10) || '  year = {' || y || '}' || chr(10) || '}') entry from n""",
     "part_feed": """select p_partkey, cast(p_partkey as varchar) id, p_name || ' & <co>' title, p_brand author, 2000 + p_size % 20 "year" from part""",
     "part_provider_papers": """select p_partkey, p_name title, case when p_partkey % 4 = 1 then p_brand || ' ' || p_type else p_brand end authors, 2000 + p_size % 20 "year", '10.1/p' || p_partkey doi from part where p_partkey % 4 <> 3""",
     "order_canvas": """with e as (select a.o_custkey k, count(*) n from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderpriority = b.o_orderpriority and a.o_orderkey < b.o_orderkey group by 1)
@@ -176,12 +153,10 @@ select source, case when regexp_matches(line, '(?i)^\s*fig(?:ure)?\.?\s*[0-9]+')
     "document_citation_marks": rf"""with m as (select doc_id, len(string_split(text, chr(10))) entries, unnest({_MARKS}) mark from documents where text is not null),
 p as (select doc_id, entries, string_split(trim(x), '-') e from (select doc_id, entries, unnest(string_split(mark, ',')) x from m)),
 r as (select doc_id, entries, cast(trim(e[1]) as int) a, cast(trim(coalesce(e[2], e[1])) as int) b from p),
-n as (select distinct doc_id, entries, unnest(case when b >= a and b - a <= 100 then range(a, b + 1) else [a, b] end) num from r)
+n as (select distinct doc_id, entries, unnest(case when b >= a and b - a <= 100 then range(a, b + 1) else [] end) num from r)
 select doc_id, count(*) cited, count(*) filter (num between 1 and entries) resolved from n group by 1""",
     "conversation_links": r"""with l as (select conv_id, turn, unnest(regexp_extract_all(coalesce(text, '') || ' [[Note ' || conv_id || '|label]] and [[' || role || ']]', '\[\[([^\]\n]+)\]\]', 1)) link from conversations)
 select conv_id, turn, trim(split_part(link, '|', 1)) target, case when contains(link, '|') then split_part(link, '|', -1) end as "label" from l""",
-    "document_keyword_entries": rf"""with l as (select doc_id, unnest(string_split('- **alpha**: first letter' || chr(10) || '* beta - second' || chr(10) || text, chr(10))) line from documents where text is not null)
-select doc_id, count(*) entries, 'alpha' "first" from l where regexp_matches(line, '{_BULLET}') group by 1""",
     "lineitem_carried_headings": """with u as (select l_orderkey, last_value(case when l_returnflag = 'R' then l_linenumber end ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag rows between unbounded preceding and current row) u from lineitem)
 select l_orderkey, count(u) headed, max(u) last_heading from u group by 1""",
 }

@@ -123,16 +123,6 @@ def event_owner_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("n_name").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))
 
 
-def document_overview_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six pages of each source that look most like an overview."""
-    # What speaks for an overview, and how much.
-    hints = ((r"(?i)\b(?:abstract|summary|overview)\b", 4), (r"(?i)\b(?:introduction|contents)\b", 3), (r"(?i)\b(?:method|result|conclusion)s?\b", 2), (r"[0-9]{4}", 1))
-    score = sum((F.when(F.col("text").rlike(p), w).otherwise(0) for p, w in hints), F.lit(0))
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", score.alias("score"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))
-    return rows.withColumn("place", place).where("place <= 6")
-
-
 def document_prepared_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = F.size(F.regexp_extract_all("text", F.lit("[.!?]+"), F.lit(0)))
     pages = F.ceil(F.greatest(F.length("text"), F.lit(1)) / 1800)
@@ -147,22 +137,12 @@ def conversation_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("word").agg(F.min("first").getField("form").alias("form"), F.array_join(roles, ",").alias("roles"), F.sum("uses").alias("uses"), F.max("last").alias("last_seen"))
 
 
-def document_edge_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opening that most pages of a source share: by number of pages, then by length."""
-    words = F.split(X.normalised(F.col("text")), " ")
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", words.alias("w"))
-    each = rows.select("source", "doc_id", F.explode(F.array(*map(F.lit, range(2, 17)))).alias("size"), "w").where(F.size("w") >= F.col("size"))
-    keys = each.groupBy("source", "size", F.array_join(F.slice("w", 1, F.col("size")), " ").alias("opening")).agg(F.count("*").alias("pages"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("pages"), F.desc("size"), "opening"))
-    return keys.where("pages >= 3").withColumn("place", place).where("place = 1").select("source", "opening", "pages")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         supplier_neighbourhood, supplier_induced_edges, part_relation_list, order_links, lineitem_first_match, customer_interleaved_orders, price_ranked_values, event_budget_cut,
         event_throttle, event_cool_down, event_budget_ledger, event_lifecycle, event_greedy_selection, event_following_purchase, order_status_rollup, order_stale_evidence, event_owner_names,
-        document_overview_scores, document_prepared_stats, conversation_vocabulary, document_edge_furniture,
+        document_prepared_stats, conversation_vocabulary, 
     )
 }
 
@@ -198,15 +178,8 @@ select l_returnflag, max(v) filter (r = floor(n / 2) + 1) upper, max(v) filter (
 select o_custkey, case when d = n then 'complete' when d > 0 then 'partial' when f = n then 'failed' else 'waiting' end status, greatest(0, n - f) analysed from h""",
     "order_stale_evidence": "select o_orderkey, o_orderstatus from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus <> o_orderstatus)",
     "event_owner_names": "select n_name, count(*) events, count(distinct user_id) users from events join customer on user_id = c_custkey join nation on c_nationkey = n_nationkey group by 1",
-    "document_overview_scores": r"""with s as (select source, doc_id, cast(case when regexp_matches(text, '(?i)\b(?:abstract|summary|overview)\b') then 4 else 0 end + case when regexp_matches(text, '(?i)\b(?:introduction|contents)\b') then 3 else 0 end
- + case when regexp_matches(text, '(?i)\b(?:method|result|conclusion)s?\b') then 2 else 0 end + case when regexp_matches(text, '[0-9]{4}') then 1 else 0 end as int) score from documents where text is not null),
-p as (select *, cast(row_number() over (partition by source order by score desc, doc_id) as int) place from s) select * from p where place <= 6""",
     "document_prepared_stats": """select doc_id, cast(length(text) as int) chars, cast(len(regexp_extract_all(text, '[.!?]+')) as int) sentences, length(trim(text, ' ')) < ceil(greatest(length(text), 1) / 1800.0) * 24 needs_ocr from documents where text is not null""",
     "conversation_vocabulary": """with w as (select conv_id, turn, role, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) form, unnest(range(len(regexp_extract_all(text, '[A-Za-z]{4,}')))) p from conversations where text is not null),
 o as (select lower(form) word, role, min({'c': conv_id, 't': turn, 'p': p, 'f': form}) f, max(conv_id) l, count(*) n from w group by 1, 2)
 select word, min(f).f form, string_agg(role, ',' order by f, role) roles, cast(sum(n) as bigint) uses, max(l) last_seen from o group by 1""",
-    "document_edge_furniture": r"""with w as (select source, doc_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') w from documents where text is not null),
-e as (select source, doc_id, n, array_to_string(list_slice(w, 1, n), ' ') opening from w, (select unnest(range(2, 17)) n) where len(w) >= n),
-k as (select source, n, opening, count(*) pages from e group by all having count(*) >= 3),
-p as (select *, row_number() over (partition by source order by pages desc, n desc, opening) t from k) select source, opening, pages from p where t = 1""",
 }

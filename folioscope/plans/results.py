@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import entity as E
 from folioscope.operators import results, sentences
 from folioscope.sources.tables import table
 
@@ -106,7 +107,7 @@ ORACLES = {
     "benchmark_once_seen": f"with recursive {_FOUND}, short as (select scope, item, doi, substr(key, 1, 12) key from keyed)" + _ONCE.format(rows="short") + " select scope, item from walk where kept",
     "benchmark_typed_ranking": f"with recursive {_FOUND}, others as (select * from keyed where key <> 'none of them' and coalesce(doi <> '10.1/d1', true))"
     + _ONCE.format(rows="others")
-    + f""", terms as (select item_id scope, list_filter(list_distinct(string_split({_NORMAL.format('text')}, ' ')), lambda w: length(w) >= 3 and not list_contains({results.ASKING_WORDS!r}, w)) terms from benchmark),
+    + f""", terms as (select item_id scope, list_filter(list_distinct(string_split({_NORMAL.format('text')}, ' ')), lambda w: length(w) >= 3 and not list_contains({E.QUERY_STOP_WORDS!r}, w)) terms from benchmark),
 scored as (select k.scope, k.item, 3 * len(list_filter(terms, lambda t: contains(key, t))) + len(list_filter(terms, lambda t: contains({_NORMAL.format('abstract')}, t))) score from walk w join keyed k on k.scope = w.scope and k.item = w.item join terms t on t.scope = k.scope where kept)
 select scope, item, cast(score as int) score, cast(row_number() over (partition by scope order by score desc, item) as int) place from scored qualify place <= 20""",
     "benchmark_keywords": f"""with w as (select item_id, {_SUBJECT.format("string_split(" + _NORMAL.format('text') + ", ' ')")} w from benchmark), u as (select item_id, unnest(w) word, generate_subscripts(w, 1) p from w),

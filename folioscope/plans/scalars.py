@@ -83,40 +83,11 @@ def page_url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("pages"))
 
 
-def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.length(X.snippet(F.col("text"), F.array(F.lit("license"), F.lit("the "), F.lit("ipsum")))).alias("chars"))
-    return rows
-
-
 def document_anchor_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", X.anchor_segments(F.col("text")).alias("s"))
     return rows.select("doc_id", F.size("s").alias("segments"), F.length(F.array_join("s", "")).alias("chars"))
 
 
-def conversation_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    marked = F.concat(F.lit("## **"), F.col("role"), F.lit("** [link](http://x) $a+b$ `"), F.coalesce("text", F.lit("")), F.lit("`"))
-    return rows.select("conv_id", "turn", X.markdown_plain(marked).alias("plain"))
-
-
-def document_layer_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("eﬃcient hy-\nphen "), F.coalesce("text", F.lit("")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.layer_clean(raw).alias("clean"), X.readable(F.coalesce("text", F.lit(""))).alias("readable"))
-    return rows.select("doc_id", F.length("clean").alias("chars"), F.substring("clean", 1, 30).alias("begins"), "readable")
-
-
-def order_expanded_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    marker = F.concat((k % 50).cast("string"), F.lit(", "), (k % 7).cast("string"), F.lit("-"), (k % 7 + k % 4).cast("string"), F.lit("; "), (k % 50).cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(X.expanded_numbers(marker).cast("array<string>"), ",").alias("numbers"))
-
-
-def part_number_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.concat(F.format_number("p_retailprice", 2), F.element_at(F.array(*map(F.lit, ("", "%", "K", " M", "x"))), (F.col("p_partkey") % 5 + 1).cast("int")))
-    value, unit = X.number_cell(cell)
-    return table(spark, sf_dir, "part").select("p_partkey", value.alias("number"), unit.alias("unit"))
-
-
 def part_table_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extrema of a column of cells by header and unit: units are labels and never compared with each other; the first wins ties."""
     rows = table(spark, sf_dir, "part")
@@ -179,8 +150,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_title_keys, document_title_duplicates, benchmark_title_dice, benchmark_query_terms, order_doi_forms, order_arxiv_forms, customer_flipped_names, customer_citation_identity,
-        document_token_estimate, order_field_merges, page_url_keys, document_snippets, document_anchor_segments, conversation_plain, document_layer_clean, order_expanded_citations,
-        part_number_cells, part_table_extrema, event_vector_units, order_geometry, event_axis_scale, event_local_days, event_json_equality,
+        document_token_estimate, order_field_merges, page_url_keys, document_anchor_segments, 
+        part_table_extrema, event_vector_units, order_geometry, event_axis_scale, event_local_days, event_json_equality,
     )
 }
 
@@ -219,20 +190,8 @@ select k o_orderkey, case when s >= 0.78 then cast(s as double) end score from s
 select o_orderkey, greatest(o_orderdate, shipped) seen, case when flag is null or length(o_orderpriority) >= length(flag) then o_orderpriority else flag end "text", greatest(25.0, quantity) "count" from orders left join l on l_orderkey = o_orderkey""",
     "page_url_keys": r"""with u as (select page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://(?:www\.)?', '') u from pages), v as (select page_id, regexp_replace(regexp_replace(regexp_replace(u, '([?&])(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '/+$', '') u from u)
 select lower(split_part(u, '/', 1)) || substr(u, length(split_part(u, '/', 1)) + 1) "key", min(page_id) "first", count(*) pages from v group by 1""",
-    "document_snippets": r"""with f as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) s from documents),
-p as (select *, coalesce(list_min(list_filter([position('license' in lower(s)), position('the ' in lower(s)), position('ipsum' in lower(s))], lambda x: x > 0)), 1) p from f),
-e as (select *, greatest(p - 120, 1) b, least(p + 360, length(s) + 1) e from p), c as (select *, substr(s, b, e - b) c from e),
-d as (select *, case when b > 1 then regexp_replace(c, '^[^ ]* ', '') else c end d from c), g as (select *, case when e <= length(s) then regexp_replace(d, ' [^ ]*$', '') else d end g from d)
-select doc_id, cast(length(trim(g)) + case when b > 1 then 1 else 0 end + case when e <= length(s) then 1 else 0 end as int) chars from g""",
     "document_anchor_segments": r"""with s as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: trim(x)), lambda x: length(x) >= 12) s from documents)
 select doc_id, cast(len(s) as int) segments, cast(length(array_to_string(s, '')) as int) chars from s""",
-    "conversation_plain": r"""select conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(role || ' link a+b ' || coalesce(text, ''), '\$+([^$]*)\$+', '\1', 'g'), '[*_`~]+', '', 'g'), '\s+', ' ', 'g')) plain from conversations""",
-    "document_layer_clean": r"""with c as (select doc_id, 'efficient hyphen ' || coalesce(text, '') c, coalesce(text, '') t from documents),
-d as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '[\x{02}\x{AD}]\s*', '', 'g'), '[\x{00}-\x{08}\x{0B}-\x{1F}]', '', 'g'), '\s+', ' ', 'g')) d, t from c)
-select doc_id, cast(length(d) as int) chars, substr(d, 1, 30) begins, length(regexp_replace(t, '[^\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}\p{Co}\x{FFFD}]', '', 'g')) / greatest(length(t), 1) <= 0.02 readable from d""",
-    "order_expanded_citations": """with x as (select o_orderkey k, list_concat(list_concat([o_orderkey % 50], range(o_orderkey % 7, o_orderkey % 7 + o_orderkey % 4 + 1)), [o_orderkey % 50]) n from orders),
-u as (select k, unnest(n) v, unnest(range(1, len(n) + 1)) p from x), f as (select k, v, min(p) p from u group by k, v) select k o_orderkey, string_agg(cast(v as varchar), ',' order by p) numbers from f group by k""",
-    "part_number_cells": "select p_partkey, case when p_partkey % 5 <> 4 then round(p_retailprice, 2) end \"number\", case when p_partkey % 5 <> 4 then ['', '%', 'K', 'M', ''][cast(p_partkey % 5 + 1 as int)] end unit from part",
     "part_table_extrema": """with c as (select p_brand, ['', '%', 'K'][cast(p_partkey % 3 + 1 as int)] unit, round(p_retailprice, -2) n, p_partkey k from part)
 select p_brand, unit, count(*) cells, max(n) largest, (list(k order by n desc, k))[1] largest_at, min(n) smallest, (list(k order by n, k))[1] smallest_at from c group by 1, 2 having count(*) >= 2""",
     "event_vector_units": """with v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings), u as (select vec_id, label, v, sqrt(list_dot_product(v, v)) n from v),
