@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 
 FRONT = "title string, tags array<string>, created string"
 PAPER = "title string, authors array<struct<name:string>>, year int, doi string"
-# What a key or value must not say in an exchanged record.
-SENSITIVE_KEY = r"(?i)(?:password|passwd|secret|token|api_?key|authorization|cookie|credential)"
-SENSITIVE_VALUE = r"(?:\bsk-[A-Za-z0-9]{16,}|\bAKIA[A-Z0-9]{12,}|-----BEGIN [A-Z ]*PRIVATE KEY-----|\bghp_[A-Za-z0-9]{20,})"
-# Paths and addresses that an export hides, and what stands for them.
-REDACTIONS = (
-    (r"(?:/(?:home|Users)/[^\s/\"']+)(?:/[^\s\"']*)?", "[path]"),
-    (r"[A-Za-z]:\\(?:[^\s\\\"']+\\?)+", "[path]"),
-    (r"(?i)\b(password|passwd|secret|token|api_?key)(\s*[:=]\s*)\S+", "$1$2[secret]"),
-)
+# Keys of settings that an export leaves out, and paths that it hides.
+SENSITIVE_KEY = r"(?i)api[_-]?key|secret|password|auth|credential|private[_-]?key"
+LOCAL_PATH, HIDDEN = r"/(Users|home|private|var|tmp)/[^\s\"'`]+", "[redacted-path]"
 
 
 def front_matter(title: Column, tags: Column, created: Column, body: Column) -> Column:
@@ -33,17 +27,14 @@ def parsed_front_matter(note: Column) -> tuple[Column, Column, Column]:
     return F.when(fault.isNull(), F.from_json(head, FRONT)), F.when(has, body).otherwise(note), fault
 
 
-def sensitive(keys: Column, raw: Column) -> Column:
-    """Whether a record has a key that should not travel, or a value that looks like a credential."""
-    return F.exists(keys, lambda k: k.rlike(SENSITIVE_KEY)) | raw.rlike(SENSITIVE_VALUE)
+def redacted(text: Column) -> Column:
+    """The text without local paths."""
+    return F.regexp_replace(text, LOCAL_PATH, HIDDEN)
 
 
-def redacted(text: Column) -> tuple[Column, Column]:
-    """The text without local paths and declared secrets, and whether something was hidden."""
-    out = text
-    for pattern, by in REDACTIONS:
-        out = F.regexp_replace(out, pattern, by)
-    return out, ~out.eqNullSafe(text)
+def sanitised(settings: Column) -> Column:
+    """A map of settings without keys that must not travel, and without local paths in the others."""
+    return F.transform_values(F.map_filter(settings, lambda k, v: ~k.rlike(SENSITIVE_KEY)), lambda k, v: redacted(v))
 
 
 def bibtex_escaped(value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import interchange as I
 from folioscope.functions import text as X
+from folioscope.sources import imports
 from folioscope.sources.tables import table
 
 
@@ -20,23 +21,30 @@ def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_experiment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of runs with what is wrong with each: not JSON, no run, sensitive, or a run that an earlier line has."""
+    """Events as lines of one experiment file: malformed ones, records that do not fit, repeated runs, and keys that must not travel."""
     k = F.col("event_id")
-    line = F.concat(F.lit('{"runId": "r'), F.floor(k / 2).cast("string"), F.lit('", "'), F.when(k % 13 == 0, "api_key").otherwise("lr"), F.lit('": "'), F.coalesce(F.col("value"), F.lit(0.0)).cast("string"), F.lit('"}'))
-    line = F.when(k % 11 == 0, F.substring(line, 1, 9)).when(k % 17 == 0, F.lit("{}")).otherwise(line)
-    rows = table(spark, sf_dir, "events").select("event_id", line.alias("raw"))
-    run = F.get_json_object("raw", "$.runId")
-    bad = F.when(F.try_parse_json("raw").isNull(), "malformed").when(run.isNull(), "no run").when(I.sensitive(F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")), F.col("raw")), "sensitive")
-    checked = rows.select("event_id", run.alias("run"), bad.alias("bad"))
-    turn = F.row_number().over(Window.partitionBy("run", F.col("bad").isNull()).orderBy("event_id"))
-    return checked.select("event_id", F.coalesce("bad", F.when(turn > 1, "repeated run")).alias("error"))
+    config = F.when(k % 13 == 0, F.struct(F.lit("x").alias("api_key"), F.lit(None).cast("int").alias("max_tokens"), F.lit(None).cast("string").alias("note"))).otherwise(
+        F.struct(F.lit(None).cast("string").alias("api_key"), (k % 9).cast("int").alias("max_tokens"), F.when(k % 19 == 0, F.concat(F.lit("Bearer "), F.repeat(F.lit("a"), 20))).alias("note"))
+    )
+    record = F.struct(
+        F.when(k % 17 == 0, "other").otherwise("experiment-v1").alias("format"), F.concat(F.lit("run"), F.floor(k / 2).cast("string")).alias("runId"), F.lit("A run").alias("title"), F.lit("completed").alias("status"),
+        F.col("event_type").alias("task"), F.lit("m").alias("model"), config.alias("aggregateConfig"), F.struct("value").alias("aggregateMetrics"),
+    )
+    text = F.when(k % 11 == 0, "{broken").otherwise(F.to_json(record))
+    lines = table(spark, sf_dir, "events").where("value is not null").select(F.lit("events").alias("file"), k.alias("line"), text.alias("text"))
+    out = imports.experiments(lines)
+    return out.select(F.col("line").alias("event_id"), "error", F.array_join("sensitive", ",").alias("sensitive"))
 
 
 def conversation_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("see /home/ann/notes.txt and C:\\work\\plan.doc, password: hunter2 "), F.coalesce("text", F.lit("")))
+    """Turns without local paths, and their settings without keys that must not travel."""
+    raw = F.concat(F.lit("see /home/ann/notes.txt, `/tmp/x y` and /etc/hosts "), F.coalesce("text", F.lit("")))
     raw = F.when(F.col("turn") % 2 == 0, raw).otherwise(F.col("role"))
-    text, hidden = I.redacted(raw)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(text, 1, 40).alias("begins"), F.coalesce(hidden, F.lit(False)).alias("hidden"))
+    meta = F.create_map(F.lit("Api-Key"), F.lit("x"), F.lit("author"), F.lit("y"), F.lit("where"), F.lit("at /Users/ann/z\""), F.lit("role"), F.col("role"))
+    clean = I.sanitised(meta)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(clean)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    text = I.redacted(raw)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(text, 1, 60).alias("begins"), (~text.eqNullSafe(raw)).alias("hidden"), shown.alias("settings"))
 
 
 def part_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +146,10 @@ _MARKS = r"regexp_extract_all(text || ' [3, 5-7] [2] [9999]', '\[([0-9]{1,4}(?:\
 
 ORACLES = {
     "conversation_notes": """select conv_id, turn, case when turn % 5 < 3 then conv_id || '-' || turn end title, case when turn % 5 < 3 then role end tags, cast(length(coalesce(text, '')) as int) chars, case turn % 5 when 3 then 'malformed' when 4 then 'missing' end fault from conversations""",
-    "event_experiment_lines": """with l as (select event_id k, case when event_id % 11 = 0 then 'malformed' when event_id % 17 = 0 then 'no run' when event_id % 13 = 0 then 'sensitive' end bad, event_id // 2 run from events),
-t as (select *, row_number() over (partition by run, bad is null order by k) n from l) select k event_id, coalesce(bad, case when n > 1 then 'repeated run' end) error from t""",
-    "conversation_redacted": """select conv_id, turn, substr(case when turn % 2 = 0 then 'see [path] and [path] password: [secret] ' || coalesce(text, '') else role end, 1, 40) begins, turn % 2 = 0 hidden from conversations""",
+    "event_experiment_lines": """with l as (select event_id k, event_id // 2 run, case when event_id % 11 = 0 then 'malformed JSON' when event_id % 17 = 0 then 'format' end wrong from events where value is not null),
+f as (select run, min(k) f from l where wrong is null group by 1)
+select k event_id, coalesce(wrong, case when k > f then 'repeated run' end) error, case when k % 11 = 0 then '' when k % 13 = 0 then 'aggregateConfig.api_key' when k % 19 = 0 then 'aggregateConfig.note' else '' end "sensitive" from l left join f using (run)""",
+    "conversation_redacted": """select conv_id, turn, substr(case when turn % 2 = 0 then 'see [redacted-path] `[redacted-path] y` and /etc/hosts ' || coalesce(text, '') else role end, 1, 60) begins, turn % 2 = 0 hidden, 'role=' || role || ';where=at [redacted-path]"' settings from conversations""",
     "part_feed": """select p_partkey, cast(p_partkey as varchar) id, p_name || ' & <co>' title, p_brand author, 2000 + p_size % 20 "year" from part""",
     "part_provider_papers": """select p_partkey, p_name title, case when p_partkey % 4 = 1 then p_brand || ' ' || p_type else p_brand end authors, 2000 + p_size % 20 "year", '10.1/p' || p_partkey doi from part where p_partkey % 4 <> 3""",
     "order_canvas": """with e as (select a.o_custkey k, count(*) n from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderpriority = b.o_orderpriority and a.o_orderkey < b.o_orderkey group by 1)
