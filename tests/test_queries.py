@@ -18,7 +18,7 @@ def rows(table, names):
 
 def test_queries_without_sql_are_few():
     """Folds along a key, which have tests of their own."""
-    folds = {"event_throttle", "event_cool_down", "event_budget_ledger", "event_lifecycle", "event_greedy_selection", "page_item_lines", "order_candidate_pools", "order_pooled_papers", "customer_order_moves", "document_reprinted_anchors", "benchmark_recommended", "document_sentences", "document_example_sentences"}
+    folds = {"event_throttle", "event_cool_down", "event_budget_ledger", "event_lifecycle", "event_greedy_selection", "page_item_lines", "order_candidate_pools", "order_pooled_papers", "customer_order_moves", "document_reprinted_anchors", "benchmark_recommended", "document_sentences", "document_example_sentences", "document_without_furniture", "document_sentence_paragraphs"}
     assert set(registry.QUERIES) - set(registry.ORACLES) == folds
 
 
