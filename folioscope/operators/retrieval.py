@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.sources.shared import cut
 
 # What the parts of a passage's score count, and from where a passage is kept.
 PHRASE, LEXICAL, COVERAGE, SIMILAR = 12.0, 2, 4, 3
 LEAST_COVERAGE, LEAST_SIMILAR = 0.34, 0.1
+#: Against rounding, where bounds of scores are compared; queries whose bounds are broadcast.
+SLACK, FEW_QUERIES = 1e-6, 100_000
 #: Asking vectors in a block.
 ASK_BLOCK = 1024
 # What a confident match has, and its lead.
@@ -24,8 +27,11 @@ def index_chunks(docs: DataFrame) -> DataFrame:
 def ranked_passages(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFrame:
     """The best passages of each query (item_id, text): phrase, TF-IDF, coverage and trigram scores added up.
 
-    Tokens and trigrams of the chunks meet those of the queries by equality, and what
-    they share is counted; a phrase is looked for only where all its trigrams are.
+    Tokens of the chunks meet those of the queries by equality, and what they share is
+    counted. Of a query that has enough passages by its tokens alone, only those that the
+    trigrams (at most ``SIMILAR``) or the phrase can still lift to the last of them are
+    looked at again, in their text; a phrase of three tokens or more stands only where all
+    tokens but its outer ones do. Other queries meet all chunks by their trigrams.
     """
     chunk = index_chunks(docs)
     key = ["page", "chunk"]
@@ -39,9 +45,38 @@ def ranked_passages(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFram
     df = asked_tokens.groupBy("token").agg(F.count("*").alias("df"))
     weights = words.join(df, "token").crossJoin(total).select("item_id", "asked", "token", "times", (F.log((F.col("chunks") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     lexical = asked_tokens.join(weights, "token").groupBy("item_id", *key).agg(
-        F.sum(F.col("times") * (1 + F.log("tf")) * F.col("idf")).alias("lexical"), (F.sum("times") / F.first("asked")).alias("coverage")
+        F.sum(F.col("times") * (1 + F.log("tf")) * F.col("idf")).alias("lexical"), (F.sum("times") / F.first("asked")).alias("coverage"), F.first("asked").alias("asked")
     )
+    lexical = cut(lexical.withColumn("base", LEXICAL * F.col("lexical") + COVERAGE * F.col("coverage")))
 
+    # What the last of the passages that are kept by their tokens alone has at least.
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("base")))
+    last = lexical.where((F.col("coverage") >= LEAST_COVERAGE) & (F.col("asked") >= 3)).select("item_id", "base", place.alias("place")).where(F.col("place") <= top)
+    last = last.where((F.col("place") == top) & (F.col("base") > SIMILAR + SLACK)).select("item_id", F.col("base").alias("least"))
+    last = cut(last)
+    met = lexical.join(F.broadcast(last) if last.count() <= FEW_QUERIES else last, "item_id")
+    phrased = F.col("coverage") * F.col("asked") >= F.col("asked") - 2 - SLACK
+    near = met.where((F.col("base") + SIMILAR >= F.col("least") - SLACK) | phrased).select("item_id", *key, "lexical", "coverage")
+    near = near.join(query.select("item_id", "phrase", "grams"), "item_id").join(chunk, key)
+    own = X.trigrams(F.col("text"))
+    shared = F.size(F.array_intersect(own, "grams")) / F.greatest(F.size(own), F.size("grams"), F.lit(1))
+    phrase = F.when(X.normalised(F.col("text")).contains(F.col("phrase")), PHRASE).otherwise(0.0)
+    scored = near.select("item_id", *key, "lexical", "coverage", shared.alias("similar"), phrase.alias("phrase"))
+
+    others = cut(query.join(last, "item_id", "left_anti"))
+    if not others.isEmpty():
+        scored = scored.unionByName(_by_trigrams(chunk, others, lexical.join(others.select("item_id"), "item_id", "left_semi")))
+    kept = scored.where((F.col("phrase") > 0) | (F.col("coverage") >= LEAST_COVERAGE) | (F.col("similar") >= LEAST_SIMILAR))
+    kept = kept.withColumn("score", F.round(F.col("phrase") + LEXICAL * F.col("lexical") + COVERAGE * F.col("coverage") + SIMILAR * F.col("similar"), 9))
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "page", "chunk")
+    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    first = F.first("score").over(order)
+    return best.select("item_id", "rank", "page", "chunk", F.round("score", 4).alias("score"), F.floor(F.col("score") / first * 100 + 0.5).alias("relevance"))
+
+
+def _by_trigrams(chunk: DataFrame, query: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Parts of the score of all chunks that share a token, a trigram or the phrase with a query."""
+    key = ["page", "chunk"]
     own = chunk.select(*key, X.trigrams(F.col("text")).alias("own")).select(*key, F.size("own").alias("n"), F.explode("own").alias("gram"))
     wanted = query.select("item_id", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
     # Several queries ask for one trigram: they come along as a list, so that a chunk's trigram is joined once.
@@ -52,20 +87,14 @@ def ranked_passages(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFram
     pairs = query.where(F.size("grams") == 0).select("item_id", F.col("phrase").alias("pair"))  # a phrase of one pair of letters
     letters = chunk.select(*key, X.normalised(F.col("text")).alias("t"))
     letters = letters.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(..))."), F.lit(1)))).alias("pair"))
-    held = letters.join(F.broadcast(pairs) if pairs.isEmpty() else pairs, "pair").select("item_id", *key)
+    held = letters.join(pairs, "pair").select("item_id", *key)
     likely = similar.where("whole").select("item_id", *key).join(query.select("item_id", "phrase"), "item_id")
     phrases = likely.join(chunk, key).where(X.normalised(F.col("text")).contains(F.col("phrase"))).select("item_id", *key).union(held)
 
     zero = F.lit(0.0)
     parts = lexical.select("item_id", *key, "lexical", "coverage", zero.alias("similar"), zero.alias("phrase"))
     parts = parts.union(similar.select("item_id", *key, zero, zero, "similar", zero)).union(phrases.select("item_id", *key, zero, zero, zero, F.lit(PHRASE)))
-    scored = parts.groupBy("item_id", *key).agg(*(F.sum(c).alias(c) for c in ("lexical", "coverage", "similar", "phrase")))
-    kept = scored.where((F.col("phrase") > 0) | (F.col("coverage") >= LEAST_COVERAGE) | (F.col("similar") >= LEAST_SIMILAR))
-    kept = kept.withColumn("score", F.round(F.col("phrase") + LEXICAL * F.col("lexical") + COVERAGE * F.col("coverage") + SIMILAR * F.col("similar"), 9))
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "page", "chunk")
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    first = F.first("score").over(order)
-    return best.select("item_id", "rank", "page", "chunk", F.round("score", 4).alias("score"), F.floor(F.col("score") / first * 100 + 0.5).alias("relevance"))
+    return parts.groupBy("item_id", *key).agg(*(F.sum(c).alias(c) for c in ("lexical", "coverage", "similar", "phrase")))
 
 
 def confident_matches(vectors: DataFrame, floor: float = CONFIDENT, lead: float = LEAD) -> DataFrame:
