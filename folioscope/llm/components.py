@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, tidied
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not links.isEmpty():
+        tidied(links.sparkSession)
         both = links.union(links.select("b", "a"))
         parent = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).select(F.col("a").alias("c"), "p")
         parent = cut(parent)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.blobs import pack, unpack
-from folioscope.llm.common import cut, named, valid_text, written
+from folioscope.llm.common import cut, named, tidied, valid_text, written
 from folioscope.llm.components import components
 from folioscope.llm.words import BYTE, mix, word_hashes
 
@@ -274,6 +274,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = _buckets(reps)
     near = components(_links_in_buckets(docs, buckets, width, percent))
     roles = _groups(reps, near, buckets)
+    tidied(df.sparkSession)
     far = _links_between_groups(docs, roles, _open_groups(docs, roles, sketch, width, percent), width, percent)
 
     of_id = rows.where("n > 0 and id is not null").join(reps.select("same", "rep"), "same").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
