@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -57,12 +56,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def tidied(spark: SparkSession) -> None:
-    """Lets go of what finished steps of a loop hold on the driver: Spark's cleaner drops shuffles, broadcasts and checkpoints only once the driver has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def kept(df: DataFrame) -> tuple[DataFrame, str]:
     """Like ``written``, with the table's place, for ``discard`` once nothing reads it any more."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
