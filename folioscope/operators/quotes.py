@@ -85,7 +85,7 @@ def _repair(reason: str) -> dict:
     return {"status": "needs_repair", "reason": reason, "start": None, "end": None}
 
 
-def _relocated(note: dict, row: dict, marker: str) -> dict:
+def _relocated(note: dict, row: dict, marker: str, apart: bool = False) -> dict:
     text = note["text"] or ""
     low, high = 0, len(text)
     if row["block"] is not None:
@@ -99,29 +99,32 @@ def _relocated(note: dict, row: dict, marker: str) -> dict:
     same = note["revision"] is not None and note["revision"] == row["revision"]
     if same and was is not None and low <= was and was + len(quote) <= high and text[was : row["end"]] == quote:
         return _resolved(was, row["end"])
-    found, at = None, text.find(quote, low) if quote else -1
+    found, reach, at = None, 0, text.find(quote, low) if quote else -1
     while 0 <= at and at + len(quote) <= high:
         end = at + len(quote)
         before, behind = row["prefix"] or "", row["suffix"] or ""
         if text[max(0, at - NEAR) : at].endswith(before) and text[end : end + NEAR].startswith(behind):
-            if found is not None:
+            if found is None:
+                found, reach = at, end + len(behind)
+            elif not apart or at - len(before) >= reach:
                 return _repair("ambiguous")
-            found = at
         at = text.find(quote, at + 1)
     return _repair("missing") if found is None else _resolved(found, found + len(quote))
 
 
-def relocated(fragments: DataFrame, notes: DataFrame, key: str, marker: str = "<!-- block:{} -->") -> DataFrame:
+def relocated(fragments: DataFrame, notes: DataFrame, key: str, marker: str = "<!-- block:{} -->", apart: bool = False) -> DataFrame:
     """``fragments`` (block, revision, quote, prefix, suffix, start, end, ...) with ``place`` in their note (key, text, revision).
 
     A fragment belongs to the block behind its marker, if it names one, else to the whole
     note. In an unchanged note its old place stands; else the quote must stand in the block
     with its surroundings exactly once: ``resolved``, or ``needs_repair`` with the reason
-    ``missing``, ``ambiguous`` or ``block_missing``. Offsets are in code points.
+    ``missing``, ``ambiguous`` or ``block_missing``. Offsets are in code points. With
+    ``apart`` only places that share no character with the first, surroundings included,
+    make a fragment ambiguous.
     """
     held = notes.select(key, "text", "revision")
     uses = ["block", "revision", "quote", "prefix", "suffix", "start", "end"]
-    return told_beside(fragments, held, key, uses, lambda h: h, lambda note, row: _relocated(note, row, marker), "place", RELOCATION)
+    return told_beside(fragments, held, key, uses, lambda h: h, lambda note, row: _relocated(note, row, marker, apart), "place", RELOCATION)
 
 
 class _Lines:

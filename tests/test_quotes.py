@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import duckdb
 import pytest
 
 from folioscope.operators import beside, quotes
@@ -71,6 +72,17 @@ def test_relocated(text, revision, fragment, want):
     assert (got["status"], got["reason"], got["start"], got["end"]) == want
 
 
+def test_relocated_in_text_that_repeats_itself_equals_its_sql(spark, tmp_path):
+    """Places that overlap are one to the query; two that stand apart are ambiguous."""
+    docs = [(2, "abc " * 40), (4, "abcdefgh" * 30), (5, "a" * 30), (7, "ab" * 20), (8, None), (10, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ--" * 2)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(plans.ORACLES["document_relocated_fragments"]).fetchall()
+    got = plans.document_relocated_fragments(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.status for r in got} == {"resolved", "needs_repair"}
+
+
 def test_reprinted(spark):
     """Of two places the nearer one; over a line's end two boxes; too far, too short, right already and elsewhere: none."""
     lines = [(1, 0, "A quoted passage", 0.0, 0.0, 160.0, 10.0), (1, 1, "of two lines; a quoted ", 0.0, 20.0, 230.0, 10.0), (1, 2, "PASSAGE again", 0.0, 40.0, 130.0, 10.0), (1, 3, None, 0.0, 60.0, 0.0, 10.0)]
