@@ -18,7 +18,7 @@ def _turns(lists: DataFrame, most: int) -> DataFrame:
     return once.withColumn("turn", F.row_number().over(by_list.orderBy("cut")))
 
 
-def neighbourhood(lists: DataFrame, references: DataFrame, most: int = MOST_WORKS, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def neighbourhood(lists: DataFrame, references: DataFrame, most: int = MOST_WORKS, most_edges: int = MOST_EDGES, totals: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and directions of the graphs around seeds.
 
     ``lists`` (seed, list, direction, place, work): for each seed one ranked list a
@@ -37,6 +37,8 @@ def neighbourhood(lists: DataFrame, references: DataFrame, most: int = MOST_WORK
     * directions (seed, direction, shown, total, truncated).
 
     A list is read to its ``most``-th work, so that a hub costs no more than another seed.
+    Lists may come cut to that work already, with ``totals`` (seed, list, direction, total)
+    of the whole lists; without them the lists are counted.
     """
     turns = _turns(lists, most)
     sights = turns.groupBy("seed", "work").agg(F.min(F.struct("turn", "list")).alias("at")).where("work <> seed")
@@ -52,15 +54,19 @@ def neighbourhood(lists: DataFrame, references: DataFrame, most: int = MOST_WORK
     )
     back = F.col("direction") == "cited_by"
     told = held.select("seed", F.when(back, F.col("work")).otherwise(F.col("seed")).alias("source"), F.when(back, F.col("seed")).otherwise(F.col("work")).alias("target"), "direction", order.alias("at"))
-    cites = nodes.select("seed", F.col("node").alias("work"), F.col("turn").alias("x")).join(references, "work")
-    ends = nodes.select("seed", F.col("node").alias("referenced"))
-    between = cites.join(ends, ["seed", "referenced"]).select("seed", F.col("work").alias("source"), F.col("referenced").alias("target"), F.lit("references").alias("direction"), F.struct(F.lit(2).alias("phase"), F.col("x"), F.col("place").cast("int").alias("y")).alias("at"))
+    # A node takes the names of its seed's nodes along (``most`` and one), a work its references: what stands in both is found where they meet.
+    named = nodes.groupBy("seed").agg(F.collect_list(F.struct("node", "turn")).alias("all"))
+    named = named.select("seed", F.col("all.node").alias("names"), F.explode("all").alias("n")).select("seed", "names", F.col("n.node").alias("work"), F.col("n.turn").alias("x"))
+    cited = references.groupBy("work").agg(F.collect_list(F.struct("referenced", F.col("place").cast("int").alias("place"))).alias("cited"))
+    held_too = F.filter("cited", lambda c: F.array_contains("names", c["referenced"]))
+    between = named.join(cited, "work").select("seed", "work", "x", F.explode(held_too).alias("c"))
+    between = between.select("seed", F.col("work").alias("source"), F.col("c.referenced").alias("target"), F.lit("references").alias("direction"), F.struct(F.lit(2).alias("phase"), F.col("x"), F.col("c.place").alias("y")).alias("at"))
     related = (F.col("direction") == "related").alias("related")
     edges = told.union(between).groupBy("seed", "source", "target", related).agg(F.min(F.struct("at", "direction")).alias("first"))
     turn = F.row_number().over(Window.partitionBy("seed").orderBy("first", "source", "target"))
     edges = edges.select("seed", "source", "target", "first.direction", turn.alias("turn")).where(F.col("turn") <= most_edges)
     counts = held.groupBy("seed", "list", "direction").agg(F.count("*").alias("shown"))
-    totals = lists.groupBy("seed", "list", "direction").agg(F.count("*").alias("total"))
+    totals = lists.groupBy("seed", "list", "direction").agg(F.count("*").alias("total")) if totals is None else totals
     some = F.coalesce("shown", F.lit(0)).cast("long")
     directions = totals.join(counts, ["seed", "list", "direction"], "left").select("seed", "direction", some.alias("shown"), "total", (F.col("total") > some).alias("truncated"))
     return nodes, edges, directions

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import citations, moves, pools
+from folioscope.operators.components import looked_up
 from folioscope.sources.tables import table
 
 
@@ -37,30 +38,55 @@ def order_pooled_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.withColumn("authors", F.array_join("authors", ";")).withColumn("abstract", F.length("abstract"))
 
 
-def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts as works: a part cites the part on the next line of an order, and is related to those of its type."""
+def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as works: a part cites the part on the next line of an order, and is related to those of its type. Lists come cut, with their whole sizes.
+
+    Of the related parts the first ones of the type and size are every part's list, but for itself.
+    """
+    most = citations.MOST_WORKS
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     next_ = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("referenced"))
     cites = lines.join(next_, ["l_orderkey", "l_linenumber"]).groupBy(F.col("l_partkey").alias("work"), "referenced").agg(F.min("l_orderkey").alias("first"))
     references = cites.withColumn("place", F.row_number().over(Window.partitionBy("work").orderBy("first", "referenced"))).select("work", "place", "referenced")
-    out = references.select(F.col("work").alias("seed"), F.lit(0).alias("list"), F.lit("references").alias("direction"), F.col("place").cast("long").alias("place"), F.col("referenced").alias("work"))
-    back = cites.select(F.col("referenced").alias("seed"), F.lit(1), F.lit("cited_by"), F.col("first"), F.col("work"))
+    tagged = lambda rows, number, name, place: rows.select("seed", F.lit(number).alias("list"), F.lit(name).alias("direction"), F.col(place).cast("long").alias("place"), F.col("other").alias("work"))
+    counted = lambda rows, number, name: rows.select("seed", F.lit(number).alias("list"), F.lit(name).alias("direction"), "total")
+
+    out = tagged(references.where(F.col("place") <= most).withColumnsRenamed({"work": "seed", "referenced": "other"}), 0, "references", "place")
+    back = cites.withColumnsRenamed({"referenced": "seed", "work": "other"})
+    earliest = F.row_number().over(Window.partitionBy("seed").orderBy("first", "other"))
+    back = tagged(back.withColumn("n", earliest).where(F.col("n") <= most), 1, "cited_by", "first")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    others = parts.select("p_type", F.col("p_partkey").alias("other"), F.col("p_size").alias("other_size"))
-    near = parts.join(others, "p_type").where("p_partkey <> other and p_size = other_size").select(F.col("p_partkey").alias("seed"), F.lit(2), F.lit("related"), F.col("other"), F.col("other"))
-    return out.union(back).union(near), references
+    kinds = parts.groupBy("p_type", "p_size").agg(F.count("*").alias("n"))
+    # A part that stands n times is no list entry of itself, and one n times of the others.
+    own = parts.groupBy("p_type", "p_size", "p_partkey").agg(F.count("*").alias("times"))
+    first = own.withColumn("n", F.row_number().over(Window.partitionBy("p_type", "p_size").orderBy("p_partkey"))).where(F.col("n") <= most + 1)
+    firsts = first.groupBy("p_type", "p_size").agg(F.collect_list(F.struct("p_partkey", "times")).alias("firsts"))
+    met = looked_up(own.withColumn("kind", F.struct("p_type", "p_size")), firsts.join(kinds, ["p_type", "p_size"]).select(F.struct("p_type", "p_size").alias("kind"), "firsts", "n"), "kind")
+    near = met.select(F.col("p_partkey").alias("seed"), "times", F.explode("firsts").alias("f")).where("f.p_partkey <> seed")
+    copies = F.least(F.col("times") * F.col("f.times"), F.lit(most)).cast("int")
+    near = tagged(near.select("seed", F.col("f.p_partkey").alias("other"), F.explode(F.sequence(F.lit(1), copies))), 2, "related", "other")
+    totals = counted(cites.groupBy(F.col("work").alias("seed")).agg(F.count("*").alias("total")), 0, "references")
+    totals = totals.union(counted(cites.groupBy(F.col("referenced").alias("seed")).agg(F.count("*").alias("total")), 1, "cited_by"))
+    others = met.select(F.col("p_partkey").alias("seed"), (F.col("times") * (F.col("n") - F.col("times"))).alias("total")).where("total > 0")
+    totals = totals.union(counted(others.groupBy("seed").agg(F.sum("total").alias("total")), 2, "related"))
+    return out.union(back).union(near), references, totals
+
+
+def _part_neighbourhood(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    lists, references, totals = _part_graph(spark, sf_dir)
+    return citations.neighbourhood(lists, references, totals=totals)
 
 
 def part_citation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.neighbourhood(*_part_graph(spark, sf_dir))[0]
+    return _part_neighbourhood(spark, sf_dir)[0]
 
 
 def part_citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.neighbourhood(*_part_graph(spark, sf_dir))[1]
+    return _part_neighbourhood(spark, sf_dir)[1]
 
 
 def part_citation_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.neighbourhood(*_part_graph(spark, sf_dir))[2]
+    return _part_neighbourhood(spark, sf_dir)[2]
 
 
 def _two_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 
 from folioscope.operators import citations, components, moves, pools
@@ -199,3 +200,18 @@ def test_moves_that_do_not_fit(spark):
     got = [r.key for r in moves.moved(df, told, "scope", "key", "natural").orderBy("place").collect()]
     assert got == ["f", "g", "a", "e", "b", "c", "d"]
     assert [r.key for r in moves.moved(df, told.limit(0), "scope", "key", "natural").orderBy("place").collect()] == list("abcdefg")
+
+
+def test_related_parts_of_one_kind_are_not_paired(spark, tmp_path):
+    """The lists of parts that are all of one type and size grow with the parts; their sizes are told, and repeated parts count."""
+    parts = [(k, "T", 1) for k in range(200)] + [(5, "T", 1), (900, "T", 2), (901, None, 1), (902, None, 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, k, k % 7) for k in range(30)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lists = scholarly._part_graph(spark, str(tmp_path))[0]
+    assert lists.where("list = 2").count() <= len(parts) * (citations.MOST_WORKS + 2)
+    db = duckdb.connect()
+    for t in ("part", "lineitem"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("part_citation_nodes", "part_citation_directions"):
+        df = scholarly.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect())) == sorted(db.execute(f"select {','.join(df.columns)} from ({scholarly.ORACLES[name]})").fetchall())
