@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import decimal
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +18,10 @@ PHRASE, LEXICAL, COVERAGE, SIMILAR = 12.0, 2, 4, 3
 LEAST_COVERAGE, LEAST_SIMILAR = 0.34, 0.1
 #: Against rounding, where bounds of scores are compared; queries whose bounds are broadcast.
 SLACK, FEW_QUERIES = 1e-6, 100_000
-#: Asking vectors in a block.
-ASK_BLOCK = 1024
+#: Rows of a block and asking vectors of a part that meet it, and of those that are scored at once; blocks are smaller where cores would idle.
+ROW_BLOCK, LEAST_BLOCK, ASK_BLOCK, ASK_STEP = 65_536, 4096, 1024, 64
+#: Components up to here have finite products.
+FINITE = 1e100
 # What a confident match has, and its lead.
 CONFIDENT, LEAD = 0.4, 0.04
 
@@ -97,19 +104,89 @@ def _by_trigrams(chunk: DataFrame, query: DataFrame, lexical: DataFrame) -> Data
     return parts.groupBy("item_id", *key).agg(*(F.sum(c).alias(c) for c in ("lexical", "coverage", "similar", "phrase")))
 
 
+def _half_up(x: float) -> decimal.Decimal:
+    """A score as Spark rounds it."""
+    return decimal.Decimal(repr(float(x))).quantize(decimal.Decimal("0.000001"), decimal.ROUND_HALF_UP)
+
+
+def _two_best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the two best scores, rounded ones, ties to smaller ids; the ids stand in order and -inf takes no part."""
+    least = np.partition(scores, -2)[-2] if len(scores) > 1 else -np.inf
+    at = np.flatnonzero((scores >= least - 2e-6) & (scores > -np.inf))
+    scaled = scores[at] * 1e6
+    whole = np.floor(scaled + 0.5)
+    for k in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3):
+        whole[k] = float(_half_up(scores[at[k]]).scaleb(6))
+    return at[np.lexsort((ids[at], -whole))[:2]]
+
+
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The vectors of a block in one row, by id."""
+    pdf = pdf.sort_values("vec_id", kind="stable")
+    x = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), int(pdf["kind"].iloc[0]))
+    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "block": pdf["block"].iloc[:1], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
+
+
+def _blocks(rows: DataFrame, number: int) -> DataFrame:
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(number)).cast("int"))
+    return cut(dealt.groupBy("kind", "block").applyInPandas(_packed, "kind int, block int, ids binary, x binary"))
+
+
+def _best_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A block of rows, and behind it the parts of the asking vectors: the two best rows of each, so that no pair is a row of its own."""
+    for pdf in batches:
+        for r in pdf.itertuples():
+            ids = np.frombuffer(r.ids, np.int64)
+            x = np.frombuffer(r.x, np.float64).reshape(len(ids), r.kind)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            if r.step == 0:
+                held, rows, norms = ids, x, norm
+                continue
+            out = []
+            for low in range(0, len(ids), ASK_STEP):
+                part = slice(low, low + ASK_STEP)
+                scores = (x[part] @ rows.T) / np.maximum(norm[part, None] * norms[None, :], 1e-12)
+                for query_id, own in zip(ids[part].tolist(), scores):
+                    own[np.searchsorted(held, query_id, "left") : np.searchsorted(held, query_id, "right")] = -np.inf
+                    out += [(query_id, int(held[k]), float(own[k])) for k in _two_best(own, held)]
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+
 def confident_matches(vectors: DataFrame, floor: float = CONFIDENT, lead: float = LEAD) -> DataFrame:
-    """The nearest other vector of each asking one (ids divisible by 100), if it is near enough and ahead of the next."""
+    """The nearest other vector of each asking one (ids divisible by 100), if it is near enough and ahead of the next.
+
+    Every asking vector meets every row: parts of the asking ones go to blocks of rows,
+    which multiply them as matrices and send two rows for each. Vectors without, or with
+    endless components, and those of another length meet the others pair by pair.
+    """
     unit = F.transform("embedding", lambda x: x.cast("double"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    rows = vectors.select("vec_id", unit.alias("v")).withColumn("norm", norm(F.col("v")))
-    asks = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("qn"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    # Every row meets the asking ones block by block: an equi-join, whichever side is small.
-    blocks = max(1, -(-asks.count() // ASK_BLOCK))
-    asks = asks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asks, "block")
-    pairs = met.where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot / F.greatest(F.col("norm") * F.col("qn"), F.lit(1e-12)), 6).alias("score"))
+    sound = F.forall("v", lambda x: F.coalesce(F.abs(x) <= FINITE, F.lit(False)))
+    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), unit.alias("v"))
+    rows = rows.withColumn("kind", F.when(F.coalesce(sound, F.lit(False)), F.size("v")).otherwise(-1))
+    asks = rows.where("vec_id % 100 = 0")
+    n, cores = rows.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = _blocks(rows.where("kind >= 0"), max(1, -(-n // ROW_BLOCK), min(cores, n // LEAST_BLOCK)))
+    parts = _blocks(asks.where("kind >= 0"), max(1, -(-asks.count() // ASK_BLOCK)))
+    sent = parts.select("kind", "ids", "x").join(F.broadcast(blocks.select("kind", "block")), "kind")  # a number for each block
+    met = blocks.withColumn("step", F.lit(0)).unionByName(sent.withColumn("step", F.lit(1))).repartition("kind", "block").sortWithinPartitions("kind", "block", "step")
+    pairs = met.mapInPandas(_best_of_blocks, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6))
+    kinds = rows.groupBy("kind").count().limit(2).collect()
+    if len(kinds) > 1 or any(k["kind"] < 0 for k in kinds):
+        pairs = pairs.unionByName(_odd_pairs(rows, asks))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.select("*", F.row_number().over(order).alias("r")).where("r <= 2")
     best = ranked.groupBy("query_id").agg(F.min_by("vec_id", "r").alias("vec_id"), F.max("score").alias("score"), F.when(F.count("*") > 1, F.min("score")).alias("next_score"))
     return best.select("*", ((F.col("score") >= floor) & F.coalesce(F.col("score") - F.col("next_score") >= lead, F.lit(True))).alias("confident"))
+
+
+def _odd_pairs(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """Scores of pairs of different kinds, or without a kind."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    own = asks.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), norm("v").alias("qn"), F.col("kind").alias("asked"))
+    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    # Rows meet the asking ones part by part: an equi-join, whichever side is small.
+    parts = max(1, -(-asks.count() // ASK_BLOCK))
+    own = own.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    met = rows.withColumn("norm", norm("v")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(own, "part")
+    met = met.where("vec_id <> query_id and (kind <> asked or kind < 0)")
+    return met.select("query_id", "vec_id", F.round(dot / F.greatest(F.col("norm") * F.col("qn"), F.lit(1e-12)), 6).alias("score"))
