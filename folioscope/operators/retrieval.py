@@ -39,32 +39,39 @@ def ranked_passages(docs: DataFrame, asked: DataFrame, top: int = 5) -> DataFram
     trigrams (at most ``SIMILAR``) or the phrase can still lift to the last of them are
     looked at again, in their text; a phrase of three tokens or more stands only where all
     tokens but its outer ones do. Other queries meet all chunks by their trigrams.
+
+    Pairs of a chunk and a query are made where the asked tokens of a chunk stand together,
+    once for the bounds and once for what they leave, and are neither exchanged nor kept.
     """
     chunk = index_chunks(docs)
     key = ["page", "chunk"]
-    counts = chunk.select(*key, F.explode(X.tokens(F.col("text"))).alias("token")).groupBy(*key, "token").agg(F.count("*").alias("tf"))
     query = asked.select("item_id", X.normalised(F.col("text")).alias("phrase"), X.tokens(F.col("text")).alias("words"), X.trigrams(F.col("text")).alias("grams"))
     query = query.where(F.size("words") > 0)
     # Repeated query words count as often as they are asked.
     words = query.select("item_id", F.size("words").alias("asked"), F.explode("words").alias("token")).groupBy("item_id", "asked", "token").agg(F.count("*").alias("times"))
     total = chunk.agg(F.count("*").alias("chunks"))
-    asked_tokens = counts.join(words.select("token").distinct(), "token")
-    df = asked_tokens.groupBy("token").agg(F.count("*").alias("df"))
+    few = asked.count() <= FEW_QUERIES
+    beside = F.broadcast if few else lambda rows: rows
+    wanted = words.select("token").distinct()
+    df = chunk.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token")).join(beside(wanted), "token").groupBy("token").agg(F.count("*").alias("df"))
     weights = words.join(df, "token").crossJoin(total).select("item_id", "asked", "token", "times", (F.log((F.col("chunks") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    lexical = asked_tokens.join(weights, "token").groupBy("item_id", *key).agg(
+    weights = cut(weights)
+    occurrences = chunk.select(*key, F.explode(X.tokens(F.col("text"))).alias("token")).join(beside(wanted), "token")
+    asked_tokens = occurrences.repartition(*key).groupBy(*key, "token").agg(F.count("*").alias("tf"))
+    lexical = asked_tokens.join(beside(weights), "token").groupBy("item_id", *key).agg(
         F.sum(F.col("times") * (1 + F.log("tf")) * F.col("idf")).alias("lexical"), (F.sum("times") / F.first("asked")).alias("coverage"), F.first("asked").alias("asked")
     )
-    lexical = cut(lexical.withColumn("base", LEXICAL * F.col("lexical") + COVERAGE * F.col("coverage")))
+    lexical = lexical.withColumn("base", LEXICAL * F.col("lexical") + COVERAGE * F.col("coverage"))
 
     # What the last of the passages that are kept by their tokens alone has at least.
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("base")))
     last = lexical.where((F.col("coverage") >= LEAST_COVERAGE) & (F.col("asked") >= 3)).select("item_id", "base", place.alias("place")).where(F.col("place") <= top)
     last = last.where((F.col("place") == top) & (F.col("base") > SIMILAR + SLACK)).select("item_id", F.col("base").alias("least"))
     last = cut(last)
-    met = lexical.join(F.broadcast(last) if last.count() <= FEW_QUERIES else last, "item_id")
+    met = lexical.join(beside(last), "item_id")
     phrased = F.col("coverage") * F.col("asked") >= F.col("asked") - 2 - SLACK
     near = met.where((F.col("base") + SIMILAR >= F.col("least") - SLACK) | phrased).select("item_id", *key, "lexical", "coverage")
-    near = near.join(query.select("item_id", "phrase", "grams"), "item_id").join(chunk, key)
+    near = near.join(chunk, key).join(beside(query.select("item_id", "phrase", "grams")), "item_id")
     own = X.trigrams(F.col("text"))
     shared = F.size(F.array_intersect(own, "grams")) / F.greatest(F.size(own), F.size("grams"), F.lit(1))
     phrase = F.when(X.normalised(F.col("text")).contains(F.col("phrase")), PHRASE).otherwise(0.0)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import interchange as I
-from folioscope.operators import discovery, furniture
+from folioscope.operators import discovery, furniture, retrieval
 from folioscope.operators.retrieval import ranked_passages
 from folioscope.plans import rules
 
@@ -106,6 +106,17 @@ def test_passages_of_a_question(spark):
     assert [(r.page, r.chunk) for r in got if r.item_id == 1] == want[:8] and not [r for r in got if r.item_id == 2]
 
 
+def test_ranked_passages_keep_no_pairs(spark, monkeypatch):
+    """What is written between grows with the queries, not with queries times passages."""
+    docs = spark.createDataFrame([(k, f"common words of every text and word{k} " * 3) for k in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, f"common words of every text and word{k}") for k in range(20)], "item_id long, text string")
+    kept, cut = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = ranked_passages(docs, asked).collect()
+    assert {r.item_id: r.page for r in got if r["rank"] == 1} == {k: k for k in range(20)} and len(got) == 100
+    assert max(df.count() for df in kept) <= 20 * 7
+
+
 def test_blanks_around_parts_go_and_line_breaks_stay(spark):
     text = "\u00a0Alpha beta.\n, éand more \n?\tgamma and\u3000delta \n "
     asked = spark.createDataFrame([(1, text)], "item_id long, text string")
