@@ -117,6 +117,15 @@ def test_ranked_passages_keep_no_pairs(spark, monkeypatch):
     assert max(df.count() for df in kept) <= 20 * 7
 
 
+def test_plan_without_furniture_does_not_double(spark):
+    """Rounds read the pages and small tables of runs; no round holds the plans of those before, and pages without a scope keep their words."""
+    rows = [("s" if k % 3 else "t", k, f"Head {k} of Head {k} of all  {chr(97 + k % 26) * (k + 9)} own {chr(97 + k % 26) * (k + 4)} foot {k}") for k in range(30)] + [(None, 99, "Head 1 of  it"), ("u", 98, "Head 1 of  it")]
+    out = furniture.without_furniture(spark.createDataFrame(rows, "source string, doc_id long, text string"), "source", "doc_id", "text")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
+    body = {r.doc_id: r.body for r in out.collect()}
+    assert len(body) == 32 and body[99] == "Head 1 of it" and body[98] == "Head 1 of  it" and body[4] == "eeeeeeeeeeeee own eeeeeeee"
+
+
 def test_blanks_around_parts_go_and_line_breaks_stay(spark):
     text = "\u00a0Alpha beta.\n, éand more \n?\tgamma and\u3000delta \n "
     asked = spark.createDataFrame([(1, text)], "item_id long, text string")
