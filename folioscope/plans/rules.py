@@ -112,9 +112,8 @@ def benchmark_question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document that holds the begin of a question as it stands, four words or more."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split(X.normalised(F.col("text")), " "), 1, 8), " ").alias("text"))
-    return discovery.first_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), asked)
+    """The first document that holds a part of a question as it stands, for all parts, and how many do."""
+    return discovery.first_pages_of_parts(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def conversation_memory_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +175,8 @@ select doc_id, cast(line as int) line, trim(e.term) term, trim(e.definition) def
 f as (select *, flatten(list_transform(range(1, len(w) + 1), lambda i: list_concat(case when regexp_matches(w[i], '[A-Za-z]') and length(w[i]) >= 4 then [w[i]] else [] end, case when i < len(w) and length(w[i]) >= 3 and length(w[i + 1]) >= 3 then [w[i] || ' ' || w[i + 1]] else [] end))) f from p),
 a as (select item_id, list_filter(list_concat(list_concat([trim(text)], p), f), lambda x: length(x) >= 3) a from f), u as (select item_id, unnest(a) t, unnest(range(len(a))) n from a), g as (select item_id, t, min(n) n from u group by 1, 2)
 select item_id, cast(row_number() over (partition by item_id order by n) - 1 as int) part, t "text" from g qualify part < 24""",
-    "document_first_pages": rf"""with a as (select item_id, array_to_string(string_split({_FLAT}, ' ')[1:8], ' ') t from benchmark), d as (select doc_id, {_FLAT} t from documents where text is not null)
-select item_id, min(doc_id) page, count(*) pages from a join d on contains(d.t, a.t) where len(string_split(a.t, ' ')) >= 4 group by 1""",
     "conversation_memory_relevance": rf"""with q as (select item_id, list_filter(list_distinct(string_split(trim(regexp_replace(lower(case when item_id % 9 = 0 then '' else text end), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')), lambda x: length(x) >= 3 and not list_contains({_ASKS}, x)) t from benchmark)
 select conv_id, turn, item_id, cast(case when len(t) = 0 then 1 else 2 * len(list_filter(t, lambda x: contains(lower(coalesce(text, '')), x))) end as int) score from conversations join q on conv_id % 40 = item_id % 40""",
 }
+ORACLES["document_first_pages"] = rf"""with parts as ({ORACLES["benchmark_question_parts"]}), a as (select item_id, part, {_FLAT} t from parts), d as (select doc_id, {_FLAT} t from documents where text is not null)
+select item_id, part, min(doc_id) page, count(*) pages from a join d on contains(d.t, a.t) where a.t <> '' group by 1, 2"""

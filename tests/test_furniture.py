@@ -126,6 +126,15 @@ def test_plan_without_furniture_does_not_double(spark):
     assert len(body) == 32 and body[99] == "Head 1 of it" and body[98] == "Head 1 of  it" and body[4] == "eeeeeeeeeeeee own eeeeeeee"
 
 
+def test_first_pages_of_all_parts(spark):
+    """Short parts, single words and pairs are looked for as well as whole questions, inside words too."""
+    docs = spark.createDataFrame([(1, "xalphax"), (2, "Alpha\n beta, gamma"), (3, None), (4, "beta gam a")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta, gamma"), (2, "\n\na"), (3, None), (4, "nothing")], "item_id long, text string")
+    parts = {(r.item_id, r.part): r.text for r in discovery.question_parts(asked).collect()}
+    got = {(r.item_id, parts[r.item_id, r.part]): (r.page, r.pages) for r in discovery.first_pages_of_parts(docs, asked).collect()}
+    assert got == {(1, "alpha beta, gamma"): (2, 1), (1, "alpha beta"): (2, 1), (1, "gamma"): (2, 1), (1, "alpha"): (1, 2), (1, "beta"): (2, 2), (2, "\n\na"): (1, 3)}
+
+
 def test_blanks_around_parts_go_and_line_breaks_stay(spark):
     text = "\u00a0Alpha beta.\n, éand more \n?\tgamma and\u3000delta \n "
     asked = spark.createDataFrame([(1, text)], "item_id long, text string")
