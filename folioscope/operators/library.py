@@ -6,33 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.sources.shared import cut
+
+
+#: Queries, and tokens that meet their terms, that are broadcast beside the documents.
+FEW_QUERIES, FEW_TOKENS = 100_000, 1_000_000
 
 
 def prefix_search(docs: DataFrame, asked: DataFrame, most: int = 100) -> DataFrame:
     """(query, page, place): documents in which every term of a query starts some token; the newest first, ``most`` at most.
 
-    Terms meet the distinct tokens of the corpus, never its texts, and postings follow by token.
+    Terms meet the distinct tokens of the corpus first, which tells how many documents each
+    can have. A query's documents are among those of its rarest term: only these are asked
+    for its other terms, so that common terms make no rows. Rows that repeat a page add up.
     """
-    terms = asked.select("query", F.explode(F.array_distinct("terms")).alias("term"))
-    needed = terms.groupBy("query").agg(F.count("*").alias("needed"))
-    postings = docs.select("page", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
+    terms = asked.where("query is not null").select("query", F.explode(F.array_distinct("terms")).alias("term"))
+    beside = F.broadcast if asked.count() <= FEW_QUERIES else lambda rows: rows
+    held = cut(docs.select("page", F.array_distinct(X.tokens(F.col("text"))).alias("tokens")))
+    tokens = held.select("page", F.explode("tokens").alias("token"))
     # A token meets a term by its beginnings of the lengths that terms have.
     lengths = terms.agg(F.collect_set(F.length("term")).alias("lengths"))
-    vocabulary = postings.select("token").distinct().crossJoin(F.broadcast(lengths))  # one row
+    vocabulary = tokens.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(lengths))  # one row
     starts = F.transform(F.filter("lengths", lambda n: n <= F.length("token")), lambda n: F.substring("token", F.lit(1), n))
-    known = vocabulary.select("token", F.explode(starts).alias("term")).join(terms.select("term").distinct(), "term")
-    found = postings.join(known, "token").select("page", "term").distinct()
-    hits = found.join(terms, "term").groupBy("query", "page").agg(F.count("*").alias("held")).join(needed, "query").where("held = needed")
+    known = cut(vocabulary.select("token", "df", F.explode(starts).alias("term")).join(beside(terms.select("term").distinct()), "term"))
+    spread = known.groupBy("term").agg(F.sum("df").alias("df"))
+    rarest = terms.join(spread, "term", "left").groupBy("query").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"), F.collect_set("term").alias("needed"))
+    rarest = cut(rarest)
+    opening = known.join(beside(rarest.select("query", "term")), "term").select("token", "query")
+    likely = tokens.join(F.broadcast(opening) if opening.count() <= FEW_TOKENS else opening, "token").select("query", "page").distinct()
+    asking = likely.join(beside(rarest.select("query", "needed")), "query").withColumnRenamed("page", "own")
+    met = asking.join(held, F.col("own").eqNullSafe(F.col("page")))
+    found = F.filter("needed", lambda t: F.exists("tokens", lambda k: F.startswith(k, t)))
+    hits = met.select("query", "page", F.size("needed").alias("n"), found.alias("held")).groupBy("query", "page", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held")).where("held = n")
     # Spark keeps the first rows of each partition before the exchange.
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("page")))
     return hits.select("query", "page").withColumn("place", place).where(F.col("place") <= most)
 
 
 def text_from_positions(index: DataFrame, key: str, most: int = 5000) -> DataFrame:
-    """(key, text) of rows (key, word, positions): the words at positions 0 to ``most`` - 1 in order; of two at one position the greater stays."""
-    words = index.select(key, "word", F.explode("positions").alias("at")).where((F.col("at") >= 0) & (F.col("at") < most))
-    single = words.groupBy(key, "at").agg(F.max("word").alias("word"))
-    return single.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
+    """(key, text) of rows (key, word, positions): the words at positions 0 to ``most`` - 1 in order; of two at one position the greater stays.
+
+    The words of a key come together once, as its text is one value anyway, and are put in order there.
+    """
+    kept = index.select(key, "word", F.filter("positions", lambda p: (p >= 0) & (p < most)).alias("positions")).where(F.size("positions") > 0)
+    lists = kept.groupBy(key).agg(F.collect_list(F.struct("word", "positions")).alias("words"))
+    placed = F.sort_array(F.flatten(F.transform("words", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("at"), x["word"].alias("word"))))))
+    last = lambda x, k: F.coalesce(F.get("placed", k + 1)["at"] != x["at"], F.lit(True))
+    return lists.select(key, placed.alias("placed")).select(key, F.array_join(F.transform(F.filter("placed", last), lambda x: x["word"]), " ").alias("text"))
 
 
 def content_versions(docs: DataFrame, key: str, text: str) -> DataFrame:

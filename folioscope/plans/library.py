@@ -9,6 +9,8 @@ from folioscope.functions import text as X
 from folioscope.operators import library
 from folioscope.sources.tables import table
 
+#: Characters of the texts that are dealt to one part.
+PART_CHARS = 1 << 24
 STATES = {"P": 0, "O": 1, "F": 2}
 
 
@@ -19,9 +21,17 @@ def document_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_text_from_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.tokens(F.col("text"))).alias("at", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions"))
-    return library.text_from_positions(index, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The texts are dealt, not their words, which stay where they are; in parts whose words fit into memory.
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = docs.repartition(max(spark.sparkContext.defaultParallelism, chars // PART_CHARS), "doc_id")
+    placed = dealt.select("doc_id", F.sort_array(F.transform(X.tokens(F.col("text")), lambda w, k: F.struct(w.alias("word"), k.alias("at")))).alias("placed"))
+    first = lambda k: (k == 0) | (F.get("placed", k)["word"] != F.get("placed", k - 1)["word"])
+    begins = F.when(F.size("placed") > 0, F.filter(F.sequence(F.lit(0), F.size("placed") - 1), first))
+    words = placed.select("doc_id", "placed", begins.alias("begins"))
+    own = lambda k, turn: F.slice("placed", k + 1, F.coalesce(F.get("begins", turn + 1), F.size("placed")) - k)
+    lists = F.transform("begins", lambda k, turn: F.struct(F.get("placed", k)["word"].alias("word"), F.transform(own(k, turn), lambda x: x["at"]).alias("positions")))
+    return library.text_from_positions(words.select("doc_id", F.inline(lists)), "doc_id")
 
 
 def document_content_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
