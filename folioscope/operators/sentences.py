@@ -98,5 +98,5 @@ def example_sentence(text: Column, start: Column, end: Column) -> Column:
         near = F.struct(whole.alias("text"), (s["start"] - begin + F.length(front)).cast("int").alias("start"), (s["end"] - begin + F.length(front)).cast("int").alias("end"))
         return F.when(F.length(s["text"]) <= MOST_SENTENCE, F.struct(s["text"].alias("text"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))).otherwise(near)
 
-    found = F.get(F.transform(F.transform(F.transform(F.array(tidy), placed), cut), lambda s: s), F.lit(0))
-    return F.when(found["text"].isNotNull() & (found["text"] != ""), found)
+    # Filtered in place, as a condition on the sentence would compute it once more for each mention.
+    return F.get(F.filter(F.transform(F.transform(F.array(tidy), placed), cut), lambda s: s["text"] != ""), F.lit(0))

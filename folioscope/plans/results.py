@@ -79,8 +79,9 @@ def document_example_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.length(F.regexp_extract(F.substring(F.col("text"), F.lit(1), half), r"(?s)^(.*\s)?", 0))
     rows = docs.select("doc_id", "text", start.alias("start"))
     end = F.col("start") + F.length(F.regexp_extract(F.substring(F.col("text"), F.col("start") + 1, F.lit(200)), r"^\S+", 0))
-    e = rows.select("doc_id", sentences.example_sentence(F.col("text"), F.col("start"), end).alias("e"))
-    return e.where("e is not null").select("doc_id", "e.*")
+    # Generated rather than filtered: a filter would be computed again below, with the place of the word for each sentence.
+    found = F.filter(F.array(sentences.example_sentence(F.col("text"), F.col("start"), F.col("end"))), lambda e: e.isNotNull())
+    return rows.select("doc_id", "text", "start", end.alias("end")).select("doc_id", F.inline(found))
 
 
 QUERIES = {
