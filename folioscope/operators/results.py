@@ -16,6 +16,8 @@ paper study system systems that the their this technical toward towards using us
 GENERIC_WORDS = "attention deep learning mechanism mechanisms network networks neural recurrent research self sequence training".split()
 # Results that are shown for a query and beside a document, terms that are told, words of an overview and titles of references that count.
 MOST_RANKED, MOST_RECOMMENDED, MOST_TOLD, MOST_TOPICS, MOST_REFERENCES, LEAST_REFERENCE = 20, 10, 4, 12, 4, 8
+#: Scopes that are broadcast beside their lists.
+FEW_SCOPES = 100_000
 # Letters of a term that tells a title apart.
 DISTINCTIVE = 8
 # Least scores of the tiers (the first one in short lists and in long ones), shares of a list that they may hold, and when a list is long.
@@ -72,26 +74,38 @@ def first_seen(rows: DataFrame, scope: str, order: list[str], keys: list[str]) -
     return folded(rows, scope, order, dict, step, "_first", T.BooleanType(), uses=keys).where("_first").drop("_first")
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Titles in normal form and DOIs in lower case, without the document's own record."""
-    out = rows.withColumns({"title_key": normal(F.col("title")), "doi_key": F.lower(F.trim("doi"))})
+def _keyed(results: DataFrame) -> DataFrame:
+    """Titles in normal form and DOIs in lower case."""
+    return results.withColumns({"title_key": normal(F.col("title")), "doi_key": F.lower(F.trim("doi"))})
+
+
+def _asked(keyed: DataFrame, asked: DataFrame | None, on: str) -> DataFrame:
+    """The results of each scope, without the document's own record; texts were read before, once for all scopes of a list."""
+    if asked is not None:
+        keyed = keyed.join(F.broadcast(asked) if asked.count() <= FEW_SCOPES else asked, on)
     same = F.coalesce(F.col("title_key") == normal(F.col("own_title")), F.lit(False)) | F.coalesce(F.col("doi_key") == F.lower(F.trim("own_doi")), F.lit(False))
-    return out.where(~same)
+    return keyed.where(~same)
 
 
-def ranked_results(results: DataFrame) -> DataFrame:
+def ranked_results(results: DataFrame, asked: DataFrame | None = None, on: str = "scope") -> DataFrame:
     """(scope, item, score, place) of result lists (scope, query, own_title, own_doi, turn, item, title, abstract, doi).
 
-    Three for each term of the query that the title holds, one for each in the abstract,
-    parts of words included; nothing is dropped for holding none. The open document itself
-    and what came before by title or DOI are left out; equals keep their order.
+    Scopes that share a list come apart from it: ``asked`` (scope, query, own_title,
+    own_doi) is joined by the column ``on``. Three for each term of the query that the
+    title holds, one for each in the abstract, parts of words included; nothing is dropped
+    for holding none. The open document itself and what came before by title or DOI are
+    left out; equals keep their order.
     """
-    told = _keyed(results).withColumns({"terms": typed_terms(F.col("query")), "abstract_key": F.when(F.length("abstract") > 0, normal(F.col("abstract")))})
-    once = first_seen(told, "scope", ["turn"], ["title_key", "doi_key"])
+    told = _asked(_keyed(results).withColumn("abstract_key", F.when(F.length("abstract") > 0, normal(F.col("abstract")))), asked if asked is None else asked.withColumn("terms", typed_terms(F.col("query"))), on)
+    if asked is None:
+        told = told.withColumn("terms", typed_terms(F.col("query")))
     held = lambda text: F.size(F.filter("terms", lambda t: F.contains(F.col(text), t)))
     score = 3 * held("title_key") + F.when(F.col("abstract_key").isNotNull(), held("abstract_key")).otherwise(0)
+    # The texts stay behind: keys go as digests.
+    scored = told.select("scope", "item", "turn", score.alias("score"), F.sha2("title_key", 256).alias("title_key"), "doi_key")
+    once = first_seen(scored, "scope", ["turn"], ["title_key", "doi_key"])
     place = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score"), "turn"))
-    return once.withColumn("score", score).select("scope", "item", "score", place.alias("place")).where(F.col("place") <= MOST_RANKED)
+    return once.select("scope", "item", "score", place.alias("place")).where(F.col("place") <= MOST_RANKED)
 
 
 def contexts(documents: DataFrame) -> DataFrame:
@@ -119,18 +133,21 @@ def contexts(documents: DataFrame) -> DataFrame:
     )
 
 
-def recommended(results: DataFrame, documents: DataFrame) -> DataFrame:
+def recommended(results: DataFrame, documents: DataFrame, on: str = "scope") -> DataFrame:
     """(scope, item, score, place): what of a document's results (scope, turn, item, title, abstract, doi, citations) is worth reading beside it.
 
+    Scopes that share a list have its column ``on`` beside them in ``documents``.
+
     Three for each term in the title, one in the abstract, two for each word that the title
     shares with the references; at most four terms count of each. Two terms in the title,
     a long one there and one in the abstract, or two shared with references are evidence
     enough; one of the required terms must be there. Then each title and DOI is kept once,
     by turn, and the best ten are shown: by score, citations (unknown last), title.
     """
-    rows = _keyed(results.join(contexts(documents), "scope"))
+    read = _keyed(results).withColumns({"title_words": subject_words(F.col("title")), "abstract_words": subject_words(F.col("abstract"))}).drop("abstract")
+    told = contexts(documents)
+    rows = _asked(read, told if on == "scope" else told.join(documents.select("scope", on), "scope"), on)
     held = lambda own, terms: F.slice(F.filter(terms, lambda t: F.array_contains(own, t)), 1, MOST_TOLD)
-    rows = rows.withColumns({"title_words": subject_words(F.col("title")), "abstract_words": subject_words(F.col("abstract"))})
     shared = F.flatten(F.transform("references", lambda r: held(F.filter(F.split(F.lower(r), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3), F.col("title_words"))))
     needed = held(F.array_union("title_words", "abstract_words"), F.col("required"))
     rows = rows.withColumns({
@@ -139,7 +156,8 @@ def recommended(results: DataFrame, documents: DataFrame) -> DataFrame:
     })
     rows = rows.withColumn("score", 3 * F.size("in_title") + F.size("in_abstract") + 2 * F.size("shared"))
     enough = (F.size("in_title") >= 2) | (F.exists("in_title", lambda t: F.length(t) >= DISTINCTIVE) & (F.size("in_abstract") >= 1)) | (F.size("shared") >= 2)
-    once = first_seen(rows.where(enough & F.col("needed")), "scope", ["turn"], ["title_key", "doi_key"])
+    worth = rows.where(enough & F.col("needed")).select("scope", "item", "turn", "score", "citations", "title", F.sha2("title_key", 256).alias("title_key"), "doi_key")
+    once = first_seen(worth, "scope", ["turn"], ["title_key", "doi_key"])
     order = Window.partitionBy("scope").orderBy(F.desc("score"), F.desc(F.coalesce("citations", F.lit(-1))), F.lower("title"), "turn")
     return once.select("scope", "item", "score", F.row_number().over(order).alias("place")).where(F.col("place") <= MOST_RECOMMENDED)
 

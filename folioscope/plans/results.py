@@ -13,16 +13,23 @@ from folioscope.sources.tables import table
 LISTS = 40
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the results of a benchmark question each: the first line as title, the rest as abstract, DOIs that some share."""
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+def result_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the results of lists: the first line as title, the rest as abstract, DOIs that some share."""
     k = F.col("doc_id")
-    rows = docs.select(
+    return table(spark, sf_dir, "documents").select(
         k.alias("item"), k.alias("turn"), (k % LISTS).alias("list"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.regexp_replace(F.coalesce("text", F.lit("")), r"^[^\n]*\n?", "").alias("abstract"),
         F.when(k % 3 == 0, F.concat(F.lit("10.1/D"), F.floor(k / 120).cast("string"))).alias("doi"), F.when(k % 4 != 0, k % 50).alias("citations"),
     )
-    own = asked.select(F.col("item_id").alias("scope"), (F.col("item_id") % LISTS).alias("list"), F.col("text").alias("query"), F.lit("none of them").alias("own_title"), F.lit("10.1/d1").alias("own_doi"))
-    return rows.join(own, "list").drop("list")
+
+
+def askers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark questions, each of which asks for one of the lists."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("scope"), (F.col("item_id") % LISTS).alias("list"), F.col("text").alias("query"), F.lit("none of them").alias("own_title"), F.lit("10.1/d1").alias("own_doi"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of each benchmark question."""
+    return result_lists(spark, sf_dir).join(askers(spark, sf_dir), "list").drop("list")
 
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +49,12 @@ def benchmark_once_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_typed_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.ranked_results(found(spark, sf_dir))
+    return results.ranked_results(result_lists(spark, sf_dir), askers(spark, sf_dir), "list")
 
 
 def benchmark_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.recommended(found(spark, sf_dir).drop("query", "own_title", "own_doi"), subjects(spark, sf_dir))
+    documents = subjects(spark, sf_dir).withColumn("list", F.col("scope") % LISTS)
+    return results.recommended(result_lists(spark, sf_dir), documents, "list")
 
 
 def benchmark_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
