@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import library, results
+from folioscope.operators import library, moves, results
 from folioscope.plans import library as library_plans
 from folioscope.plans import results as result_plans
 
@@ -58,3 +58,13 @@ def test_scopes_that_share_a_list_are_told_alike(spark):
     apart = results.recommended(result_plans.found(spark, SF).drop("query", "own_title", "own_doi"), subjects)
     shared = results.recommended(lists, subjects.withColumn("list", F.col("scope") % result_plans.LISTS), "list")
     assert sorted(apart.collect()) == sorted(shared.collect())
+
+
+def test_moves_are_dealt_once_and_chains_followed_either_way(spark):
+    df = spark.createDataFrame([(s, k, k, (k * 7 + s) % 31) for s in range(5) for k in range(31)], "scope long, key long, natural long, target long")
+    told = moves.key_moves(df, "scope", "key", "natural", "target")
+    assert plan(told).count("Exchange hashpartitioning") == 1
+    want = {(r.scope, r.key, r.target + 1) for r in df.collect()}
+    for few in (0, 1000):
+        assert {tuple(r) for r in moves.moved(df, told, "scope", "key", "natural", few).collect()} == want
+    assert moves._chains([1, 2, 3, 4, 5, 6], [None, 1, 4, 3, 9, 4]) == ([None, None, None, None, 9, None], [1, 2, None, None, 1, None])
