@@ -67,9 +67,10 @@ class _Entries:
     def where(self, test) -> _Entries:
         return _Entries(F.filter(self.column, test), *self.names)
 
-    def rows(self, lists: DataFrame, number: int) -> DataFrame:
-        out = lists.select("id", F.posexplode(self.column).alias("turn", "e"))
-        return out.select("id", F.lit(number).alias("pass"), "turn", *(F.col(f"e.{c}") for c in FIELDS))
+    def told(self, number: int, last_first: bool = False) -> Column:
+        """Entries of a pass with their turns; of one key the last turn counts, or the first."""
+        turn = lambda k: (-k if last_first else k).alias("turn")
+        return F.transform(self.column, lambda s, k: F.struct(F.lit(number).alias("pass"), turn(k), *(s[c].alias(c) for c in FIELDS)))
 
 
 def _zipped(**arrays: Column) -> _Entries:
@@ -147,7 +148,7 @@ def _shortened(body: Column) -> Column:
     return _let(cut, short)
 
 
-def _numbered(lists: DataFrame) -> DataFrame:
+def _numbered() -> Column:
     """Entries behind ``[1]`` or, where no bracket is, ``1.``"""
     flat = F.col("flat")
     by = lambda pattern: _zipped(key=F.regexp_extract_all(flat, F.lit(pattern), F.lit(1)), body=F.slice(F.split(flat, pattern), 2, 1 << 30))
@@ -179,23 +180,23 @@ def _numbered(lists: DataFrame) -> DataFrame:
         title=lambda s: F.when(s["inside"] != "", s["place"]).otherwise(F.regexp_replace(_bare(s["titled"]["col1"]), r"(?i)^\((?:eds?|editors?)\.?\)\s*", "")),
         venue=lambda s: F.when(s["inside"] != "", s["place"]).otherwise(_bare(s["titled"]["col2"])), year=lambda s: F.when(s["year"] != "", s["year"]).cast("int"),
     )
-    return entries.where(lambda s: F.length(s["title"]) >= LEAST_TITLE).rows(lists, 2)
+    return entries.where(lambda s: F.length(s["title"]) >= LEAST_TITLE).told(2)
 
 
 def _surname(authors: Column, stops: str) -> Column:
     return F.element_at(F.split(F.trim(_before(authors, stops)), r"\s+"), -1)
 
 
-def _author_year(lists: DataFrame) -> DataFrame:
+def _author_year() -> Column:
     """Entries of the form "Names. 2020. Title."; of one key the first counts, and any other kind before it."""
     groups = {c: F.regexp_extract_all("lists", F.lit(AUTHOR_YEAR), F.lit(k)) for k, c in enumerate(("raw", "authors", "when", "title"))}
     entries = _zipped(**groups).with_fields(**{c: lambda s, c=c: F.trim(s[c]) for c in groups})
     entries = entries.with_fields(surname=lambda s: _surname(s["authors"], r"(?i),|\band\b"), year=lambda s: _upto(s["when"], 4).cast("int"), venue=lambda s: F.lit(""))
     entries = entries.with_fields(key=lambda s: F.lower(F.concat(s["surname"], F.lit("-"), s["when"])))
-    return entries.where(lambda s: (s["surname"] != "") & (s["title"] != "")).rows(lists, 1).withColumn("turn", -F.col("turn"))
+    return entries.where(lambda s: (s["surname"] != "") & (s["title"] != "")).told(1, last_first=True)
 
 
-def _year_last(lists: DataFrame) -> DataFrame:
+def _year_last() -> Column:
     """Entries that end with their year; of one key the last counts, before any other kind."""
     flat = F.col("flat")
     entries = _zipped(raw=F.split(flat, AT_END), when=F.regexp_extract_all(flat, F.lit(f"({AT_END})"), F.lit(2)), end=F.regexp_extract_all(flat, F.lit(f"({AT_END})"), F.lit(1)))
@@ -210,7 +211,7 @@ def _year_last(lists: DataFrame) -> DataFrame:
     entries = entries.with_fields(
         key=lambda s: F.lower(F.concat(s["surname"], F.lit("-"), s["when"])), venue=lambda s: F.trim(F.regexp_replace(_from(s["rest"], F.length(s["title"])), r"^[.\s]+|,?\s*20\d{2}[a-z]?\.$", ""))
     )
-    return entries.where(lambda s: (s["surname"] != "") & (F.length(s["title"]) >= LEAST_TITLE)).rows(lists, 3)
+    return entries.where(lambda s: (s["surname"] != "") & (F.length(s["title"]) >= LEAST_TITLE)).told(3)
 
 
 def references(papers: DataFrame, id_: str, text: str) -> DataFrame:
@@ -219,9 +220,11 @@ def references(papers: DataFrame, id_: str, text: str) -> DataFrame:
     Numbered entries have their number as key, others the first author's surname and the
     year. Papers without text or list have no rows; papers have an id each.
     """
-    cut = papers.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), reference_lists(F.col(text)).alias("lists")).where("lists <> ''")
+    # Generated, not filtered: a filter would look for the lists once more. All kinds of entries are told in one pass over the lists.
+    some = F.filter(F.array(reference_lists(F.col(text))), lambda t: t != "")
+    cut = papers.select(F.col(id_).alias("id"), F.explode(some).alias("lists"))
     lists = cut.withColumn("flat", F.trim(F.regexp_replace("lists", r"\s+", " ")))
-    every = _numbered(lists).unionByName(_author_year(lists)).unionByName(_year_last(lists))
+    every = lists.select("id", F.inline(F.concat(*(F.coalesce(kind, F.array()) for kind in (_numbered(), _author_year(), _year_last())))))
     best = Window.partitionBy("id", "key").orderBy(F.desc("pass"), F.desc("turn"))
     one = every.withColumn("n", F.row_number().over(best)).where("n = 1")
     return one.select(F.col("id").alias(id_), *FIELDS)

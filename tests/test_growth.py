@@ -68,3 +68,10 @@ def test_moves_are_dealt_once_and_chains_followed_either_way(spark):
     for few in (0, 1000):
         assert {tuple(r) for r in moves.moved(df, told, "scope", "key", "natural", few).collect()} == want
     assert moves._chains([1, 2, 3, 4, 5, 6], [None, 1, 4, 3, 9, 4]) == ([None, None, None, None, 9, None], [1, 2, None, None, 1, None])
+
+
+def test_reference_lists_are_looked_for_once(spark):
+    from folioscope.plans import quotes as quote_plans
+
+    text = plan(quote_plans.customer_references(spark, SF))
+    assert text.count("Generate") == 2 and "Union" not in text  # before, each kind of entry looked for the lists anew
