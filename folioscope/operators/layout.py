@@ -75,6 +75,10 @@ def nearest_captions(captions: DataFrame, visuals: DataFrame, page: str) -> Data
 
 def open_sections(headings: DataFrame, page: str, order: str, level: str, last: int) -> DataFrame:
     """``headings`` with the place at which their section ends: before the next one that is no deeper, or at ``last``."""
-    a, b = headings.alias("a"), headings.select(F.col(page).alias("p"), F.col(order).alias("o"), F.col(level).alias("l"))
-    met = a.join(b, (F.col(page) == F.col("p")) & (F.col("o") > F.col(order)) & (F.col("l") <= F.col(level)), "left")
-    return met.groupBy(page, order, level).agg(F.coalesce(F.min("o") - 1, F.lit(last)).alias("ends"))
+    own = Window.partitionBy(page).orderBy(order, level)
+    behind = F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).alias("l"))).over(own.rowsBetween(1, Window.unboundedFollowing))
+    again = F.lag(order).over(own).eqNullSafe(F.col(order)) & F.lag(level).over(own).eqNullSafe(F.col(level)) & (F.row_number().over(own) > 1)
+    # One sort of a page's headings; those that are repeated stand together.
+    told = headings.select(page, order, level).select("*", behind.alias("_behind"), again.alias("_again")).where(~F.col("_again"))
+    ends = F.array_min(F.transform(F.filter("_behind", lambda x: (x["o"] > F.col(order)) & (x["l"] <= F.col(level))), lambda x: x["o"]))
+    return told.select(page, order, level, F.coalesce(F.when(F.col(page).isNotNull(), ends) - 1, F.lit(last)).alias("ends"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import library, moves, results
+from folioscope.operators import layout, library, moves, results
 from folioscope.plans import library as library_plans
 from folioscope.plans import results as result_plans
 
@@ -75,3 +75,12 @@ def test_reference_lists_are_looked_for_once(spark):
 
     text = plan(quote_plans.customer_references(spark, SF))
     assert text.count("Generate") == 2 and "Union" not in text  # before, each kind of entry looked for the lists anew
+
+
+def test_sections_are_not_joined(spark):
+    rows = [(1, 0, 1), (1, 1, 2), (1, 1, 2), (1, 1, 0), (1, 2, None), (1, 4, 1), (1, 5, 0), (2, 0, 3), (None, 0, 1), (None, 1, 0)]
+    df = layout.open_sections(spark.createDataFrame(rows, "page long, ord int, level int"), "page", "ord", "level", 99)
+    want = {(p, o, v, min((x - 1 for q, x, y in rows if p is not None and q == p and x > o and None not in (v, y) and y <= v), default=99)) for p, o, v in rows}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Join" not in plan(df)
