@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import layout, library, moves, results
+from folioscope.operators import graph, layout, library, moves, results
 from folioscope.plans import library as library_plans
 from folioscope.plans import results as result_plans
 
@@ -84,3 +84,10 @@ def test_sections_are_not_joined(spark):
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "Join" not in plan(df)
+
+
+def test_repeated_edges_are_not_held_whole(spark):
+    df = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (2, 3), (3, 3), (None, 4)], "a long, b long")
+    out = graph.neighbourhood(df, spark.createDataFrame([(1,), (9,)], "node long"), hops=2)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (9, 9, 0)]
+    assert "HashAggregate" not in plan(graph.neighbourhood(df, df.selectExpr("a as node").limit(0), hops=0)) and plan(graph.neighbourhood(df, df.selectExpr("a as node"), hops=1)).count("keys=[a#") == 0
