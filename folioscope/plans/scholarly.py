@@ -30,7 +30,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool of each candidate, by its first candidate."""
-    return pools.pooled(candidates(spark, sf_dir)).select(F.col("arrival").alias("o_orderkey"), "pool")
+    return pools.followed(candidates(spark, sf_dir)).select(F.col("arrival").alias("o_orderkey"), "ids.pool")
 
 
 def order_pooled_papers(spark: SparkSession, sf_dir: str) -> DataFrame:

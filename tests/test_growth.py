@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import graph, layout, library, moves, results
+from folioscope.operators import components, graph, layout, library, moves, results
 from folioscope.plans import library as library_plans
 from folioscope.plans import results as result_plans
 
@@ -91,3 +91,27 @@ def test_repeated_edges_are_not_held_whole(spark):
     out = graph.neighbourhood(df, spark.createDataFrame([(1,), (9,)], "node long"), hops=2)
     assert sorted(map(tuple, out.collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (9, 9, 0)]
     assert "HashAggregate" not in plan(graph.neighbourhood(df, df.selectExpr("a as node").limit(0), hops=0)) and plan(graph.neighbourhood(df, df.selectExpr("a as node"), hops=1)).count("keys=[a#") == 0
+
+
+def test_rows_without_a_hot_key_are_read_once(spark):
+    rows = spark.range(3000).select((F.col("id") % 500).alias("k"), "id")
+    by = rows.groupBy("k").agg(F.min("id").alias("first"))
+    out = components.looked_up(rows, by, "k", hot_rows=100)
+    assert "Union" not in plan(out)  # before, rows were computed for hot keys and for others, also where no key was hot
+    assert out.count() == 3000 and out.where("first <> k").isEmpty()
+    assert "Union" in plan(components.looked_up(rows, by, "k", hot_rows=6))
+
+
+def test_turns_of_components_deal_edges_twice(spark):
+    links = spark.createDataFrame([(9, 5), (9, 5), (9, 2), (9, 7), (5, 2), (4, 3), (8, 4), (2, 9)], "a long, b long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a node goes on over batches
+    try:
+        out = components._streamed(links, components._smaller)
+        assert plan(out).count("Exchange") == 1 and "Join" not in plan(out)
+        assert sorted(map(tuple, out.collect())) == [(2, 9), (4, 3), (5, 2), (5, 2), (7, 2), (8, 4), (9, 2)]
+        both = links.union(links.select("b", "a"))
+        assert sorted(set(map(tuple, components._streamed(both, components._larger).collect()))) == [(4, 3), (5, 2), (8, 3), (9, 2), (9, 7)]
+        got = {r.node: r.component for r in components.components(links).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {2: 2, 5: 2, 7: 2, 9: 2, 3: 3, 4: 3, 8: 3}
