@@ -70,10 +70,16 @@ def atom_entry(id_: Column, title: Column, author: Column, published: Column) ->
 
 
 def parsed_atom_entry(entry: Column) -> Column:
-    """struct(id, title, author, year) of a feed's entry."""
-    at = lambda path: F.xpath_string(entry, F.lit(path))
-    year = F.substring(at("/entry/published"), 1, 4).try_cast("int")
-    return F.struct(at("/entry/id").alias("id"), at("/entry/title").alias("title"), at("/entry/author/name").alias("author"), year.alias("year"))
+    """struct(id, title, author, year) of a feed's entry, which is parsed once."""
+    # A character that no XML document can hold, and the paths of the fields.
+    apart, paths = "\ufffe", ("/entry/id", "/entry/title", "/entry/author/name", "/entry/published")
+    told = F.split(F.xpath_string(entry, F.lit("concat({})".format(f", '{apart}', ".join(paths)))), apart)
+
+    def fields(x: Column) -> Column:
+        id_, title, author, published = (F.get(x, F.lit(k)) for k in range(len(paths)))
+        return F.struct(id_.alias("id"), title.alias("title"), author.alias("author"), F.substring(published, 1, 4).try_cast("int").alias("year"))
+
+    return F.get(F.transform(F.array(told), fields), F.lit(0))
 
 
 def uniform_paper(raw: Column) -> Column:

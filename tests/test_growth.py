@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import components, graph, layout, library, moves, results
+from folioscope.functions import interchange
+from folioscope.operators import components, discovery, graph, layout, library, moves, results
+from folioscope.plans import exchange as exchange_plans
 from folioscope.plans import library as library_plans
 from folioscope.plans import results as result_plans
 
@@ -115,3 +117,25 @@ def test_turns_of_components_deal_edges_twice(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {2: 2, 5: 2, 7: 2, 9: 2, 3: 3, 4: 3, 8: 3}
+
+
+def test_feed_entries_are_parsed_once_and_shared_out(spark):
+    assert "Exchange hashpartitioning" in plan(exchange_plans.part_feed(spark, SF))  # before, in as many tasks as the file had parts
+    rows = [(1, "<entry><id>a</id><title>x <b>y</b> &amp; z</title><published>2001-02</published><title>no</title></entry>"), (2, "<feed/>"), (3, None)]
+    out = spark.createDataFrame(rows, "k int, entry string").select("k", interchange.parsed_atom_entry(F.col("entry")).alias("x")).select("k", "x.*")
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "x y & z", "", 2001), (2, "", "", "", None), (3, None, None, None, None)]
+
+
+def test_experiment_lines_are_read_once(spark):
+    out = exchange_plans.event_experiment_lines(spark, SF)
+    assert "MapInArrow" not in plan(out)  # before, each line was read for the runs and again for its row
+    own = "".join(r.error or "" for r in out.collect())
+    assert "malformed JSON" in own and "repeated run" in own
+
+
+def test_citation_keys_are_told_once(spark):
+    rows = [(3, ["É Ünal"], 2020, "On the\nÜber work"), (1, ["é unal"], 2020, "A The"), (2, ["X ÜNAL"], 2020, "the"), (4, None, None, None), (5, [], None, "a"), (6, ["n"], 1, "one")]
+    out = discovery.citation_keys(spark.createDataFrame([(*r, 7) for r in rows], "id long, authors array<string>, year int, title string, n int"), "id")
+    assert "EvalPython" not in plan(out)  # before, normal forms were taken for each reader of the keys
+    assert {r.id: r.citation_key for r in out.collect()} == {1: "unal2020the", 2: "unal2020the-2", 3: "unal2020the-3", 4: "paperndwork", 5: "paperndwork-5", 6: "n1one"}
+    assert out.columns[-2:] == ["n", "citation_key"]
