@@ -35,7 +35,7 @@ def looked_up(rows: DataFrame, by: DataFrame, key: str, hot_rows: int = HOT_ROWS
 
 def looked_up_counted(rows: DataFrame, by: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``rows`` with the columns of ``by``, as above; ``by`` tells in ``n`` how many rows a key has, so that they need not be counted."""
-    return _met(rows, by, key, hot_keys(by, key, hot_rows))
+    return _met(rows, by.drop("n"), key, hot_keys(by, key, hot_rows))
 
 
 def _met(rows: DataFrame, by: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
