@@ -31,7 +31,9 @@ def event_experiment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("task"), F.lit("m").alias("model"), config.alias("aggregateConfig"), F.struct("value").alias("aggregateMetrics"),
     )
     text = F.when(k % 11 == 0, "{broken").otherwise(F.to_json(record))
-    lines = table(spark, sf_dir, "events").where("value is not null").select(F.lit("events").alias("file"), k.alias("line"), text.alias("text"))
+    # Dealt first: the table is small for what is done with a row, and would be left to few tasks.
+    events = table(spark, sf_dir, "events").where("value is not null").select("event_id", "event_type", "value").repartition("event_id")
+    lines = events.select(F.lit("events").alias("file"), k.alias("line"), text.alias("text"))
     out = imports.experiments(lines)
     return out.select(F.col("line").alias("event_id"), "error", F.array_join("sensitive", ",").alias("sensitive"))
 

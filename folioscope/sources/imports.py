@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions.interchange import parsed_front_matter
+from folioscope.sources.shared import cut
 
 # Keys and values that must not travel in a record of an experiment, and keys that look like them but may.
 SENSITIVE_KEYS = re.compile(r"(?i)api[_-]?key|secret|(?<!max_)(?<!max-)(?<!max)token|password|auth|credential|private[_-]?key|prompt|patient|\bphi\b|\bpii\b|ssn")
@@ -157,8 +158,10 @@ def experiments(lines: DataFrame, form: str = "experiment-v1") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("line"), *told, pa.array([s["sensitive"] for s in said], pa.list_(pa.string()))], names=["file", "line", "wrong", "run", "keys", "sensitive"])
 
     own = lines.where(F.col("text").rlike(r"\S")).select("file", "line", "text").mapInArrow(read, "file string, line long, wrong string, run string, keys string, sensitive array<string>")
+    own = cut(own)  # read three times
     claimed = own.where("run is not null and keys is null").groupBy("file", "run").agg(F.min("line").alias("first"))
-    joined = own.join(claimed, ["file", "run"], "left")
+    # Lines without a run would all meet in one task.
+    joined = own.where("run is not null").join(claimed, ["file", "run"], "left").unionByName(own.where("run is null"), allowMissingColumns=True)
     error = F.coalesce("wrong", F.when(F.col("line") > F.col("first"), "repeated run"), F.when(F.col("keys").isNotNull(), "too many keys"))
     return joined.select("file", "line", "run", error.alias("error"), "sensitive")
 
