@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from folioscope.functions import entity as E
 from folioscope.functions.unicode import normal_form
 from folioscope.operators.ordered import folded
+from folioscope.sources.shared import cut
 
 # Words that say nothing about the subject of a paper, and those that say too little to be required.
 COMMON_WORDS = """about after all and arxiv based between bridging for from gap human into logic machine method methods model models new need overview our
@@ -195,6 +196,7 @@ def overlap_judged(asked: DataFrame, records: DataFrame) -> DataFrame:
     of = lambda text: F.filter(F.array_distinct(F.split(F.lower(normal_form(text)), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) > 3)
     terms = asked.select("query", of(F.col("text")).alias("terms")).where(F.size("terms") > 0).select("query", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     postings = records.select("record", F.explode(of(F.col("text"))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    postings = cut(postings)  # read three times
     spread = postings.groupBy("term").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), "term"))
     placed = terms.join(spread, "term", "left").withColumn("rare", place <= F.col("n") - F.ceil(F.col("n") / 4) + 1)
