@@ -15,7 +15,6 @@ decodes to no bytes.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -26,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folioscope.llm.common import fresh, named, valid_text
+from folioscope.llm.common import beside_text, fresh, named, slices, texts_of
 
 #: Entries of a memo, after which it starts anew.
 MEMO = 400_000
-#: Characters of text that are encoded before a batch is handed on.
-SLICE_CHARS = 4_000_000
+#: Bytes of text that are encoded before a batch is handed on.
+SLICE_BYTES = 1 << 20
 
 
 class _Pieces(dict):
@@ -151,25 +150,18 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def _slices(batch: pa.RecordBatch, texts: list[str | None]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    first = chars = 0
-    for k, text in enumerate(texts):
-        chars += len(text or "")
-        if chars >= SLICE_CHARS or k + 1 == len(texts):
-            yield batch.slice(first, k + 1 - first), [t or "" for t in texts[first : k + 1]]
-            first, chars = k + 1, 0
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the ids of its texts in ``ids_col`` (array of int; empty for empty or null texts)."""
     (ids_col, work) = fresh(df, ids_col, "bpe_text")
+    beside, own = beside_text(df, text_col)
 
     def run(batches):
         coder = codec(ranks_path, pattern)
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(work)).to_pylist()
-            for part, own in _slices(batch, texts):
-                ids = [coder.encode(t) for t in own]
+            texts = texts_of(batch, work, own)
+            for a, b in slices(texts, SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                ids = [coder.encode(t) for t in texts.slice(a, b - a).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
                 flat = np.concatenate([np.empty(0, np.int32), *ids])
                 columns = [c for c, name in zip(part.columns, part.schema.names) if name != work]
@@ -177,7 +169,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*names, ids_col])
 
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return df.select(*map(named, df.columns), valid_text(named(text_col)).alias(work)).mapInArrow(run, schema)
+    return df.select(*map(named, df.columns), beside.alias(work)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

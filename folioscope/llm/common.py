@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +80,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def valid_text(column: Column) -> Column:
     """The text with null as empty and malformed UTF-8 replaced, so that Arrow and Python can read it."""
     return F.make_valid_utf8(F.coalesce(column.cast("string"), F.lit("")))
+
+
+def beside_text(df: DataFrame, text_col: str) -> tuple[Column, str | None]:
+    """A column that holds the valid text where the text itself is not that, and the column to be read elsewhere; so a batch does not hold every text twice. None if the column holds them all."""
+    valid = valid_text(named(text_col))
+    if text_col not in df.columns or df.schema[text_col].dataType != T.StringType():
+        return valid, None
+    return F.when(named(text_col) == valid, F.lit(None).cast("string")).otherwise(valid), text_col
+
+
+def texts_of(batch: pa.RecordBatch, beside: str, own: str | None) -> pa.Array:
+    """The valid texts of a batch that has the column of ``beside_text``."""
+    column = lambda name: batch.column(batch.schema.names.index(name))
+    return column(beside) if own is None else pc.coalesce(column(beside), column(own))
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Places at which rows with about ``size`` bytes of text begin and end."""
+    place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size
+    ends = [*np.flatnonzero(np.diff(place, prepend=-1)).tolist(), len(place)]
+    return zip(ends, ends[1:])

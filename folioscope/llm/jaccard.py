@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.blobs import pack, unpack
+from folioscope.llm.blobs import pack, squeezed, unpack, whole
 from folioscope.llm.common import cut, named, valid_text, written
 from folioscope.llm.components import components
 from folioscope.llm.words import BYTE, mix, word_hashes
@@ -100,8 +100,8 @@ def _facts(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n long, same binary, keys array<long>, piece int, places binary, counts binary")
 
 
-def _sketch(pieces: DataFrame) -> np.ndarray:
-    """Classes of the counters' sums, eight for each doubling: a byte for each of 2**SKETCH_BITS, whatever the corpus."""
+def _sketch(pieces: DataFrame) -> list[bytes]:
+    """Classes of the counters' sums, eight for each doubling: a byte for each of 2**SKETCH_BITS, whatever the corpus, in compressed pieces."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -111,12 +111,12 @@ def _sketch(pieces: DataFrame) -> np.ndarray:
                 own[unpack(places, np.uint32)] += unpack(counts, np.uint32)
         for piece, counts in total.items():
             classes = np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
-            yield pd.DataFrame({"piece": [piece], "counts": [classes.tobytes()]})
+            yield pd.DataFrame({"piece": [piece], "counts": [squeezed(classes.tobytes())]})
 
-    out = np.zeros((SKETCH_PIECES, (1 << SKETCH_BITS) // SKETCH_PIECES), np.uint8)
+    out = [squeezed(bytes((1 << SKETCH_BITS) // SKETCH_PIECES))] * SKETCH_PIECES
     for row in pieces.repartition(SKETCH_PIECES, "piece").mapInPandas(run, "piece int, counts binary").collect():
-        out[row.piece] = np.frombuffer(row.counts, np.uint8)
-    return out.reshape(-1)
+        out[row.piece] = bytes(row.counts)
+    return out
 
 
 def _runs(batches, by: list[str]) -> Iterator[tuple[tuple, list]]:
@@ -192,12 +192,12 @@ def _groups(reps: DataFrame, near: DataFrame, buckets: DataFrame) -> DataFrame:
     return cut(roles.join(comps.join(sizes, "grp").drop("held"), "comp"))
 
 
-def _open_groups(docs: DataFrame, roles: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
+def _open_groups(docs: DataFrame, roles: DataFrame, sketch: list[bytes], width: int, percent: int) -> DataFrame:
     """(id, n, other): documents and the groups that the matrix could not rule out for them."""
     order = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        counts = order.value
+        counts = np.frombuffer(b"".join(whole(x, (1 << SKETCH_BITS) // SKETCH_PIECES) for x in order.value), np.uint8)
         for pdf in batches:
             tokens, ids = [np.empty(0, np.uint64)], []
             for id_, text in zip(pdf["id"], pdf["text"]):

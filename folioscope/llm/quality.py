@@ -31,12 +31,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import fresh, named, valid_text
+from folioscope.llm.common import beside_text, fresh, named, slices, texts_of, valid_text
 from folioscope.llm.words import hashed_words
 
 #: Labelled rows that fitting reads.
@@ -246,13 +245,11 @@ class _Target:
         return Views(self.prior, self.ids, dict(self.weights), scales)
 
 
-def _featured(batch: pa.RecordBatch, text: str, lang: str, source: str) -> Iterator[tuple[pa.RecordBatch, dict[str, Rows], list[tuple]]]:
-    """Slices of a batch with the rows of both views and their metadata."""
-    place = np.cumsum(pc.binary_length(batch[text]).to_numpy(zero_copy_only=False)) // SLICE_BYTES
-    ends = [*np.flatnonzero(np.diff(place, prepend=-1)), len(place)]
-    for a, b in zip(ends, ends[1:]):
+def _featured(batch: pa.RecordBatch, whole: pa.Array, lang: str, source: str) -> Iterator[tuple[pa.RecordBatch, dict[str, Rows], list[tuple]]]:
+    """Slices of a batch, whose texts are ``whole``, with the rows of both views and their metadata."""
+    for a, b in slices(whole, SLICE_BYTES):
         part = batch.slice(a, b - a)
-        texts, langs, sources = (part[c].to_pylist() for c in (text, lang, source))
+        texts, langs, sources = whole.slice(a, b - a).to_pylist(), part[lang].to_pylist(), part[source].to_pylist()
         yield part, {"text": text_rows(texts), "meta": meta_rows(langs, sources, texts)}, list(zip(langs, sources))
 
 
@@ -264,7 +261,7 @@ def _pseudo_labelled(docs: DataFrame, models: dict[str, Views], fitted: list[int
     def run(batches):
         sums = {(t, v): np.zeros((2 * CELLS, len(models[t].ids[v]) + 1)) for t, v in slots}
         for batch in batches:
-            for part, rows, metas in _featured(batch, "text", "lang", "source"):
+            for part, rows, metas in _featured(batch, batch["text"], "lang", "source"):
                 cell = np.array([zlib.crc32(repr(m).encode()) % CELLS for m in metas])
                 free = np.array([i not in own_ids for i in part["id"].to_pylist()])
                 for target, model in models.items():
@@ -318,10 +315,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for view, r in rows.items():
                 order = np.argsort(r.row, kind="stable")
                 ends = np.searchsorted(r.row[order], np.arange(1, r.size))
-                columns |= {f"{view}_at": np.split(r.feature[order], ends), f"{view}_value": np.split(r.value[order], ends)}
+                for name, values in (("at", r.feature[order].astype(np.int32)), ("value", r.value[order])):
+                    columns[f"{view}_{name}"] = [x.tobytes() for x in np.split(values, ends)]
             yield pd.DataFrame({"id": pdf["id"], "quality": pdf["quality"], "toxic": pdf["toxic"], **columns})
 
-    schema = "id long, quality double, toxic double, text_at array<long>, text_value array<double>, meta_at array<long>, meta_value array<double>"
+    # As bytes: lists would be an object of Python for each number on the driver.
+    schema = "id long, quality double, toxic double, text_at binary, text_value binary, meta_at binary, meta_value binary"
     held = own.select("id", "quality", "toxic", "x.*").mapInPandas(features, schema).toPandas()
     held = held.assign(order=[zlib.crc32(str(i).encode()) for i in held["id"]]).sort_values(["order", "id"])
     rows = {view: _joined(held.pop(f"{view}_at"), held.pop(f"{view}_value")) for view in VIEWS}
@@ -337,22 +336,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _joined(places: pd.Series, values: pd.Series) -> Rows:
-    sizes = [len(x) for x in places]
-    whole = lambda parts, kind: np.concatenate([np.empty(0, kind), *(np.asarray(x, kind) for x in parts)])
-    return Rows(len(places), np.repeat(np.arange(len(places)), sizes), whole(places, np.int64), whole(values, float))
+    whole = lambda parts, kind: np.frombuffer(b"".join(parts), kind)
+    sizes = [len(x) // 4 for x in places]
+    return Rows(len(places), np.repeat(np.arange(len(places)), sizes), whole(places, np.int32).astype(np.int64), whole(values, np.float64))
 
 
 def score(docs: DataFrame, models: dict[str, Views], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``docs`` with quality_score and toxic_score (probabilities) and accepted."""
     q_col, t_col, ok_col, w_text, w_lang, w_source = fresh(docs, "quality_score", "toxic_score", "accepted", "qc_text", "qc_lang", "qc_source")
+    beside, own = beside_text(docs, text_col)
 
     def run(batches):
         for batch in batches:
-            for part, rows, _ in _featured(batch, w_text, w_lang, w_source):
+            for part, rows, _ in _featured(batch, texts_of(batch, w_text, own), w_lang, w_source):
                 q, toxic = (_probability(models[t].log_odds(rows)) for t in TARGETS)
                 kept = [(c, n) for c, n in zip(part.columns, part.schema.names) if n not in (w_text, w_lang, w_source)]
                 yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), pa.array(q), pa.array(toxic), pa.array((q >= 0.5) & (toxic < 0.5))], [*(n for _, n in kept), q_col, t_col, ok_col])
 
-    work = docs.select(*map(named, docs.columns), valid_text(named(text_col)).alias(w_text), named(lang_col).cast("string").alias(w_lang), named(source_col).cast("string").alias(w_source))
+    work = docs.select(*map(named, docs.columns), beside.alias(w_text), named(lang_col).cast("string").alias(w_lang), named(source_col).cast("string").alias(w_source))
     schema = T.StructType([*docs.schema.fields, T.StructField(q_col, T.DoubleType()), T.StructField(t_col, T.DoubleType()), T.StructField(ok_col, T.BooleanType())])
     return work.mapInArrow(run, schema)
