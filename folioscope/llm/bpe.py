@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folioscope.llm.common import beside_text, fresh, named, slices, texts_of
+from folioscope.llm.common import beside_text, fresh, named, release, slices, texts_of
 
 #: Entries of a memo, after which it starts anew.
 MEMO = 400_000
@@ -138,6 +138,11 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, self.split_text(text))), np.int32)
 
+    def forget(self) -> None:
+        """Empties the memos."""
+        self.pieces.clear()
+        self.beside.clear()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -167,6 +172,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 columns = [c for c, name in zip(part.columns, part.schema.names) if name != work]
                 names = [name for name in part.schema.names if name != work]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*names, ids_col])
+        batch = texts = part = None
+        coder.forget()
+        release()
 
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     return df.select(*map(named, df.columns), beside.alias(work)).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -96,6 +97,13 @@ def texts_of(batch: pa.RecordBatch, beside: str, own: str | None) -> pa.Array:
     return column(beside) if own is None else pc.coalesce(column(beside), column(own))
 
 
+def release() -> None:
+    """Hands memory that a task has freed back to the machine: Spark keeps its worker, idle, through later stages that have no Python."""
+    gc.collect()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Places at which rows with about ``size`` bytes of text begin and end."""
     place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.blobs import pack, squeezed, unpack, whole
-from folioscope.llm.common import cut, named, valid_text, written
+from folioscope.llm.common import cut, named, release, valid_text, written
 from folioscope.llm.components import components
 from folioscope.llm.words import BYTE, mix, word_hashes
 
@@ -96,6 +96,8 @@ def _facts(docs: DataFrame, width: int) -> DataFrame:
             places = np.flatnonzero(counts).astype(np.uint32)
             if len(places):
                 yield pd.DataFrame([(None, 0, None, None, piece, pack(places), pack(counts[places]))], columns=names).astype({"id": "Int64"})
+        sketch = counts = pdf = rows = None
+        release()
 
     return docs.mapInPandas(run, "id long, n long, same binary, keys array<long>, piece int, places binary, counts binary")
 
@@ -208,6 +210,8 @@ def _open_groups(docs: DataFrame, roles: DataFrame, sketch: list[bytes], width:
                 ids.append(np.full(len(own), id_))
             if ids:
                 yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "id": np.concatenate(ids)})
+        counts = pdf = tokens = ids = None
+        release()
 
     held = roles.select(F.col("rep").alias("id"))
     rows = _with_small(docs, held, "id", roles.count()).mapInPandas(run, "token long, id long")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import beside_text, fresh, named, slices, texts_of, valid_text
+from folioscope.llm.common import beside_text, fresh, named, release, slices, texts_of, valid_text
 from folioscope.llm.words import hashed_words
 
 #: Labelled rows that fitting reads.
@@ -276,6 +276,8 @@ def _pseudo_labelled(docs: DataFrame, models: dict[str, Views], fitted: list[int
                         total += np.bincount(slot[row[use]] * total.shape[1] + at[use], value[use], total.size).reshape(total.shape)
                         total[:, -1] += np.bincount(slot[chosen], minlength=2 * CELLS)
         yield pa.RecordBatch.from_arrays([pa.array(list(slots.values()), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()])], ["slot", "sums"])
+        batch = part = rows = None
+        release()
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -352,6 +354,8 @@ def score(docs: DataFrame, models: dict[str, Views], text_col: str = "text", lan
                 q, toxic = (_probability(models[t].log_odds(rows)) for t in TARGETS)
                 kept = [(c, n) for c, n in zip(part.columns, part.schema.names) if n not in (w_text, w_lang, w_source)]
                 yield pa.RecordBatch.from_arrays([*(c for c, _ in kept), pa.array(q), pa.array(toxic), pa.array((q >= 0.5) & (toxic < 0.5))], [*(n for _, n in kept), q_col, t_col, ok_col])
+        batch = part = rows = kept = None
+        release()
 
     work = docs.select(*map(named, docs.columns), beside.alias(w_text), named(lang_col).cast("string").alias(w_lang), named(source_col).cast("string").alias(w_source))
     schema = T.StructType([*docs.schema.fields, T.StructField(q_col, T.DoubleType()), T.StructField(t_col, T.DoubleType()), T.StructField(ok_col, T.BooleanType())])

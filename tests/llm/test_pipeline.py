@@ -44,3 +44,11 @@ def test_sketch_is_small_on_the_driver(spark):
     assert len(sketch) == jaccard.SKETCH_PIECES and sum(map(len, sketch)) < 1 << 16
     counts = b"".join(whole(x, (1 << jaccard.SKETCH_BITS) // jaccard.SKETCH_PIECES) for x in sketch)
     assert len(counts) == 1 << jaccard.SKETCH_BITS and max(counts) == int(np.log2(51.0) * 8)
+
+
+def test_codec_forgets_what_a_task_met():
+    own = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = own.encode("unquestionablyzz words").tolist()
+    assert own.pieces and own.beside
+    own.forget()
+    assert not own.pieces and not own.beside and own.encode("unquestionablyzz words").tolist() == ids
