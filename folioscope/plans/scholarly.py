@@ -44,27 +44,31 @@ def _part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     Of the related parts the first ones of the type and size are every part's list, but for itself.
     """
     most = citations.MOST_WORKS
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    next_ = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("referenced"))
-    cites = lines.join(next_, ["l_orderkey", "l_linenumber"]).groupBy(F.col("l_partkey").alias("work"), "referenced").agg(F.min("l_orderkey").alias("first"))
-    references = cites.withColumn("place", F.row_number().over(Window.partitionBy("work").orderBy("first", "referenced"))).select("work", "place", "referenced")
-    tagged = lambda rows, number, name, place: rows.select("seed", F.lit(number).alias("list"), F.lit(name).alias("direction"), F.col(place).cast("long").alias("place"), F.col("other").alias("work"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").where("l_orderkey is not null and l_linenumber is not null").repartition("l_orderkey")
+    # Lines are dealt once, by order, and what they cite once by the citing part: the lists, the references and the citing parts of others are read from there.
+    next_ = F.collect_set(F.struct(F.col("l_partkey").alias("referenced"))).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))
+    pairs = lines.select(F.col("l_partkey").alias("work"), F.col("l_orderkey").alias("first"), next_.alias("next")).select("work", "first", F.inline("next"))
+    cites = pairs.repartition("work").groupBy("work", "referenced").agg(F.min("first").alias("first"))
+    references = cites.withColumn("place", F.row_number().over(Window.partitionBy("work").orderBy("first", F.asc_nulls_last("referenced")))).select("work", "place", "referenced")
+    listed = lambda rows, number, name: rows.select("seed", F.lit(number).alias("list"), F.lit(name).alias("direction"), "works")
+    ordered = lambda place, work: F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col(work).alias("work"))))["work"].alias("works")
     counted = lambda rows, number, name: rows.select("seed", F.lit(number).alias("list"), F.lit(name).alias("direction"), "total")
 
-    out = tagged(references.where(F.col("place") <= most).withColumnsRenamed({"work": "seed", "referenced": "other"}), 0, "references", "place")
-    back = cites.withColumnsRenamed({"referenced": "seed", "work": "other"})
-    earliest = F.row_number().over(Window.partitionBy("seed").orderBy("first", "other"))
-    back = tagged(back.withColumn("n", earliest).where(F.col("n") <= most), 1, "cited_by", "first")
+    out = listed(references.where(F.col("place") <= most).groupBy(F.col("work").alias("seed")).agg(ordered("place", "referenced")), 0, "references")
+    earliest = F.row_number().over(Window.partitionBy("referenced").orderBy("first", F.asc_nulls_last("work")))
+    back = cites.withColumn("n", earliest).where(F.col("n") <= most).groupBy(F.col("referenced").alias("seed")).agg(ordered("n", "work"))
+    back = listed(back, 1, "cited_by")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     kinds = parts.groupBy("p_type", "p_size").agg(F.count("*").alias("n"))
     # A part that stands n times is no list entry of itself, and one n times of the others.
     own = parts.groupBy("p_type", "p_size", "p_partkey").agg(F.count("*").alias("times"))
     first = own.withColumn("n", F.row_number().over(Window.partitionBy("p_type", "p_size").orderBy("p_partkey"))).where(F.col("n") <= most + 1)
-    firsts = first.groupBy("p_type", "p_size").agg(F.collect_list(F.struct("p_partkey", "times")).alias("firsts"))
+    firsts = first.groupBy("p_type", "p_size").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "times"))).alias("firsts"))
     met = looked_up(own.withColumn("kind", F.struct("p_type", "p_size")), firsts.join(kinds, ["p_type", "p_size"]).select(F.struct("p_type", "p_size").alias("kind"), "firsts", "n"), "kind")
-    near = met.select(F.col("p_partkey").alias("seed"), "times", F.explode("firsts").alias("f")).where("f.p_partkey <> seed")
-    copies = F.least(F.col("times") * F.col("f.times"), F.lit(most)).cast("int")
-    near = tagged(near.select("seed", F.col("f.p_partkey").alias("other"), F.explode(F.sequence(F.lit(1), copies))), 2, "related", "other")
+    copies = lambda f: F.array_repeat(f["p_partkey"], F.least(F.col("times") * f["times"], F.lit(most)).cast("int"))
+    others = F.filter("firsts", lambda f: f["p_partkey"] != F.col("p_partkey"))
+    near = met.select(F.col("p_partkey").alias("seed"), F.slice(F.flatten(F.transform(others, copies)), 1, most).alias("works")).where(F.size("works") > 0)
+    near = listed(near.groupBy("seed").agg(F.slice(F.sort_array(F.flatten(F.collect_list("works"))), 1, most).alias("works")), 2, "related")
     totals = counted(cites.groupBy(F.col("work").alias("seed")).agg(F.count("*").alias("total")), 0, "references")
     totals = totals.union(counted(cites.groupBy(F.col("referenced").alias("seed")).agg(F.count("*").alias("total")), 1, "cited_by"))
     others = met.select(F.col("p_partkey").alias("seed"), (F.col("times") * (F.col("n") - F.col("times"))).alias("total")).where("total > 0")

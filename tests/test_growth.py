@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from folioscope.functions import interchange
-from folioscope.operators import components, discovery, graph, layout, library, moves, results
+from folioscope.operators import citations, components, discovery, graph, layout, library, moves, results
 from folioscope.plans import exchange as exchange_plans
 from folioscope.plans import library as library_plans
 from folioscope.plans import results as result_plans
+from folioscope.plans import scholarly
 
 SF = "/root/testdata/sf0.001"
 
@@ -144,3 +145,21 @@ def test_citation_keys_are_told_once(spark):
 def test_texts_are_judged_once(spark):
     out = result_plans.benchmark_overlap_judge(spark, SF)
     assert "EvalPython" not in plan(out).split("benchmark")[-1] and plan(out).count("documents.parquet") == 0  # before, documents were read for each use of their terms
+
+
+def test_lines_and_lists_of_citations_are_dealt_once(spark):
+    df = scholarly.part_citation_edges(spark, SF)
+    got, n = dealt(spark, lambda: {tuple(r) for r in df.collect()})
+    lines, parts = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("lineitem", "part"))
+    assert got
+    # Lines once, what cites once by either end, a row a node and back, a row a seed; before, lines twice and the rows of lists and edges again for each step.
+    assert n < 4 * lines + parts * (citations.MOST_WORKS + 6)
+
+
+def test_names_of_two_bytes_that_meet_are_told_apart(spark):
+    short = spark.range(3000).select("id", citations._short(F.col("id")).alias("s"))
+    a, b = short.groupBy("s").agg(F.min("id"), F.max("id").alias("b")).where("b > `min(id)`").select("min(id)", "b").first()
+    lists = [(9001, 0, "references", k, w) for k, w in enumerate((a, 9002, 9003))] + [(None, 0, "references", 0, a)]
+    references = [(9002, 0, b), (9002, 1, a), (9002, 2, 9001), (9003, 0, b)]
+    out = citations.neighbourhood(spark.createDataFrame(lists, "seed long, list int, direction string, place long, work long"), spark.createDataFrame(references, "work long, place int, referenced long"))
+    assert [tuple(r) for r in out[1].orderBy("turn").select("source", "target").collect()] == [(9001, a), (9001, 9002), (9001, 9003), (9002, a), (9002, 9001)]

@@ -215,3 +215,17 @@ def test_related_parts_of_one_kind_are_not_paired(spark, tmp_path):
     for name in ("part_citation_nodes", "part_citation_directions"):
         df = scholarly.QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, df.collect())) == sorted(db.execute(f"select {','.join(df.columns)} from ({scholarly.ORACLES[name]})").fetchall())
+
+
+def test_odd_lines_cite_as_in_sql(spark, tmp_path):
+    """Lines that repeat a number, lines without an order, a number or a part, and gaps."""
+    rng = random.Random(4)
+    lines = [(rng.choice([None, *range(60)]), rng.choice([None, 1, 2, 2, 3, 4, 6]), rng.choice([None, *range(12)])) for _ in range(500)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "T", k % 2) for k in range(12)], "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    for t in ("part", "lineitem"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("part_citation_nodes", "part_citation_edges", "part_citation_directions"):
+        df = scholarly.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(db.execute(f"select {','.join(df.columns)} from ({scholarly.ORACLES[name]})").fetchall(), key=repr)
