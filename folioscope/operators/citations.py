@@ -72,9 +72,14 @@ def neighbourhood(lists: DataFrame, references: DataFrame, most: int = MOST_WORK
 
     # Edges need a seed. Its row is read twice, and told apart from others here, so that what is dealt for both is the same.
     own = shown.where("seed is not null")
-    # A node takes its seed's names along, two bytes of each; references that may be among them go back to the seed, which tells.
-    every = F.concat("names", F.array("seed"))
-    asked = own.select("seed", F.transform(every, _short).alias("short"), F.explode(every).alias("work"))
+    # A node takes its seed's names along, two bytes of each, but for those to which an edge is told already; references that may be among them go back to the seed, which tells.
+    listed = lambda name: F.transform(F.filter("held", lambda t: t["direction"] == name), lambda t: t["work"])
+    every, citing = F.concat("names", F.array("seed")), listed("cited_by")
+    short = lambda names, name: F.transform(names, _short).alias(name)
+    works = F.array_intersect("names", citing).alias("citing"), F.array_except("names", citing).alias("others"), F.array("seed").alias("itself")
+    asked = own.select("seed", *works, short(F.col("names"), "of_citing"), short(every, "of_others"), short(F.array_except(every, listed("references")), "of_itself"))
+    beside = lambda name: F.transform(name, lambda work: F.struct(work.alias("work"), F.col(f"of_{name}").alias("short")))
+    asked = asked.select("seed", F.inline(F.concat(*map(beside, ("citing", "others", "itself")))))
     cited = references.groupBy("work").agg(F.collect_list(F.struct("referenced", F.col("place").cast("int").alias("place"))).alias("cited"))
     cited = cited.withColumn("names", F.transform("cited.referenced", _short))
     likely = asked.join(cited, "work").where(F.arrays_overlap("short", "names"))
